@@ -175,3 +175,25 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.nda
     at = np.zeros(len(counts) + 1, dtype=np.int64)
     np.cumsum(sizes, out=at[1:])
     return np.concatenate((h[whole], mixed(few)))[order], at
+
+
+#: Bytes of text taken into arrays at once.
+CHUNK_BYTES = 6_000_000
+
+
+def chunks(texts: list[str | None], most: int = CHUNK_BYTES):
+    """Slices of the list with about `most` characters each; a longer text stands alone."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > at and size + n > most:
+            yield slice(at, i)
+            at, size = i, 0
+        size += n
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
+def as_texts(column) -> list[str | None]:
+    """A pandas column's strings; whatever stands for null becomes None."""
+    return [t if isinstance(t, str) else None for t in column]

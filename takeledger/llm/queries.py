@@ -5,8 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from takeledger.llm.common import table
+from takeledger.llm.common import remainder, table
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from takeledger.llm import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"))
+    model = langid.fit(docs.filter("not held_out"))
+    return langid.identify(docs, model, ["doc_id", "held_out"])
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +26,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from takeledger.llm.bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts,)}
+    return {f.__name__: f for f in (op3_language_id, op4_token_counts, op7_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
