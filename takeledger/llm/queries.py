@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from takeledger.llm.common import remainder, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from takeledger.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(remainder(F.col("doc_id"), 3) != 1)
+    model = toxicity.fit(docs.filter("not held_out").join(labels, "doc_id"))
+    return toxicity.score_documents(docs, model, ["doc_id", "held_out"])
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from takeledger.llm import langid
 
@@ -35,7 +44,7 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_token_counts, op7_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_token_counts, op7_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
