@@ -43,8 +43,14 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from takeledger.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_token_counts, op7_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_token_counts, op7_bpe_round_trip, op9_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
