@@ -49,8 +49,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from takeledger.llm.decontam import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_token_counts, op7_bpe_round_trip, op9_jaccard_join)}
+    return {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_token_counts, op7_bpe_round_trip, op9_jaccard_join, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
