@@ -35,6 +35,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from takeledger.llm import pii
+
+    return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,7 +62,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_token_counts, op7_bpe_round_trip, op9_jaccard_join, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_token_counts, op6_personal_data, op7_bpe_round_trip, op9_jaccard_join, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
