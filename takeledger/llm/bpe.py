@@ -206,32 +206,36 @@ def coder(path: str) -> BacktrackingBpe:
     return _CODERS[path]
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:
-    """Every row of docs encoded, and decoded from its ids again, without a shuffle.
+#: What encode_decode can return of a text besides its number of tokens.
+OUTPUTS = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
-    digests: (id, n_tokens, ids_sha256, decoded_sha256); else (id, n_tokens, ids array<int>,
-    decoded string). Null and empty texts have no ids and decode to the empty text; repeated rows
-    are each encoded; other columns are ignored; an empty table gives no rows. The result equals
-    the vocabulary's merges exactly. A worker holds an Arrow batch and REMEMBERED chunks.
+
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids_sha256", "decoded_sha256")) -> DataFrame:
+    """(id, n_tokens, *outputs) of every row of docs: ids, the text decoded from them, or digests.
+
+    Null and empty texts have no ids and decode to the empty text; repeated rows are each encoded;
+    other columns are ignored; an empty table gives no rows. The result equals the vocabulary's
+    merges exactly. There is no shuffle, and a worker holds an Arrow batch and REMEMBERED chunks.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    decodes = any(o.startswith("decoded") for o in outputs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = coder(path)
         for b in batches:
-            n, first, second = [], [], []
+            n, columns = [], {o: [] for o in outputs}
             for t in as_texts(b["t"]):
                 spelled, ids = c.encode(t)
+                raw = c.decode(ids) if decodes else b""
                 n.append(len(ids))
-                if digests:
-                    first.append(hashlib.sha256(spelled.encode()).hexdigest())
-                    second.append(hashlib.sha256(c.decode(ids)).hexdigest())
-                else:
-                    first.append(ids)
-                    second.append(c.decode(ids).decode())
-            names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-            yield pd.DataFrame({id_col: b["k"], "n_tokens": n, names[0]: first, names[1]: second})
-
-    out = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
+                for o, column in columns.items():
+                    if o == "ids":
+                        column.append(ids)
+                    elif o == "decoded":
+                        column.append(raw.decode())
+                    else:
+                        column.append(hashlib.sha256(raw if o == "decoded_sha256" else spelled.encode()).hexdigest())
+            yield pd.DataFrame({id_col: b["k"], "n_tokens": n} | columns)
+
     picked = docs.select(docs[id_col].alias("k"), docs[text_col].alias("t"))
-    return picked.mapInPandas(run, f"`{id_col}` {kind}, n_tokens long, {out}")
+    return picked.mapInPandas(run, f"`{id_col}` {kind}, n_tokens long, " + ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs))

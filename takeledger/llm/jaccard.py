@@ -228,3 +228,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bare = signed.filter("size = 0").select("doc", F.col("doc").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     none = texts.filter("k is null").select(F.col("k").alias("doc"), *[F.lit(None).cast("long").alias(c) for c in ("class_id", "n_copies", "n_links")])
     return whole.union(bare).union(none).withColumnRenamed("doc", id_col)
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stand for their class: one of each; null ids stay."""
+    classes = near_duplicates(docs, id_col, text_col)
+    kept = classes.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("__kept")).distinct()
+    stays = docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    return stays.union(docs.filter(docs[id_col].isNull()))

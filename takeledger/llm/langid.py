@@ -172,28 +172,31 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model(languages, code, weights, np.maximum(reliability, 0.05))
 
 
-def identify(docs: DataFrame, model: Model | None, carry: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `carry` of docs with lang_pred, score and ambiguous, without a shuffle.
+def identify(docs: DataFrame, model: Model | None, carry: list[str], text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """The columns `carry` of docs with language, score and ambiguity named as in `names`; no shuffle.
 
     Null texts and texts without a letter get `und`, score 0 and ambiguous true, as all texts do
     where there was nothing to learn from. Other columns are ignored; an empty table gives no rows.
     """
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    text_name = text_col if text_col in carry else "__text"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = as_texts(b["__text"])
-            lang, score, unsure = [], [], []
+            texts = as_texts(b[text_name])
+            lang, score, unsure = [], [np.zeros(0)], [np.zeros(0, dtype=bool)]
             for part in chunks(texts):
                 if model is None:
-                    got = ([UNDETERMINED] * len(texts[part]), np.zeros(len(texts[part])), np.ones(len(texts[part]), dtype=bool))
+                    n = len(texts[part])
+                    got = ([UNDETERMINED] * n, np.zeros(n), np.ones(n, dtype=bool))
                 else:
                     got = model.decide(texts[part])
                 lang += got[0]
                 score.append(got[1])
                 unsure.append(got[2])
-            b = b.drop(columns="__text").assign(lang_pred=lang)
-            yield b.assign(score=np.concatenate(score) if score else [], ambiguous=np.concatenate(unsure) if unsure else [])
+            if text_name == "__text":
+                b = b.drop(columns="__text")
+            yield b.assign(**{names[0]: lang, names[1]: np.concatenate(score), names[2]: np.concatenate(unsure)})
 
-    picked = docs.select(*carry, docs[text_col].alias("__text"))
-    return picked.mapInPandas(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    picked = docs.select(*carry) if text_col in carry else docs.select(*carry, docs[text_col].alias("__text"))
+    return picked.mapInPandas(run, f"{fields}, {names[0]} string, {names[1]} double, {names[2]} boolean")

@@ -34,7 +34,7 @@ def test_encoding_and_decoding_equal_the_library():
 def test_query_form(spark):
     rows = [(1, "Hello there", "x"), (1, "Hello there", "y"), (2, None, "z"), (3, "", None), (None, "word", "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    got = encode_decode(df, PATH, digests=False).collect()
+    got = encode_decode(df, PATH, outputs=("ids", "decoded")).collect()
     assert len(got) == 5
     by = {r.doc_id: r for r in got}
     assert by[1].ids == library().encode("Hello there", add_special_tokens=False).ids
