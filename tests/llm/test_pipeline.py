@@ -11,7 +11,7 @@ def text(seed, n=40):
 def test_each_stage_takes_effect(spark, tmp_path):
     rows = [(i, text(i), "en", "s", 1) for i in range(30)]
     rows += [(100, text(1), "en", "s", 1), (101, text(2) + " tail", "en", "s", 1), (102, None, None, None, None), (103, "123 456", "en", "s", 1), (104, "", "en", "s", 1)]
-    rows += [(105, "so " + text(900) + " end", "en", "s", 1), (106, text(300) + " mail me at some.one@mail.example.com soon", "en", "s", 1)]
+    rows += [(105, "so " + text(900) + " end", "en", "s", 1), (106, " ".join(w + "zz" for w in WORDS) + " mail me at some.one@mail.example.com soon", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, text(900))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
