@@ -49,6 +49,12 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from takeledger.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from takeledger.llm.jaccard import near_duplicates
 
@@ -62,7 +68,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_token_counts, op6_personal_data, op7_bpe_round_trip, op9_jaccard_join, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_token_counts, op6_personal_data, op7_bpe_round_trip, op8_nearest_vectors, op9_jaccard_join, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

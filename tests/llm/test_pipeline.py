@@ -3,6 +3,8 @@ from takeledger.llm import decontam, jaccard
 
 WORDS = "the of and to in that was for with on as his they at be this from have or by one had not but what all were when we there can an your which their".split()
 
+BENCH = " ".join(w + "yy" for w in WORDS)
+
 
 def text(seed, n=40):
     return " ".join(WORDS[(seed * 7 + k * k * (seed % 5 + 1)) % len(WORDS)] + "abcdefghij"[(seed + k) % 10] for k in range(n))
@@ -11,10 +13,10 @@ def text(seed, n=40):
 def test_each_stage_takes_effect(spark, tmp_path):
     rows = [(i, text(i), "en", "s", 1) for i in range(30)]
     rows += [(100, text(1), "en", "s", 1), (101, text(2) + " tail", "en", "s", 1), (102, None, None, None, None), (103, "123 456", "en", "s", 1), (104, "", "en", "s", 1)]
-    rows += [(105, "so " + text(900) + " end", "en", "s", 1), (106, " ".join(w + "zz" for w in WORDS) + " mail me at some.one@mail.example.com soon", "en", "s", 1)]
+    rows += [(105, "so " + BENCH + " end", "en", "s", 1), (106, " ".join(w + "zz" for w in WORDS) + " mail me at some.one@mail.example.com soon", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, text(900))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, BENCH)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert not {100, 101, 102, 103, 104, 105} & set(got) and {1, 2, 106} <= set(got)
     assert all(len(r.ids) == r.n_tokens for r in got.values())
