@@ -35,6 +35,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from takeledger.llm import ngram_lm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"))
+    return ngram_lm.score_documents(docs, ngram_lm.fit(docs.filter("not held_out")), ["doc_id", "held_out"])
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from takeledger.llm import pii
 
@@ -68,7 +75,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_token_counts, op6_personal_data, op7_bpe_round_trip, op8_nearest_vectors, op9_jaccard_join, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_token_counts, op5_language_model, op6_personal_data, op7_bpe_round_trip, op8_nearest_vectors, op9_jaccard_join, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
