@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from takeledger.llm.common import as_texts, chunks, joined_bytes, local_path, mixed, run_hashes, runs_of, settled, shared_folder
+from takeledger.llm.shards import blob_rows, gathered, mapped, pack6, range_part, save, short, unpack6
 
 #: Tokens that a task counts before it passes its counts on.
 RUN_TOKENS = 3_000_000
@@ -48,33 +48,12 @@ def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     return tokens, before, at
 
 
-# ---- packed arrays --------------------------------------------------------------------------
-
-def pack6(h: np.ndarray) -> bytes:
-    """48-bit values as 6 bytes each."""
-    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpack6(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(np.uint64)
-
-
-def short(h: np.ndarray) -> np.ndarray:
-    """The 48-bit form of word hashes that bigrams are made of."""
-    return h >> _U64(16)
-
-
-def word_part(h: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each 48-bit word hash: equal ranges, so that parts are sorted runs."""
-    return ((h >> _U64(16)) * _U64(parts) >> _U64(32)).astype(np.int64)
-
+# ---- bigrams as keys -------------------------------------------------------------------------
 
 def pair_part(u: np.ndarray, w: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarray:
     """The part of each bigram: its first word's, but hot first words are spread by the second."""
     spread = np.isin(u, hot) if len(hot) else np.zeros(len(u), dtype=bool)
-    return np.where(spread, word_part(w, parts), word_part(mixed(u) >> _U64(16), parts))
+    return np.where(spread, range_part(w, parts), range_part(mixed(u) >> _U64(16), parts))
 
 
 def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -83,43 +62,6 @@ def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mixed(u * _U64(0x9E3779B97F4A7C15) + w) & ~_U64(0xFFFF)
 
 
-def _rows(frames: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(frames, columns=["part", "blob"])
-
-
-def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[bytes]]]:
-    """The blobs of one part after the other; rows are sorted by part."""
-    part, blobs = None, []
-    for b in batches:
-        for p, raw in zip(b["part"], b["blob"]):
-            if p != part and blobs:
-                yield part, blobs
-                blobs = []
-            part = p
-            blobs.append(raw)
-    if blobs:
-        yield part, blobs
-
-
-def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
-    """Arrays as files of the shared folder; each appears whole, a repeated task writes the same."""
-    for key, a in arrays.items():
-        temporary = os.path.join(folder, f".{name}.{key}.{uuid.uuid4().hex}")
-        np.save(temporary, a)
-        os.replace(temporary + ".npy", os.path.join(folder, f"{name}.{key}.npy"))
-
-
-_MAPPED: dict[str, np.ndarray] = {}
-
-
-def mapped(folder: str, name: str, key: str) -> np.ndarray:
-    """A file's array, memory-mapped once per worker; an absent part is empty."""
-    path = os.path.join(folder, f"{name}.{key}.npy")
-    if path not in _MAPPED:
-        _MAPPED[path] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, dtype=np.uint64)
-    return _MAPPED[path]
-
-
 # ---- counting -------------------------------------------------------------------------------
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -136,8 +78,8 @@ def _count_words(parts: int):
 
         def flush() -> pd.DataFrame:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(word_part(short(keys), parts), np.arange(parts + 1))
-            return _rows([(p, np.int64(hi - lo).tobytes() + keys[lo:hi].tobytes() + n[lo:hi].astype(np.uint32).tobytes()) for p, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo])
+            cuts = np.searchsorted(range_part(short(keys), parts), np.arange(parts + 1))
+            return blob_rows([(p, np.int64(hi - lo).tobytes() + keys[lo:hi].tobytes() + n[lo:hi].astype(np.uint32).tobytes()) for p, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo])
 
         for b in batches:
             texts = as_texts(b["t"])
@@ -155,14 +97,14 @@ def _count_words(parts: int):
 
 def _merge_words(folder: str, parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, blobs in _gathered(batches):
+        for part, blobs in gathered(batches):
             keys, counts = [], []
             for raw in blobs:
                 n = int(np.frombuffer(raw[:8], dtype=np.int64)[0])
                 keys.append(np.frombuffer(raw, dtype=np.uint64, count=n, offset=8))
                 counts.append(np.frombuffer(raw, dtype=np.uint32, count=n, offset=8 + 8 * n).astype(np.uint64))
             h, c = _summed(np.concatenate(keys), np.concatenate(counts))
-            _save(folder, f"words-{part}", h=h, c=c)
+            save(folder, f"words-{part}", h=h, c=c)
             total = int(c.sum())
             heavy = np.flatnonzero(c * _U64(HOT_SHARE * parts) >= total)
             yield pd.DataFrame({"tokens": [total], "distinct": [len(h)], "hot": [short(h[heavy]).view(np.int64)], "counts": [c[heavy].astype(np.int64)]})
@@ -192,7 +134,7 @@ def _count_pairs(parts: int, hot: np.ndarray):
                     times = np.diff(np.append(new, hi - lo)).astype(np.uint32)
                     sizes = np.array([len(new), hi - lo], dtype=np.int64)
                     out.append((p, sizes.tobytes() + times.tobytes() + n[lo:hi].tobytes() + pack6(own[new]) + pack6(w[lo:hi])))
-            return _rows(out)
+            return blob_rows(out)
 
         for b in batches:
             texts = as_texts(b["t"])
@@ -213,7 +155,7 @@ def _merge_pairs(folder: str, parts: int):
     """Bigram shards; counts of counts, and what they say of first and second words, as rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, blobs in _gathered(batches):
+        for part, blobs in gathered(batches):
             us, ws, ns = [], [], []
             for raw in blobs:
                 few, many = np.frombuffer(raw[:16], dtype=np.int64)
@@ -231,14 +173,14 @@ def _merge_pairs(folder: str, parts: int):
             key, n = key[at], np.add.reduceat(n[order], at)
             u, w = u[order[at]], w[order[at]]
             big = np.flatnonzero(n >= _U64(0xFFFF))
-            _save(folder, f"pairs-{part}", k=key | np.minimum(n, _U64(0xFFFF)), bigk=key[big], bign=n[big])
+            save(folder, f"pairs-{part}", k=key | np.minimum(n, _U64(0xFFFF)), bigk=key[big], bign=n[big])
             of = [int((n == _U64(k)).sum()) for k in (1, 2, 3, 4)]
             one = np.ones(len(n), dtype=np.uint32)
             heads = _summed(u, *[(n == _U64(k)).astype(np.uint32) for k in (1, 2)], (n >= _U64(3)).astype(np.uint32), n)
             tails = _summed(w, one)
             out = []
             for kind, (word, *values) in (("head", heads), ("tail", tails)):
-                cuts = np.searchsorted(word_part(word, parts), np.arange(parts + 1))
+                cuts = np.searchsorted(range_part(word, parts), np.arange(parts + 1))
                 for p, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                     if hi > lo:
                         out.append((p, kind, pack6(word[lo:hi]) + b"".join(v[lo:hi].tobytes() for v in values)))
@@ -251,7 +193,7 @@ def _merge_vocabulary(folder: str, discounts: tuple[float, ...]):
     """Word shards: count, continuations, back-off weight and total of each word as a context."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, blobs in _gathered(batches):
+        for part, blobs in gathered(batches):
             heads, tails = [[], [], [], [], []], [[], []]
             for raw in blobs:
                 kind, raw = raw[:4], raw[4:]
@@ -269,7 +211,7 @@ def _merge_vocabulary(folder: str, discounts: tuple[float, ...]):
             word, n1, n2, n3, total = _summed(*[np.concatenate(x) for x in heads]) if heads[0] else empty
             tail, times = _summed(*[np.concatenate(x) for x in tails]) if tails[0] else empty[:2]
             h, c = np.array(mapped(folder, f"words-{part}", "h")), np.array(mapped(folder, f"words-{part}", "c")).astype(np.float64)
-            if int(word_part(short(np.array([START])), _PARTS[folder])[0]) == part:
+            if int(range_part(short(np.array([START])), _PARTS[folder])[0]) == part:
                 at = int(np.searchsorted(h, START))
                 h, c = np.insert(h, at, START), np.insert(c, at, 0.0)
             out = np.zeros((4, len(h)), dtype=np.float32)
@@ -280,7 +222,7 @@ def _merge_vocabulary(folder: str, discounts: tuple[float, ...]):
                     out[row + i, hit] = v[at[hit]]
             gamma = np.divide(out[2], out[3], out=np.ones(len(h), dtype=np.float32), where=out[3] > 0)
             wide = c.max(initial=0) >= 2**32
-            _save(folder, f"voc-{part}", h=h, c=c.astype(np.uint64 if wide else np.uint32), cont=out[1].astype(np.uint32), gamma=gamma, total=out[3])
+            save(folder, f"voc-{part}", h=h, c=c.astype(np.uint64 if wide else np.uint32), cont=out[1].astype(np.uint32), gamma=gamma, total=out[3])
             yield pd.DataFrame({"counts": [[int((times == k).sum()) for k in (1, 2, 3, 4)]], "over": [int((times >= 3).sum())], "pairs": [int(times.sum())]})
 
     return run
@@ -312,7 +254,7 @@ class Model:
     def words(self, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """c, continuations, back-off weight and total of sorted distinct word hashes."""
         out = [np.zeros(len(h)), np.zeros(len(h)), np.ones(len(h)), np.zeros(len(h))]
-        cuts = np.searchsorted(word_part(short(h), self.parts), np.arange(self.parts + 1))
+        cuts = np.searchsorted(range_part(short(h), self.parts), np.arange(self.parts + 1))
         for p, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
             keys = mapped(self.folder, f"voc-{p}", "h") if hi > lo else ()
             if len(keys):

@@ -19,6 +19,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model, ["doc_id", "held_out"])
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from takeledger.llm.suffix_dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from takeledger.llm import langid
 
@@ -75,7 +81,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_token_counts, op5_language_model, op6_personal_data, op7_bpe_round_trip, op8_nearest_vectors, op9_jaccard_join, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_language_id, op4_token_counts, op5_language_model, op6_personal_data, op7_bpe_round_trip, op8_nearest_vectors, op9_jaccard_join, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
