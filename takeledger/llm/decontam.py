@@ -16,25 +16,37 @@ SHORTEST = 5
 #: Seeds that are broadcast at most (about 100 bytes each); beyond, seeds are joined by shuffle.
 BROADCAST_SEEDS = 400_000
 
-def tokens_of(text: Column) -> Column:
-    """Hashes of the lower-case words of a text (letters and digits); null is the empty text."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+#: The positions that all masks look at: one probe with their hash rules most windows out.
+COMMON = tuple(sorted(set(MASKS[0]).intersection(*MASKS)))
 
 
-def seed(tokens: Column, at: Column, mask: tuple[int, ...], number: int) -> Column:
-    """The hash of the masked tokens of the window at `at` (from 0); null beyond the end."""
-    picked = [F.get(tokens, at + F.lit(p)) for p in mask]
-    return F.when(at + F.lit(mask[-1]) < F.size(tokens), F.xxhash64(F.lit(number), *picked))
+def _with_words(df: DataFrame, text: str, words: str) -> DataFrame:
+    """df with the lower-case words (letters and digits) of its column `text`; null is empty.
+
+    Only the first and the last piece of the split can be empty; they are cut off by slicing,
+    for a higher-order filter would run outside the generated code. The split stands in a
+    projection of its own, so that it is done once.
+    """
+    df = df.withColumn(words, F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^\\p{L}\\p{N}]+")).drop(text)
+    pieces = F.col(words)
+    n = F.size(pieces)
+    front = F.when(F.get(pieces, F.lit(0)) == "", 1).otherwise(0)
+    back = F.when((n > 1) & (F.get(pieces, n - 1) == ""), 1).otherwise(0)
+    return df.withColumn(words, F.slice(pieces, front + 1, F.greatest(n - front - back, F.lit(0))))
+
+
+def _token(words: Column, at: Column) -> Column:
+    return F.xxhash64(F.get(words, at))
 
 
-def _masks(shorts: list[int]) -> list[tuple[int, ...]]:
-    """The spaced masks, and a full one for each length of test items below their span."""
-    return [*MASKS, *[tuple(range(n)) for n in shorts]]
+def seed(words: Column, at: Column, mask: tuple[int, ...], number: int, length: int) -> Column:
+    """The hash of the masked words of the window of `length` at `at`; null beyond the end."""
+    picked = [_token(words, at + F.lit(p)) for p in mask]
+    return F.when(at + F.lit(length - 1) < F.size(words), F.xxhash64(F.lit(number), *picked))
 
 
-def _seeded(df: DataFrame, masks: list[tuple[int, ...]], at: str, tokens: str) -> DataFrame:
-    keys = [F.struct(seed(F.col(tokens), F.col(at), m, i).alias("key"), F.lit(i).alias("mask")) for i, m in enumerate(masks)]
+def _seeded(df: DataFrame, masks: dict[int, tuple[int, ...]], at: str, words: str) -> DataFrame:
+    keys = [F.struct(seed(F.col(words), F.col(at), m, i, m[-1] + 1).alias("key"), F.lit(i).alias("mask")) for i, m in masks.items()]
     return df.withColumn("s", F.explode(F.array(*keys))).filter("s.key is not null").withColumn("key", F.col("s.key")).withColumn("mask", F.col("s.mask")).drop("s")
 
 
@@ -51,7 +63,7 @@ def _agreement(doc: Column, item: Column, at: Column, iat: Column, window: Colum
         fits = (F.lit(k) <= window - span) & (start >= 0) & (begin >= 0) & (start + window <= F.size(item)) & (begin + window <= F.size(doc))
         equal = F.lit(0)
         for t in range(WINDOW):
-            equal = equal + F.when((F.lit(t) < window) & (F.get(item, start + F.lit(t)) == F.get(doc, begin + F.lit(t))), 1).otherwise(0)
+            equal = equal + F.when((F.lit(t) < window) & (F.get(item, start + F.lit(t)) == _token(doc, begin + F.lit(t))), 1).otherwise(0)
         best = F.greatest(best, F.when(fits, equal).otherwise(0))
     return best
 
@@ -71,30 +83,38 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     verified where it is read, so that no text is shuffled. Seeds beyond BROADCAST_SEEDS are
     joined by shuffle, with the tokens around each position instead of whole texts.
     """
-    items = benchmark.select(benchmark[item_col].alias("item"), tokens_of(benchmark[item_text]).alias("it")).filter(F.col("item").isNotNull() & (F.size("it") >= SHORTEST))
-    stats = items.agg(F.sum(F.size("it")).alias("n"), F.collect_set(F.when(F.size("it") < SPAN, F.size("it"))).alias("shorts")).first()
-    masks = _masks(sorted(stats["shorts"] or []))
-    small = (stats["n"] or 0) * len(masks) <= BROADCAST_SEEDS
-    window = F.least(F.size("it"), F.lit(WINDOW))
-    seeds = _seeded(items.withColumn("iat", F.explode(F.sequence(F.lit(0), F.size("it") - 1))), masks, "iat", "it")
-    # a full mask of n tokens is for items of just n tokens
-    for i, n in enumerate(sorted(stats["shorts"] or []), len(MASKS)):
-        seeds = seeds.filter((F.col("mask") != i) | (F.size("it") == n))
-    seeds = seeds.select("key", "mask", "item", "it", "iat", window.alias("window"), F.element_at(F.lit([len(m) if i >= len(MASKS) else SPAN for i, m in enumerate(masks)]), F.col("mask") + 1).alias("span"))
-    texts = docs.select(docs[id_col].alias("doc"), tokens_of(docs[text_col]).alias("dt")).filter(F.col("doc").isNotNull())
+    items = _with_words(benchmark.select(benchmark[item_col].alias("item"), benchmark[item_text].alias("text")), "text", "words").filter(F.col("item").isNotNull() & (F.size("words") >= SHORTEST))
+    stats = items.agg(F.sum(F.size("words")).alias("n"), F.collect_set(F.when(F.size("words") < SPAN, F.size("words"))).alias("shorts")).first()
+    shorts = {len(MASKS) + n: tuple(range(n)) for n in sorted(stats["shorts"] or [])}
+    spaced = dict(enumerate(MASKS))
+    small = (stats["n"] or 0) * len(spaced | shorts) <= BROADCAST_SEEDS
+    texts = _with_words(docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")).filter(F.col("doc").isNotNull()), "text", "dt")
     at = texts.select("doc", "dt", F.explode(F.when(F.size("dt") >= SHORTEST, F.sequence(F.lit(0), F.size("dt") - SHORTEST))).alias("at"))
-    if small:
-        hits = _seeded(at, masks, "at", "dt").join(F.broadcast(seeds), ["key", "mask"])
-    else:
-        back = F.greatest(F.lit(0), F.col("at") - WINDOW)
-        near = at.select("doc", F.slice("dt", back + 1, 2 * WINDOW + SPAN).alias("dt"), (F.col("at") - back).alias("at"), back.alias("skip"))
-        hits = _seeded(near, masks, "at", "dt").join(seeds, ["key", "mask"])
-    skip = F.lit(0) if small else F.col("skip")
-    agreed = hits.select("doc", "item", (skip + F.col("at")).alias("first"), "window", F.size("it").alias("n_item"), _agreement(F.col("dt"), F.col("it"), F.col("at"), F.col("iat"), F.col("window"), F.col("span")).alias("n"))
+    placed = items.withColumn("iat", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
+    found = []
+    for masks in filter(None, (spaced, shorts)):
+        seeds = _seeded(placed, masks, "iat", "words")
+        if masks is shorts:  # a full mask is for the items of just its length
+            seeds = seeds.filter(F.size("words") == F.col("mask") - len(MASKS))
+        span = F.lit(SPAN) if masks is spaced else F.size("words")
+        seeds = seeds.select("key", "mask", "item", F.transform("words", lambda w: F.xxhash64(w)).alias("it"), "iat", F.least(F.size("words"), F.lit(WINDOW)).alias("window"), span.alias("span"))
+        if small:
+            met = at
+            if masks is spaced:
+                common = seed(F.col("words"), F.col("iat"), COMMON, -1, SPAN).alias("common")
+                met = at.withColumn("common", seed(F.col("dt"), F.col("at"), COMMON, -1, SPAN)).join(F.broadcast(placed.select(common).filter("common is not null").distinct()), "common", "left_semi")
+            hits = _seeded(met, masks, "at", "dt").join(F.broadcast(seeds), ["key", "mask"]).withColumn("skip", F.lit(0))
+        else:
+            back = F.greatest(F.lit(0), F.col("at") - WINDOW)
+            near = at.select("doc", F.slice("dt", back + 1, 2 * WINDOW + SPAN).alias("dt"), (F.col("at") - back).alias("at"), back.alias("skip"))
+            hits = _seeded(near, masks, "at", "dt").join(seeds, ["key", "mask"])
+        first = (F.col("skip") + F.col("at")).alias("first")
+        found.append(hits.select("doc", "item", first, "window", F.size("it").alias("n_item"), _agreement(F.col("dt"), F.col("it"), F.col("at"), F.col("iat"), F.col("window"), F.col("span")).alias("n")))
+    agreed = found[0] if len(found) == 1 else found[0].union(found[1])
     # filtered after the partial aggregation, so that verification stays out of the join's condition
     enough = F.col("n") >= F.ceil(F.col("window") * AGREEMENT)
-    found = agreed.groupBy("doc", "item").agg(F.max("n").cast("long").alias("n_matched"), F.max("window").cast("long").alias("n_window"), F.max("n_item").cast("long").alias("n_item"), F.min(F.when(enough, F.col("first"))).cast("long").alias("first_token"))
-    return found.filter("first_token is not null").withColumnsRenamed({"doc": id_col, "item": item_col})
+    pairs = agreed.groupBy("doc", "item").agg(F.max("n").cast("long").alias("n_matched"), F.max("window").cast("long").alias("n_window"), F.max("n_item").cast("long").alias("n_item"), F.min(F.when(enough, F.col("first"))).cast("long").alias("first_token"))
+    return pairs.filter("first_token is not null").withColumnsRenamed({"doc": id_col, "item": item_col})
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,7 +35,7 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all `size`-byte grams, doubling their length and joining by its binary digits."""
     base = _U64(0x9E3779B97F4A7C15)
     power, have, need = BYTE_CODE[data], 1, size
-    factor, out, done, shift = base, None, 0, None
+    factor, out, done = base, None, 0
     with np.errstate(over="ignore"):
         while need:
             if need & 1:
@@ -50,7 +50,6 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
                 n = max(0, len(power) - have)
                 power = power[:n] * factor + power[have : have + n]
                 have, factor = have * 2, factor * factor
-    del shift
     return mixed(out)
 
 
@@ -139,7 +138,7 @@ def _prefix(a: bytes, b: bytes, known: int) -> int:
     while known < WIDTH:
         x, y = a[known : known + 8], b[known : known + 8]
         if x != y:
-            return known + len(x) - (int.from_bytes(x) ^ int.from_bytes(y)).bit_length() // 8 - ((int.from_bytes(x) ^ int.from_bytes(y)).bit_length() % 8 > 0)
+            return known + len(x) - ((int.from_bytes(x) ^ int.from_bytes(y)).bit_length() + 7) // 8
         known += 8
     return WIDTH
 
