@@ -225,9 +225,14 @@ def wrap_moment(date: Column, time: Column) -> Column:
     return F.when(day.isNotNull() & hour.between(0, 23) & minute.between(0, 59), moment)
 
 
+def micros(moment: Column) -> Column:
+    """Microseconds since 1970; moments without a zone are read in the session's, UTC."""
+    return F.unix_micros(moment.cast("timestamp"))
+
+
 def lag_seconds(wrapped: Column, filed: Column) -> Column:
     """Signed; a filing before the wrap stays negative."""
-    return F.unix_micros(filed) / 1e6 - F.unix_micros(wrapped) / 1e6
+    return micros(filed) / 1e6 - micros(wrapped) / 1e6
 
 
 def classify_lag(seconds: Column, hours: float = HANDOVER_HOURS) -> Column:
@@ -236,12 +241,12 @@ def classify_lag(seconds: Column, hours: float = HANDOVER_HOURS) -> Column:
 
 def hours_between(start: Column, end: Column) -> Column:
     """Hours, never below zero, to a tenth (half to even)."""
-    return F.bround(F.greatest(F.lit(0.0), (F.unix_micros(end) - F.unix_micros(start)) / 3.6e9), 1)
+    return F.bround(F.greatest(F.lit(0.0), (micros(end) - micros(start)) / 3.6e9), 1)
 
 
 def hour_boundaries(start: Column, end: Column) -> Column:
     """Hour marks between two moments: 10:59 to 11:01 is one."""
-    return F.floor(F.unix_micros(end) / 3_600_000_000) - F.floor(F.unix_micros(start) / 3_600_000_000)
+    return F.floor(micros(end) / 3_600_000_000) - F.floor(micros(start) / 3_600_000_000)
 
 
 def size_bytes(text: Column) -> Column:

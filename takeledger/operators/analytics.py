@@ -51,7 +51,7 @@ def current_findings(snapshots: DataFrame) -> DataFrame:
 def discrepancy_health(snapshots: DataFrame) -> DataFrame:
     now = current_findings(snapshots)
     return now.groupBy(P, "finding", "severity").agg(
-        F.count_if("not resolved").alias("open"), F.count_if("resolved").alias("resolved"),
+        F.count_if(F.expr("not resolved")).alias("open"), F.count_if(F.expr("resolved")).alias("resolved"),
         joined_set("shoot_day", ~F.col("resolved")).alias("open_days"), F.min(F.when(~F.col("resolved"), F.col("description"))).alias("example"),
     )
 
@@ -97,7 +97,7 @@ def latest_requirements(events: DataFrame) -> DataFrame:
 
 def unacknowledged(events: DataFrame, activity: DataFrame) -> DataFrame:
     """Requirements nobody has acknowledged; the trail is aggregated before the join."""
-    acks = activity.filter("target_type = 'requirement'").groupBy(F.col("target_id").alias("requirement_id")).agg(F.count_if("action = 'acknowledged'").alias("acks"))
+    acks = activity.filter("target_type = 'requirement'").groupBy(F.col("target_id").alias("requirement_id")).agg(F.count_if(F.expr("action = 'acknowledged'")).alias("acks"))
     return latest_requirements(events).join(acks, "requirement_id", "left").filter("coalesce(acks, 0) = 0").drop("acks")
 
 
@@ -112,12 +112,12 @@ def unacknowledged_blocking(events: DataFrame, activity: DataFrame, top: int = 5
 
 def unreviewed_days(events: DataFrame, activity: DataFrame) -> DataFrame:
     filed = events.groupBy(*DAY).agg(F.count("*").alias("events"))
-    seen = activity.groupBy(*DAY).agg(F.count_if("action = 'viewed'").alias("views"), F.count_if("action = 'acknowledged'").alias("acks"), joined_set("actor").alias("seen_by"))
+    seen = activity.groupBy(*DAY).agg(F.count_if(F.expr("action = 'viewed'")).alias("views"), F.count_if(F.expr("action = 'acknowledged'")).alias("acks"), joined_set("actor").alias("seen_by"))
     return filed.join(seen, DAY, "left").select(*DAY, "events", F.coalesce("views", F.lit(0)).alias("views"), F.coalesce("acks", F.lit(0)).alias("acks"), F.coalesce("seen_by", F.lit("")).alias("seen_by"))
 
 
 def department_attention(activity: DataFrame) -> DataFrame:
-    return activity.groupBy(P, "department", "actor").agg(F.count_if("action = 'viewed'").alias("views"), F.count_if("action = 'acknowledged'").alias("acks"), F.countDistinct("target_id").alias("targets"), F.max("created_at").alias("last_seen"))
+    return activity.groupBy(P, "department", "actor").agg(F.count_if(F.expr("action = 'viewed'")).alias("views"), F.count_if(F.expr("action = 'acknowledged'")).alias("acks"), F.countDistinct("target_id").alias("targets"), F.max("created_at").alias("last_seen"))
 
 
 def attributed(activity: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def attributed(activity: DataFrame) -> DataFrame:
 
 
 def actions_by_actor_and_day(activity: DataFrame) -> DataFrame:
-    return attributed(activity).groupBy(*DAY, "actor").agg(F.count_if(F.col("action").isin(MUTATIONS)).alias("mutations"), F.count_if("action = 'viewed'").alias("views"), F.countDistinct("target_type", "target_id").alias("targets"), F.min("created_at").alias("first_act"), F.max("created_at").alias("last_act"))
+    return attributed(activity).groupBy(*DAY, "actor").agg(F.count_if(F.col("action").isin(MUTATIONS)).alias("mutations"), F.count_if(F.expr("action = 'viewed'")).alias("views"), F.countDistinct("target_type", "target_id").alias("targets"), F.min("created_at").alias("first_act"), F.max("created_at").alias("last_act"))
 
 
 def actions_by_department_and_hour(activity: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def first_touch_lag(events: DataFrame, activity: DataFrame) -> DataFrame:
     """Minutes until each requirement's assignee did anything to it but create it."""
     raised = events.groupBy(P, "requirement_id").agg(F.min("created_at").alias("raised"), first_value("assignee", ["created_at", "event_id"]).alias("actor"))
     touched = activity.filter("target_type = 'requirement' and action <> 'created'").groupBy(F.col("target_id").alias("requirement_id"), "actor").agg(F.min("created_at").alias("touched"))
-    return raised.join(touched, ["requirement_id", "actor"], "left").withColumn("minutes", (F.unix_micros("touched") - F.unix_micros("raised")) / 6e7)
+    return raised.join(touched, ["requirement_id", "actor"], "left").withColumn("minutes", (n.micros(F.col("touched")) - n.micros(F.col("raised"))) / 6e7)
 
 
 def first_touch_percentiles(events: DataFrame, activity: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def requirements_by_day_and_role(events: DataFrame, crew: DataFrame) -> DataFram
 
 def take_throughput(events: DataFrame) -> DataFrame:
     rolls = events.filter("entity_type = 'take' and camera_roll <> ''")
-    return rolls.groupBy(*DAY, "camera_roll").agg(F.count("*").alias("takes"), F.min("created_at").alias("first_take"), F.max("created_at").alias("last_take"), ((F.unix_micros(F.max("created_at")) - F.unix_micros(F.min("created_at"))) / 6e7).alias("minutes"))
+    return rolls.groupBy(*DAY, "camera_roll").agg(F.count("*").alias("takes"), F.min("created_at").alias("first_take"), F.max("created_at").alias("last_take"), ((n.micros(F.max("created_at")) - n.micros(F.min("created_at"))) / 6e7).alias("minutes"))
 
 
 def discrepancy_age(snapshots: DataFrame, now: str) -> DataFrame:
@@ -170,20 +170,20 @@ def sound_camera_agreement(events: DataFrame) -> DataFrame:
 
 
 def cross_day_patterns(snapshots: DataFrame) -> DataFrame:
-    return current_findings(snapshots).groupBy(P, "finding").agg(F.count("*").alias("raised"), F.count_if("resolved").alias("resolved"), F.countDistinct("shoot_day").alias("days"))
+    return current_findings(snapshots).groupBy(P, "finding").agg(F.count("*").alias("raised"), F.count_if(F.expr("resolved")).alias("resolved"), F.countDistinct("shoot_day").alias("days"))
 
 
 def open_by_severity(snapshots: DataFrame) -> DataFrame:
     now = current_findings(snapshots)
-    return now.groupBy(P).agg(F.count_if("not resolved and severity = 'CRITICAL'").alias("critical"), F.count_if("not resolved and severity = 'WARNING'").alias("warning"), F.count_if("resolved").alias("resolved"))
+    return now.groupBy(P).agg(F.count_if(F.expr("not resolved and severity = 'CRITICAL'")).alias("critical"), F.count_if(F.expr("not resolved and severity = 'WARNING'")).alias("warning"), F.count_if(F.expr("resolved")).alias("resolved"))
 
 
 def last_filing(events: DataFrame, now: str) -> DataFrame:
-    return events.groupBy(P, "department").agg(F.max("created_at").alias("last_filed"), F.count("*").alias("events"), F.countDistinct("shoot_day").alias("days")).withColumn("minutes_ago", F.floor((F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("last_filed")) / 60_000_000))
+    return events.groupBy(P, "department").agg(F.max("created_at").alias("last_filed"), F.count("*").alias("events"), F.countDistinct("shoot_day").alias("days")).withColumn("minutes_ago", F.floor((n.micros(F.lit(now).cast("timestamp")) - n.micros(F.col("last_filed"))) / 60_000_000))
 
 
 def takes_per_day(events: DataFrame) -> DataFrame:
-    return events.groupBy(*DAY).agg(F.countDistinct("slate", "take_id").alias("takes"), F.countDistinct("slate").alias("slates"), F.count_if(F.coalesce(F.col("starred"), F.lit(False))).alias("starred"), F.count_if("camera_roll = ''").alias("without_roll"))
+    return events.groupBy(*DAY).agg(F.countDistinct("slate", "take_id").alias("takes"), F.countDistinct("slate").alias("slates"), F.count_if(F.coalesce(F.col("starred"), F.lit(False))).alias("starred"), F.count_if(F.expr("camera_roll = ''")).alias("without_roll"))
 
 
 def requirement_state(events: DataFrame) -> DataFrame:
@@ -226,5 +226,5 @@ def media_offloaded(media: DataFrame) -> DataFrame:
 def discrepancy_cuts(snapshots: DataFrame) -> DataFrame:
     """Open findings by day, kind and slate."""
     open_ = current_findings(snapshots).filter("not resolved")
-    cuts = F.explode(F.array(F.struct(F.lit("day").alias("cut"), F.col("shoot_day").alias("value")), F.struct(F.lit("kind"), F.col("finding")), F.struct(F.lit("slate"), F.col("entity_id"))))
+    cuts = F.explode(F.array(F.struct(F.lit("day").alias("cut"), F.col("shoot_day").alias("value")), F.struct(F.lit("kind").alias("cut"), F.col("finding").alias("value")), F.struct(F.lit("slate").alias("cut"), F.col("entity_id").alias("value"))))
     return open_.select(P, cuts.alias("c")).groupBy(P, F.col("c.cut").alias("cut"), F.col("c.value").alias("value")).agg(F.count("*").alias("open"))
