@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ GRAMS = LENGTH - GRAM + 1
 #: backwards, how many of either the document has, and padding.
 BACK = GRAMS - 1
 WIDTH = 80
+#: Parts for each shuffle partition: what a task merges at once is that much smaller.
+FINER = 3
 #: Suffixes of one sorted run, and grams of one run of the filter.
 RUN_SUFFIXES, RUN_GRAMS = 250_000, 4_000_000
 
@@ -143,22 +146,21 @@ def _prefix(a: bytes, b: bytes, known: int) -> int:
     return WIDTH
 
 
-def merged(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[int], list[int]]:
+def merged(runs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Run, place in the run and common prefix with the row before, for all rows in order.
 
-    A loser tree over the heads of the runs. Every head carries its common prefix with the row
-    put out last: the longer one is the smaller row, and only heads with equal prefixes are
-    compared, from there on. The loser keeps its prefix with the winner.
+    Each run is its rows in one piece and their common prefixes. A loser tree stands over the
+    heads of the runs. Every head carries its common prefix with the row put out last: the longer
+    one is the smaller row, and only heads with equal prefixes are compared, from there on. The
+    loser keeps its prefix with the winner.
     """
-    runs = [r for r in runs]
     k = 1
     while k < len(runs):
         k *= 2
-    place = [0] * k
-    size = [len(runs[i][0]) if i < len(runs) else 0 for i in range(k)]
-    rows = [runs[i][0] if i < len(runs) else [] for i in range(k)]
-    commons = [runs[i][1] if i < len(runs) else [] for i in range(k)]
-    head: list[bytes | None] = [rows[i][0] if size[i] else None for i in range(k)]
+    runs = [*runs, *[(b"", b"")] * (k - len(runs))]
+    rows, commons = [r[0] for r in runs], [r[1] for r in runs]
+    size, place = [len(c) for c in commons], [0] * k
+    head: list[bytes | None] = [r[:WIDTH] if r else None for r in rows]
     known = [0] * k  # of each run's head, with the last row put out by the winner of its match
     loser = [0] * k
 
@@ -169,20 +171,16 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[i
             return b, a
         if y is None:
             return a, b
-        p, q = known[a], known[b]
-        if p > q:
-            return a, b
-        if p < q:
-            return b, a
-        n = _prefix(x, y, p)
+        if known[a] != known[b]:
+            return (a, b) if known[a] > known[b] else (b, a)
+        n = _prefix(x, y, known[a])
         if n == WIDTH or x[n] < y[n]:
             known[b] = n
             return a, b
         known[a] = n
         return b, a
 
-    level = list(range(k))
-    node = k
+    level, node = list(range(k)), k
     while len(level) > 1:
         node //= 2
         up = []
@@ -192,7 +190,7 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[i
             up.append(w)
         level = up
     top = level[0]
-    out_run, out_place, out_common = [], [], []
+    out_run, out_place, out_common = array("i"), array("i"), array("B")
     while head[top] is not None:
         out_run.append(top)
         at = place[top]
@@ -201,7 +199,7 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[i
         at += 1
         place[top] = at
         if at < size[top]:
-            head[top], known[top] = rows[top][at], commons[top][at]
+            head[top], known[top] = rows[top][at * WIDTH : at * WIDTH + WIDTH], commons[top][at]
         else:
             head[top] = None
         cur, node = top, (top + k) // 2
@@ -222,7 +220,7 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[i
             node //= 2
         known[cur] = p
         top = cur
-    return out_run, out_place, out_common
+    return np.array(out_run, dtype=np.int64), np.array(out_place, dtype=np.int64), np.array(out_common, dtype=np.int64)
 
 
 def first_documents(rows: np.ndarray, common: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -376,28 +374,29 @@ def _merged_parts(folder: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, blobs in gathered(batches):
             runs = [unfolded(b) for b in blobs]
-            lists = [([x.tobytes() for x in rows], common.tolist()) for rows, common, _, _ in runs]
-            which, place, common = (np.array(x, dtype=np.int64) for x in merged(lists))
-            del lists
+            blobs.clear()
+            which, place, common = merged([(rows.tobytes(), shared.tobytes()) for rows, shared, _, _ in runs])
             offset = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum([len(r[0]) for r in runs])))
             index = offset[which] + place
-            rows, docs, many = np.concatenate([r[0] for r in runs])[index], np.concatenate([r[2] for r in runs])[index], np.concatenate([r[3] for r in runs])[index].astype(bool)
-            del runs
+            docs, many = np.concatenate([r[2] for r in runs])[index], np.concatenate([r[3] for r in runs])[index].astype(bool)
             # equal rows of several runs are one
             new = common < WIDTH
             new[0] = True
             at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(rows)))
-            rows, common = rows[at], common[at]
+            times = np.diff(np.append(at, len(common)))
+            common = common[at]
             docs, many = np.minimum.reduceat(docs, at), np.logical_or.reduceat(many, at) | (times > 1)
-            # a suffix that shares no gram with its neighbours and has one document repeats nothing
+            # a suffix that shares no gram with its neighbours and has one document repeats nothing;
+            # without it the prefixes of the others still tell whether they share a gram
             near = common >= GRAM
             near[0] = False
             beside = near.copy()
             beside[:-1] |= near[1:]
-            first = first_documents(rows, common, docs)
             keep = np.flatnonzero(many | beside)
-            rows, first = rows[keep], first[keep]
+            common, docs = common[keep], docs[keep]
+            rows = np.concatenate([r[0] for r in runs])[index[at[keep]]]
+            del runs, index, which, place
+            first = first_documents(rows, common, docs)
             h = row_hashes(rows)
             order = np.argsort(h, kind="stable")
             h, first = h[order], first[order]
@@ -481,12 +480,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     folder = local_path(shared_folder(spark, "suffixes"))
     os.makedirs(folder, exist_ok=True)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = tasks * FINER
     rows = docs.select(docs[id_col].cast("long").alias("k"), docs[text_col].alias("t"))
     named = rows.filter("k is not null")
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(parts, "part").sortWithinPartitions("part")
+        return df.repartition(tasks, "part").sortWithinPartitions("part")
 
     settled(dealt(named.mapInPandas(_gram_runs(parts), "part int, blob binary")).mapInPandas(_shared_grams(folder), "n long"), "grams")
     settled(dealt(named.mapInPandas(_suffix_runs(folder, parts), "part int, blob binary")).mapInPandas(_merged_parts(folder), "n long"), "firsts")

@@ -61,10 +61,10 @@ def test_many_small_runs():
         rows = sorted(bytes(rng.choice(b"ab") for _ in range(12)) + bytes(sd.WIDTH - 12) for _ in range(rng.randint(0, 40)))
         common = [0] + [next((i for i in range(sd.WIDTH) if a[i] != b[i]), sd.WIDTH) for a, b in zip(rows, rows[1:])]
         runs.append((rows, common))
-    which, place, common = sd.merged(runs)
+    which, place, common = sd.merged([(b"".join(r), bytes(c) if r else b"") for r, c in runs])
     out = [runs[w][0][p] for w, p in zip(which, place)]
     assert out == sorted(x for r, _ in runs for x in r)
-    assert common[1:] == [next((i for i in range(sd.WIDTH) if a[i] != b[i]), sd.WIDTH) for a, b in zip(out, out[1:])]
+    assert common.tolist()[1:] == [next((i for i in range(sd.WIDTH) if a[i] != b[i]), sd.WIDTH) for a, b in zip(out, out[1:])]
 
 
 def test_front_coding_round_trip():
