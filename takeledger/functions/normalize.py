@@ -70,8 +70,8 @@ def slate(raw: Column) -> Column:
 def scene_compound(raw: Column) -> Column:
     """`21+25` and `73C-74AC` to arrays; null and blank to the empty array."""
     t = _clean(raw)
-    plus = F.filter(F.transform(F.split(t, r"\+"), F.trim), lambda x: x != "")
-    dash = F.transform(F.split(t, "-"), F.trim)
+    plus = F.filter(F.transform(F.split(t, r"\+"), lambda x: F.trim(x)), lambda x: x != "")
+    dash = F.transform(F.split(t, "-"), lambda x: F.trim(x))
     both = ~t.startswith("-") & (F.size(dash) == 2) & F.get(dash, F.lit(0)).rlike(r"\d") & F.get(dash, F.lit(1)).rlike(r"\d")
     return F.when(t.isNull(), F.array().cast("array<string>")).when(t.contains("+"), plus).when(t.contains("-") & both, dash).otherwise(F.array(t))
 
@@ -199,7 +199,7 @@ def scene_of_slate(slate_: Column, scene: Column | None = None) -> Column:
 def scene_numbers(target: Column) -> Column:
     """The scenes that a slate, shot or compound target names: with a digit, in order, once."""
     parts = F.split(F.upper(F.substring_index(F.coalesce(target, F.lit("")), "/", 1)), r"[+,&]")
-    return F.array_distinct(F.filter(F.transform(parts, F.trim), lambda x: x.rlike(r"\d") & (x != "WT")))
+    return F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x.rlike(r"\d") & (x != "WT")))
 
 
 def handle(raw: Column, blank: str = "") -> Column:
