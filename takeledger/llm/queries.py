@@ -84,5 +84,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_language_id, op4_token_counts, op5_language_model, op6_personal_data, op7_bpe_round_trip, op8_nearest_vectors, op9_jaccard_join, op10_decontamination)}
 
 
+#: Bytes as hex, two digits each; a byte goes if one of the 50 strings around it came earlier.
+_OP2 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+q AS (SELECT doc_id, q, substr(h, 2 * q + 1, 1098) AS t FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 500)) AS q FROM d)),
+b AS (SELECT doc_id, q + unnest(range(0, least(500, len(t) // 2))) AS p, unnest(list_transform(range(0, least(500, len(t) // 2)), lambda i: substr(t, 2 * i + 1, 2))) AS x FROM q),
+w AS (SELECT doc_id, q + unnest(range(0, least(500, len(t) // 2 - 49))) AS p, unnest(list_transform(range(0, least(500, len(t) // 2 - 49)), lambda i: substr(t, 2 * i + 1, 100))) AS s FROM q WHERE len(t) >= 100),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+hit AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE m < doc_id),
+c AS (SELECT b.doc_id, b.p, x, coalesce(max(hit.p) OVER (PARTITION BY b.doc_id ORDER BY b.p) >= b.p - 49, false) AS gone FROM b LEFT JOIN hit ON hit.doc_id = b.doc_id AND hit.p = b.p),
+g AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY p) AS opens FROM c),
+r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(CASE WHEN gone THEN '' ELSE x END, '' ORDER BY p) AS kept FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""
+
+#: All pairs that share a shingle, and components by walking the links.
+_OP9 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '(?:[a-z0-9]|[^\x00-\x7F])+') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS k FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[k : k + 4], ' ') AS g FROM i),
+z AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS whole FROM s GROUP BY doc_id),
+copies AS (SELECT doc_id, count(*) OVER (PARTITION BY whole) AS n_copies FROM z),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y USING (g) JOIN z zx ON zx.doc_id = x.doc_id JOIN z zy ON zy.doc_id = y.doc_id WHERE x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id, zx.n, zy.n HAVING count(*) >= 0.8 * (zx.n + zy.n - count(*))),
+c AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT p.b, c.root FROM c JOIN p ON p.a = c.node WHERE c.root < p.b),
+r AS (SELECT node, min(root) AS class_id FROM c GROUP BY node),
+l AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT documents.doc_id, class_id, coalesce(n_copies, 1) AS n_copies, coalesce(n_links, 0) AS n_links FROM documents JOIN r ON r.node = documents.doc_id LEFT JOIN copies ON copies.doc_id = documents.doc_id LEFT JOIN l ON l.a = documents.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the same; the other queries are held against brute force in tests."""
+    return {"op2_suffix_dedup": _OP2, "op9_jaccard_join": _OP9}
