@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from takeledger.functions import normalize as n
 from takeledger.functions import privacy
 from takeledger.operators import analytics as a
-from takeledger.operators import ledger, reconcile, script, status
+from takeledger.operators import ledger, reconcile, rollups, script, status
+from takeledger.sources import adapters
 from takeledger.sources.adapters import cte, frame
+from takeledger.streaming import jobs as streaming
 
 NOW, LATER = "2001-09-01 00:00:00", "2024-02-01 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,7 +169,7 @@ SELECT requirement_id, production_id, event_id, change, concat_ws(',', CASE WHEN
 
 # ---- ranking and sets
 
-_SCORES = f"""{_FINDINGS.replace('WITH cur', 'WITH cur')}, req AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY production_id, requirement_id ORDER BY created_at DESC, event_id DESC) AS rn, min(created_at) OVER (PARTITION BY production_id, requirement_id) AS raised_at FROM requirement_events) WHERE rn = 1), acked AS (SELECT DISTINCT target_id FROM user_activity WHERE action = 'acknowledged'), s AS (SELECT production_id, 'finding' AS source, shoot_day || ':' || finding || ':' || entity_id AS key, round(CASE severity WHEN 'CRITICAL' THEN 90.0 WHEN 'WARNING' THEN 60.0 ELSE 25.0 END::DOUBLE + 20 + least(14.0::DOUBLE, round_even(greatest(0, CAST(epoch_us(TIMESTAMP '{NOW}') - epoch_us(created_at) AS DOUBLE) / 3.6e9), 1) / 24), 2) AS score FROM cur WHERE NOT resolved UNION ALL SELECT production_id, 'requirement', requirement_id, round(CASE priority WHEN 'critical' THEN 90.0 WHEN 'high' THEN 60.0 ELSE 25.0 END::DOUBLE + 28 + least(14.0::DOUBLE, round_even(greatest(0, CAST(epoch_us(TIMESTAMP '{NOW}') - epoch_us(raised_at) AS DOUBLE) / 3.6e9), 1) / 24), 2) FROM req WHERE status IN ('open', 'in_progress', 'blocked') AND requirement_id NOT IN (SELECT target_id FROM acked)) """
+_SCORES = f"""{_FINDINGS}, req AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY production_id, requirement_id ORDER BY created_at DESC, event_id DESC) AS rn, min(created_at) OVER (PARTITION BY production_id, requirement_id) AS raised_at FROM requirement_events) WHERE rn = 1), acked AS (SELECT DISTINCT target_id FROM user_activity WHERE action = 'acknowledged'), s AS (SELECT production_id, 'finding' AS source, shoot_day || ':' || finding || ':' || entity_id AS key, round(CASE severity WHEN 'CRITICAL' THEN 90.0 WHEN 'WARNING' THEN 60.0 ELSE 25.0 END::DOUBLE + 20 + least(14.0::DOUBLE, round_even(greatest(0, CAST(epoch_us(TIMESTAMP '{NOW}') - epoch_us(created_at) AS DOUBLE) / 3.6e9), 1) / 24), 2) AS score FROM cur WHERE NOT resolved UNION ALL SELECT production_id, 'requirement', requirement_id, round(CASE priority WHEN 'critical' THEN 90.0 WHEN 'high' THEN 60.0 ELSE 25.0 END::DOUBLE + 28 + least(14.0::DOUBLE, round_even(greatest(0, CAST(epoch_us(TIMESTAMP '{NOW}') - epoch_us(raised_at) AS DOUBLE) / 3.6e9), 1) / 24), 2) FROM req WHERE status IN ('open', 'in_progress', 'blocked') AND requirement_id NOT IN (SELECT target_id FROM acked)) """
 query("rank_blockers", "findings requirement_events user_activity", lambda f, e, x: status.rank_blockers(f, e, x, NOW), _SCORES + "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY production_id ORDER BY score DESC, source, key) AS INT) AS rank FROM s) WHERE rank <= 10")
 _CLEAN = f"""{_FINDINGS}, ev AS (SELECT production_id, scene, count(DISTINCT slate || ':' || take_id) AS takes, count(DISTINCT CASE WHEN starred THEN slate || ':' || take_id END) AS circled, count(DISTINCT doc_id) AS documents, max(CASE department WHEN 'script' THEN 1 ELSE 0 END) AS hs, max(CASE department WHEN 'camera' THEN 1 ELSE 0 END) AS hc, max(CASE department WHEN 'sound' THEN 1 ELSE 0 END) AS ho, max(CASE department WHEN 'dit' THEN 1 ELSE 0 END) AS hd FROM witness GROUP BY ALL), cand AS (SELECT production_id, scene, takes, circled, documents, takes * 4 + documents * 2 + circled * 18 + hs * 12 + hc * 12 + ho * 8 + hd * 20 AS score FROM ev WHERE hs + hc + ho + hd + CASE WHEN circled > 0 THEN 1 ELSE 0 END >= 3 AND hd = 1 AND (production_id, scene) NOT IN (SELECT (production_id, split_part(entity_id, '/', 1)) FROM cur WHERE NOT resolved)), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY production_id ORDER BY score DESC, circled DESC, takes DESC, scene) AS INT) AS rank FROM cand) """
 
@@ -206,3 +209,49 @@ documents("contact_documents", lambda d: d.filter(privacy.is_contact(F.col("text
 documents("redact_contacts", lambda d: d.select("doc_id", F.sha2(privacy.redacted(F.col("text")), 256).alias("redacted_sha256")), f"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '{_EMAIL}', '[email removed]', 'g'), '{_LABELLED}', '\\1: [phone removed]', 'g'), '{_INTERNATIONAL}', '[phone removed]', 'g')) AS redacted_sha256 FROM documents")
 documents("dedupe_documents", lambda d: ledger.deduplicated(d.select("doc_id", "source", F.sha2("text", 256).alias("checksum")), ["source", "checksum"], ["doc_id"]), "SELECT doc_id, source, sha256(text) AS checksum, CAST(row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS INT) AS copy FROM documents")
 documents("vague_documents", lambda d: d.filter(n.is_vague(F.col("text"))).select("doc_id"), r"SELECT doc_id FROM documents WHERE len(regexp_split_to_array(lower(trim(text)), '\s+')) < 4 OR regexp_matches(lower(text), '\b(various|something|stuff|generic|typical)\b|to be (defined|decided)|\btbd\b|\bn/a\b')")
+
+# ---- rollups
+
+_CARDS = _set("camera_roll", "camera_roll <> ''")
+_ORDERED = "array_to_string(list_transform(list_sort(list(DISTINCT CAST(shoot_day AS INT))), lambda x: CAST(x AS VARCHAR)), ',')"
+query("sequence_shoot_days", "witness", rollups.sequence_shoot_days, f"SELECT production_id, scene, {_ORDERED} AS days FROM witness GROUP BY ALL")
+query("sequence_rollup", "witness", rollups.sequence_rollup, f"SELECT production_id, scene, count(DISTINCT replace(slate, '-', '/') || ':' || take_id) AS takes, {_CARDS} AS cards, count(DISTINCT CASE WHEN starred THEN replace(slate, '-', '/') || ':' || take_id END) AS circled, {_ORDERED} AS days FROM witness GROUP BY ALL")
+_NORMAL = f"WITH l AS (SELECT DISTINCT {_DAYS}, replace(slate, '-', '/') AS slate, take_id, camera_roll, CAST(substr(clip_name, 7) AS INT) AS clip FROM witness WHERE clip_name <> ''), m AS (SELECT {_DAYS}, file_name, camera_roll, CAST(substr(file_name, 8, 3) AS INT) AS clip FROM media), x AS (SELECT DISTINCT l.production_id, l.shoot_day, slate, take_id, file_name FROM l JOIN m ON m.production_id = l.production_id AND m.shoot_day = l.shoot_day AND m.camera_roll = l.camera_roll AND m.clip = l.clip) "
+query("match_take_media", "witness media", lambda w, m: rollups.match_take_media(w.withColumn("slate", n.slate(F.col("slate"))), m), _NORMAL + f"SELECT {_DAYS}, slate, take_id, file_name FROM x")
+query("take_rollup", "witness media", rollups.take_rollup, _NORMAL + f", f AS (SELECT {_DAYS}, slate, take_id, count(*) AS files FROM x GROUP BY ALL), w AS (SELECT {_DAYS}, replace(slate, '-', '/') AS slate, take_id, count(*) AS claims, {_CARDS} AS cards, bool_or(coalesce(starred, false)) AS starred, count(DISTINCT doc_id) AS documents, count(DISTINCT department) AS departments FROM witness GROUP BY {_DAYS}, replace(slate, '-', '/'), take_id) SELECT w.*, coalesce(files, 0) AS files FROM w LEFT JOIN f USING ({_DAYS}, slate, take_id)")
+query("sequence_flags", "findings", rollups.sequence_flags, _FINDINGS + "SELECT production_id, split_part(entity_id, '/', 1) AS scene, count(*) AS open, bool_or(severity = 'CRITICAL') AS critical FROM cur WHERE NOT resolved GROUP BY ALL")
+query("shot_description", "witness", lambda w: rollups.shot_description(w.filter("department = 'script'").select("production_id", "slate", F.concat_ws(" ", "doc_id", "raw_take").alias("note"), "seq")), "WITH f AS (SELECT production_id, replace(slate, '-', '/') AS slate, doc_id || ' ' || raw_take AS note, min(seq) AS seq FROM witness WHERE department = 'script' GROUP BY production_id, replace(slate, '-', '/'), doc_id || ' ' || raw_take), r AS (SELECT *, row_number() OVER (PARTITION BY production_id, slate ORDER BY seq, note) AS n FROM f) SELECT production_id, slate, string_agg(note, '; ' ORDER BY n) AS description FROM r WHERE n <= 6 GROUP BY ALL")
+query("slates_covered", "slate_ranges witness", rollups.slates_covered, f"WITH r AS (SELECT {_DAYS}, scene, arg_max(first, seq) AS f, arg_max(last, seq) AS l FROM slate_ranges GROUP BY ALL), e AS (SELECT {_DAYS}, scene, CASE WHEN contains(f, '/') THEN CAST(split_part(f, '/', 2) AS BIGINT) ELSE CAST(f AS BIGINT) END AS a, CAST(l AS BIGINT) AS b FROM r), s AS (SELECT {_DAYS}, scene, unnest(range(least(a, b), greatest(a, b) + 1)) AS shot FROM e), g AS (SELECT DISTINCT {_DAYS}, scene, CAST(split_part(replace(slate, '-', '/'), '/', 2) AS BIGINT) AS shot, 1 AS seen FROM witness) SELECT {_DAYS}, scene, count(*) AS stated, count(seen) AS covered FROM s LEFT JOIN g USING ({_DAYS}, scene, shot) GROUP BY ALL")
+query("seconds_since_target_created", "user_activity requirement_events", lambda x, e: rollups.seconds_since_created(x, e).select("event_id", "target_id", "seconds"), "WITH r AS (SELECT requirement_id, min(created_at) AS raised FROM requirement_events GROUP BY ALL) SELECT event_id, target_id, CASE WHEN raised IS NOT NULL THEN greatest(0.0::DOUBLE, CAST(epoch_us(created_at) - epoch_us(raised) AS DOUBLE) / 1e6) END AS seconds FROM user_activity LEFT JOIN r ON requirement_id = target_id")
+query("pre_editing_progress", "requirement_events", rollups.pre_editing_progress, _REQ_ONLY + "SELECT production_id, assignee, count(*) AS total, count(*) FILTER (WHERE status = 'resolved') AS done, array_to_string(list_slice(list(requirement_id ORDER BY updated_at DESC, requirement_id DESC), 1, 8), ',') AS recent, round(CAST(100 * count(*) FILTER (WHERE status = 'resolved') AS DOUBLE) / count(*), 1) AS share FROM req GROUP BY ALL")
+query("character_lines", "lines", lambda x: rollups.character_lines(x, 5).select("script_id", "speaker", "scene", "place", "index"), "SELECT script_id, speaker, scene, place, index FROM (SELECT *, CAST(row_number() OVER (PARTITION BY script_id, speaker ORDER BY scene, place) AS INT) AS index FROM lines) WHERE index <= 5")
+query("validate_vocabulary", "user_activity", lambda x: rollups.validated(x.withColumn("action", F.when(F.col("event_id") % 50 == 0, "danced").otherwise(F.col("action"))), {"action": ["viewed", "acknowledged", "created", "resolved"]}, ["actor", "shoot_day"])[1].groupBy("reason").agg(F.count("*").alias("rows")), "SELECT CASE WHEN shoot_day = '' THEN 'missing shoot_day' ELSE 'unknown action' END AS reason, count(*) AS rows FROM user_activity WHERE shoot_day = '' OR event_id % 50 = 0 OR action NOT IN ('viewed', 'acknowledged', 'created', 'resolved') GROUP BY ALL")
+query("open_oldest_first", "requirement_events", rollups.open_oldest_first, _REQ_ONLY + "SELECT production_id, requirement_id, status, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY production_id ORDER BY raised_at, requirement_id) AS INT) AS place FROM req WHERE status IN ('blocked', 'open')) WHERE place <= 50")
+query("open_findings", "findings", rollups.open_findings, _FINDINGS + "SELECT production_id, shoot_day, finding, severity, entity_id, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY production_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, created_at DESC, event_id) AS INT) AS place FROM cur WHERE NOT resolved) WHERE place <= 50")
+query("production_status", "findings requirement_events", rollups.production_status, _FINDINGS + _REQ_ONLY.replace("WITH req", ", req") + ", b AS (SELECT production_id, CASE status WHEN 'resolved' THEN 'done' WHEN 'in_progress' THEN 'running' WHEN 'blocked' THEN 'blocking' ELSE 'left' END AS bucket FROM req UNION ALL SELECT production_id, CASE WHEN resolved THEN 'done' WHEN severity = 'CRITICAL' THEN 'blocking' ELSE 'left' END FROM cur) SELECT production_id, bucket, count(*) AS items FROM b GROUP BY ALL")
+query("events_of_days", "witness", lambda w: w.filter("production_id = 'P1' and shoot_day in ('7', '8')").groupBy("shoot_day", "department").agg(F.count("*").alias("events")), "SELECT shoot_day, department, count(*) AS events FROM witness WHERE production_id = 'P1' AND shoot_day IN ('7', '8') GROUP BY ALL")
+query("take_witnesses", "witness", lambda w: w.withColumn("take", n.take(F.col("raw_take"))["take_id"]).filter("slate = '7/1' or slate = '7-1'").groupBy("take").agg(F.count("*").alias("claims")), "SELECT regexp_extract(raw_take, '^T?0*([0-9]+)', 1) || CASE WHEN contains(raw_take, 'PK') THEN 'PK' ELSE '' END AS take, count(*) AS claims FROM witness WHERE slate IN ('7/1', '7-1') GROUP BY ALL")
+query("purge_documents", "witness", lambda w: ledger.purged(w, w.filter("doc_id in ('D1', 'D2')")).groupBy("doc_id").agg(F.count("*").alias("events")), "SELECT doc_id, count(*) AS events FROM witness WHERE doc_id NOT IN ('D1', 'D2') GROUP BY ALL")
+query("shot_segments", "lines", lambda x: script.shot_segments(x).select("script_id", "scene", "place", "segment"), "SELECT script_id, scene, place, CAST(sum(CASE WHEN regexp_matches(upper(trim(line)), '^(?:CUT TO|FADE (?:IN|OUT|TO)|DISSOLVE TO|SMASH CUT|MATCH CUT|JUMP CUT|WIPE TO)\\b') THEN 1 ELSE 0 END) OVER (PARTITION BY script_id, scene ORDER BY place) AS BIGINT) AS segment FROM lines")
+query("locate_passages", "lines", lambda x: script.located(x, x.filter("place = 1 and scene % 4 = 0").select(F.col("scene").cast("string").alias("query"), "script_id", F.explode(F.slice(F.array_sort(F.array_distinct(n.anchor_terms(F.col("line")))), 1, 6)).alias("term"))))
+
+
+def _stream_rate(name: str, table: str, count: str, by: str, job: Callable[[DataFrame], DataFrame], interval: str) -> None:
+    """A streaming count over the table's rows, its last state read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source, condition, columns = adapters.TABLES[table]
+        path = f"{sf_dir}/{source}.parquet"
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        out = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        stream = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true").parquet(path + "*").filter(condition.format(div="div"))
+        stream = stream.selectExpr(*[f"{e.format(div='div')} AS {c}" for c, e in columns.items()]).withColumn("created_at", F.col("created_at").cast("timestamp"))
+        streaming.run_available(job(stream), lambda df, _: df.write.mode("overwrite").parquet(f"{out}/table"), f"{out}/offsets", "complete")
+        return spark.read.parquet(f"{out}/table")
+
+    QUERIES[name] = run
+    ORACLES[name] = cte(table) + f"SELECT time_bucket(INTERVAL '{interval}', created_at) AS \"from\", {by}, count(*) AS {count} FROM {table} GROUP BY ALL"
+
+
+_stream_rate("stream_filing_rate", "witness", "events", "department", streaming.filing_rate, "1 day")
+_stream_rate("stream_action_rate", "user_activity", "acts", "action", streaming.action_rate, "1 hour")
