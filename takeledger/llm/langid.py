@@ -22,8 +22,9 @@ ORDERS, BUCKETS = (2, 3), 1 << 15
 EXHAUSTIVE, CODE_BITS = 5, 31
 #: A text whose best and second codeword differ by less than this share of loss is ambiguous.
 AMBIGUOUS = 0.02
-#: Tempering of summed log-odds, which treat overlapping n-grams as independent.
-TEMPER, CAP = 0.2, 12.0
+#: Tempering of summed log-odds, which treat overlapping n-grams as independent, and the n-grams
+#: that a text counts for at most: a bit's margin stays its mean, so that no two bits saturate.
+TEMPER, EFFECTIVE = 0.2, 300
 
 UNDETERMINED = "und"
 
@@ -93,7 +94,8 @@ class Model:
             at = np.minimum(starts[:-1], len(codes) - 1)
             for b in range(out.shape[1]):
                 out[:, b] += np.add.reduceat(w[b][codes], at)
-        return np.clip(out * TEMPER, -CAP, CAP)
+        size = np.maximum(np.diff(starts), 1)
+        return out * TEMPER * np.minimum(1.0, EFFECTIVE / size)[:, None]
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and ambiguity of each text: the codeword of least weighted loss."""
