@@ -100,7 +100,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 #: Bytes per slice when prefix sums are taken, so that the power tables stay small.
-_SLICE = 1 << 22
+_SLICE = 1 << 19
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -16,6 +16,8 @@ from takeledger.llm.shards import blob_rows, gathered, mapped, pack6, range_part
 
 #: Tokens that a task counts before it passes its counts on.
 RUN_TOKENS = 3_000_000
+#: Characters of texts that are scored at once.
+SCORED_BYTES = 3_000_000
 #: A word is hot if it has a part's share of tokens over this number; its bigrams are spread.
 HOT_SHARE = 4
 
@@ -366,7 +368,7 @@ def score_documents(docs: DataFrame, model: Model, carry: list[str], text_col: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = as_texts(b["__text"])
-            got = [model.score(texts[part]) for part in chunks(texts)]
+            got = [model.score(texts[part]) for part in chunks(texts, SCORED_BYTES)]
             if got:
                 n, known, base, score = (np.concatenate(x) for x in zip(*got))
                 yield b.drop(columns="__text").assign(n_tokens=n, n_known=known, train_tokens=model.tokens, base_score=base, score=score, perplexity=10 ** (-score / n))
