@@ -34,6 +34,8 @@ SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
 BROADCAST_TERMS = 500_000
 #: Terms of fewer letters disclose nothing.
 SHORTEST = 3
+#: Words between the marks from which the place of a word in its text is reckoned.
+BLOCK = 64
 
 _SPAN = "struct<start:int,kind:string,end:int,rank:int>"
 _WORD = r"[\p{L}\p{N}]+"
@@ -95,75 +97,118 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _words(text: Column) -> Column:
+    """The different words of a text, lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
+
+
+def _entity(text: Column, s: Column) -> Column:
+    return F.concat_ws(":", s["kind"], F.lower(F.substr(text, s["start"] + 1, s["end"] - s["start"])))
+
+
 def context_terms(found: DataFrame) -> DataFrame:
-    """(id, h, entity, term, start, end, context) of the words around every base span.
+    """(entity, term, context) of the words around every base span.
 
-    found has id, h (the text's hash), text and spans. A word that the window's edge cuts, and a
-    word inside a base span, is no term.
+    found has text and spans. A word that the window's edge cuts, and a word inside a base span,
+    is no term.
     """
-    near = found.select("id", "h", "spans", "text", F.explode("spans").alias("s"))
+    near = found.select("spans", "text", F.explode("spans").alias("s"))
     low = F.greatest(F.lit(0), F.col("s.start") - CONTEXT)
     near = near.select(
-        "id", "h", "spans", F.concat_ws(":", "s.kind", F.lower(F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")))).alias("entity"),
+        "spans", _entity(F.col("text"), F.col("s")).alias("entity"),
         low.alias("low"), F.substr("text", low + 1, F.col("s.end") + CONTEXT - low).alias("window"), (F.col("s.end") + CONTEXT < F.length("text")).alias("cut"),
     )
     words = _located(F.col("window"), _WORD, "term", len(KINDS), lambda v: F.length(v) >= SHORTEST)
-    terms = near.select("id", "h", "spans", "entity", "low", "window", "cut", F.xxhash64("window").alias("context"), F.explode(words).alias("w"))
+    terms = near.select("spans", "entity", "low", "window", "cut", F.xxhash64("window").alias("context"), F.explode(words).alias("w"))
     whole = ((F.col("low") == 0) | (F.col("w.start") > 0)) & (~F.col("cut") | (F.col("w.end") < F.length("window")))
     terms = terms.filter(whole).select(
-        "id", "h", "spans", "entity", "context", (F.col("low") + F.col("w.start")).alias("start"), (F.col("low") + F.col("w.end")).alias("end"),
+        "spans", "entity", "context", (F.col("low") + F.col("w.start")).alias("start"), (F.col("low") + F.col("w.end")).alias("end"),
         F.lower(F.substr("window", F.col("w.start") + 1, F.col("w.end") - F.col("w.start"))).alias("term"),
     )
     outside = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return terms.filter(outside).drop("spans")
+    return terms.filter(outside).select("entity", "term", "context")
 
 
-def disclosing_terms(terms: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
-    """(entity, term, disclosure): the share of an entity's information that a term gives away.
+def _few(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has at most BROADCAST_TERMS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+
+
+def disclosing_terms(spanned: DataFrame) -> DataFrame:
+    """(term, disclosure): the largest share of any entity's information that a term gives away.
 
     With N texts, df the number of texts that hold a term or an entity, and both the number of
-    texts in which they meet in a context, disclosure = log(N both / df(e) df(t)) / log(N / df(e)),
+    texts that hold the two anywhere, disclosure = log(N both / df(e) df(t)) / log(N / df(e)),
     their pointwise mutual information against the entity's information content. A pair counts
-    from SUPPORT different contexts on, so that copies of one context are no evidence.
+    if it meets in SUPPORT different contexts, so that copies of one context are no evidence.
+    spanned has text and spans; each of its rows is a text.
     """
-    pairs = terms.groupBy("entity", "term", "context", "id", "h").agg(F.lit(1).alias("one"))
-    met = pairs.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("id", "h").alias("both")).filter(F.col("contexts") >= SUPPORT)
-    met = settled(met, "met")
-    entities = terms.select("entity", "id", "h").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
-    wanted = met.select("term").distinct()
-    n = texts.count()
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term"))
-    if wanted.count() <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(wanted), "term", "left_semi")
-    df_t = words.groupBy("term").agg(F.count("*").alias("df_t"))
-    scored = met.join(df_t, "term").join(entities, "entity")
+    holding = spanned.filter(F.size("spans") > 0)
+    met = context_terms(holding).distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= SUPPORT)
+    met = settled(met.select("entity", "term"), "met")
+    wanted = _few(met.select("term").distinct())
+    n = spanned.count()
+    df_t = spanned.select(F.explode(_words(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
+    each = holding.select("text", F.explode(F.array_distinct(F.transform("spans", lambda s: _entity(F.col("text"), s)))).alias("entity"))
+    each = each.join(_few(met.select("entity").distinct()), "entity", "left_semi")
+    df_e = each.groupBy("entity").agg(F.count("*").alias("df_e"))
+    pairs = each.select("entity", F.explode(_words(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
+    both = pairs.join(_few(met), ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("both"))
+    scored = both.join(df_t, "term").join(df_e, "entity")
     information = F.log(F.lit(float(max(n, 2))) / F.col("df_e"))
     mutual = F.log(F.lit(float(max(n, 2))) * F.col("both") / (F.col("df_e") * F.col("df_t")))
-    return scored.select("entity", "term", F.when(information > 0, F.least(F.lit(1.0), mutual / information)).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    disclosure = F.when(information > 0, F.least(F.lit(1.0), mutual / information)).otherwise(0.0)
+    return scored.groupBy("term").agg(F.max(disclosure).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+
+
+def term_spans(rows: DataFrame, secret: DataFrame) -> DataFrame:
+    """(id, h, start, end, disclosure) of every place of a secret term in rows of id, h, text.
+
+    A word's start is the mark of its block of BLOCK words, and what lies between; so a text's
+    work grows with its length and with its hits, not with their product.
+    """
+    text = F.col("text")
+    split = rows.select("id", "h", F.split(text, _WORD, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)).alias("words"))
+
+    def long(first: Column, gaps: Column, words: Column) -> Column:
+        joined = lambda c, k: F.length(F.array_join(F.slice(c, first + 1, k), ""))
+        return joined("gaps", gaps) + joined("words", words)
+
+    def step(a: Column, b: Column) -> Column:
+        return F.concat(a, F.array(F.element_at(a, -1) + long(b * BLOCK, F.lit(BLOCK), F.lit(BLOCK))))
+
+    marks = F.aggregate(F.sequence(F.lit(0), F.floor(F.size("words") / BLOCK).cast("int")), F.array(F.lit(0)), step)
+    placed = split.filter(F.size("words") > 0).withColumn("marks", marks).select("*", F.posexplode("words").alias("k", "word")).withColumn("term", F.lower("word"))
+    first = F.floor(F.col("k") / BLOCK).cast("int") * BLOCK
+    start = F.get("marks", F.floor(F.col("k") / BLOCK).cast("int")) + long(first, F.col("k") - first + 1, F.col("k") - first)
+    if secret.count() <= BROADCAST_TERMS:
+        hits = placed.join(F.broadcast(secret), "term").withColumn("start", start)
+    else:  # of each word only its place is shuffled
+        hits = placed.select("id", "h", "term", "word", start.alias("start")).join(secret, "term")
+    return hits.select("id", "h", "start", (F.col("start") + F.length("word")).alias("end"), "disclosure")
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, base, spans) of every row of docs: the base spans, and those of the method added.
 
-    Added spans have kind `generalise` or `remove`: words within CONTEXT characters of a base
-    span which, over the whole corpus, disclose that span's value by at least GENERALISE or
-    REMOVE. Null and empty texts have no spans; repeated rows are counted and reported each;
-    added spans of rows that repeat an id and text are the same. Extra columns are ignored; an
-    empty table gives no rows. h is a hash of the text. Texts are never shuffled: only spans and
-    the words around them are.
+    Added spans have kind `generalise` or `remove`: all words, in any text and outside base
+    spans, which over the whole corpus disclose the value of some base span by at least
+    GENERALISE or REMOVE. Null and empty texts have no spans; repeated rows are counted and
+    reported each; added spans of rows that repeat an id and text are the same. Extra columns are
+    ignored; an empty table gives no rows. h is a hash of the text. Texts are not shuffled (only
+    spans and words are) unless entities that are repeated exceed BROADCAST_TERMS.
     """
     text = F.coalesce(F.col("t"), F.lit(""))
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
-    spanned = rows.select("id", F.xxhash64(text).alias("h"), text.alias("text"), base_spans(text).alias("spans"))
-    found = settled(context_terms(spanned.filter(F.size("spans") > 0)), "terms")
-    secret = disclosing_terms(found, rows, "t")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")).select("id", F.xxhash64(text).alias("h"), text.alias("text"))
+    spanned = rows.withColumn("spans", base_spans(F.col("text")))
+    secret = settled(disclosing_terms(spanned), "secret")
     kind = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    most = found.join(secret, ["entity", "term"]).groupBy("id", "h", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     span = F.struct(F.col("start"), kind.alias("kind"), F.col("end"), F.lit(len(KINDS)).alias("rank"))
-    added = most.select("id", "h", span.alias("s")).groupBy("id", "h").agg(F.collect_list("s").alias("added"))
+    added = term_spans(rows, secret).select("id", "h", span.alias("s")).groupBy("id", "h").agg(F.collect_set("s").alias("added"))
     base = spanned.select("id", "h", F.col("spans").alias("base"))
     joined = base.join(added.withColumnsRenamed({"id": "id2", "h": "h2"}), F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
-    all_spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(_by_start(F.concat("base", F.coalesce("added", F.array().cast(f"array<{_SPAN}>")))))
+    outside = F.filter("added", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    all_spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(_by_start(F.concat("base", F.coalesce(outside, F.array().cast(f"array<{_SPAN}>")))))
     return joined.select(F.col("id").alias(id_col), "h", "base", all_spans.alias("spans"))
 
 

@@ -58,3 +58,25 @@ def test_sanitised(spark):
     assert len(out) == len(TEXTS) and out[0] is None and out[2] == TEXTS[2]
     assert out[3] == "é🙂 mail [EMAIL], and [EMAIL]!"
     assert pii.sanitised(df.limit(0)).count() == 0 and pii.find_spans(df.limit(0)).count() == 0
+
+
+def test_disclosing_terms_are_masked_wherever_they_stand(spark, monkeypatch):
+    far = " and".join(f" filler{k}" for k in range(100))
+    texts = [f"seen {i} by zanzibar at ada@b.example.org, 🙂 Zanzibar{far} zanzibar" for i in range(2)]
+    texts += ["İ🙂 the zanzibar alone", f"first{far} ZANZIBAR; zanzibars"]
+    texts += [f"met {i} near quillwort and bob@c.example.org" for i in range(2)] + [f"quillwort {i}{far} to bob@c.example.org" for i in range(4)]
+    texts += [f"plain words {i} about the harbour" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def places(term):
+        return {(i, m.start()) for i, t in enumerate(texts) for m in re.finditer(rf"(?i)\b{term}\b", t)}
+
+    for bound in (pii.BROADCAST_TERMS, 0):
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", bound)
+        spans = {(r.doc_id, int(s)): (k, texts[r.doc_id][int(s):int(e)].lower()) for r in pii.digest(pii.find_spans(df)).collect() for k, s, e in (x.split(":") for x in r.spans.split(",") if x)}
+        for term in ("zanzibar", "quillwort"):
+            assert {at for at, (k, t) in spans.items() if t == term} == places(term)
+        # all six texts with the address hold the word, only two of them near it
+        assert {k for k, t in spans.values() if t == "quillwort"} == {"remove"}
+        assert not any(t in ("zanzibars", "the", "filler1") for _, t in spans.values())
+    assert not any(re.search(r"(?i)\bzanzibar\b", r.text) for r in pii.sanitised(df).collect())
