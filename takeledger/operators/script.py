@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takeledger.functions import normalize as n
@@ -38,16 +38,25 @@ def located(lines: DataFrame, terms: DataFrame) -> DataFrame:
     """Best window of one to three lines for each query's terms in a scene.
 
     A term weighs 1 over the lines of the scene that hold it; a window needs 1.0; shorter and
-    earlier windows win ties. terms: query, script_id, term.
+    earlier windows win ties. terms: query, script_id, term. One row a query and script: of its
+    scenes' best windows the one that weighs most.
     """
-    words = lines.select("script_id", "scene", "place", F.explode(F.array_distinct(n.anchor_terms(F.col("line")))).alias("term"))
-    hits = words.join(terms, ["script_id", "term"])
-    spread = hits.groupBy("query", "scene", "term").agg(F.countDistinct("place").alias("lines"))
-    hits = hits.join(spread, ["query", "scene", "term"])
-    windows = hits.select("query", "script_id", "scene", "term", (1 / F.col("lines")).alias("w"), F.explode(F.lit([1, 2, 3])).alias("size"), "place").withColumn("start", F.explode(F.sequence(F.col("place") - F.col("size") + 1, F.col("place"))))
-    scored = windows.filter("start >= 0").groupBy("query", "script_id", "scene", "size", "start", "term").agg(F.max("w").alias("w")).groupBy("query", "script_id", "scene", "size", "start").agg(F.round(F.sum("w"), 6).alias("weight")).filter("weight >= 1.0")
-    best = Window.partitionBy("query", "script_id").orderBy(F.desc("weight"), "size", "scene", "start")
-    return scored.withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n")
+    words = lines.select("script_id", "scene", "place", F.explode(n.anchor_terms(F.col("line"))).alias("term"))
+    spread = words.groupBy("script_id", "scene", "term").agg(F.collect_set("place").alias("places"))
+    hits = spread.join(terms.select("query", "script_id", "term").distinct(), ["script_id", "term"]).select("query", "script_id", "scene", F.struct("places", (1 / F.size("places")).alias("w")).alias("hit"))
+    held = hits.groupBy("query", "script_id", "scene").agg(F.collect_list("hit").alias("hits"), F.round(F.sum("hit.w"), 6).alias("most")).filter("most >= 1.0")
+
+    def within(start: Column, size: int) -> Column:
+        inside = lambda h: F.exists(h["places"], lambda p: p.between(start, start + size - 1))
+        return F.round(F.aggregate(F.filter("hits", inside), F.lit(0.0), lambda a, h: a + h["w"]), 6)
+
+    places = F.array_distinct(F.flatten(F.transform("hits", lambda h: h["places"])))
+    window = lambda size: lambda start: F.struct((-within(start, size)).alias("loss"), F.lit(size).alias("size"), F.col("scene").alias("scene"), start.alias("start"))
+    starts = lambda size: F.filter(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p - size + 1, p)))), lambda x: x >= 0)
+    each = F.concat(*[F.transform(starts(size), window(size)) for size in (1, 2, 3)])
+    best = held.withColumn("places", places).select("query", "script_id", F.array_min(each).alias("best")).filter("best.loss <= -1.0")
+    best = best.groupBy("query", "script_id").agg(F.min("best").alias("best"))
+    return best.select("query", "script_id", "best.scene", "best.size", "best.start", (-F.col("best.loss")).alias("weight"))
 
 
 def shot_segments(lines: DataFrame) -> DataFrame:

@@ -233,7 +233,7 @@ query("events_of_days", "witness", lambda w: w.filter("production_id = 'P1' and
 query("take_witnesses", "witness", lambda w: w.withColumn("take", n.take(F.col("raw_take"))["take_id"]).filter("slate = '7/1' or slate = '7-1'").groupBy("take").agg(F.count("*").alias("claims")), "SELECT regexp_extract(raw_take, '^T?0*([0-9]+)', 1) || CASE WHEN contains(raw_take, 'PK') THEN 'PK' ELSE '' END AS take, count(*) AS claims FROM witness WHERE slate IN ('7/1', '7-1') GROUP BY ALL")
 query("purge_documents", "witness", lambda w: ledger.purged(w, w.filter("doc_id in ('D1', 'D2')")).groupBy("doc_id").agg(F.count("*").alias("events")), "SELECT doc_id, count(*) AS events FROM witness WHERE doc_id NOT IN ('D1', 'D2') GROUP BY ALL")
 query("shot_segments", "lines", lambda x: script.shot_segments(x).select("script_id", "scene", "place", "segment"), "SELECT script_id, scene, place, CAST(sum(CASE WHEN regexp_matches(upper(trim(line)), '^(?:CUT TO|FADE (?:IN|OUT|TO)|DISSOLVE TO|SMASH CUT|MATCH CUT|JUMP CUT|WIPE TO)\\b') THEN 1 ELSE 0 END) OVER (PARTITION BY script_id, scene ORDER BY place) AS BIGINT) AS segment FROM lines")
-query("locate_passages", "lines", lambda x: script.located(x, x.filter("place = 1 and scene % 4 = 0").select(F.col("scene").cast("string").alias("query"), "script_id", F.explode(F.slice(F.array_sort(F.array_distinct(n.anchor_terms(F.col("line")))), 1, 6)).alias("term"))))
+query("locate_passages", "lines", lambda x: script.located(x, x.select(F.concat_ws(":", "scene", "place").alias("query"), "script_id", F.explode(n.anchor_terms(F.col("line"))).alias("term"))))
 
 
 def _stream_rate(name: str, table: str, count: str, by: str, job: Callable[[DataFrame], DataFrame], interval: str) -> None:
