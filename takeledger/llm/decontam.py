@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,19 @@ BROADCAST_SEEDS = 400_000
 COMMON = tuple(sorted(set(MASKS[0]).intersection(*MASKS)))
 
 
+#: The most masks of a length below WINDOW.
+PER_LENGTH = 6
+
+
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of a whole item of n words: with d substitutions allowed, d of d + 2 blocks left out.
+
+    Whatever blocks the substitutions fall into, one mask looks only at the others.
+    """
+    d = n - math.ceil(n * AGREEMENT)
+    return [tuple(i for i in range(n) if i * (d + 2) // n in kept) for kept in combinations(range(d + 2), 2)]
+
+
 def _with_words(df: DataFrame, text: str, words: str) -> DataFrame:
     """df with the lower-case words (letters and digits) of its column `text`; null is empty.
 
@@ -84,20 +100,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     joined by shuffle, with the tokens around each position instead of whole texts.
     """
     items = _with_words(benchmark.select(benchmark[item_col].alias("item"), benchmark[item_text].alias("text")), "text", "words").filter(F.col("item").isNotNull() & (F.size("words") >= SHORTEST))
-    stats = items.agg(F.sum(F.size("words")).alias("n"), F.collect_set(F.when(F.size("words") < SPAN, F.size("words"))).alias("shorts")).first()
-    shorts = {len(MASKS) + n: tuple(range(n)) for n in sorted(stats["shorts"] or [])}
+    stats = items.agg(F.sum(F.size("words")).alias("n"), F.collect_set(F.when(F.size("words") < WINDOW, F.size("words"))).alias("shorts"), F.count_if(F.size("words") < WINDOW).alias("n_short")).first()
+    shorts = {len(MASKS) + PER_LENGTH * n + j: m for n in sorted(stats["shorts"] or []) for j, m in enumerate(short_masks(n))}
     spaced = dict(enumerate(MASKS))
-    small = (stats["n"] or 0) * len(spaced | shorts) <= BROADCAST_SEEDS
+    small = (stats["n"] or 0) * len(spaced) + stats["n_short"] * PER_LENGTH <= BROADCAST_SEEDS
     texts = _with_words(docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")).filter(F.col("doc").isNotNull()), "text", "dt")
     at = texts.select("doc", "dt", F.explode(F.when(F.size("dt") >= SHORTEST, F.sequence(F.lit(0), F.size("dt") - SHORTEST))).alias("at"))
     placed = items.withColumn("iat", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
     found = []
     for masks in filter(None, (spaced, shorts)):
         seeds = _seeded(placed, masks, "iat", "words")
-        if masks is shorts:  # a full mask is for the items of just its length
-            seeds = seeds.filter(F.size("words") == F.col("mask") - len(MASKS))
+        if masks is shorts:  # these are for the whole of the items of just their length
+            seeds = seeds.filter((F.col("iat") == 0) & (F.size("words") == F.floor((F.col("mask") - len(MASKS)) / PER_LENGTH)))
         span = F.lit(SPAN) if masks is spaced else F.size("words")
-        seeds = seeds.select("key", "mask", "item", F.transform("words", lambda w: F.xxhash64(w)).alias("it"), "iat", F.least(F.size("words"), F.lit(WINDOW)).alias("window"), span.alias("span"))
+        before = F.greatest(F.lit(0), F.col("iat") - (WINDOW - SPAN))  # only the tokens around a seed are kept
+        seeds = seeds.select("key", "mask", "item", F.transform(F.slice("words", before + 1, 2 * WINDOW - SPAN), lambda w: F.xxhash64(w)).alias("it"), (F.col("iat") - before).alias("iat"), F.size("words").alias("n_item"), F.least(F.size("words"), F.lit(WINDOW)).alias("window"), span.alias("span"))
         if small:
             met = at
             if masks is spaced:
@@ -109,7 +126,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
             near = at.select("doc", F.slice("dt", back + 1, 2 * WINDOW + SPAN).alias("dt"), (F.col("at") - back).alias("at"), back.alias("skip"))
             hits = _seeded(near, masks, "at", "dt").join(seeds, ["key", "mask"])
         first = (F.col("skip") + F.col("at")).alias("first")
-        found.append(hits.select("doc", "item", first, "window", F.size("it").alias("n_item"), _agreement(F.col("dt"), F.col("it"), F.col("at"), F.col("iat"), F.col("window"), F.col("span")).alias("n")))
+        found.append(hits.select("doc", "item", first, "window", "n_item", _agreement(F.col("dt"), F.col("it"), F.col("at"), F.col("iat"), F.col("window"), F.col("span")).alias("n")))
     agreed = found[0] if len(found) == 1 else found[0].union(found[1])
     # filtered after the partial aggregation, so that verification stays out of the join's condition
     enough = F.col("n") >= F.ceil(F.col("window") * AGREEMENT)

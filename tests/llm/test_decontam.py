@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -61,3 +62,18 @@ def test_empty_tables(spark):
     assert decontam.overlaps(df.limit(0), bench).count() == 0
     assert decontam.overlaps(df, bench.limit(0)).count() == 0
     assert decontam.decontaminated(df, bench.limit(0)).count() == len(docs)
+
+
+def test_short_items_with_every_allowed_substitution(spark, monkeypatch):
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(5, 12)]
+    docs, want = [], {}
+    for n, text in items:
+        for m in (1, 2, 3):
+            for gone in itertools.combinations(range(n), m):
+                docs.append((len(docs), "so " + " ".join("other" if k in gone else w for k, w in enumerate(text.split())) + " then"))
+                if n - m >= decontam.AGREEMENT * n:
+                    want[len(docs) - 1, n] = (n - m, n, n)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for bound in (decontam.BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_SEEDS", bound)
+        assert {(r.doc_id, r.item_id): (r.n_matched, r.n_window, r.n_item) for r in decontam.overlaps(df, bench).collect()} == want
