@@ -23,8 +23,9 @@ GRAMS = LENGTH - GRAM + 1
 #: backwards, how many of either the document has, and padding.
 BACK = GRAMS - 1
 WIDTH = 80
-#: Parts for each shuffle partition: what a task merges at once is that much smaller.
-FINER = 3
+#: Parts for each shuffle partition, and bytes of text for each part at most: what a task merges
+#: at once is that much smaller, whatever the size of the input.
+FINER, PART_BYTES = 3, 12_000_000
 #: Suffixes of one sorted run, and grams of one run of the filter.
 RUN_SUFFIXES, RUN_GRAMS = 250_000, 4_000_000
 
@@ -81,7 +82,8 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     at = np.flatnonzero(most == h)
     end = starts[np.searchsorted(starts, at, "right")] - 1
     at = at[at + GRAM <= end]
-    return at, h[at]
+    # minima crowd at the low end; hashed once more they spread evenly over the parts
+    return at, mixed(h[at])
 
 
 def contexts(data: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,17 +235,15 @@ def first_documents(rows: np.ndarray, common: np.ndarray, docs: np.ndarray) -> n
     n = len(rows)
     ahead, behind = rows[:, LENGTH + BACK].astype(np.int64), rows[:, LENGTH + BACK + 1].astype(np.int64)
     out = np.full((n, GRAMS), _FAR, dtype=np.int64)
-    left = np.zeros(n, dtype=np.uint64)
+    left = np.zeros(n, dtype=np.int64)  # number of each row's j bytes before the suffix among all rows'
     for j in range(GRAMS):
         if j:
-            with np.errstate(over="ignore"):
-                left = mixed(left * _U64(0x9E3779B97F4A7C15) + rows[:, LENGTH + j - 1] + _U64(1))
+            left = np.unique(left * 256 + rows[:, LENGTH + j - 1], return_inverse=True)[1]
         ok = np.flatnonzero((ahead >= LENGTH - j) & (behind >= j))
         if not len(ok):
             continue
-        block = np.cumsum(common < LENGTH - j).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            key = mixed(block[ok] * _U64(0xD6E8FEB86659FD93)) ^ left[ok]
+        block = np.cumsum(common < LENGTH - j)
+        key = block[ok] * n + left[ok]
         order = np.argsort(key, kind="stable")
         key = key[order]
         at = np.flatnonzero(np.concatenate((np.ones(1, dtype=bool), key[1:] != key[:-1])))
@@ -405,7 +405,7 @@ def _merged_parts(folder: str):
             uneven = (valid & (first != low[:, None])).any(axis=1)
             odd = np.full(len(h), -1, dtype=np.int32)
             odd[uneven] = np.arange(int(uneven.sum()))
-            save(folder, f"first-{part}", h=h, low=low, odd=odd, each=first[uneven])
+            save(folder, f"first-{part}", h=h, rows=rows[order], low=low, odd=odd, each=first[uneven])
             yield pd.DataFrame({"n": [len(h)]})
 
     return run
@@ -425,8 +425,16 @@ def _removed(folder: str, parts: int, ids: np.ndarray, data: np.ndarray, starts:
         if not len(keys):
             continue
         me = order[lo:hi]
-        found = np.minimum(np.searchsorted(keys, h[me]), len(keys) - 1)
-        hit = keys[found] == h[me]
+        found = np.searchsorted(keys, h[me])
+        stored, todo = mapped(folder, f"first-{p}", "rows"), np.arange(len(me))
+        hit = np.zeros(len(me), dtype=bool)
+        while len(todo):  # the hash finds the place, the bytes decide; equal hashes stand side by side
+            todo = todo[found[todo] < len(keys)]
+            todo = todo[keys[found[todo]] == h[me[todo]]]
+            same = (stored[found[todo]] == rows[me[todo]]).all(axis=1)
+            hit[todo[same]] = True
+            todo = todo[~same]
+            found[todo] += 1
         me, found = me[hit], found[hit]
         odd = mapped(folder, f"first-{p}", "odd")[found]
         early = (mapped(folder, f"first-{p}", "low")[found] < own[me]) & (ahead[me] + behind[me] >= LENGTH)
@@ -480,10 +488,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     folder = local_path(shared_folder(spark, "suffixes"))
     os.makedirs(folder, exist_ok=True)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    parts = tasks * FINER
     rows = docs.select(docs[id_col].cast("long").alias("k"), docs[text_col].alias("t"))
     named = rows.filter("k is not null")
+    size = named.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (PART_BYTES * FINER), 1)
+    parts = tasks * FINER
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(tasks, "part").sortWithinPartitions("part")

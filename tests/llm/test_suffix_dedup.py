@@ -78,3 +78,29 @@ def test_front_coding_round_trip():
 
 def test_empty(spark):
     assert sd.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_equal_hashes_of_different_rows_do_no_harm(monkeypatch, tmp_path):
+    import pandas as pd
+
+    monkeypatch.setattr(sd, "row_hashes", lambda rows: rows[:, 0].astype(np.uint64) % np.uint64(2))
+    rows = [r for r in corpus()[:90] if r[0] is not None]
+    frame = pd.DataFrame(rows, columns=["k", "t"])
+    folder, parts = str(tmp_path), 3
+
+    def through(run, batches):
+        out = pd.concat(list(run(iter(batches))))
+        return out.sort_values("part", kind="stable") if "part" in out else out
+
+    through(sd._shared_grams(folder), [through(sd._gram_runs(parts), [frame])])
+    through(sd._merged_parts(folder), [through(sd._suffix_runs(folder, parts), [frame])])
+    got = through(sd._cleaned(folder, parts, False), [frame])
+    assert sorted(map(tuple, got.itertuples(index=False)), key=str) == brute(rows)
+
+
+def test_grams_spread_evenly_over_parts():
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 123, 400_000).astype(np.uint8)
+    _, h = sd.anchors(data, np.array([0, len(data)]))
+    counts = np.bincount(sd.range_part(sd.short(h), 64), minlength=64)
+    assert counts.min() > 0 and counts.max() < 1.5 * counts.mean()
