@@ -34,13 +34,46 @@ SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
 BROADCAST_TERMS = 500_000
 #: Terms of fewer letters disclose nothing.
 SHORTEST = 3
-#: Words between the marks from which the place of a word in its text is reckoned.
-BLOCK = 64
+#: Elements between the marks of running sums, and characters of a piece of text: positions are
+#: found by mark and piece, so that a text's work grows with its length and spans, not their product.
+BLOCK, PIECE = 64, 256
 
-_SPAN = "struct<start:int,kind:string,end:int,rank:int>"
+#: In the order that spans are sorted by.
+_SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 _WORD = r"[\p{L}\p{N}]+"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, fold) -> Column:
+    """For each element of an array of integers the fold, from 0, of all elements before it."""
+
+    def marked(v: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor(F.size(v) / BLOCK).cast("int"))
+        marks = F.aggregate(blocks, F.array(F.lit(0)), lambda a, b: F.concat(a, F.array(F.aggregate(F.slice(v, b * BLOCK + 1, BLOCK), F.element_at(a, -1), fold))))
+        return _let(marks, lambda m: F.transform(v, lambda x, i: F.aggregate(F.slice(v, i - i % BLOCK + 1, i % BLOCK), F.get(m, F.floor(i / BLOCK).cast("int")), fold)))
+
+    return _let(values, marked)
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, low: Column, high: Column) -> Column:
+    """Characters low to high, exclusive, of the text of these pieces."""
+    first, last = (F.floor(c / PIECE).cast("int") for c in (low, high - 1))
+
+    def part(k: Column) -> Column:
+        skip = F.greatest(low - k * PIECE, F.lit(0))
+        return F.substr(F.get(pieces, k), skip + 1, F.least(high - k * PIECE, F.lit(PIECE)) - skip)
+
+    return F.when(high > low, F.array_join(F.transform(F.sequence(first, last), part), "")).otherwise("")
+
+
 def _luhn(digits: Column) -> Column:
     n = F.length(digits)
     each = F.transform(
@@ -65,32 +98,49 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _located(text: Column, pattern: str, kind: str, rank: int, valid) -> Column:
-    """Spans of all matches of the pattern, from the lengths of what lies before and between."""
-    pieces = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("skip"), m.alias("value")))
-    none = F.array().cast(f"array<{_SPAN}>")
+    """Spans of all valid matches of the pattern, from the lengths of what lies before and between."""
+
+    def spans(m: Column) -> Column:
+        skips = F.transform(F.slice(m["gaps"], 1, F.size(m["found"])), F.length)
+        steps = F.zip_with(skips, m["found"], lambda n, v: n + F.length(v))
+        places = F.struct(skips.alias("skip"), _before(steps, lambda a, x: a + x).alias("at"))
+
+        def each(p: Column) -> Column:
+            def span(v: Column, i: Column) -> Column:
+                start = F.get(p["at"], i) + F.get(p["skip"], i)
+                made = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(v)).alias("end"), F.lit(kind).alias("kind"), v.alias("value"))
+                return F.when(valid(v), made)
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["skip"]
-        end = start + F.length(x["value"])
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.lit(rank).alias("rank")))
-        return F.struct(end.alias("at"), F.when(valid(x["value"]), F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+            return F.filter(F.transform(m["found"], span), lambda x: x.isNotNull())
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda a: a["spans"])
+        return _let(places, each)
+
+    return _let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), spans)
 
 
 def base_spans(text: Column) -> Column:
     """All base spans of a text, by start, then kind as listed; code points, end exclusive."""
     none = F.array().cast(f"array<{_SPAN}>")
     each = [F.when(HINTS[k](text), _located(text, p, k, i, lambda v, k=k: _valid(k, v))).otherwise(none) for i, (k, p) in enumerate(KINDS.items())]
-    return _by_start(F.concat(*each))
+    return F.array_sort(F.concat(*each))
+
+
+def _clear(added: Column, base: Column) -> Column:
+    """The added spans that overlap no base span, by end.
+
+    Sorted together, base spans by start and added ones by end, an added span is clear if no base
+    span before it ends behind its start.
+    """
+    events = F.array_sort(F.concat(
+        F.transform(base, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("which"), s["end"].alias("top"), s.alias("span"))),
+        F.transform(added, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("which"), F.lit(0).alias("top"), s.alias("span"))),
+    ))
 
+    def picked(e: Column) -> Column:
+        most = _before(F.transform(e, lambda x: x["top"]), lambda a, x: F.greatest(a, x))
+        return _let(most, lambda m: F.filter(F.transform(e, lambda x, i: F.when((x["which"] == 0) & (F.get(m, i) <= x["span"]["start"]), x["span"])), lambda s: s.isNotNull()))
 
-def _by_start(spans: Column) -> Column:
-    """Sorted by start, then kind as listed (base kinds first), then end."""
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["rank"].alias("rank")))
+    return _let(events, picked)
 
 
 def spelled(spans: Column) -> Column:
@@ -102,31 +152,42 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
 
 
-def _entity(text: Column, s: Column) -> Column:
-    return F.concat_ws(":", s["kind"], F.lower(F.substr(text, s["start"] + 1, s["end"] - s["start"])))
+def _filled(text: Column, spans: Column, fill) -> Column:
+    """The text with fill(span, end of the spans before) for every span; spans are sorted."""
+    ends = F.transform(spans, lambda s: s["end"])
+    parts = F.struct(_pieces(text).alias("p"), F.length(text).alias("n"), _before(ends, lambda a, x: F.greatest(a, x)).alias("at"))
 
+    def whole(m: Column) -> Column:
+        cut = lambda s, i: F.concat(_cut(m["p"], F.get(m["at"], i), F.greatest(F.get(m["at"], i), s["start"])), fill(s, F.get(m["at"], i)))
+        return F.concat(F.array_join(F.transform(spans, cut), ""), _cut(m["p"], F.coalesce(F.array_max(ends), F.lit(0)), m["n"]))
 
-def context_terms(found: DataFrame) -> DataFrame:
-    """(entity, term, context) of the words around every base span.
+    return _let(parts, whole)
 
-    found has text and spans. A word that the window's edge cuts, and a word inside a base span,
-    is no term.
+
+def _spots(text: Column, spans: Column) -> Column:
+    """(entity, window, whole left, whole right) of every base span of a text.
+
+    The window is the span's context with every base span blanked, so that words of base spans
+    are no terms; of a word that a base span cuts, the rest counts as a word.
     """
-    near = found.select("spans", "text", F.explode("spans").alias("s"))
-    low = F.greatest(F.lit(0), F.col("s.start") - CONTEXT)
-    near = near.select(
-        "spans", _entity(F.col("text"), F.col("s")).alias("entity"),
-        low.alias("low"), F.substr("text", low + 1, F.col("s.end") + CONTEXT - low).alias("window"), (F.col("s.end") + CONTEXT < F.length("text")).alias("cut"),
-    )
+    blank = _filled(text, spans, lambda s, at: F.repeat(F.lit("\n"), s["end"] - F.greatest(at, s["start"])))
+
+    def each(m: Column) -> Column:
+        def spot(s: Column) -> Column:
+            low, high = F.greatest(F.lit(0), s["start"] - CONTEXT), F.least(m["n"], s["end"] + CONTEXT)
+            return F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), _cut(m["p"], low, high).alias("window"), (low == 0).alias("left"), (high == m["n"]).alias("right"))
+
+        return F.transform(spans, spot)
+
+    return _let(F.struct(_pieces(blank).alias("p"), F.length(text).alias("n")), each)
+
+
+def context_terms(near: DataFrame) -> DataFrame:
+    """(entity, term, context) of the words in windows as _spots gives them; cut ones are left out."""
     words = _located(F.col("window"), _WORD, "term", len(KINDS), lambda v: F.length(v) >= SHORTEST)
-    terms = near.select("spans", "entity", "low", "window", "cut", F.xxhash64("window").alias("context"), F.explode(words).alias("w"))
-    whole = ((F.col("low") == 0) | (F.col("w.start") > 0)) & (~F.col("cut") | (F.col("w.end") < F.length("window")))
-    terms = terms.filter(whole).select(
-        "spans", "entity", "context", (F.col("low") + F.col("w.start")).alias("start"), (F.col("low") + F.col("w.end")).alias("end"),
-        F.lower(F.substr("window", F.col("w.start") + 1, F.col("w.end") - F.col("w.start"))).alias("term"),
-    )
-    outside = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return terms.filter(outside).select("entity", "term", "context")
+    terms = near.select("entity", "left", "right", F.length("window").alias("n"), F.xxhash64("window").alias("context"), F.explode(words).alias("w"))
+    whole = (F.col("left") | (F.col("w.start") > 0)) & (F.col("right") | (F.col("w.end") < F.col("n")))
+    return terms.filter(whole).select("entity", F.lower("w.value").alias("term"), "context")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -143,17 +204,19 @@ def disclosing_terms(spanned: DataFrame) -> DataFrame:
     if it meets in SUPPORT different contexts, so that copies of one context are no evidence.
     spanned has text and spans; each of its rows is a text.
     """
-    holding = spanned.filter(F.size("spans") > 0)
-    met = context_terms(holding).distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= SUPPORT)
+    text = F.col("text")
+    marked = spanned.filter(F.size("spans") > 0).select(F.monotonically_increasing_id().alias("row"), _spots(text, F.col("spans")).alias("spots"), _words(text).alias("words"))
+    holding = settled(marked, "holding")
+    near = holding.select("row", F.inline("spots"))
+    met = context_terms(near).distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= SUPPORT)
     met = settled(met.select("entity", "term"), "met")
     wanted = _few(met.select("term").distinct())
     n = spanned.count()
-    df_t = spanned.select(F.explode(_words(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
-    each = holding.select("text", F.explode(F.array_distinct(F.transform("spans", lambda s: _entity(F.col("text"), s)))).alias("entity"))
-    each = each.join(_few(met.select("entity").distinct()), "entity", "left_semi")
-    df_e = each.groupBy("entity").agg(F.count("*").alias("df_e"))
-    pairs = each.select("entity", F.explode(_words(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
-    both = pairs.join(_few(met), ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("both"))
+    df_t = spanned.select(F.explode(_words(text)).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
+    entities = near.select("row", "entity").join(_few(met.select("entity").distinct()), "entity", "left_semi").distinct()
+    df_e = entities.groupBy("entity").agg(F.count("*").alias("df_e"))
+    held = holding.select("row", F.explode("words").alias("term")).join(wanted, "term", "left_semi")
+    both = entities.join(_few(met), "entity").join(held, ["row", "term"]).groupBy("entity", "term").agg(F.count("*").alias("both"))
     scored = both.join(df_t, "term").join(df_e, "entity")
     information = F.log(F.lit(float(max(n, 2))) / F.col("df_e"))
     mutual = F.log(F.lit(float(max(n, 2))) * F.col("both") / (F.col("df_e") * F.col("df_t")))
@@ -162,30 +225,25 @@ def disclosing_terms(spanned: DataFrame) -> DataFrame:
 
 
 def term_spans(rows: DataFrame, secret: DataFrame) -> DataFrame:
-    """(id, h, start, end, disclosure) of every place of a secret term in rows of id, h, text.
+    """(id, h, s, disclosure): a span of every place of a secret term in rows of id, h, text.
 
-    A word's start is the mark of its block of BLOCK words, and what lies between; so a text's
-    work grows with its length and with its hits, not with their product.
+    Texts are dealt out in pieces that end where a word does, so that a word carries its piece
+    only; the place in its piece is reckoned for hits.
     """
-    text = F.col("text")
-    split = rows.select("id", "h", F.split(text, _WORD, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)).alias("words"))
-
-    def long(first: Column, gaps: Column, words: Column) -> Column:
-        joined = lambda c, k: F.length(F.array_join(F.slice(c, first + 1, k), ""))
-        return joined("gaps", gaps) + joined("words", words)
-
-    def step(a: Column, b: Column) -> Column:
-        return F.concat(a, F.array(F.element_at(a, -1) + long(b * BLOCK, F.lit(BLOCK), F.lit(BLOCK))))
-
-    marks = F.aggregate(F.sequence(F.lit(0), F.floor(F.size("words") / BLOCK).cast("int")), F.array(F.lit(0)), step)
-    placed = split.filter(F.size("words") > 0).withColumn("marks", marks).select("*", F.posexplode("words").alias("k", "word")).withColumn("term", F.lower("word"))
-    first = F.floor(F.col("k") / BLOCK).cast("int") * BLOCK
-    start = F.get("marks", F.floor(F.col("k") / BLOCK).cast("int")) + long(first, F.col("k") - first + 1, F.col("k") - first)
+    pieces = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}+{_WORD[:-1]}*+"), F.lit(0))
+    skips = lambda p: _before(F.transform(p, F.length), lambda a, x: a + x)
+    placed = rows.select("id", "h", F.inline(_let(pieces, lambda p: F.zip_with(p, skips(p), lambda x, n: F.struct(x.alias("piece"), n.alias("skip"))))))
+    words = F.regexp_extract_all("piece", F.lit(_WORD), F.lit(0))
+    placed = placed.select("id", "h", "piece", "skip", F.posexplode(words).alias("k", "word")).withColumn("term", F.lower("word"))
+    long = lambda c, n: F.length(F.array_join(F.slice(c, 1, n), ""))
+    start = (F.col("skip") + long(F.split("piece", _WORD, -1), F.col("k") + 1) + long(words, F.col("k"))).alias("start")
     if secret.count() <= BROADCAST_TERMS:
-        hits = placed.join(F.broadcast(secret), "term").withColumn("start", start)
+        hits = placed.join(F.broadcast(secret), "term").select("id", "h", start, "word", "disclosure")
     else:  # of each word only its place is shuffled
-        hits = placed.select("id", "h", "term", "word", start.alias("start")).join(secret, "term")
-    return hits.select("id", "h", "start", (F.col("start") + F.length("word")).alias("end"), "disclosure")
+        hits = placed.select("id", "h", "term", "word", start).join(secret, "term")
+    kind = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
+    end = F.col("start") + F.length("word")
+    return hits.select("id", "h", F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), end.alias("end"), kind.alias("kind"), F.col("word").alias("value")).alias("s"))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,13 +260,10 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")).select("id", F.xxhash64(text).alias("h"), text.alias("text"))
     spanned = rows.withColumn("spans", base_spans(F.col("text")))
     secret = settled(disclosing_terms(spanned), "secret")
-    kind = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    span = F.struct(F.col("start"), kind.alias("kind"), F.col("end"), F.lit(len(KINDS)).alias("rank"))
-    added = term_spans(rows, secret).select("id", "h", span.alias("s")).groupBy("id", "h").agg(F.collect_set("s").alias("added"))
+    added = term_spans(rows, secret).groupBy("id", "h").agg(F.collect_set("s").alias("added"))
     base = spanned.select("id", "h", F.col("spans").alias("base"))
     joined = base.join(added.withColumnsRenamed({"id": "id2", "h": "h2"}), F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
-    outside = F.filter("added", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    all_spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(_by_start(F.concat("base", F.coalesce(outside, F.array().cast(f"array<{_SPAN}>")))))
+    all_spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", _clear(F.col("added"), F.col("base")))))
     return joined.select(F.col("id").alias(id_col), "h", "base", all_spans.alias("spans"))
 
 
@@ -218,21 +273,19 @@ def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return spans.select(id_col, *map(count, KINDS), F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
 
 
-#: What stands in a text for a span of each kind; a removed term leaves nothing.
-MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
+#: What stands in a text for a span of each base kind. A removed term leaves nothing; one that is
+#: generalised leaves what kind of word it is.
+MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": ""}
+
+
+def generalised(word: Column) -> Column:
+    return F.when(word.rlike(r"^\p{N}+$"), "[NUMBER]").when(word.rlike(r"\p{N}"), "[CODE]").when(word.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
 
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with every span replaced; of overlapping spans the later is cut to its rest."""
     mask = F.create_map(*[F.lit(x) for kv in MASKS.items() for x in kv])
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        piece = F.when(fresh, F.concat(F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.element_at(mask, s["kind"]))).otherwise("")
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.array(piece)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text))))
+    return _filled(text, spans, lambda s, at: F.when(s["start"] < at, "").when(s["kind"] == "generalise", generalised(s["value"])).otherwise(F.element_at(mask, s["kind"])))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,10 @@
 import hashlib
+import math
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from takeledger.llm import pii
 
@@ -80,3 +85,65 @@ def test_disclosing_terms_are_masked_wherever_they_stand(spark, monkeypatch):
         assert {k for k, t in spans.values() if t == "quillwort"} == {"remove"}
         assert not any(t in ("zanzibars", "the", "filler1") for _, t in spans.values())
     assert not any(re.search(r"(?i)\bzanzibar\b", r.text) for r in pii.sanitised(df).collect())
+
+
+def test_terms_equal_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(60)] + ["élan", "İx", "名前字"]
+    people = [f"p{k}@mail.example.org" for k in range(6)] + ["10.0.0.7", "+1 (456) 555-2186"]
+    texts = []
+    for i in range(300):
+        w = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.choice((0, 0, 1, 3))):
+            who = rng.randrange(len(people))
+            w[rng.randint(0, len(w)) : 0] = [f"clue{who}", people[who], f"hint{who % 3}"]
+        texts.append(" ".join(w))
+    texts += [texts[7]] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = (("email", EMAIL), ("ip", IP), ("phone", PHONE))
+    split = lambda t: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t)]
+    met, df_e, df_t, both = {}, {}, {}, {}
+    for t in texts:
+        spans = [(m.start(), m.end(), f"{k}:{m[0].lower()}") for k, p in kinds for m in p.finditer(t)]
+        own = {w for _, _, w in split(t)}
+        for w in own:
+            df_t[w] = df_t.get(w, 0) + 1
+        for e in {e for _, _, e in spans}:
+            df_e[e] = df_e.get(e, 0) + 1
+            for w in own:
+                both[e, w] = both.get((e, w), 0) + 1
+        blank = t
+        for s, e, _ in spans:
+            blank = blank[:s] + "\n" * (e - s) + blank[e:]
+        for s, e, who in spans:
+            low, high = max(0, s - pii.CONTEXT), min(len(t), e + pii.CONTEXT)
+            for a, b, w in split(blank):
+                if low <= a and b <= high and (a > low or low == 0) and (b < high or high == len(t)) and b - a >= pii.SHORTEST:
+                    met.setdefault((who, w), set()).add(blank[low:high])
+    n, want = len(texts), {}
+    for (e, w), seen in met.items():
+        if len(seen) >= pii.SUPPORT:
+            share = min(1.0, math.log(n * both[e, w] / (df_e[e] * df_t[w])) / math.log(n / df_e[e]))
+            if share >= pii.GENERALISE:
+                want[w] = max(share, want.get(w, 0))
+    assert len(want) >= 6
+    spanned = df.select("text").withColumn("spans", pii.base_spans(F.col("text")))
+    got = {r.term: r.disclosure for r in pii.disclosing_terms(spanned).collect()}
+    assert got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+
+
+def test_many_spans_in_one_text(spark):
+    """Work grows with the text: twenty thousand addresses are found and masked at once."""
+    text = " ".join(f"to{i} u{i}@mail{i % 7}.example.org" for i in range(20_000))
+    df = spark.createDataFrame([(1, text), (2, "to3 alone")], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r for r in pii.digest(pii.find_spans(df)).collect()}
+    assert got[1].n_email == 20_000 and got[1].base_sha256 == hashlib.sha256(base(text).encode()).hexdigest()
+    out = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert out[1].count("[EMAIL]") == 20_000 and "@" not in out[1]
+    assert time.monotonic() - began < 120
+
+
+def test_what_is_left_of_a_generalised_word(spark):
+    df = spark.createDataFrame([("1987",), ("x7",), ("Ada",), ("ada",)], "w string")
+    assert [r[0] for r in df.select(pii.generalised(F.col("w"))).collect()] == ["[NUMBER]", "[CODE]", "[NAME]", "[TERM]"]
