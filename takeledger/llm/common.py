@@ -46,6 +46,23 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that stand out of the others are at most this many; they may be broadcast.
+HOT_KEYS = 20_000
+
+
+def with_value(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with values, which has one row a key and in `n` how many of `rows` hold it.
+
+    total: the rows, or more. A key that holds over total / HOT_KEYS of them (and over a thousand)
+    is hot: there are at most HOT_KEYS, so these go to where the rows are and only the rows of
+    other keys are dealt by key. No key's rows have to fit one task.
+    """
+    bound = max(1000, total // HOT_KEYS)
+    hot = F.broadcast(values.filter(F.col("n") > bound).drop("n"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(values.filter(F.col("n") <= bound).drop("n"), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def local_path(uri: str) -> str:
     """The mounted path of a file: URI, for memory-mapping; other schemes can't be mapped."""
     if uri.startswith("file:"):

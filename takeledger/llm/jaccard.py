@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from takeledger.llm.common import as_texts, chunks, mixed, settled, shingle_hashes, word_hashes
+from takeledger.llm.common import as_texts, chunks, mixed, settled, shingle_hashes, with_value, word_hashes
 
 #: Words of a shingle, least similarity, and the chance to meet in a band at that similarity.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -77,22 +77,30 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root): the least node that each node of the edges (a, b) is connected with.
 
     Alternates large stars and small stars; every round is written to the shared folder, and
-    the rounds end when the edges no longer change. Needs about log(n) rounds.
+    the rounds end when the edges no longer change. Needs about log(n) rounds. A node with very
+    many edges is no single task's: minima are combined before the shuffle, and with_value brings
+    the node's minimum to its edges.
     """
+
+    def measured(df: DataFrame) -> tuple:
+        return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20)")).alias("s")).first()
+
     now = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
-    mark = None
-    while True:
+    mark = measured(now)
+    while mark["n"]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("v", "m", "u")
+        larger = F.count_if(F.col("v") > F.col("u"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), larger.alias("n")).filter("n > 0")
+        large = with_value(both.filter("v > u"), least, "u", mark["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = settled(large, name)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_value(large, low, "u", mark["n"])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         now = settled(small, name)
-        got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20)")).alias("s")).first()
-        if (got["n"], got["s"]) == mark or not got["n"]:
+        got = measured(now)
+        if got == mark:
             break
-        mark = (got["n"], got["s"])
+        mark = got
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(now.select("v", "v").distinct())
 
 
@@ -202,11 +210,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = signed.filter("size > 0").groupBy("key1", "key2", "size").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     sets = settled(sets, "sets")
     spread = sets.select("rep", F.explode("bands").alias("band"))
-    met = spread.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("band", "lead")
-    edges = spread.join(met, "band").filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    met = spread.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1")
+    edges = with_value(spread, met, "band", sets.count() * bands).filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     clusters = components(edges, "clusters")
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("members"))
-    placed = clusters.join(sizes, "root").withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    clusters = settled(clusters, "members")
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("members"), F.count("*").alias("n"))
+    placed = with_value(clusters, sizes, "root", clusters.count()).withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     placed = placed.join(sets.select(F.col("rep").alias("node"), "copies"), "node").select(F.col("node").alias("k"), F.col("root").alias("cluster"), "blocks", "block", "copies")
     held = placed.join(texts, "k").select(F.col("k").alias("doc"), "cluster", "blocks", "block", "copies", "t")
     held = held.mapInPandas(_shingle_sets(words), "doc long, cluster long, blocks long, block long, copies long, shingles binary")
