@@ -21,10 +21,10 @@ SAMPLE_ROWS = 24_000
 SUPPORT, CONTEXTS, ODDS = 6, 5, 3.2
 #: Stem lengths in letters; a whole word of three letters or more is a stem of its own.
 STEMS = range(4, 9)
-#: Learned stems kept, strongest first.
-LEXICON = 5000
-#: Tokens that a negation governs, and tokens between a target and its insult.
-REACH = 3
+#: A learned stem is a threat if a target follows in this share of the toxic texts that hold it.
+AIMED = 0.5
+#: Tokens that a negation governs, that a target reaches ahead, and back to an insult or a threat.
+NEGATED, AHEAD, BACK_INSULT, BACK_THREAT = 3, 4, 2, 3
 
 #: Seed words of each class in the four languages of the corpus.
 TARGETS = "you your yours ya u he she they him her them we us everyone du dich dir ihr euch sie er tu toi te vous il elle ils vosotros ustedes usted tú vos".split()
@@ -33,11 +33,13 @@ REPORTS = "said says say saying told wrote called claimed reported quoted accord
 INSULTS = "idiot moron stupid loser scum worthless pathetic disgusting clown trash dumbass imbecile bastard".split()
 THREATS = "kill hurt destroy murder stab shoot töten umbringen tuer frapper matar golpear".split()
 
-CLAUSE_END = re.compile(r"[.!?;:\n]+")
-TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|\"")
+CLAUSE_END = re.compile(r"[.!?;\n]+")
+TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”„«»,]")
 
-#: Kinds of matches and the weight each has before anything is learned.
-KINDS = {"insult": 5.0, "targeted insult": 6.5, "negated insult": 1.5, "reported insult": 2.0, "threat": 2.0, "targeted threat": 6.5, "negated threat": 0.5, "reported threat": 1.0}
+#: Kinds of matched clauses and the weight each has before anything is learned.
+KINDS = {"insult": 5.0, "targeted insult": 6.5, "negated insult": 0.8, "reported insult": 1.2, "threat": 1.5, "targeted threat": 6.5, "negated threat": 0.5, "reported threat": 1.0}
+#: How strongly fitting is drawn to these.
+PULL = 0.5
 
 
 # ---- transducers ----------------------------------------------------------------------------
@@ -68,23 +70,35 @@ def composed(first: Transducer, second: Transducer, labels: set[str]) -> Transdu
     return Transducer(arcs)
 
 
-def within(trigger: str, rewrite: dict[str, str], reach: int | None) -> Transducer:
-    """After `trigger`, labels are rewritten for `reach` tokens, or to the clause's end."""
-    if reach is None:
-        return Transducer({0: {trigger: (1, trigger)}, 1: {k: (1, v) for k, v in rewrite.items()}})
+def within(trigger: str, rewrite: dict[str, str], reach: int, ends: tuple[str, ...] = ()) -> Transducer:
+    """For `reach` tokens after `trigger` labels are rewritten; a label of `ends` stops that."""
     arcs: dict[int, dict[str, tuple[int, str]]] = {0: {trigger: (reach, trigger)}}
     for left in range(1, reach + 1):
-        arcs[left] = {k: (left - 1, v) for k, v in rewrite.items()} | {trigger: (reach, trigger)}
+        arcs[left] = {k: (left - 1, v) for k, v in rewrite.items()} | {trigger: (reach, trigger)} | {e: (0, e) for e in ends}
     return Transducer(arcs, {left: left - 1 for left in range(1, reach + 1)})
 
 
-def grammar() -> Transducer:
-    """insult and threat labels through target, negation and reported-speech transducers."""
-    labels = {"target", "negation", "report", "insult", "threat", "other"}
-    target = within("target", {"insult": "targeted insult", "threat": "targeted threat"}, REACH + 1)
-    negation = within("negation", {"insult": "negated insult", "targeted insult": "negated insult", "threat": "negated threat", "targeted threat": "negated threat"}, REACH)
-    report = within("report", {"insult": "reported insult", "targeted insult": "reported insult", "threat": "reported threat", "targeted threat": "reported threat"}, None)
-    return composed(composed(target, negation, labels), report, labels)
+#: What a transducer reads.
+LABELS = {"target", "negation", "report", "quote", "pause", "insult", "threat", "targeted insult", "targeted threat", "other"}
+
+
+def _renamed(to: str) -> dict[str, str]:
+    return {f"{aim}{kind}": f"{to} {kind}" for kind in ("insult", "threat") for aim in ("", "targeted ")}
+
+
+def grammar() -> tuple[Transducer, Transducer]:
+    """The machine that reads a clause backwards, and then the one that reads it forwards.
+
+    Backwards: a target behind an insult or a threat. Forwards: a target before it, composed with
+    negation (until a comma), composed with reported speech (a clause after its verb, or quotes).
+    """
+    behind = composed(within("target", {"insult": "targeted insult"}, BACK_INSULT), within("target", {"threat": "targeted threat"}, BACK_THREAT), LABELS)
+    ahead = within("target", {"insult": "targeted insult", "threat": "targeted threat"}, AHEAD)
+    negation = within("negation", _renamed("negated"), NEGATED, ends=("pause",))
+    told = {k: (1, v) for k, v in _renamed("reported").items()}
+    quoted = {k: (2, v) for k, (_, v) in told.items()}
+    report = Transducer({0: {"report": (1, "report"), "quote": (2, "quote")}, 1: told, 2: quoted | {"quote": (0, "quote"), "report": (2, "report")}})
+    return behind, composed(composed(ahead, negation, LABELS), report, LABELS)
 
 
 # ---- lexicon and scores ---------------------------------------------------------------------
@@ -97,20 +111,24 @@ class Model:
 
     def __post_init__(self):
         self._machine = None
+        self._longest = max((len(s) for s in self.stems), default=0)
 
     def __getstate__(self):
-        return {"stems": self.stems, "weights": self.weights, "bias": self.bias, "_machine": None}
+        return {"stems": self.stems, "weights": self.weights, "bias": self.bias}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.__post_init__()
 
     def _ready(self):
         if self._machine is None:
             self._machine = grammar()
             self._kinds = {k: i for i, k in enumerate(KINDS)}
-            self._classes = {w: c for c, words in (("target", TARGETS), ("negation", NEGATIONS), ("report", [*REPORTS, '"'])) for w in words}
+            self._classes = {w: c for c, words in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("quote", '"“”„«»'), ("pause", ",")) for w in words}
             self._find = ahocorasick.Automaton()
             for stem in {s.rstrip("$") for s in self.stems}:
                 self._find.add_word(stem, len(stem))
             self._find.make_automaton()
-            self._longest = max((len(s) for s in self.stems), default=0)
         return self._machine
 
     def entry(self, token: str) -> tuple[str, float] | None:
@@ -121,9 +139,25 @@ class Model:
                 return hit
         return None
 
+    def clause(self, tokens: list[str]) -> dict[str, float]:
+        """The kinds that the grammar finds in a clause, each with its strongest stem's weight."""
+        behind, forward = self._ready()
+        hits = [self.entry(t) for t in tokens]
+        labels = [h[0] if h else self._classes.get(t, "other") for t, h in zip(tokens, hits)]
+        state = 0
+        for i in range(len(labels) - 1, -1, -1):
+            state, labels[i] = behind.step(state, labels[i])
+        state, found = 0, {}
+        for hit, label in zip(hits, labels):
+            state, got = forward.step(state, label)
+            if hit:
+                found[got] = max(found.get(got, 0.0), hit[1])
+        return found
+
     def matches(self, text: str | None) -> np.ndarray:
-        """Summed lexical weight of each kind of match over the clauses that hold a stem."""
-        machine, out = self._ready(), np.zeros(len(KINDS))
+        """The weight of each kind of match, summed over the clauses that hold a stem."""
+        self._ready()
+        out = np.zeros(len(KINDS))
         if not text or not self.stems:
             return out
         low, done = text.lower(), -1
@@ -131,18 +165,11 @@ class Model:
             start = end - size + 1
             if start < done or (start and low[start - 1].isalpha()):
                 continue
-            cut = max(low.rfind(c, done if done > 0 else 0, start) for c in ".!?;:\n") + 1
-            begin = max(cut, done, 0)
+            begin = max(max(low.rfind(c, max(done, 0), start) for c in ".!?;\n") + 1, done, 0)
             stop = CLAUSE_END.search(low, end)
             done = stop.start() if stop else len(low)
-            state = 0
-            for token in TOKEN.findall(low[begin:done]):
-                label, weight = self._classes.get(token, "other"), 0.0
-                if (hit := self.entry(token)) is not None:
-                    label, weight = hit
-                state, got = machine.step(state, label)
-                if got in self._kinds:
-                    out[self._kinds[got]] += weight
+            for kind, weight in self.clause(TOKEN.findall(low[begin:done])).items():
+                out[self._kinds[kind]] += weight
         return out
 
     def score(self, matched: np.ndarray) -> np.ndarray:
@@ -154,16 +181,22 @@ def seed_stems() -> dict[str, tuple[str, float]]:
 
 
 def _stem_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(stem, toxic texts, other texts, bits of the words before it in toxic texts) of a partition."""
-    n: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    """(stem, toxic texts, other texts, bits of the words before it in toxic texts, toxic texts
+    in which a target follows) of a partition."""
+    n: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    targets = set(TARGETS)
+    grammatical = targets.union(NEGATIONS, REPORTS)
     for b in batches:
         for text, toxic in zip(as_texts(b["t"]), b["toxic"]):
-            tokens = [t for t in TOKEN.findall((text or "").lower())]
+            tokens = TOKEN.findall((text or "").lower())
             own: dict[str, int] = {}
+            aimed: set[str] = set()
             before = ""
-            for t in tokens:
-                if len(t) >= 3:
+            for i, t in enumerate(tokens):
+                if len(t) >= 3 and t not in grammatical:
                     bit = 1 << (hash_of(before) % 63)
+                    if toxic and not targets.isdisjoint(tokens[i + 1 : i + 1 + BACK_THREAT]):
+                        aimed.update((t + "$", *(t[:size] for size in STEMS if size <= len(t))))
                     own[t + "$"] = own.get(t + "$", 0) | bit
                     for size in STEMS:
                         if size > len(t):
@@ -175,6 +208,7 @@ def _stem_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 x[0 if toxic else 1] += 1
                 if toxic:
                     x[2] |= bits
+                    x[3] += stem in aimed
         if len(n) > 400_000:
             yield _frame(n)
             n.clear()
@@ -191,15 +225,16 @@ def hash_of(word: str) -> int:
 
 
 def _frame(n: dict[str, list[int]]) -> pd.DataFrame:
-    return pd.DataFrame([(k, *v) for k, v in n.items()], columns=["stem", "yes", "no", "bits"])
+    return pd.DataFrame([(k, *v) for k, v in n.items()], columns=["stem", "yes", "no", "bits", "aimed"])
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """Stems and match weights from labelled rows; the seed grammar where there are none.
 
     At most about `rows` rows are read for fitting, by hash of the text, so that copies of one
-    text count once. A stem is an insult if it occurs in SUPPORT toxic texts after CONTEXTS
-    different words with log-odds of ODDS; only the shortest such stem of a word is kept.
+    text count once. A stem is learned if it occurs in SUPPORT toxic texts after CONTEXTS
+    different words with log-odds of ODDS, not being a word of the grammar, as a threat if targets mostly follow it, else as an
+    insult; only the shortest such stem of a word is kept. Their number is bounded by the sample.
     """
     picked = labelled.select(labelled[text_col].alias("t"), labelled[label_col].cast("int").alias("toxic")).filter("toxic in (0, 1) and t is not null")
     n = picked.count()
@@ -210,16 +245,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     stems = seed_stems()
     if not yes or not no:
         return Model(stems)
-    counts = sample.mapInPandas(_stem_counts, "stem string, yes long, no long, bits long").groupBy("stem").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.bit_count(F.bit_or("bits")).alias("contexts"))
+    counts = sample.mapInPandas(_stem_counts, "stem string, yes long, no long, bits long, aimed long").groupBy("stem").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.bit_count(F.bit_or("bits")).alias("contexts"), F.sum("aimed").alias("aimed"))
     odds = F.log((F.col("yes") + 0.5) / (yes + 1)) - F.log((F.col("no") + 0.5) / (no + 1))
     strong = counts.withColumn("odds", odds).filter((F.col("yes") >= SUPPORT) & (F.col("contexts") >= CONTEXTS) & (F.col("odds") >= ODDS))
-    learned: dict[str, float] = {}
-    found = strong.orderBy(F.desc("odds"), "stem").limit(LEXICON).collect()
-    for r in sorted(found, key=lambda r: (len(r["stem"]), r["stem"])):
+    learned: dict[str, tuple[str, float]] = {}
+    for r in sorted(strong.collect(), key=lambda r: (len(r["stem"]), r["stem"])):
         bare = r["stem"].rstrip("$")
         if not any(bare[:k] in learned for k in STEMS if k <= len(bare)):
-            learned[r["stem"]] = r["odds"]
-    stems |= {s: ("insult", min(2.0, o / 4)) for s, o in learned.items() if s not in stems and s.rstrip("$") + "$" not in stems}
+            learned[r["stem"]] = ("threat" if r["aimed"] >= AIMED * r["yes"] else "insult", min(2.0, r["odds"] / 4))
+    stems |= {s: c for s, c in learned.items() if s.rstrip("$") + "$" not in stems}
     model = Model(stems)
     kinds = len(KINDS)
 
@@ -240,7 +274,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     """Weights by Newton steps, drawn towards those of KINDS, never below zero."""
     x = np.column_stack((x, np.ones(len(x))))
     prior = np.array([*KINDS.values(), -3.5])
-    pull = np.full(len(prior), 2.0)
+    pull = np.full(len(prior), PULL)
     w = prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
