@@ -10,6 +10,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from takeledger.llm.common import chunks
+
 #: The split pattern of byte-level BPE vocabularies of this family.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -138,7 +140,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
 
     path: a byte-level BPE vocabulary file that each worker can open. Null and empty texts have
     0 bytes and 0 tokens; repeated rows are counted each; other columns are ignored; an empty
-    table gives no rows. Memory is bounded by an Arrow batch and REMEMBERED pre-tokens.
+    table gives no rows. Memory is bounded by an Arrow batch, the pre-tokens of a slice of it of
+    a few megabytes (a longer text stands alone), and REMEMBERED pre-tokens.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -146,7 +149,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
         m = merger(path)
         for b in batches:
             texts = [t if isinstance(t, str) else None for t in b["t"]]
-            n = np.array(m.counts(texts), dtype=np.int64)
+            n = np.array([c for part in chunks(texts) for c in m.counts(texts[part])], dtype=np.int64)
             size = np.fromiter((len(t.encode("utf-8", "replace")) if t else 0 for t in texts), dtype=np.int64, count=len(texts))
             yield pd.DataFrame({id_col: b["k"], "n_bytes": size, "n_tokens": n, "over_limit": n > limit})
 
