@@ -66,13 +66,14 @@ def _seeded(df: DataFrame, masks: dict[int, tuple[int, ...]], at: str, words: st
     return df.withColumn("s", F.explode(F.array(*keys))).filter("s.key is not null").withColumn("key", F.col("s.key")).withColumn("mask", F.col("s.mask")).drop("s")
 
 
-def _agreement(doc: Column, item: Column, at: Column, iat: Column, window: Column, span: Column) -> Column:
-    """The most equal tokens of any aligned window around the hit (doc `at` = item `iat`).
+def _agreement(doc: Column, item: Column, at: Column, iat: Column, window: Column, span: Column, skip: Column) -> Column:
+    """The most equal tokens of any aligned window around the hit (doc `at` = item `iat`), and the
+    least place of such a window, in one number: equal << 32 | (2**31 - place).
 
     Written out window by window, token by token: higher-order functions would end the generated
     code of the join, and copy the text's tokens for every position.
     """
-    best = F.lit(0)
+    best = F.lit(0).cast("long")
     for k in range(WINDOW - min(SPAN, WINDOW) + 1):
         start = iat + span - window + F.lit(k)
         begin = start + at - iat
@@ -80,7 +81,7 @@ def _agreement(doc: Column, item: Column, at: Column, iat: Column, window: Colum
         equal = F.lit(0)
         for t in range(WINDOW):
             equal = equal + F.when((F.lit(t) < window) & (F.get(item, start + F.lit(t)) == _token(doc, begin + F.lit(t))), 1).otherwise(0)
-        best = F.greatest(best, F.when(fits, equal).otherwise(0))
+        best = F.greatest(best, F.when(fits, F.shiftleft(equal.cast("long"), 32) + (F.lit(1 << 31) - begin - skip)).otherwise(0))
     return best
 
 
@@ -89,8 +90,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     A pair is reported if some WINDOW tokens in a row of the item (all of a shorter item) agree
     with as many tokens in a row of the text in AGREEMENT of their places; n_matched is the most
-    that any such window agrees, first_token the least text position where a seed of such a
-    window matched. Words are lower case, without punctuation.
+    that any such window agrees, first_token the least text position of such a window. Words are lower case, without punctuation.
 
     Null and empty texts and items, and items of fewer than SHORTEST words, match nothing.
     Repeated ids are one row each pair, as repeated items are; rows with a null id are left out.
@@ -125,13 +125,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
             back = F.greatest(F.lit(0), F.col("at") - WINDOW)
             near = at.select("doc", F.slice("dt", back + 1, 2 * WINDOW + SPAN).alias("dt"), (F.col("at") - back).alias("at"), back.alias("skip"))
             hits = _seeded(near, masks, "at", "dt").join(seeds, ["key", "mask"])
-        first = (F.col("skip") + F.col("at")).alias("first")
-        found.append(hits.select("doc", "item", first, "window", "n_item", _agreement(F.col("dt"), F.col("it"), F.col("at"), F.col("iat"), F.col("window"), F.col("span")).alias("n")))
+        agreed = _agreement(F.col("dt"), F.col("it"), F.col("at"), F.col("iat"), F.col("window"), F.col("span"), F.col("skip"))
+        found.append(hits.select("doc", "item", "window", "n_item", agreed.alias("n")))
     agreed = found[0] if len(found) == 1 else found[0].union(found[1])
     # filtered after the partial aggregation, so that verification stays out of the join's condition
-    enough = F.col("n") >= F.ceil(F.col("window") * AGREEMENT)
-    pairs = agreed.groupBy("doc", "item").agg(F.max("n").cast("long").alias("n_matched"), F.max("window").cast("long").alias("n_window"), F.max("n_item").cast("long").alias("n_item"), F.min(F.when(enough, F.col("first"))).cast("long").alias("first_token"))
-    return pairs.filter("first_token is not null").withColumnsRenamed({"doc": id_col, "item": item_col})
+    pairs = agreed.groupBy("doc", "item").agg(F.max("n").alias("n"), F.max("window").cast("long").alias("n_window"), F.max("n_item").cast("long").alias("n_item"))
+    matched = F.shiftright("n", 32)
+    pairs = pairs.filter(matched >= F.ceil(F.col("n_window") * AGREEMENT)).select("doc", "item", matched.alias("n_matched"), "n_window", "n_item", (F.lit(1 << 31) - F.col("n").bitwiseAND((1 << 32) - 1)).alias("first_token"))
+    return pairs.withColumnsRenamed({"doc": id_col, "item": item_col})
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

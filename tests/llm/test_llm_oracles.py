@@ -9,12 +9,13 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     result = c.execute(queries.oracle_sql()[name])
     names = [d[0] for d in result.description]
     want = sorted(result.fetchall())
     got = sorted(tuple(r[n] for n in names) for r in queries.queries()[name](spark, DATA).collect())
-    assert got == want and len(got) == 200
+    assert got == want and (len(got) == 200 or name.startswith("op10") and got)
 
 
 def test_contract_columns(spark):
