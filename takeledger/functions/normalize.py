@@ -293,6 +293,22 @@ def character_name(raw: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[\s:.,;]+$", ""), r"'S VOICE$", ""))
 
 
+#: What stands in capitals in a script without being a character.
+NO_CHARACTERS = [
+    "INT", "EXT", "DAY", "NIGHT", "POV", "CU", "WS", "CLOSE", "ANGLE", "THE", "AND",
+    "WITH", "CUT TO", "FADE IN", "FADE OUT", "FADE TO", "DISSOLVE TO", "SMASH CUT",
+    "MATCH CUT", "BACK TO", "CONTINUED", "SCENE", "TITLE", "SUPER", "INSERT",
+    "MONTAGE", "END MONTAGE", "INTERCUT", "THE END", "OMITTED", "LATER",
+    "CONTINUOUS", "MOMENTS LATER", "WRITTEN BY", "BY", "CUT TO BLACK", "FADE TO BLACK",
+    "SMASH CUT TO", "MATCH CUT TO", "JUMP CUT TO", "QUICK CUT TO", "HARD CUT TO",
+    "TIME CUT TO", "FLASH CUT TO", "CROSS CUT TO",
+]
+
+
+def is_no_character(name: Column) -> Column:
+    return name.isin("", *NO_CHARACTERS)
+
+
 def is_transition(raw: Column) -> Column:
     return F.upper(F.trim(raw)).rlike(TRANSITIONS)
 

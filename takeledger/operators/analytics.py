@@ -17,7 +17,8 @@ SEVERITIES = ["CRITICAL", "WARNING", "INFO"]
 
 def joined_set(c, when=None):
     """Sorted distinct values as one comma-separated text."""
-    return F.array_join(F.sort_array(F.collect_set(c if when is None else F.when(when, F.col(c)))), ",")
+    value = F.col(c) if isinstance(c, str) else c
+    return F.array_join(F.sort_array(F.collect_set(value if when is None else F.when(when, value))), ",")
 
 
 def production_shape(events: DataFrame) -> DataFrame:
@@ -29,9 +30,9 @@ def department_arrivals(events: DataFrame) -> DataFrame:
 
 
 def roll_disagreements(events: DataFrame) -> DataFrame:
-    """One camera of a take on several rolls, said by several departments."""
-    field = {k: n.json_text(F.col("payload_json"), k) for k in ("slate", "take_id", "camera_roll")}
-    takes = events.filter(F.col("entity_type") == "take").select(*DAY, "department", *[c.alias(k) for k, c in field.items()]).filter("camera_roll <> ''")
+    """One camera of a take on several rolls, said by several departments. The payload is parsed once."""
+    takes = events.filter(F.col("entity_type") == "take").select(*DAY, "department", F.from_json("payload_json", "slate string, take_id string, camera_roll string").alias("p"))
+    takes = takes.select(*DAY, "department", "p.slate", "p.take_id", "p.camera_roll").filter("camera_roll <> ''")
     by = takes.groupBy(*DAY, "slate", "take_id", F.substring("camera_roll", 1, 1).alias("camera"))
     found = by.agg(F.collect_set("camera_roll").alias("r"), F.collect_set("department").alias("d"))
     found = found.filter((F.size("r") > 1) & (F.size("d") > 1))
@@ -39,8 +40,12 @@ def roll_disagreements(events: DataFrame) -> DataFrame:
 
 
 def scene_coverage(events: DataFrame) -> DataFrame:
+    """Days, slates, takes and departments of each scene, counted over what differs already."""
     takes = events.filter("slate <> ''").withColumn("scene", n.scene_of_slate(F.col("slate"))).filter(F.col("scene").rlike("^[0-9]"))
-    return takes.groupBy(P, "scene").agg(F.countDistinct("shoot_day").alias("days"), joined_set("shoot_day").alias("shoot_days"), F.countDistinct("slate").alias("slates"), F.count("*").alias("takes"), joined_set("department").alias("departments"))
+    each = takes.groupBy(P, "scene", "slate").agg(F.collect_set("shoot_day").alias("days"), F.collect_set("department").alias("departments"), F.count("*").alias("takes"))
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    found = each.groupBy(P, "scene").agg(union("days").alias("d"), F.count("*").alias("slates"), F.sum("takes").alias("takes"), union("departments").alias("by"))
+    return found.select(P, "scene", F.size("d").cast("long").alias("days"), F.array_join(F.sort_array("d"), ",").alias("shoot_days"), "slates", "takes", F.array_join(F.sort_array("by"), ",").alias("departments"))
 
 
 def current_findings(snapshots: DataFrame) -> DataFrame:
@@ -169,8 +174,27 @@ def sound_camera_agreement(events: DataFrame) -> DataFrame:
     return sound.join(camera, take).groupBy(P, "sound_roll", "camera_roll").agg(F.count("*").alias("takes"))
 
 
-def cross_day_patterns(snapshots: DataFrame) -> DataFrame:
-    return current_findings(snapshots).groupBy(P, "finding").agg(F.count("*").alias("raised"), F.count_if(F.expr("resolved")).alias("resolved"), F.countDistinct("shoot_day").alias("days"))
+def cross_day_patterns(snapshots: DataFrame, events: DataFrame) -> DataFrame:
+    """What comes back over the days of a production: (P, pattern, value, days, times, rate).
+
+    finding: a kind of finding, on so many days, raised so often, resolved at that rate. rolls: two
+    rolls said of one camera on a take, on so many days and takes. sound_roll: takes of a sound
+    roll, on so many days, and the rate of those whose camera rolls disagree.
+    """
+    row = lambda pattern, value, days, times, rate: [P, F.lit(pattern).alias("pattern"), value.alias("value"), days.cast("long").alias("days"), times.cast("long").alias("times"), F.round(rate, 4).alias("rate")]
+    kinds = current_findings(snapshots).groupBy(P, "finding", "shoot_day").agg(F.count("*").alias("n"), F.count_if(F.expr("resolved")).alias("r")).groupBy(P, "finding").agg(F.count("*").alias("d"), F.sum("n").alias("n"), F.sum("r").alias("r"))
+    letter = F.substring("camera_roll", 1, 1)
+    rolls = events.groupBy(*DAY, "slate", "take_id", letter.alias("camera")).agg(F.collect_set(F.when(F.col("camera_roll") != "", F.col("camera_roll"))).alias("rolls")).filter("camera <> ''")
+    apart = rolls.filter(F.size("rolls") > 1).withColumn("a", F.explode("rolls")).withColumn("b", F.explode("rolls")).filter("a < b")
+    pairs = apart.groupBy(P, "a", "b", "shoot_day").agg(F.count("*").alias("n")).groupBy(P, "a", "b").agg(F.count("*").alias("d"), F.sum("n").alias("n"))
+    doubtful = rolls.groupBy(*DAY, "slate", "take_id").agg(F.bool_or(F.size("rolls") > 1).alias("apart"))
+    sound = events.filter("sound_roll <> ''").select(*DAY, "slate", "take_id", "sound_roll").distinct().join(doubtful, [*DAY, "slate", "take_id"], "left")
+    per = sound.groupBy(P, "sound_roll", "shoot_day").agg(F.count("*").alias("n"), F.count_if(F.coalesce("apart", F.lit(False))).alias("x")).groupBy(P, "sound_roll").agg(F.count("*").alias("d"), F.sum("n").alias("n"), F.sum("x").alias("x"))
+    return (
+        kinds.select(*row("finding", F.col("finding"), F.col("d"), F.col("n"), F.col("r") / F.col("n")))
+        .unionByName(pairs.select(*row("rolls", F.concat_ws(",", "a", "b"), F.col("d"), F.col("n"), F.lit(1.0))))
+        .unionByName(per.select(*row("sound_roll", F.col("sound_roll"), F.col("d"), F.col("n"), F.col("x") / F.col("n"))))
+    )
 
 
 def open_by_severity(snapshots: DataFrame) -> DataFrame:
@@ -183,7 +207,12 @@ def last_filing(events: DataFrame, now: str) -> DataFrame:
 
 
 def takes_per_day(events: DataFrame) -> DataFrame:
-    return events.groupBy(*DAY).agg(F.countDistinct("slate", "take_id").alias("takes"), F.countDistinct("slate").alias("slates"), F.count_if(F.coalesce(F.col("starred"), F.lit(False))).alias("starred"), F.count_if(F.expr("camera_roll = ''")).alias("without_roll"))
+    """Takes, slates, marks and rows without a roll of each day, counted over the takes."""
+    mark = n.take(F.col("raw_take"))
+    each = events.select(*DAY, "slate", "take_id", F.coalesce("starred", F.lit(False)).alias("starred"), mark["pickup"].alias("pickup"), mark["vfx"].alias("vfx"), (F.col("camera_roll") == "").alias("bare"))
+    each = each.groupBy(*DAY, "slate", "take_id").agg(*[F.count_if(F.col(c)).alias(c) for c in ("starred", "pickup", "vfx", "bare")])
+    slates = each.groupBy(*DAY, "slate").agg(F.count("*").alias("takes"), *[F.sum(c).alias(c) for c in ("starred", "pickup", "vfx", "bare")])
+    return slates.groupBy(*DAY).agg(F.sum("takes").alias("takes"), F.count("*").alias("slates"), F.sum("starred").alias("starred"), F.sum("pickup").alias("pickups"), F.sum("vfx").alias("vfx"), F.sum("bare").alias("without_roll"))
 
 
 def requirement_state(events: DataFrame) -> DataFrame:
@@ -191,17 +220,38 @@ def requirement_state(events: DataFrame) -> DataFrame:
 
 
 def productions_overview(events: DataFrame) -> DataFrame:
-    return events.groupBy(P).agg(joined_set("shoot_day").alias("days"), F.count("*").alias("events"), F.countDistinct("shoot_day", "slate", "take_id").alias("takes"), F.max("created_at").alias("last_activity"))
+    takes = events.groupBy(*DAY, "slate", "take_id").agg(F.count("*").alias("events"), F.max("created_at").alias("last"))
+    days = takes.groupBy(*DAY).agg(F.count("*").alias("takes"), F.sum("events").alias("events"), F.max("last").alias("last"))
+    return days.groupBy(P).agg(joined_set("shoot_day").alias("days"), F.sum("events").alias("events"), F.sum("takes").alias("takes"), F.max("last").alias("last_activity"))
+
+
+#: The kinds of findings.
+FINDINGS = [
+    "CIRCLED_TAKE_MISMATCH", "TIMECODE_DRIFT", "ROLL_MISMATCH", "PAPERWORK_WITHOUT_MEDIA", "MEDIA_WITHOUT_PAPERWORK", "AWAITING_OFFLOAD",
+    "SCENE_COMPLETE_WITHOUT_MATERIAL", "SCENE_SCHEDULED_NOT_SHOT", "SCENE_SHOT_NOT_SCHEDULED", "SLATE_OUTSIDE_STATED_RANGE", "SHOOT_DATE_DISAGREEMENT",
+]
 
 
-def active_discrepancies(snapshots: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Open findings by kind and severity of a closed vocabulary (kinds: finding), zeros included."""
+def active_discrepancies(snapshots: DataFrame) -> DataFrame:
+    """Open findings of each production by kind and severity, zeros included."""
     counts = current_findings(snapshots).filter("not resolved").groupBy(P, "finding", "severity").agg(F.count("*").alias("open"))
-    shows = snapshots.select(P).distinct()
-    grid = shows.join(F.broadcast(kinds.select("finding", F.explode(F.lit(SEVERITIES)).alias("severity"))))
+    grid = snapshots.select(P).distinct().withColumn("finding", F.explode(F.lit(FINDINGS))).withColumn("severity", F.explode(F.lit(SEVERITIES)))
     return grid.join(counts, [P, "finding", "severity"], "left").fillna(0, ["open"])
 
 
+def rejection_counts(rejected: DataFrame) -> DataFrame:
+    """Refused documents by kind and kind of error."""
+    return rejected.groupBy("doc_type", "error_type").agg(F.count("*").alias("rejections"))
+
+
+#: Documents that record what people did to the tool, not paperwork of the shoot.
+AUDIT = ["requirement_event", "production_crew_event", "discrepancy_resolution"]
+
+
+def paperwork_only(events: DataFrame) -> DataFrame:
+    return events.filter(~F.coalesce("doc_type", F.lit("")).isin(AUDIT))
+
+
 def ingest_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("department", "axis").agg(F.count("*").alias("events"))
 
@@ -215,16 +265,32 @@ def tag_summary(tags: DataFrame) -> DataFrame:
 
 
 def scene_evidence(events: DataFrame) -> DataFrame:
-    has = lambda d: F.bool_or(F.col("department") == d).alias(f"has_{d}")
-    return events.groupBy(P, "scene").agg(F.countDistinct("shoot_day").alias("days"), F.countDistinct("slate", "take_id").alias("takes"), F.countDistinct(F.when(F.col("starred"), F.concat("slate", F.lit(":"), "take_id"))).alias("circled"), F.countDistinct("doc_id").alias("documents"), *map(has, ("script", "camera", "sound", "dit")))
+    """What there is of each scene: days, takes, circled takes, documents, and who filed what.
 
-
-def media_offloaded(media: DataFrame) -> DataFrame:
-    return media.groupBy(*DAY, "volume").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.countDistinct("checksum").alias("checksums"))
+    Combined by take first, so that nothing is expanded to be counted.
+    """
+    has = {"script": F.col("department") == "script", "camera": F.col("department") == "camera", "sound": F.col("department") == "sound", "existence": F.col("axis") == "existence", "vfx": n.take(F.col("raw_take"))["vfx"], "wild": F.upper("slate").rlike("(^|[/_ -])WT$")}
+    each = events.groupBy(P, "scene", "slate", "take_id").agg(F.collect_set("shoot_day").alias("days"), F.bool_or(F.coalesce("starred", F.lit(False))).alias("starred"), F.collect_set("doc_id").alias("docs"), *[F.bool_or(F.coalesce(c, F.lit(False))).alias(f"has_{k}") for k, c in has.items()])
+    count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    return each.groupBy(P, "scene").agg(count("days").alias("days"), F.count("*").alias("takes"), F.count_if(F.col("starred")).alias("circled"), count("docs").alias("documents"), *[F.bool_or(f"has_{k}").alias(f"has_{k}") for k in has])
 
 
-def discrepancy_cuts(snapshots: DataFrame) -> DataFrame:
-    """Open findings by day, kind and slate."""
-    open_ = current_findings(snapshots).filter("not resolved")
-    cuts = F.explode(F.array(F.struct(F.lit("day").alias("cut"), F.col("shoot_day").alias("value")), F.struct(F.lit("kind").alias("cut"), F.col("finding").alias("value")), F.struct(F.lit("slate").alias("cut"), F.col("entity_id").alias("value"))))
-    return open_.select(P, cuts.alias("c")).groupBy(P, F.col("c.cut").alias("cut"), F.col("c.value").alias("value")).agg(F.count("*").alias("open"))
+def media_offloaded(media: DataFrame) -> DataFrame:
+    """Files, bytes, frames and different checksums of each volume and roll of a day."""
+    each = media.groupBy(*DAY, "volume", "camera_roll", "checksum").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.sum("frames").alias("frames"))
+    return each.groupBy(*DAY, "volume", "camera_roll").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.sum("frames").alias("frames"), F.count("checksum").alias("checksums"))
+
+
+def discrepancy_cuts(snapshots: DataFrame, witnesses: DataFrame) -> DataFrame:
+    """Open findings by day, kind, slate, and by the rolls, departments and documents that speak of them.
+
+    witnesses: P, shoot_day, finding, entity_id, roll, department, doc_id; one row a claim. A
+    finding counts once for each different value.
+    """
+    key = [*DAY, "finding", "entity_id"]
+    open_ = current_findings(snapshots).filter("not resolved").select(*key)
+    cut = lambda name, value: F.struct(F.lit(name).alias("cut"), F.col(value).alias("value"))
+    own = open_.select(P, F.explode(F.array(cut("day", "shoot_day"), cut("kind", "finding"), cut("slate", "entity_id"))).alias("c"))
+    claims = open_.join(witnesses.select(*key, "roll", "department", "doc_id"), key)
+    said = claims.select(*key, F.explode(F.array(cut("roll", "roll"), cut("department", "department"), cut("document", "doc_id"))).alias("c")).filter("c.value <> ''").distinct()
+    return own.union(said.select(P, "c")).groupBy(P, F.col("c.cut").alias("cut"), F.col("c.value").alias("value")).agg(F.count("*").alias("open"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takeledger.functions import normalize as n
@@ -26,66 +26,143 @@ def finding_id(df: DataFrame) -> DataFrame:
     return df.withColumn("finding_id", F.sha2(F.concat_ws("|", *DAY, "finding", "entity_id", "detail"), 256))
 
 
+def camera_of(roll: Column) -> Column:
+    """The camera's letter, A where the roll names none."""
+    return F.when(roll.rlike("^[A-Za-z]"), F.upper(F.substring(roll, 1, 1))).otherwise("A")
+
+
+def take_findings(witnesses: DataFrame, kinds: tuple[str, ...] = ("marks", "cameras", "sounds")) -> DataFrame:
+    """What the witnesses of one take disagree on, in one pass: marks, camera rolls, sound rolls.
+
+    Claims are combined by document before the first shuffle and by take after it. Script
+    documents that disagree on the take's mark (the last claim of a document counts); one camera
+    on several rolls; sound cards on several rolls, unless a roll and a recorder's folder name the
+    same card.
+    """
+    mark = F.max(F.when(F.expr("department = 'script' and starred is not null"), F.struct("seq", "starred")))["starred"]
+    camera = F.collect_set(F.when(F.col("camera_roll") != "", F.struct(camera_of(F.col("camera_roll")).alias("camera"), F.col("camera_roll").alias("roll"))))
+    sound = F.collect_set(F.when(F.col("sound_roll") != "", F.col("sound_roll")))
+    known = {"marks": mark, "cameras": camera, "sounds": sound}
+    said = witnesses.groupBy(*TAKE, "doc_id").agg(*[known[k].alias(k) for k in kinds])
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    marks = (F.bool_or("marks").alias("yes"), F.bool_and("marks").alias("all"), F.count("marks").alias("documents"))
+    takes = said.groupBy(*TAKE).agg(*[x for k in kinds for x in (marks if k == "marks" else (union(k),))])
+    row = lambda kind, severity, detail: F.struct(F.lit(kind).alias("finding"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
+    none = F.array().cast("array<struct<finding:string,severity:string,detail:string>>")
+    found = []
+    if "marks" in kinds:
+        found.append(F.when(F.expr("yes and not all"), F.array(row("CIRCLED_TAKE_MISMATCH", "CRITICAL", F.col("documents")))).otherwise(none))
+    if "cameras" in kinds:
+        of = lambda c: F.transform(F.filter("cameras", lambda r: r["camera"] == c), lambda r: r["roll"])
+        several = F.filter(F.array_distinct(F.transform("cameras", lambda r: r["camera"])), lambda c: F.size(of(c)) > 1)
+        found.append(F.transform(several, lambda c: row("ROLL_MISMATCH", "CRITICAL", F.concat(c, F.lit(":"), F.array_join(F.array_sort(of(c)), ",")))))
+    if "sounds" in kinds:
+        plain = F.exists("sounds", lambda r: r.startswith("SR") | r.rlike(r"^\d+$"))
+        folder = F.exists("sounds", lambda r: r.contains("Y") & r.contains("M"))
+        apart = (F.size("sounds") > 1) & ~(plain & folder)
+        found.append(F.when(apart, F.array(row("ROLL_MISMATCH", "WARNING", F.array_join(F.array_sort("sounds"), ",")))).otherwise(none))
+    return takes.select(*DAY, take_entity().alias("entity_id"), F.inline(F.concat(*found)))
+
+
 def circled_mismatches(witnesses: DataFrame) -> DataFrame:
-    """Script documents that disagree on a take's mark; the last claim of a document counts."""
-    said = witnesses.filter("department = 'script' and starred is not null").groupBy(*TAKE, "doc_id").agg(F.max_by("starred", "seq").alias("starred"))
-    both = said.groupBy(*TAKE).agg(F.bool_or("starred").alias("yes"), F.bool_and("starred").alias("all"), F.count("*").alias("documents")).filter("yes and not all")
-    return finding(both, take_entity(), "CIRCLED_TAKE_MISMATCH", "CRITICAL", F.col("documents"))
+    return take_findings(witnesses, ("marks",))
+
+
+def camera_roll_mismatches(witnesses: DataFrame) -> DataFrame:
+    return take_findings(witnesses, ("cameras",))
+
+
+def sound_roll_mismatches(witnesses: DataFrame) -> DataFrame:
+    return take_findings(witnesses, ("sounds",))
 
 
 def timecode_drifts(witnesses: DataFrame, fps: float = 24.0) -> DataFrame:
     """Drift between the first two witnesses, by arrival, that state a timecode."""
-    stated = witnesses.filter("timecode_in <> ''").groupBy(*TAKE).agg(F.slice(F.array_sort(F.collect_list(F.struct("seq", "timecode_in"))), 1, 2).alias("two")).filter(F.size("two") == 2)
-    drift = n.frame_drift(F.col("two")[0]["timecode_in"], F.col("two")[1]["timecode_in"], fps)
-    found = stated.withColumn("drift", drift).filter((F.col("drift") > LEAST_DRIFT) & (F.col("drift") <= MOST_DRIFT))
-    return finding(found, take_entity(), "TIMECODE_DRIFT", "WARNING", F.col("drift"))
+    first = F.row_number().over(Window.partitionBy(*TAKE).orderBy("seq", "timecode_in"))
+    two = witnesses.filter("timecode_in <> ''").select(*TAKE, "seq", "timecode_in").withColumn("n", first).filter("n <= 2")
+    said = lambda i: F.max(F.when(F.col("n") == i, F.col("timecode_in")))
+    both = two.groupBy(*TAKE).agg(n.frame_drift(said(1), said(2), fps).alias("drift"))
+    return finding(both.filter((F.col("drift") > LEAST_DRIFT) & (F.col("drift") <= MOST_DRIFT)), take_entity(), "TIMECODE_DRIFT", "WARNING", F.col("drift"))
 
 
-def camera_roll_mismatches(witnesses: DataFrame) -> DataFrame:
-    rolls = witnesses.filter("camera_roll <> ''").withColumn("camera", F.when(F.col("camera_roll").rlike("^[A-Za-z]"), F.upper(F.substring("camera_roll", 1, 1))).otherwise("A"))
-    found = rolls.groupBy(*TAKE, "camera").agg(F.collect_set("camera_roll").alias("r")).filter(F.size("r") > 1)
-    return finding(found, take_entity(), "ROLL_MISMATCH", "CRITICAL", F.concat("camera", F.lit(":"), F.array_join(F.sort_array("r"), ",")))
+#: How a logged clip and a file spell camera, roll and number; and more loosely.
+CLIP, FILE = r"^([A-Za-z])(\d{3,4})_C(\d{3,4})", r"([A-Z])_0*(\d+)C0*(\d+)(?!\d)"
+LOOSE_CLIP, LOOSE_FILE = r"^([A-Z])_?(\d{3,4})_?C(\d{3,4})", r"([A-Z])_?0*(\d+)_?C0*(\d+)(?!\d)"
 
 
-def sound_roll_mismatches(witnesses: DataFrame) -> DataFrame:
-    """Sound cards on several rolls, unless a roll and a recorder's folder name the same card."""
-    found = witnesses.filter("sound_roll <> ''").groupBy(*TAKE).agg(F.collect_set("sound_roll").alias("r")).filter(F.size("r") > 1)
-    plain = F.exists("r", lambda r: r.startswith("SR") | r.rlike(r"^\d+$"))
-    folder = F.exists("r", lambda r: r.contains("Y") & r.contains("M"))
-    return finding(found.filter(~(plain & folder)), take_entity(), "ROLL_MISMATCH", "WARNING", F.array_join(F.sort_array("r"), ","))
+def clip_number(clip: Column, pattern: str) -> Column:
+    parts = [F.regexp_extract(clip, pattern, i) for i in (1, 2, 3)]
+    return F.when(clip.rlike(pattern), F.concat_ws(":", F.lit("clip"), F.upper(parts[0]), parts[1].try_cast("int").cast("string"), parts[2].try_cast("int").cast("string")))
+
+
+def file_numbers(name: Column, pattern: str) -> Column:
+    whole = F.regexp_extract_all(F.upper(name), F.lit(pattern), F.lit(0))
+    return F.transform(whole, lambda m: F.concat_ws(":", F.lit("clip"), F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2), F.regexp_extract(m, pattern, 3)))
 
 
 def _logged_keys(takes: DataFrame) -> DataFrame:
-    """Keys by which a logged clip can meet a file: its stem, and camera, roll and clip numbers."""
-    stem = F.concat(F.lit("stem:"), F.upper(n.clip_stem(F.col("clip_name"))))
-    pattern = r"^([A-Za-z])(\d{3,4})_C(\d{3,4})"
-    parts = [F.regexp_extract("clip_name", pattern, i) for i in (1, 2, 3)]
-    number = F.when(F.col("clip_name").rlike(pattern), F.concat_ws(":", F.lit("clip"), F.upper(parts[0]), parts[1].try_cast("int").cast("string"), parts[2].try_cast("int").cast("string")))
-    return takes.withColumn("key", F.explode(F.array_compact(F.array(stem, number))))
+    """Keys by which a logged take can meet a file: its clip's stem, the clip's camera, roll and
+    number, and what a sound file of the take would be called up to its number."""
+    stem = F.when(F.col("clip_name") != "", F.concat(F.lit("stem:"), F.upper(n.clip_stem(F.col("clip_name")))))
+    return takes.withColumn("key", F.explode(F.array_distinct(F.concat(F.array_compact(F.array(stem, clip_number(F.col("clip_name"), CLIP))), wav_names(F.col("slate"), F.col("take_id"))))))
+
+
+def wav_names(slate: Column, take: Column) -> Column:
+    """Keys of the sound files that a take may have: `27-7T`, `49WTT` and the like, and the number.
+
+    Scene, a dash, a slash or nothing, shot and T; for wild tracks and slates without a shot the
+    scene and any of the ways to write so. Leading plus signs do not count.
+    """
+    scene = F.regexp_replace(F.substring_index(slate, "/", 1), r"^\++", "")
+    shot = F.get(F.split(slate, "/"), F.lit(1))
+    wild = [gap + way for gap in ("", "-", "/") for way in ("WTT", "WT", "T", "-WTT", "-WT", "-T")]
+    ends = F.when(F.coalesce(shot, F.lit("")).isin("", "WT"), F.array(*map(F.lit, dict.fromkeys(wild)))).otherwise(F.array(*[F.concat(F.lit(gap), shot, F.lit("T")) for gap in ("", "-", "/")]))
+    number = F.when(take.rlike(r"^[0-9]{1,18}$"), take.try_cast("bigint")).otherwise(0)
+    return F.transform(ends, lambda e: F.concat(F.lit("wav:"), F.upper(F.concat(scene, e)), F.lit(":"), number.cast("string")))
+
+
+def sound_file(name: Column) -> Column:
+    """The key of a sound file's name as an array; other files have none."""
+    wav = r"(?i)^\+?(.*T)0*([0-9]{1,18})\.WAV$"
+    key = F.concat(F.lit("wav:"), F.upper(F.regexp_extract(name, wav, 1)), F.lit(":"), F.regexp_extract(name, wav, 2))
+    return F.when(name.rlike(wav), F.array(key)).otherwise(F.array().cast("array<string>"))
 
 
 def _file_keys(media: DataFrame) -> DataFrame:
-    stem = F.array(F.concat(F.lit("stem:"), F.upper(n.clip_stem(F.col("file_name")))))
-    pattern = r"(?i)([A-Z])_0*(\d+)C0*(\d+)(?!\d)"
-    whole = F.regexp_extract_all(F.upper(F.col("file_name")), F.lit(pattern), F.lit(0))
-    numbered = F.transform(whole, lambda m: F.concat_ws(":", F.lit("clip"), F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2), F.regexp_extract(m, pattern, 3)))
-    return media.withColumn("key", F.explode(F.array_union(stem, numbered)))
+    name = F.col("file_name")
+    stem = F.array(F.concat(F.lit("stem:"), F.upper(n.clip_stem(name))))
+    return media.withColumn("key", F.explode(F.array_distinct(F.concat(stem, file_numbers(name, FILE), sound_file(name)))))
+
+
+def existence_findings(witnesses: DataFrame, media: DataFrame) -> DataFrame:
+    """Logged clips without a file, and files that nothing logs, from one table of keys.
+
+    Clips count on days that have an offload. Every key's rows learn whether the other side has
+    the key too; a clip or file that none of its keys brings together is a finding.
+    """
+    logged = witnesses.filter("axis = 'belief'").select(*TAKE, F.coalesce("clip_name", F.lit("")).alias("clip_name")).distinct()
+    files = media.filter("file_name <> ''").select(*DAY, "file_name").distinct()
+    sides = [
+        _logged_keys(logged).select(*DAY, "key", F.lit(False).alias("is_file"), F.struct("slate", "take_id", "clip_name").alias("who"), F.lit(None).cast("string").alias("file_name")),
+        _file_keys(files).select(*DAY, "key", F.lit(True).alias("is_file"), F.lit(None).cast("struct<slate:string,take_id:string,clip_name:string>").alias("who"), "file_name"),
+    ]
+    by_key = Window.partitionBy(*DAY, "key")
+    # a take's sound file is no trace of its clip
+    clips = ~F.col("key").startswith("wav:")
+    rows = sides[0].unionByName(sides[1]).withColumn("met", (F.min("is_file").over(by_key) != F.max("is_file").over(by_key)) & (F.col("is_file") | clips))
+    alone = rows.groupBy(*DAY, "is_file", "who", "file_name").agg(F.bool_or("met").alias("met")).filter("not met")
+    lost = alone.filter("not is_file and who.clip_name <> ''").join(files.select(*DAY).distinct(), DAY, "left_semi")
+    clip = F.concat("who.slate", F.lit(" Take "), "who.take_id", F.lit(" ("), "who.clip_name", F.lit(")"))
+    orphans = alone.filter("is_file and not startswith(file_name, '.')")
+    return finding(lost, clip, "PAPERWORK_WITHOUT_MEDIA", "CRITICAL", F.col("who.clip_name")).unionByName(finding(orphans, F.col("file_name"), "MEDIA_WITHOUT_PAPERWORK", "WARNING", F.lit("")))
 
 
 def paperwork_without_media(witnesses: DataFrame, media: DataFrame) -> DataFrame:
-    """Logged clips with no file, on days that have an offload: an anti-join on derived keys."""
-    logged = witnesses.filter("axis = 'belief' and clip_name <> ''")
-    days = media.select(*DAY).distinct()
-    met = _logged_keys(logged).join(_file_keys(media).select(*DAY, "key").distinct(), [*DAY, "key"], "left_semi").select(*DAY, "clip_name").distinct()
-    missing = logged.join(days, DAY, "left_semi").join(met, [*DAY, "clip_name"], "left_anti")
-    return finding(missing.select(*TAKE, "clip_name").distinct(), take_entity(), "PAPERWORK_WITHOUT_MEDIA", "CRITICAL", F.col("clip_name"))
+    return existence_findings(witnesses, media).filter("finding = 'PAPERWORK_WITHOUT_MEDIA'")
 
 
 def media_without_paperwork(witnesses: DataFrame, media: DataFrame) -> DataFrame:
-    logged = _logged_keys(witnesses.filter("axis = 'belief' and clip_name <> ''")).select(*DAY, "key").distinct()
-    files = media.filter("file_name <> '' and not startswith(file_name, '.')")
-    met = _file_keys(files).join(logged, [*DAY, "key"], "left_semi").select(*DAY, "file_name").distinct()
-    return finding(files.select(*DAY, "file_name").distinct().join(met, [*DAY, "file_name"], "left_anti"), F.col("file_name"), "MEDIA_WITHOUT_PAPERWORK", "WARNING", F.lit(""))
+    return existence_findings(witnesses, media).filter("finding = 'MEDIA_WITHOUT_PAPERWORK'")
 
 
 def awaiting_offload(witnesses: DataFrame, media: DataFrame) -> DataFrame:
@@ -129,8 +206,7 @@ def date_disagreements(dates: DataFrame) -> DataFrame:
 def reconcile(witnesses: DataFrame, media: DataFrame, scenes: DataFrame, ranges: DataFrame, dates: DataFrame) -> DataFrame:
     """All findings of all productions and days."""
     parts = [
-        circled_mismatches(witnesses), timecode_drifts(witnesses), camera_roll_mismatches(witnesses), sound_roll_mismatches(witnesses),
-        paperwork_without_media(witnesses, media), media_without_paperwork(witnesses, media), awaiting_offload(witnesses, media),
+        take_findings(witnesses), timecode_drifts(witnesses), existence_findings(witnesses, media), awaiting_offload(witnesses, media),
         scene_findings(scenes, witnesses), slates_outside_range(witnesses, ranges), date_disagreements(dates),
     ]
     out = parts[0]
@@ -148,10 +224,9 @@ def with_resolutions(findings: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 
 def unified_marks(witnesses: DataFrame) -> DataFrame:
-    """A mark on any row of a document's take holds for all its rows."""
-    keys = ["production_id", "doc_id", "slate", "take_id"]
-    marks = witnesses.groupBy(*keys).agg(F.bool_or(F.coalesce("starred", F.lit(False))).alias("marked"), F.count("*").alias("rows"))
-    return marks.filter("marked")
+    """Every row, with the mark that any row of its document gives the take."""
+    marks = witnesses.filter("starred").select("production_id", "doc_id", "slate", "take_id").distinct().withColumn("marked", F.lit(True))
+    return witnesses.join(marks, ["production_id", "doc_id", "slate", "take_id"], "left").withColumn("starred", F.coalesce("marked", "starred")).drop("marked")
 
 
 def witness_author(department: Column, camera_roll: Column) -> Column:

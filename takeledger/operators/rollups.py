@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from takeledger.functions import normalize as n
 from takeledger.operators import analytics as a
-from takeledger.operators.reconcile import _file_keys, _logged_keys, with_resolutions
+from takeledger.operators.reconcile import LOOSE_CLIP, LOOSE_FILE, camera_of, clip_number, file_numbers, sound_file, wav_names
 
 P = "production_id"
 DAY = [P, "shoot_day"]
@@ -24,29 +24,98 @@ def in_shooting_order(days: Column) -> Column:
     return F.transform(F.array_sort(F.transform(days, shooting_order)), lambda x: x["day"])
 
 
+def _plain_take(take: Column) -> Column:
+    """A take's number, or its text without marks."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(take, F.lit("")), "VFX|PK", ""), "FC", "FALSE"))
+    return F.when(bare.rlike("^[0-9]{1,18}$"), bare.try_cast("bigint").cast("string")).otherwise(F.upper(bare))
+
+
+def _parts_of(name: Column) -> Column:
+    """All runs of whole parts of a name, parts being what separators part."""
+    pieces = F.regexp_extract_all(name, F.lit(r"[^_\-. ]+|[_\-. ]"), F.lit(0))
+    spans = lambda p: F.flatten(F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.transform(F.sequence(i, F.size(p)), lambda j: F.array_join(F.slice(p, i, j - i + 1), ""))))
+    return F.when(F.size(pieces) > 0, F.array_distinct(spans(pieces))).otherwise(F.array().cast("array<string>"))
+
+
 def match_take_media(takes: DataFrame, media: DataFrame) -> DataFrame:
-    """Files of each take by clip name; a different roll vetoes a match but never makes one."""
-    files = _file_keys(media).select(*DAY, "key", "file_name", F.col("camera_roll").alias("file_roll"))
-    logged = _logged_keys(takes.filter("clip_name <> ''")).select(*TAKE, "key", "camera_roll")
-    met = logged.join(files, [*DAY, "key"])
-    conflict = (F.coalesce("file_roll", F.lit("")) != "") & (F.coalesce("camera_roll", F.lit("")) != "") & (n.camera_roll(F.col("file_roll")) != n.camera_roll(F.col("camera_roll")))
-    return met.filter(~conflict).select(*TAKE, "file_name").distinct()
+    """Files of each take, by any of three ways.
+
+    What the volume reports of the file: scene, take and a shot that says more than the scene (a
+    slate without a shot needs none), unless both sides name different rolls. The clip's name:
+    camera, roll and number, or the whole name as parts of the file's. The name of a sound file.
+    """
+    scene = lambda c: F.upper(F.regexp_replace(c, r"^\++", ""))
+    name, slate = F.col("file_name"), F.col("slate")
+    shot = F.get(F.split(slate, "/"), F.lit(1))
+    by_shot = F.concat_ws(":", F.lit("shot"), scene(F.substring_index(slate, "/", 1)), _plain_take(F.col("take_id")), F.upper(F.coalesce(shot, F.lit(""))))
+    clip = F.when(F.col("clip_name") != "", F.concat(F.lit("part:"), "clip_name"))
+    sound = F.when(_plain_take(F.col("take_id")).rlike("^[0-9]+$"), wav_names(slate, _plain_take(F.col("take_id")))).otherwise(F.array().cast("array<string>"))
+    keys = F.concat(F.array_compact(F.array(by_shot, clip, clip_number(F.col("clip_name"), LOOSE_CLIP))), sound)
+    logged = takes.select(*TAKE, F.coalesce("clip_name", F.lit("")).alias("clip_name"), F.upper(F.coalesce("camera_roll", F.lit(""))).alias("roll")).distinct()
+    logged = logged.withColumn("key", F.explode(F.array_distinct(keys)))
+    informative = F.coalesce("shot", F.lit("")) != ""
+    informative = informative & ~F.upper("shot").isin(F.upper("scene"), scene(F.col("scene")))
+    reported = F.concat_ws(":", F.lit("shot"), scene(F.col("scene")), _plain_take(F.col("take_id")))
+    shots = F.array(F.concat(reported, F.lit(":")), F.when(informative, F.concat(reported, F.lit(":"), F.upper(F.substring_index("shot", "/", -1)))))
+    known = F.when((F.coalesce("scene", F.lit("")) != "") & (F.coalesce("take_id", F.lit("")) != ""), F.array_compact(shots)).otherwise(F.array().cast("array<string>"))
+    parts = F.transform(_parts_of(name), lambda x: F.concat(F.lit("part:"), x))
+    files = media.filter("file_name <> ''").select(*DAY, "file_name", F.upper(F.coalesce("camera_roll", F.lit(""))).alias("file_roll"), F.explode(F.array_distinct(F.concat(known, parts, file_numbers(name, LOOSE_FILE), sound_file(name)))).alias("key"))
+    conflict = F.col("key").startswith("shot:") & (F.col("roll") != "") & (F.col("file_roll") != "") & (F.col("roll") != F.col("file_roll"))
+    return logged.join(files, [*DAY, "key"]).filter(~conflict).select(*TAKE, "file_name").distinct()
+
+
+#: Endings of sound files.
+SOUND_FILES = r"(?i)\.(wav|mp3|aif|aiff|bwf)$"
 
 
 def take_rollup(witnesses: DataFrame, media: DataFrame) -> DataFrame:
-    """Cards, marks, documents and files of each take, with slates as they normalise."""
-    said = witnesses.withColumn("slate", n.slate(F.col("slate")))
-    cards = F.when(F.col("camera_roll") != "", F.col("camera_roll"))
-    rows = said.groupBy(*TAKE).agg(F.count("*").alias("claims"), F.array_join(F.sort_array(F.collect_set(cards)), ",").alias("cards"), F.bool_or(F.coalesce("starred", F.lit(False))).alias("starred"), F.countDistinct("doc_id").alias("documents"), F.countDistinct("department").alias("departments"))
-    files = match_take_media(said, media).groupBy(*TAKE).agg(F.countDistinct("file_name").alias("files"))
-    return rows.join(files, TAKE, "left").withColumn("files", F.coalesce("files", F.lit(0)))
+    """One row a take, with slates as they normalise.
+
+    Cards, angles (cameras), documents, marks that any row has, what each department said last,
+    and the picture and sound files with their volumes.
+    """
+    said = witnesses.withColumn("slate", n.slate(F.col("slate"))).withColumn("mark", n.take(F.col("raw_take")))
+    card = F.when(F.col("camera_roll") != "", F.col("camera_roll"))
+    any_ = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
+    last = lambda d: F.max(F.when(F.col("department") == d, F.struct("seq", F.concat_ws(" ", "camera_roll", "sound_roll", "timecode_in").alias("said"))))["said"].alias(f"{d}_said")
+    rows = said.groupBy(*TAKE).agg(
+        F.count("*").alias("claims"), a.joined_set(card).alias("cards"), a.joined_set(camera_of(card), when=card.isNotNull()).alias("angles"),
+        any_(F.col("starred")).alias("starred"), any_(F.col("mark.vfx")).alias("vfx"), any_(F.col("mark.pickup")).alias("pickup"),
+        a.joined_set("doc_id").alias("documents"), F.size(F.collect_set("department")).alias("departments"), *map(last, ("camera", "sound", "script")),
+    )
+    volumes = media.select(*DAY, "file_name", "volume").distinct()
+    sound = F.col("file_name").rlike(SOUND_FILES)
+    files = match_take_media(said, media).join(volumes, [*DAY, "file_name"]).groupBy(*TAKE, "file_name").agg(F.collect_set("volume").alias("v"))
+    files = files.groupBy(*TAKE).agg(F.count_if(~sound).alias("video_files"), F.count_if(sound).alias("audio_files"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("v")))), ",").alias("volumes"))
+    return rows.join(files, TAKE, "left").fillna(0, ["video_files", "audio_files"]).fillna("", ["volumes"])
 
 
 def sequence_rollup(witnesses: DataFrame) -> DataFrame:
-    """A scene's cards, takes and circled takes over all its days."""
-    said = witnesses.withColumn("slate", n.slate(F.col("slate")))
-    circled = F.when(F.col("starred"), F.concat("slate", F.lit(":"), "take_id"))
-    return said.groupBy(P, "scene").agg(F.countDistinct("slate", "take_id").alias("takes"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("camera_roll") != "", F.col("camera_roll")))), ",").alias("cards"), F.countDistinct(circled).alias("circled"), F.array_join(in_shooting_order(F.collect_set("shoot_day")), ",").alias("days"))
+    """One row a scene over all its days.
+
+    Cards, takes, the list of circled ones, marks, documents, the two commonest notes of the
+    script department and its first three different ones, by arrival. Takes are combined before
+    they are counted.
+    """
+    said = witnesses.withColumn("slate", n.slate(F.col("slate"))).withColumn("mark", n.take(F.col("raw_take")))
+    take = F.concat("slate", F.lit(":"), "take_id")
+    card = F.when(F.col("camera_roll") != "", F.col("camera_roll"))
+    each = said.groupBy(P, "scene", take.alias("take")).agg(
+        F.bool_or(F.coalesce("starred", F.lit(False))).alias("starred"), F.bool_or(F.coalesce("mark.vfx", F.lit(False))).alias("vfx"), F.bool_or(F.coalesce("mark.pickup", F.lit(False))).alias("pickup"),
+        F.collect_set(card).alias("cards"), F.collect_set("shoot_day").alias("days"), F.collect_set("doc_id").alias("docs"),
+    )
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    rows = each.groupBy(P, "scene").agg(
+        F.count("*").alias("takes"), F.count_if(F.col("starred")).alias("circled"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("starred"), F.col("take")))), ",").alias("circled_takes"),
+        F.bool_or("vfx").alias("vfx"), F.bool_or("pickup").alias("pickup"), F.array_join(F.array_sort(union("cards")), ",").alias("cards"),
+        F.array_join(in_shooting_order(union("days")), ",").alias("days"), F.array_join(F.array_sort(union("docs")), ",").alias("documents"),
+    )
+    notes = said.filter("department = 'script' and note <> ''").groupBy(P, "scene", "note").agg(F.count("*").alias("times"), F.min("seq").alias("seq"))
+    place = lambda *by: F.row_number().over(Window.partitionBy(P, "scene").orderBy(*by))
+    notes = notes.withColumn("common", place(F.desc("times"), "note")).withColumn("early", place("seq", "note")).filter("common <= 2 or early <= 3")
+    listed = lambda c, most: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c) <= most, F.struct(c, "note")))), lambda x: x["note"]), "; ")
+    notes = notes.groupBy(P, "scene").agg(listed("common", 2).alias("descriptions"), listed("early", 3).alias("comments"))
+    return rows.join(notes, [P, "scene"], "left").fillna("", ["descriptions", "comments"])
 
 
 def sequence_shoot_days(witnesses: DataFrame) -> DataFrame:
@@ -167,5 +236,3 @@ def rebuilt(trails: dict[str, DataFrame], path: str) -> DataFrame:
         out = count if out is None else out.union(count)
     return out
 
-
-apply_resolutions = with_resolutions

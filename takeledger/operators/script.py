@@ -30,7 +30,7 @@ def relationships(lines: DataFrame) -> DataFrame:
     cast = lines.select("script_id", "scene", "speaker").distinct()
     pairs = cast.withColumnRenamed("speaker", "a").join(cast.withColumnRenamed("speaker", "b"), ["script_id", "scene"]).filter("a < b").groupBy("script_id", "a", "b").agg(F.count("*").alias("shared_scenes"))
     turns = turn_adjacency(lines).filter("previous is not null and previous <> speaker").groupBy("script_id", F.least("speaker", "previous").alias("a"), F.greatest("speaker", "previous").alias("b")).agg(F.count("*").alias("turns"))
-    strength = F.when(F.col("turns") >= STRONG_TURNS, "strong").when(F.col("turns") > 0, "present").otherwise("scene only")
+    strength = F.when(F.col("turns") >= STRONG_TURNS, "Principal Dialogue Counterpart").when(F.col("turns") > 0, "Key Dialogue Counterpart").otherwise("Shared Scene Presence")
     return pairs.join(turns, ["script_id", "a", "b"], "left").withColumn("turns", F.coalesce("turns", F.lit(0))).withColumn("strength", strength)
 
 
@@ -65,9 +65,85 @@ def shot_segments(lines: DataFrame) -> DataFrame:
     return lines.withColumn("segment", F.sum(n.is_transition(F.col("line")).cast("int")).over(w))
 
 
-def pronoun_tally(lines: DataFrame) -> DataFrame:
-    """Pronouns near each speaker, and what most of them say."""
-    t = F.lower("line")
-    counts = lines.groupBy("script_id", "speaker").agg(*[F.sum(F.regexp_count(t, F.lit(p))).alias(k) for k, p in (("she", r"\b(she|her|hers)\b"), ("he", r"\b(he|him|his)\b"), ("they", r"\b(they|them|their)\b"))])
-    label = F.when((F.col("she") > F.col("he")) & (F.col("she") > F.col("they")), "female").when((F.col("he") > F.col("she")) & (F.col("he") > F.col("they")), "male").when((F.col("they") > F.col("she")) & (F.col("they") > F.col("he")), "non-binary").otherwise("")
-    return counts.withColumn("label", label)
+#: Words of a description that tell, and what each of them says; the first that holds any wins.
+WOMAN = ["woman", "female", "girl", "lady", "she", "her", "actress", "mother", "sister", "daughter"]
+MAN = ["man", "male", "guy", "boy", "gentleman", "he", "his", "him", "actor", "father", "brother", "son"]
+NEITHER = ["non-binary", "androgynous", "gender-non-conforming"]
+#: Traits and the pieces of speech that hint at them.
+TRAITS = {
+    "Commanding": ["must", "now", "order", "stand", "step", "move", "stop"],
+    "Inquisitive": ["who", "what", "why", "where", "how", "?"],
+    "Guarded": ["careful", "listen", "wait", "quiet", "don't"],
+    "Urgent": ["hurry", "quick", "run", "late", "!"],
+}
+#: A name in capitals with an appositive, and an age in it.
+DESCRIPTOR = r"\b([A-Z][A-Z0-9'\-]*(?:\s+[A-Z][A-Z0-9'\-]*){0,3})\s*,\s*([^.;]{3,120})"
+AGE = r"(?i)\b((?:early|mid|late)[\s-]+\d{2}s|\d{2}s|\d{1,2}\s*(?:years old|yo)|aged?\s*\d{1,2})\b"
+
+
+def _holds_any(text: Column, words: list[str]) -> Column:
+    return F.exists(F.lit(words), lambda w: F.contains(text, w))
+
+
+def pronoun_tally(lines: DataFrame, actions: DataFrame, described: DataFrame | None = None) -> DataFrame:
+    """Pronouns in the action lines that name a character, of scenes it speaks in, and the label.
+
+    The label is what the character's description says, if it says anything, and otherwise the
+    pronoun that is commonest. actions: script_id, scene, action; described: script_id, speaker,
+    description.
+    """
+    cast = lines.select("script_id", "scene", "speaker").filter("speaker <> ''").distinct()
+    kinds = {"she": r"\b(she|her|hers)\b", "he": r"\b(he|him|his)\b", "they": r"\b(they|them|their)\b"}
+    said = actions.select("script_id", "scene", F.upper("action").alias("named"), *[F.regexp_count(F.lower("action"), F.lit(p)).alias(k) for k, p in kinds.items()])
+    near = cast.join(said, ["script_id", "scene"]).filter(F.contains("named", F.upper("speaker"))).groupBy("script_id", "speaker").agg(*[F.sum(k).alias(k) for k in kinds])
+    counts = cast.select("script_id", "speaker").distinct().join(near, ["script_id", "speaker"], "left").fillna(0, [*kinds])
+    most = lambda k: F.expr(" and ".join(f"{k} > {o}" for o in kinds if o != k))
+    label = F.when(most("she"), "woman").when(most("he"), "man").when(most("they"), "non-binary").otherwise("")
+    if described is not None:
+        counts = counts.join(described.select("script_id", "speaker", F.lower("description").alias("d")), ["script_id", "speaker"], "left")
+        told = F.coalesce("d", F.lit(""))
+        label = F.when(_holds_any(told, WOMAN), "woman").when(_holds_any(told, MAN), "man").when(_holds_any(told, NEITHER), "non-binary").otherwise(label)
+    return counts.withColumn("label", label).drop("d")
+
+
+def trait_hints(lines: DataFrame) -> DataFrame:
+    """(script_id, speaker, traits): the traits that a character's own lines hint at, in order."""
+    own = lines.groupBy("script_id", "speaker").agg(*[F.bool_or(_holds_any(F.lower("line"), words)).alias(t) for t, words in TRAITS.items()])
+    traits = F.array_compact(F.array(*[F.when(F.col(t), t) for t in TRAITS]))
+    return own.select("script_id", "speaker", F.array_join(traits, ",").alias("traits"))
+
+
+def descriptors(lines: DataFrame, actions: DataFrame) -> DataFrame:
+    """(script_id, speaker, full_name, description, age): how the script introduces each speaker.
+
+    The first action line that has the name in capitals and an appositive; a full name in the
+    action belongs to the cue that begins it. actions: script_id, scene, place, action.
+    """
+    told = actions.select("script_id", "scene", "place", F.posexplode(F.regexp_extract_all("action", F.lit(DESCRIPTOR), F.lit(0))).alias("at", "m"))
+    told = told.select("script_id", "scene", "place", "at", F.trim(F.regexp_extract("m", DESCRIPTOR, 1)).alias("full_name"), F.rtrim(F.regexp_replace(F.trim(F.regexp_extract("m", DESCRIPTOR, 2)), ",+$", "")).alias("description"))
+    told = told.filter(~n.is_no_character(F.col("full_name")))
+    cues = lines.select("script_id", "speaker").distinct().withColumn("first_word", F.substring_index("speaker", " ", 1))
+    told = told.withColumn("first_word", F.substring_index("full_name", " ", 1))
+    same = (F.col("full_name") == F.col("speaker")) | F.col("full_name").startswith(F.concat("speaker", F.lit(" "))) | F.col("speaker").startswith(F.concat("full_name", F.lit(" ")))
+    met = told.join(cues, ["script_id", "first_word"]).filter(same)
+    first = met.groupBy("script_id", "speaker").agg(F.min_by(F.struct("full_name", "description"), F.struct("scene", "place", "at")).alias("d"))
+    return first.select("script_id", "speaker", "d.full_name", "d.description", F.regexp_extract("d.description", AGE, 1).alias("age"))
+
+
+def character_evidence(lines: DataFrame, actions: DataFrame, headings: DataFrame, most: int = 5, settings: int = 8) -> DataFrame:
+    """(script_id, speaker, said, done, settings, silent): what a script has on each character.
+
+    The first lines it says, the first action lines of any scene that name it, the different
+    settings of its scenes in order, and whether it appears in actions but never speaks.
+    headings: script_id, scene, setting, speaker (who appears in the scene).
+    """
+    named = headings.select("script_id", "speaker").filter("speaker <> ''").distinct()
+    by = lambda *o: F.row_number().over(Window.partitionBy("script_id", "speaker").orderBy(*o))
+    join = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", c))), lambda x: x[c]), "|")
+    said = lines.withColumn("k", by("scene", "place")).filter(F.col("k") <= most).groupBy("script_id", "speaker").agg(join("line").alias("said"))
+    acts = headings.select("script_id", "scene", "speaker").distinct().join(actions, ["script_id", "scene"]).filter(F.contains(F.upper("action"), F.upper("speaker")))
+    done = acts.withColumn("k", by("scene", "place")).filter(F.col("k") <= most).groupBy("script_id", "speaker").agg(join("action").alias("done"))
+    where = headings.groupBy("script_id", "speaker", "setting").agg(F.min("scene").alias("scene"))
+    where = where.withColumn("k", by("scene", "setting")).filter(F.col("k") <= settings).groupBy("script_id", "speaker").agg(join("setting").alias("settings"))
+    out = named.join(said, ["script_id", "speaker"], "left").join(done, ["script_id", "speaker"], "left").join(where, ["script_id", "speaker"], "left")
+    return out.fillna("", ["said", "done", "settings"]).withColumn("silent", (F.col("said") == "") & (F.col("done") != ""))

@@ -2,41 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takeledger.functions import normalize as n
 from takeledger.operators import analytics as a
+from takeledger.operators.ledger import first_value, latest
 
 P = "production_id"
 DAY = [P, "shoot_day"]
 
 
 def rank_blockers(snapshots: DataFrame, events: DataFrame, activity: DataFrame, now: str, top: int = 10) -> DataFrame:
-    """Open findings and unacknowledged open requirements of each production, worst first.
+    """Open findings and unacknowledged open requirements of each production and day, worst first.
 
-    Score: 90, 60 or 25 by severity, 20 without acknowledgement, a point a day of age up to 14,
-    8 for a requirement.
+    Score: 90, 60 or 25 by severity and a point a day of age up to 14; a requirement is CRITICAL
+    or else a WARNING, and gets 20 as it waits for acknowledgement and 8 as a requirement. Ties go
+    by priority, label and key, all as text.
     """
     moment = F.lit(now).cast("timestamp")
-    base = lambda c: F.when(c == "CRITICAL", 90.0).when(c == "WARNING", 60.0).otherwise(25.0)
     days = lambda c: F.least(F.lit(14.0), n.hours_between(c, moment) / 24)
-    findings = a.current_findings(snapshots).filter("not resolved").select(P, F.lit("finding").alias("source"), F.concat_ws(":", "shoot_day", "finding", "entity_id").alias("key"), F.round(base(F.col("severity")) + 20 + days(F.col("created_at")), 2).alias("score"))
-    severity = F.when(F.col("priority") == "critical", "CRITICAL").when(F.col("priority") == "high", "WARNING").otherwise("INFO")
-    waiting = a.unacknowledged(events, activity).filter("status in ('open', 'in_progress', 'blocked')").select(P, F.lit("requirement").alias("source"), F.col("requirement_id").alias("key"), F.round(base(severity) + 28 + days(F.col("raised_at")), 2).alias("score"))
-    w = Window.partitionBy(P).orderBy(F.desc("score"), "source", "key")
+    severity = F.col("severity")
+    base = F.when(severity == "CRITICAL", 90.0).when(severity == "WARNING", 60.0).otherwise(25.0)
+    priority = F.when(severity == "CRITICAL", "critical").when(severity == "WARNING", "high").otherwise("medium")
+    target = F.when(F.contains("finding", F.lit("SCENE")), "Scene").when(F.contains("finding", F.lit("SLATE")), "Shot").otherwise("Take")
+    findings = a.current_findings(snapshots).filter("not resolved").select(
+        *DAY, F.lit("finding").alias("source"), F.concat_ws(":", F.lit("discrepancy"), "finding", "entity_id").alias("key"), F.concat_ws(" ", target, "entity_id").alias("label"), priority.alias("priority"),
+        F.round(base + days(F.col("created_at")), 2).alias("score"),
+    )
+    raised_on = events.groupBy(P, "requirement_id").agg(first_value("shoot_day", ["created_at", "event_id"]).alias("shoot_day"))
+    level = F.when(F.col("priority") == "critical", 90.0).otherwise(60.0)
+    known = F.when(F.col("priority").isin("low", "medium", "high", "critical"), F.col("priority")).otherwise("medium")
+    waiting = a.unacknowledged(events, activity).filter("status in ('open', 'in_progress', 'blocked')").join(raised_on, [P, "requirement_id"]).select(
+        *DAY, F.lit("requirement").alias("source"), F.concat(F.lit("requirement:"), "requirement_id", F.lit(":unacknowledged")).alias("key"), F.concat_ws(" ", F.lit("Requirement"), "requirement_id").alias("label"), known.alias("priority"),
+        F.round(level + 28 + days(F.col("raised_at")), 2).alias("score"),
+    )
+    w = Window.partitionBy(*DAY).orderBy(F.desc("score"), "priority", "label", "key")
     return findings.unionByName(waiting).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-def candidate_scenes(witnesses: DataFrame, snapshots: DataFrame, blocked: DataFrame) -> DataFrame:
-    """Scenes with three reasons and an offload, no open finding and no blocker, by clean score."""
+def blocked_scenes(events: DataFrame) -> DataFrame:
+    """(P, scene) of requirements that are not resolved; their target is a scene, or begins with one."""
+    scene = F.when(F.col("target_type") == "scene", F.col("target_id")).otherwise(F.substring_index("target_id", "/", 1))
+    return latest(events, [P, "requirement_id"], ["created_at", "event_id"]).filter("status <> 'resolved'").select(P, scene.alias("scene")).filter("scene <> ''")
+
+
+def candidate_scenes(witnesses: DataFrame, snapshots: DataFrame, blocked: DataFrame, queued: DataFrame, top: int = 100) -> DataFrame:
+    """Scenes with three reasons and material on disk, by clean score, the first `top`.
+
+    Scenes with an open finding, blocked by a requirement or queued already are left out. blocked
+    and queued: P, scene.
+    """
     seen = a.scene_evidence(witnesses)
-    reasons = sum((F.col(c).cast("int") for c in ("has_script", "has_camera", "has_sound", "has_dit")), F.lit(0)) + (F.col("circled") > 0).cast("int")
-    score = F.col("takes") * 4 + F.col("documents") * 2 + F.col("circled") * 18 + F.col("has_script").cast("int") * 12 + F.col("has_camera").cast("int") * 12 + F.col("has_sound").cast("int") * 8 + F.col("has_dit").cast("int") * 20
+    is_ = lambda c: F.col(c).cast("int")
+    reasons = is_("has_script") + is_("has_camera") + (F.col("has_sound") | F.col("has_wild")).cast("int") + is_("has_existence") + (F.col("circled") > 0).cast("int")
+    score = F.col("takes") * 4 + F.col("documents") * 2 + F.col("circled") * 18 + is_("has_script") * 12 + is_("has_camera") * 12 + is_("has_sound") * 8 + is_("has_existence") * 20 - is_("has_vfx") * 6
     open_ = a.current_findings(snapshots).filter("not resolved").select(P, F.substring_index("entity_id", "/", 1).alias("scene"))
-    clean = seen.filter((reasons >= 3) & F.col("has_dit")).join(open_.union(blocked.select(P, "scene")).distinct(), [P, "scene"], "left_anti")
+    taken = open_.union(blocked.select(P, "scene")).union(queued.select(P, "scene")).distinct()
+    clean = seen.filter((F.col("takes") > 0) & (reasons >= 3) & F.col("has_existence")).join(taken, [P, "scene"], "left_anti").withColumn("score", score)
     w = Window.partitionBy(P).orderBy(F.desc("score"), F.desc("circled"), F.desc("takes"), "scene")
-    return clean.withColumn("score", score).select(P, "scene", "takes", "circled", "documents", "score", F.row_number().over(w).alias("rank"))
+    return clean.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select(P, "scene", "takes", "circled", "documents", "score", "rank")
 
 
 def assigned(candidates: DataFrame, load: DataFrame, top: int) -> DataFrame:
@@ -50,12 +75,33 @@ def assigned(candidates: DataFrame, load: DataFrame, top: int) -> DataFrame:
     return candidates.filter(F.col("rank") <= top).join(slots.select(P, "rank", "handle"), [P, "rank"])
 
 
-def crew_workload(crew: DataFrame, events: DataFrame) -> DataFrame:
-    """Open requirements of every crew member; unknown handles are external, none unassigned."""
+#: Priorities from the most urgent.
+PRIORITIES = ["critical", "high", "medium", "low"]
+
+
+def _urgency(priority: Column) -> Column:
+    return F.coalesce(F.array_position(F.lit(PRIORITIES), priority), F.lit(0)).cast("int")
+
+
+def crew_workload(crew: DataFrame, events: DataFrame, most: int = 5) -> DataFrame:
+    """Open requirements of every crew member; unknown handles are external, none unassigned.
+
+    With the latest change and the current items: the `most` first by priority, then the newest.
+    """
     open_ = a.latest_requirements(events).filter("status <> 'resolved'").withColumn("handle", n.handle(F.col("assignee"), "@unassigned"))
+    rank = F.when(_urgency(F.col("priority")) == 0, 9).otherwise(_urgency(F.col("priority")))
+    place = F.row_number().over(Window.partitionBy("handle").orderBy(rank, F.desc("updated_at"), "requirement_id"))
+    first = open_.withColumn("place", place).filter(F.col("place") <= most).groupBy("handle").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "requirement_id"))), lambda x: x["requirement_id"]), ",").alias("current"))
     load = open_.groupBy("handle").agg(F.count("*").alias("open"), F.count_if(F.expr("status = 'blocked'")).alias("blocked"), F.max("updated_at").alias("last_change"))
     kind = F.when(F.col("role").isNotNull(), "crew").when(F.col("handle") == "@unassigned", "unassigned").otherwise("external")
-    return crew.select(n.handle(F.col("handle")).alias("handle"), "role").join(load, "handle", "full").select("handle", kind.alias("kind"), F.coalesce("open", F.lit(0)).alias("open"), F.coalesce("blocked", F.lit(0)).alias("blocked"))
+    members = crew.select(n.handle(F.col("handle")).alias("handle"), "role").join(load.join(first, "handle"), "handle", "full")
+    return members.select("handle", kind.alias("kind"), F.coalesce("open", F.lit(0)).alias("open"), F.coalesce("blocked", F.lit(0)).alias("blocked"), "last_change", F.coalesce("current", F.lit("")).alias("current"))
+
+
+def workload_order(load: DataFrame, most: int = 50) -> DataFrame:
+    """The members with the most open work first; ties by handle."""
+    w = Window.orderBy(F.desc("open"), "handle")
+    return load.orderBy(F.desc("open"), "handle").limit(most).withColumn("place", F.row_number().over(w))
 
 
 def missing_paperwork(events: DataFrame) -> DataFrame:
@@ -65,20 +111,41 @@ def missing_paperwork(events: DataFrame) -> DataFrame:
     return due.join(filed, [*DAY, "department"], "left_anti")
 
 
-def setup_gaps(productions: DataFrame, crew: DataFrame, events: DataFrame) -> DataFrame:
-    """Productions without active crew or without any event."""
-    lacks = lambda other, what: productions.select(P).join(other.select(P).distinct(), P, "left_anti").withColumn("missing", F.lit(what))
-    return lacks(crew, "crew").union(lacks(events, "events"))
+def setup_gaps(productions: DataFrame, crew: DataFrame, events: DataFrame, scripts: DataFrame) -> DataFrame:
+    """Productions without active crew, without any event, or without a script."""
+    lacks = lambda other, what: productions.select(P).distinct().join(other.select(P).distinct(), P, "left_anti").withColumn("missing", F.lit(what))
+    return lacks(crew, "crew").union(lacks(events, "events")).union(lacks(scripts, "script"))
 
 
-def editorial_progress(known: DataFrame, tags: DataFrame) -> DataFrame:
-    """Known scenes against their tags: by status, without one, and tagged but unknown."""
-    from takeledger.operators.ledger import latest
+def editorial_progress(known: DataFrame, tags: DataFrame, statuses: list[str]) -> DataFrame:
+    """Known targets against their tags: how many have each status (zeros included), none, or a
+    tag without being known, and how many still owe each need.
 
-    now = latest(tags.filter("target_type = 'scene'"), [P, "target_id"], ["created_at", "event_id"]).filter("action <> 'cleared' and status <> ''")
-    both = known.select(P, F.col("scene").alias("target_id"), F.lit(1).alias("known")).distinct().join(now.select(P, "target_id", "status"), [P, "target_id"], "full")
+    known: P, target_type, target_id. Rows: P, target_type, kind (state, need), value, targets.
+    """
+    now = latest(tags, [P, "target_type", "target_id"], ["created_at", "event_id"]).filter("action <> 'cleared'")
+    key = [P, "target_type", "target_id"]
+    both = known.select(*key).distinct().withColumn("known", F.lit(1)).join(now.filter("status <> ''").select(*key, "status"), key, "full")
     state = F.when(F.col("known").isNull(), "tagged_but_unknown").otherwise(F.coalesce("status", F.lit("no_status")))
-    return both.groupBy(P, state.alias("state")).agg(F.count("*").alias("scenes"))
+    counts = both.groupBy(P, "target_type", F.lit("state").alias("kind"), state.alias("value")).agg(F.count("*").alias("targets"))
+    grid = both.select(P, "target_type").distinct().select(P, "target_type", F.lit("state").alias("kind"), F.explode(F.lit([*statuses, "no_status", "tagged_but_unknown"])).alias("value"))
+    states = grid.join(counts, [P, "target_type", "kind", "value"], "full").fillna(0, ["targets"])
+    owed = now.filter("status <> 'done'").select(P, "target_type", F.lit("need").alias("kind"), F.explode(F.split("needs", ",")).alias("value")).filter("value <> ''")
+    return states.unionByName(owed.groupBy(P, "target_type", "kind", "value").agg(F.count("*").alias("targets")))
+
+
+def listed(rows: DataFrame, order: list[str], most: int, **wanted: object) -> DataFrame:
+    """Rows with all the wanted values, newest first by `order`, the first `most`.
+
+    A value for a column of text is compared without case; for a comma-separated list column
+    (needs, descriptors) it has to be among them; None asks for nothing.
+    """
+    for c, value in wanted.items():
+        if value is not None:
+            text = F.lower(F.col(c).cast("string"))
+            same = text == F.lit(str(value).lower())
+            rows = rows.filter(F.array_contains(F.split(text, ","), str(value).lower()) if c in ("needs", "descriptors") else same)
+    return rows.orderBy(*[F.desc(c) for c in order]).limit(most)
 
 
 def take_requirements(takes: DataFrame, requirements: DataFrame) -> DataFrame:
@@ -90,8 +157,18 @@ def take_requirements(takes: DataFrame, requirements: DataFrame) -> DataFrame:
     return joined.groupBy(P, "slate", "take_id").agg(F.count_if(F.expr("status <> 'resolved'")).alias("open"), F.count_if(F.expr("status = 'resolved'")).alias("resolved"))
 
 
+#: Subscriptions that are broadcast at most.
+BROADCAST_SUBSCRIPTIONS = 100_000
+
+
 def live_events(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Changes that each subscription asks for; ALL stands for any production or day."""
-    e, s = events.alias("e"), F.broadcast(subscriptions).alias("s")
-    wanted = ((F.col("s.production_id") == "ALL") | (F.col("s.production_id") == F.col("e.production_id"))) & ((F.col("s.shoot_day") == "ALL") | (F.col("s.shoot_day") == F.col("e.shoot_day")))
-    return e.join(s, wanted).select("s.subscription", "e.*")
+    """Changes that each subscription asks for; ALL stands for any production or day.
+
+    An event is looked up under the four keys that can ask for it, so that many subscriptions
+    are an equi-join.
+    """
+    either = lambda c: F.array(F.lit("ALL"), F.col(c))
+    asked = events.withColumn("p", F.explode(either(P))).withColumn("d", F.explode(either("shoot_day")))
+    s = subscriptions.select("subscription", F.col(P).alias("p"), F.col("shoot_day").alias("d"))
+    s = F.broadcast(s) if s.limit(BROADCAST_SUBSCRIPTIONS + 1).count() <= BROADCAST_SUBSCRIPTIONS else s
+    return asked.join(s, ["p", "d"]).select("subscription", *events.columns)

@@ -26,7 +26,7 @@ def query(name: str, tables: str, job: Callable[..., DataFrame], sql: str | None
     names = tables.split()
     QUERIES[name] = lambda spark, d: job(*[frame(spark, d, t) for t in names])
     if sql is not None:
-        text = cte(*names)
+        text, sql = cte(*names), sql.lstrip()
         # further WITH parts of the oracle follow the adapters'
         ORACLES[name] = text.rstrip() + sql[len("WITH"):].join((",", "")) if sql.startswith("WITH") else text + sql
 
@@ -40,6 +40,7 @@ _FINDINGS = "WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION
 _REQUIREMENTS = "WITH req AS (SELECT production_id, requirement_id, status, priority, assignee, action, raised_at, created_at AS updated_at FROM (SELECT *, row_number() OVER (PARTITION BY production_id, requirement_id ORDER BY created_at DESC, event_id DESC) AS rn, min(created_at) OVER (PARTITION BY production_id, requirement_id) AS raised_at FROM requirement_events) WHERE rn = 1), acked AS (SELECT DISTINCT target_id FROM user_activity WHERE action = 'acknowledged') "
 _REQ_ONLY = _REQUIREMENTS[: _REQUIREMENTS.index(", acked AS")] + " "
 _TAGS = "WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY production_id, target_type, target_id ORDER BY created_at DESC, event_id DESC) AS rn FROM tag_events) WHERE rn = 1) "
+_REQ_TARGETS = "req AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY production_id, requirement_id ORDER BY created_at DESC, event_id DESC) AS rn FROM requirement_events) WHERE rn = 1)"
 _DAYS = "production_id, shoot_day"
 _RAISED = ", raised AS (SELECT production_id, requirement_id, shoot_day FROM (SELECT *, row_number() OVER (PARTITION BY production_id, requirement_id ORDER BY created_at, event_id) AS rn FROM requirement_events) WHERE rn = 1) "
 
@@ -71,25 +72,59 @@ query("take_throughput", "witness", a.take_throughput, f"SELECT {_DAYS}, camera_
 query("discrepancy_age", "findings", lambda f: a.discrepancy_age(f, NOW), _FINDINGS + f", g AS (SELECT *, round_even(greatest(0, CAST(epoch_us(TIMESTAMP '{NOW}') - epoch_us(created_at) AS DOUBLE) / 3.6e9), 1) AS age FROM cur WHERE NOT resolved) SELECT production_id, finding, severity, count(*) AS open, round(avg(age), 2) AS avg_hours, max(age) AS max_hours FROM g GROUP BY ALL")
 query("sound_camera_agreement", "witness", a.sound_camera_agreement, f"""WITH s AS (SELECT DISTINCT {_DAYS}, slate, take_id, sound_roll FROM witness WHERE sound_roll <> ''), c AS (SELECT DISTINCT {_DAYS}, slate, take_id, camera_roll FROM witness WHERE camera_roll <> '')
 SELECT production_id, sound_roll, camera_roll, count(*) AS takes FROM s JOIN c USING ({_DAYS}, slate, take_id) GROUP BY ALL""")
-query("cross_day_patterns", "findings", a.cross_day_patterns, _FINDINGS + "SELECT production_id, finding, count(*) AS raised, count(*) FILTER (WHERE resolved) AS resolved, count(DISTINCT shoot_day) AS days FROM cur GROUP BY ALL")
+query("cross_day_patterns", "findings witness", a.cross_day_patterns, f"""{_FINDINGS},
+take AS (SELECT {_DAYS}, slate, take_id, substr(camera_roll, 1, 1) AS camera, list(DISTINCT camera_roll) AS rolls
+  FROM witness WHERE camera_roll <> '' GROUP BY ALL),
+pair AS (SELECT production_id, shoot_day, a, b FROM (SELECT *, unnest(rolls) AS a FROM take), unnest(rolls) u(b) WHERE a < b),
+doubt AS (SELECT {_DAYS}, slate, take_id, bool_or(len(rolls) > 1) AS apart FROM take GROUP BY ALL),
+sound AS (SELECT DISTINCT {_DAYS}, slate, take_id, sound_roll, coalesce(apart, false) AS apart
+  FROM witness LEFT JOIN doubt USING ({_DAYS}, slate, take_id) WHERE sound_roll <> '')
+SELECT production_id, 'finding' AS pattern, finding AS value, count(DISTINCT shoot_day) AS days, count(*) AS times,
+  round(CAST(count(*) FILTER (WHERE resolved) AS DOUBLE) / count(*), 4) AS rate FROM cur GROUP BY ALL
+UNION ALL SELECT production_id, 'rolls', a || ',' || b, count(DISTINCT shoot_day), count(*), 1.0 FROM pair GROUP BY ALL
+UNION ALL SELECT production_id, 'sound_roll', sound_roll, count(DISTINCT shoot_day), count(*),
+  round(CAST(count(*) FILTER (WHERE apart) AS DOUBLE) / count(*), 4) FROM sound GROUP BY ALL""")
 query("open_by_severity", "findings", a.open_by_severity, _FINDINGS + "SELECT production_id, count(*) FILTER (WHERE NOT resolved AND severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE NOT resolved AND severity = 'WARNING') AS warning, count(*) FILTER (WHERE resolved) AS resolved FROM cur GROUP BY ALL")
 query("last_filing", "witness", lambda e: a.last_filing(e, NOW), f"SELECT production_id, department, max(created_at) AS last_filed, count(*) AS events, count(DISTINCT shoot_day) AS days, CAST(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(created_at))) / 60000000) AS BIGINT) AS minutes_ago FROM witness GROUP BY ALL")
-query("takes_per_day", "witness", a.takes_per_day, f"SELECT {_DAYS}, count(DISTINCT slate || ':' || take_id) AS takes, count(DISTINCT slate) AS slates, count(*) FILTER (WHERE starred) AS starred, count(*) FILTER (WHERE camera_roll = '') AS without_roll FROM witness GROUP BY ALL")
+query("takes_per_day", "witness", a.takes_per_day, f"""
+SELECT {_DAYS}, count(DISTINCT slate || ':' || take_id) AS takes, count(DISTINCT slate) AS slates,
+  count(*) FILTER (WHERE starred) AS starred, count(*) FILTER (WHERE contains(raw_take, 'PK')) AS pickups,
+  count(*) FILTER (WHERE contains(raw_take, 'VFX')) AS vfx, count(*) FILTER (WHERE camera_roll = '') AS without_roll
+FROM witness GROUP BY ALL""")
 query("requirement_state", "requirement_events", a.requirement_state, _REQ_ONLY + "SELECT production_id, status, priority, count(*) AS requirements FROM req WHERE action <> 'deleted' GROUP BY ALL")
 query("productions_overview", "witness", a.productions_overview, f"SELECT production_id, {_set('shoot_day')} AS days, count(*) AS events, count(DISTINCT shoot_day || '|' || slate || '|' || take_id) AS takes, max(created_at) AS last_activity FROM witness GROUP BY ALL")
 
 
-def _gauge(snapshots: DataFrame) -> DataFrame:
-    kinds = ["CIRCLED_TAKE_MISMATCH", "ROLL_MISMATCH", "TIMECODE_DRIFT", "PAPERWORK_WITHOUT_MEDIA"]
-    return a.active_discrepancies(snapshots, snapshots.sparkSession.createDataFrame([(k,) for k in kinds], "finding string"))
-
-
-query("active_discrepancies", "findings", _gauge, _FINDINGS + ", grid AS (SELECT DISTINCT production_id, k.finding, s.severity FROM findings, (VALUES ('CIRCLED_TAKE_MISMATCH'), ('ROLL_MISMATCH'), ('TIMECODE_DRIFT'), ('PAPERWORK_WITHOUT_MEDIA')) k(finding), (VALUES ('CRITICAL'), ('WARNING'), ('INFO')) s(severity)) SELECT grid.production_id, grid.finding, grid.severity, count(cur.event_id) AS open FROM grid LEFT JOIN cur ON cur.production_id = grid.production_id AND cur.finding = grid.finding AND cur.severity = grid.severity AND NOT cur.resolved GROUP BY ALL")
+_KINDS = ", ".join(f"('{k}')" for k in a.FINDINGS)
+query("active_discrepancies", "findings", a.active_discrepancies, f"""{_FINDINGS},
+grid AS (SELECT DISTINCT production_id, k.finding, s.severity
+  FROM findings, (VALUES {_KINDS}) k(finding), (VALUES ('CRITICAL'), ('WARNING'), ('INFO')) s(severity))
+SELECT grid.production_id, grid.finding, grid.severity, count(cur.event_id) AS open
+FROM grid LEFT JOIN cur ON cur.production_id = grid.production_id AND cur.finding = grid.finding
+  AND cur.severity = grid.severity AND NOT cur.resolved GROUP BY ALL""")
+query("rejection_counts", "refusals", a.rejection_counts, """
+SELECT doc_type, error_type, count(*) AS rejections FROM refusals GROUP BY ALL""")
 query("ingest_counts", "witness", a.ingest_counts, "SELECT department, axis, count(*) AS events FROM witness GROUP BY ALL")
 query("tag_summary", "tag_events", a.tag_summary, _TAGS + "SELECT production_id, 'status' AS kind, status AS value, count(*) AS targets FROM cur WHERE action <> 'cleared' AND status <> '' GROUP BY ALL UNION ALL SELECT production_id, 'need', need, count(*) FROM (SELECT production_id, unnest(string_split(needs, ',')) AS need FROM cur WHERE action <> 'cleared') WHERE need <> '' GROUP BY ALL")
-query("scene_evidence", "witness", a.scene_evidence, "SELECT production_id, scene, count(DISTINCT shoot_day) AS days, count(DISTINCT slate || ':' || take_id) AS takes, count(DISTINCT CASE WHEN starred THEN slate || ':' || take_id END) AS circled, count(DISTINCT doc_id) AS documents, bool_or(department = 'script') AS has_script, bool_or(department = 'camera') AS has_camera, bool_or(department = 'sound') AS has_sound, bool_or(department = 'dit') AS has_dit FROM witness GROUP BY ALL")
-query("media_offloaded", "media", a.media_offloaded, f"SELECT {_DAYS}, volume, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, count(DISTINCT checksum) AS checksums FROM media GROUP BY ALL")
-query("discrepancy_cuts", "findings", a.discrepancy_cuts, _FINDINGS + ", c AS (SELECT production_id, 'day' AS cut, shoot_day AS value FROM cur WHERE NOT resolved UNION ALL SELECT production_id, 'kind', finding FROM cur WHERE NOT resolved UNION ALL SELECT production_id, 'slate', entity_id FROM cur WHERE NOT resolved) SELECT production_id, cut, value, count(*) AS open FROM c GROUP BY ALL")
+_EVIDENCE = """SELECT production_id, scene, count(DISTINCT shoot_day) AS days, count(DISTINCT slate || ':' || take_id) AS takes,
+  count(DISTINCT CASE WHEN starred THEN slate || ':' || take_id END) AS circled, count(DISTINCT doc_id) AS documents,
+  bool_or(department = 'script') AS has_script, bool_or(department = 'camera') AS has_camera,
+  bool_or(department = 'sound') AS has_sound, bool_or(axis = 'existence') AS has_existence,
+  bool_or(contains(raw_take, 'VFX')) AS has_vfx, false AS has_wild FROM witness GROUP BY ALL"""
+query("scene_evidence", "witness", a.scene_evidence, _EVIDENCE)
+query("media_offloaded", "media", a.media_offloaded, f"""
+SELECT {_DAYS}, volume, camera_roll, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes,
+  CAST(sum(frames) AS BIGINT) AS frames, count(DISTINCT checksum) AS checksums FROM media GROUP BY ALL""")
+query("discrepancy_cuts", "findings", lambda f: a.discrepancy_cuts(f, f), f"""{_FINDINGS},
+o AS (SELECT * FROM cur WHERE NOT resolved),
+said AS (SELECT o.production_id, o.shoot_day, o.finding, o.entity_id, f.roll, f.department, f.doc_id
+  FROM o JOIN findings f USING ({_DAYS}, finding, entity_id)),
+c AS (SELECT production_id, 'day' AS cut, shoot_day AS value FROM o
+  UNION ALL SELECT production_id, 'kind', finding FROM o UNION ALL SELECT production_id, 'slate', entity_id FROM o
+  UNION ALL (SELECT production_id, 'roll', roll FROM (SELECT DISTINCT {_DAYS}, finding, entity_id, roll FROM said))
+  UNION ALL (SELECT production_id, 'department', department FROM (SELECT DISTINCT {_DAYS}, finding, entity_id, department FROM said))
+  UNION ALL (SELECT production_id, 'document', doc_id FROM (SELECT DISTINCT {_DAYS}, finding, entity_id, doc_id FROM said)))
+SELECT production_id, cut, value, count(*) AS open FROM c GROUP BY ALL""")
 query("table_sizes", "witness media findings requirement_events user_activity", lambda *f: _sizes(dict(zip(("witness", "media", "findings", "requirement_events", "user_activity"), f))), " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in ("witness", "media", "findings", "requirement_events", "user_activity")))
 
 
@@ -110,13 +145,37 @@ query("unreviewed_days", "witness user_activity", a.unreviewed_days, f"""WITH f
 SELECT {_DAYS}, events, coalesce(views, 0) AS views, coalesce(acks, 0) AS acks, coalesce(seen_by, '') AS seen_by FROM f LEFT JOIN s USING ({_DAYS})""")
 
 
-def _crew(spark_frame: DataFrame) -> DataFrame:
-    return spark_frame.select(F.col("assignee").alias("handle")).distinct().withColumn("role", F.concat(F.lit("role"), F.substring("handle", 3, 1)))
-
-
-query("requirements_by_day_and_role", "requirement_events", lambda e: a.requirements_by_day_and_role(e, _crew(e)), _REQ_ONLY + _RAISED + f"SELECT {_DAYS}, 'role' || substr(assignee, 3, 1) AS role, count(*) AS requirements FROM req JOIN raised USING (production_id, requirement_id) GROUP BY ALL")
-query("attach_requirements_to_takes", "witness requirement_events", lambda w, e: status.take_requirements(w, a.latest_requirements(e).select("production_id", F.lit("scene").alias("target_type"), F.regexp_replace("requirement_id", "R", "").alias("target_id"), "status")), _REQ_ONLY + "SELECT w.production_id, slate, take_id, count(*) FILTER (WHERE status <> 'resolved') AS open, count(*) FILTER (WHERE status = 'resolved') AS resolved FROM (SELECT DISTINCT production_id, slate, take_id FROM witness) w JOIN req ON req.production_id = w.production_id AND replace(requirement_id, 'R', '') = split_part(slate, '/', 1) GROUP BY ALL")
-query("crew_workload", "requirement_events", lambda e: status.crew_workload(_crew(e).filter("handle <> '@c3'"), e), _REQ_ONLY + ", crew AS (SELECT DISTINCT assignee AS handle, 'crew' AS kind FROM requirement_events WHERE assignee <> '@c3'), l AS (SELECT assignee AS handle, count(*) AS open, count(*) FILTER (WHERE status = 'blocked') AS blocked FROM req WHERE status <> 'resolved' GROUP BY ALL) SELECT handle, coalesce(kind, 'external') AS kind, coalesce(open, 0) AS open, coalesce(blocked, 0) AS blocked FROM crew FULL JOIN l USING (handle)")
+def _crew(activity: DataFrame) -> DataFrame:
+    """Who acts in the tool, with a role by handle."""
+    return activity.select(F.col("actor").alias("handle")).distinct().withColumn("role", F.concat(F.lit("role"), F.substring("handle", 3, 1)))
+
+
+query("requirements_by_day_and_role", "requirement_events user_activity", lambda e, x: a.requirements_by_day_and_role(e, _crew(x)), f"""{_REQ_ONLY}{_RAISED}
+SELECT {_DAYS}, 'role' || substr(assignee, 3, 1) AS role, count(*) AS requirements FROM req JOIN raised USING (production_id, requirement_id)
+WHERE assignee IN (SELECT actor FROM user_activity) GROUP BY ALL""")
+query("attach_requirements_to_takes", "witness requirement_events", lambda w, e: status.take_requirements(w, ledger.latest(e, ["production_id", "requirement_id"], ["created_at", "event_id"])), f"""
+WITH req AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY production_id, requirement_id ORDER BY created_at DESC, event_id DESC) AS rn FROM requirement_events) WHERE rn = 1)
+SELECT w.production_id, slate, take_id, count(*) FILTER (WHERE status <> 'resolved') AS open, count(*) FILTER (WHERE status = 'resolved') AS resolved
+FROM (SELECT DISTINCT production_id, slate, take_id FROM witness) w
+JOIN req ON req.production_id = w.production_id AND target_id = split_part(slate, '/', 1) GROUP BY ALL""")
+query("crew_workload", "requirement_events user_activity", lambda e, x: status.crew_workload(_crew(x), e), f"""{_REQ_ONLY},
+crew AS (SELECT DISTINCT actor AS handle, 'crew' AS kind FROM user_activity),
+o AS (SELECT assignee AS handle, requirement_id, status, updated_at, row_number() OVER (PARTITION BY assignee
+  ORDER BY CASE priority WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 ELSE 9 END, updated_at DESC, requirement_id) AS place
+  FROM req WHERE status <> 'resolved'),
+l AS (SELECT handle, count(*) AS open, count(*) FILTER (WHERE status = 'blocked') AS blocked, max(updated_at) AS last_change,
+  string_agg(CASE WHEN place <= 5 THEN requirement_id END, ',' ORDER BY place) AS current FROM o GROUP BY ALL)
+SELECT handle, coalesce(kind, 'external') AS kind, coalesce(open, 0) AS open, coalesce(blocked, 0) AS blocked, last_change, coalesce(current, '') AS current
+FROM crew FULL JOIN l USING (handle)""")
+query("workload_order", "requirement_events user_activity", lambda e, x: status.workload_order(status.crew_workload(_crew(x), e), 10).select("handle", "open", "place"), f"""{_REQ_ONLY},
+l AS (SELECT assignee AS handle, count(*) AS open FROM req WHERE status <> 'resolved' GROUP BY ALL),
+m AS (SELECT handle, coalesce(open, 0) AS open FROM (SELECT DISTINCT actor AS handle FROM user_activity) FULL JOIN l USING (handle))
+SELECT handle, open, CAST(row_number() OVER (ORDER BY open DESC, handle) AS INT) AS place FROM m QUALIFY place <= 10""")
+query("list_requirements", "requirement_events", lambda e: status.listed(a.latest_requirements(e), ["updated_at", "requirement_id"], 25, assignee="@C7", status="open").select("production_id", "requirement_id", "updated_at"), f"""{_REQ_ONLY}
+SELECT production_id, requirement_id, updated_at FROM req WHERE assignee = '@c7' AND status = 'open' ORDER BY updated_at DESC, requirement_id DESC LIMIT 25""")
+query("list_tags", "tag_events", lambda t: status.listed(ledger.latest(t, ["production_id", "target_type", "target_id"], ["created_at", "event_id"]).filter("action <> 'cleared'"), ["created_at", "event_id"], 40, needs="VFX", target_type="scene").select("production_id", "target_id", "created_at"), f"""{_TAGS}
+SELECT production_id, target_id, created_at FROM cur WHERE action <> 'cleared' AND target_type = 'scene' AND list_contains(string_split(needs, ','), 'vfx')
+ORDER BY created_at DESC, event_id DESC LIMIT 40""")
 
 
 def _live(events: DataFrame) -> DataFrame:
@@ -127,10 +186,20 @@ def _live(events: DataFrame) -> DataFrame:
 
 query("live_event_match", "witness", _live, "SELECT s.subscription, department, count(*) AS events FROM witness w JOIN (VALUES ('all', 'ALL', 'ALL'), ('one', 'P1', 'ALL'), ('day', 'ALL', '7'), ('both', 'P2', '9')) s(subscription, p, d) ON (s.p = 'ALL' OR s.p = w.production_id) AND (s.d = 'ALL' OR s.d = w.shoot_day) GROUP BY ALL")
 query("character_relationships", "lines", script.relationships, """WITH c AS (SELECT DISTINCT script_id, scene, speaker FROM lines), p AS (SELECT a.script_id, a.speaker AS a, b.speaker AS b, count(*) AS shared_scenes FROM c a JOIN c b ON a.script_id = b.script_id AND a.scene = b.scene AND a.speaker < b.speaker GROUP BY ALL), l AS (SELECT *, lag(speaker) OVER (PARTITION BY script_id, scene ORDER BY place) AS prev FROM lines), t AS (SELECT script_id, least(speaker, prev) AS a, greatest(speaker, prev) AS b, count(*) AS turns FROM l WHERE prev IS NOT NULL AND prev <> speaker GROUP BY ALL)
-SELECT script_id, a, b, shared_scenes, coalesce(turns, 0) AS turns, CASE WHEN coalesce(turns, 0) >= 6 THEN 'strong' WHEN coalesce(turns, 0) > 0 THEN 'present' ELSE 'scene only' END AS strength FROM p LEFT JOIN t USING (script_id, a, b)""")
+SELECT script_id, a, b, shared_scenes, coalesce(turns, 0) AS turns, CASE WHEN coalesce(turns, 0) >= 6 THEN 'Principal Dialogue Counterpart' WHEN coalesce(turns, 0) > 0 THEN 'Key Dialogue Counterpart' ELSE 'Shared Scene Presence' END AS strength FROM p LEFT JOIN t USING (script_id, a, b)""")
 query("character_stats", "lines", script.character_stats, "WITH e AS (SELECT script_id, speaker, count(*) AS lines, count(DISTINCT scene) AS scenes FROM lines GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY script_id ORDER BY lines DESC, speaker) AS INT) AS rank FROM e) SELECT script_id, speaker, lines, scenes, rank, CASE WHEN rank = 1 THEN 'Lead' WHEN lines >= 3 THEN 'Principal Cast' ELSE 'Supporting Character' END AS role FROM r")
 query("turn_adjacency", "lines", lambda x: script.turn_adjacency(x).drop("line"), "SELECT script_id, scene, place, speaker, lag(speaker) OVER (PARTITION BY script_id, scene ORDER BY place) AS previous FROM lines")
-query("pronoun_tally", "lines", script.pronoun_tally, "WITH c AS (SELECT script_id, speaker, " + ", ".join(f"CAST(sum(len(regexp_extract_all(lower(line), '\\b({p})\\b'))) AS BIGINT) AS {k}" for k, p in (("she", "she|her|hers"), ("he", "he|him|his"), ("they", "they|them|their"))) + " FROM lines GROUP BY ALL) SELECT *, CASE WHEN she > he AND she > they THEN 'female' WHEN he > she AND he > they THEN 'male' WHEN they > she AND they > he THEN 'non-binary' ELSE '' END AS label FROM c")
+_PRONOUNS = {"she": "she|her|hers", "he": "he|him|his", "they": "they|them|their"}
+query("pronoun_tally", "cues actions", script.pronoun_tally, """
+WITH c AS (SELECT DISTINCT script_id, scene, speaker FROM cues WHERE speaker <> ''),
+t AS (SELECT c.script_id, c.speaker, """ + ", ".join(f"CAST(sum(len(regexp_extract_all(lower(action), '\\b({p})\\b'))) AS BIGINT) AS {k}" for k, p in _PRONOUNS.items()) + """
+  FROM c JOIN actions x ON x.script_id = c.script_id AND x.scene = c.scene AND contains(upper(action), speaker) GROUP BY ALL),
+n AS (SELECT script_id, speaker, coalesce(she, 0) AS she, coalesce(he, 0) AS he, coalesce(they, 0) AS they
+  FROM (SELECT DISTINCT script_id, speaker FROM c) LEFT JOIN t USING (script_id, speaker))
+SELECT *, CASE WHEN she > he AND she > they THEN 'woman' WHEN he > she AND he > they THEN 'man' WHEN they > she AND they > he THEN 'non-binary' ELSE '' END AS label FROM n""")
+query("trait_hints", "cues", script.trait_hints, "SELECT script_id, speaker, array_to_string(list_filter([" + ", ".join(
+    "CASE WHEN bool_or(" + " OR ".join(f"contains(lower(line), '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + f") THEN '{t}' END" for t, words in script.TRAITS.items()
+) + "], lambda x: x IS NOT NULL), ',') AS traits FROM cues GROUP BY ALL")
 
 # ---- detectors
 
@@ -141,10 +210,23 @@ query("timecode_drift", "witness", reconcile.timecode_drifts, f"""WITH o AS (SEL
 SELECT {_DAYS}, slate || ' Take ' || take_id AS entity_id, 'TIMECODE_DRIFT' AS finding, 'WARNING' AS severity, CAST(drift AS VARCHAR) AS detail FROM d WHERE drift > 1 AND drift <= 240""")
 query("camera_roll_mismatch", "witness", reconcile.camera_roll_mismatches, f"SELECT {_DAYS}, slate || ' Take ' || take_id AS entity_id, 'ROLL_MISMATCH' AS finding, 'CRITICAL' AS severity, substr(camera_roll, 1, 1) || ':' || {_set('camera_roll')} AS detail FROM witness WHERE camera_roll <> '' GROUP BY {_TAKE}, substr(camera_roll, 1, 1) HAVING count(DISTINCT camera_roll) > 1")
 query("sound_roll_mismatch", "witness", reconcile.sound_roll_mismatches, f"SELECT {_DAYS}, slate || ' Take ' || take_id AS entity_id, 'ROLL_MISMATCH' AS finding, 'WARNING' AS severity, {_set('sound_roll')} AS detail FROM witness WHERE sound_roll <> '' GROUP BY {_TAKE} HAVING count(DISTINCT sound_roll) > 1")
-_CLIPS = f"WITH l AS (SELECT {_DAYS}, slate, take_id, clip_name, upper(substr(clip_name, 1, 1)) AS cam, CAST(substr(clip_name, 2, 3) AS INT) AS roll, CAST(substr(clip_name, 7) AS INT) AS clip FROM witness WHERE axis = 'belief' AND clip_name <> ''), m AS (SELECT {_DAYS}, file_name, upper(substr(file_name, 1, 1)) AS cam, CAST(substr(file_name, 3, 4) AS INT) AS roll, CAST(substr(file_name, 8, 3) AS INT) AS clip FROM media) "
-query("paperwork_without_media", "witness media", reconcile.paperwork_without_media, _CLIPS + f"SELECT DISTINCT {_DAYS}, slate || ' Take ' || take_id AS entity_id, 'PAPERWORK_WITHOUT_MEDIA' AS finding, 'CRITICAL' AS severity, clip_name AS detail FROM l WHERE ({_DAYS}) IN (SELECT ({_DAYS}) FROM m) AND NOT EXISTS (SELECT 1 FROM m WHERE m.production_id = l.production_id AND m.shoot_day = l.shoot_day AND m.cam = l.cam AND m.roll = l.roll AND m.clip = l.clip)")
-query("media_without_paperwork", "witness media", reconcile.media_without_paperwork, _CLIPS + f"SELECT DISTINCT {_DAYS}, file_name AS entity_id, 'MEDIA_WITHOUT_PAPERWORK' AS finding, 'WARNING' AS severity, '' AS detail FROM m WHERE NOT EXISTS (SELECT 1 FROM l WHERE m.production_id = l.production_id AND m.shoot_day = l.shoot_day AND m.cam = l.cam AND m.roll = l.roll AND m.clip = l.clip)")
-query("awaiting_offload", "witness media", lambda w, m: reconcile.awaiting_offload(w, m.filter("shoot_day % 4 <> 0")), f"SELECT {_DAYS}, shoot_day AS entity_id, 'AWAITING_OFFLOAD' AS finding, 'INFO' AS severity, CAST(count(*) AS VARCHAR) || ':' || array_to_string(list_slice(list_sort(list(DISTINCT slate)), 1, 20), ',') AS detail FROM witness WHERE axis = 'belief' AND clip_name <> '' AND ({_DAYS}) NOT IN (SELECT ({_DAYS}) FROM media WHERE CAST(shoot_day AS INT) % 4 <> 0) GROUP BY {_DAYS}")
+_CLIPS = f"""WITH l AS (SELECT {_DAYS}, slate, take_id, clip_name, upper(substr(clip_name, 1, 1)) AS cam, try_cast(substr(clip_name, 2, 3) AS INT) AS roll, try_cast(substr(clip_name, 7) AS INT) AS clip
+  FROM witness WHERE axis = 'belief' AND clip_name <> ''),
+m AS (SELECT {_DAYS}, file_name, regexp_extract(file_name, '^([A-Z])_[0-9]', 1) AS cam, try_cast(regexp_extract(file_name, '^[A-Z]_([0-9]+)C', 1) AS INT) AS roll,
+  try_cast(regexp_extract(file_name, 'C([0-9]+)_', 1) AS INT) AS clip, regexp_extract(file_name, '^([0-9]+-[0-9]+)T', 1) AS slate, try_cast(regexp_extract(file_name, 'T([0-9]+)[.]WAV$', 1) AS INT) AS take FROM media) """
+query("paperwork_without_media", "witness media", reconcile.paperwork_without_media, _CLIPS + f"""
+SELECT DISTINCT {_DAYS}, slate || ' Take ' || take_id || ' (' || clip_name || ')' AS entity_id, 'PAPERWORK_WITHOUT_MEDIA' AS finding, 'CRITICAL' AS severity, clip_name AS detail
+FROM l WHERE ({_DAYS}) IN (SELECT ({_DAYS}) FROM m)
+AND NOT EXISTS (SELECT 1 FROM m WHERE m.production_id = l.production_id AND m.shoot_day = l.shoot_day AND m.cam = l.cam AND m.roll = l.roll AND m.clip = l.clip)""")
+query("media_without_paperwork", "witness media", reconcile.media_without_paperwork, _CLIPS + f"""
+SELECT DISTINCT {_DAYS}, file_name AS entity_id, 'MEDIA_WITHOUT_PAPERWORK' AS finding, 'WARNING' AS severity, '' AS detail FROM m
+WHERE NOT EXISTS (SELECT 1 FROM l WHERE m.production_id = l.production_id AND m.shoot_day = l.shoot_day AND m.cam = l.cam AND m.roll = l.roll AND m.clip = l.clip)
+AND NOT EXISTS (SELECT 1 FROM witness w WHERE axis = 'belief' AND m.production_id = w.production_id AND m.shoot_day = w.shoot_day
+  AND m.slate = replace(w.slate, '/', '-') AND m.take = CAST(w.take_id AS INT))""")
+query("awaiting_offload", "witness media", reconcile.awaiting_offload, f"""
+SELECT {_DAYS}, shoot_day AS entity_id, 'AWAITING_OFFLOAD' AS finding, 'INFO' AS severity,
+  CAST(count(*) AS VARCHAR) || ':' || array_to_string(list_slice(list_sort(list(DISTINCT slate)), 1, 20), ',') AS detail
+FROM witness WHERE axis = 'belief' AND clip_name <> '' AND ({_DAYS}) NOT IN (SELECT ({_DAYS}) FROM media) GROUP BY {_DAYS}""")
 query("scene_findings", "scene_events witness", reconcile.scene_findings, f"""WITH mat AS (SELECT DISTINCT {_DAYS}, scene FROM witness), c AS (SELECT DISTINCT {_DAYS}, scene, office_state FROM scene_events WHERE office_state IS NOT NULL), p AS (SELECT DISTINCT {_DAYS}, scene FROM scene_events WHERE axis = 'intent' AND state = 'scheduled')
 SELECT {_DAYS}, scene AS entity_id, 'SCENE_COMPLETE_WITHOUT_MATERIAL' AS finding, 'WARNING' AS severity, '' AS detail FROM c WHERE office_state IN ('complete', 'part_complete') AND ({_DAYS}) IN (SELECT ({_DAYS}) FROM mat) AND ({_DAYS}, scene) NOT IN (SELECT ({_DAYS}, scene) FROM mat)
 UNION ALL SELECT {_DAYS}, scene, 'SCENE_SCHEDULED_NOT_SHOT', 'INFO', '' FROM c WHERE office_state IN ('scheduled_not_shot', 'not_shot')
@@ -152,9 +234,12 @@ UNION ALL SELECT {_DAYS}, scene, 'SCENE_SHOT_NOT_SCHEDULED', 'INFO', '' FROM c W
 query("slates_outside_range", "witness slate_ranges", reconcile.slates_outside_range, f"""WITH r AS (SELECT {_DAYS}, scene, arg_max(first, seq) AS f, arg_max(last, seq) AS l FROM slate_ranges GROUP BY ALL), e AS (SELECT {_DAYS}, scene, CASE WHEN contains(f, '/') THEN CAST(split_part(f, '/', 2) AS BIGINT) ELSE CAST(f AS BIGINT) END AS a, CAST(l AS BIGINT) AS b FROM r), s AS (SELECT DISTINCT {_DAYS}, slate, split_part(replace(slate, '-', '/'), '/', 1) AS scene, CAST(split_part(replace(slate, '-', '/'), '/', 2) AS BIGINT) AS shot FROM witness)
 SELECT {_DAYS}, slate AS entity_id, 'SLATE_OUTSIDE_STATED_RANGE' AS finding, 'WARNING' AS severity, CAST(least(a, b) AS VARCHAR) || '-' || CAST(greatest(a, b) AS VARCHAR) AS detail FROM s JOIN e USING ({_DAYS}, scene) WHERE shot < least(a, b) OR shot > greatest(a, b)""")
 query("shoot_date_disagreement", "shoot_dates", reconcile.date_disagreements, f"SELECT {_DAYS}, shoot_day AS entity_id, 'SHOOT_DATE_DISAGREEMENT' AS finding, 'WARNING' AS severity, {_set('date')} AS detail FROM shoot_dates GROUP BY {_DAYS} HAVING count(DISTINCT date) >= 2")
+_DETECTORS = ("circled_take_mismatch", "timecode_drift", "camera_roll_mismatch", "sound_roll_mismatch", "paperwork_without_media", "media_without_paperwork", "awaiting_offload", "scene_findings", "slates_outside_range", "shoot_date_disagreement")
 query("reconcile_counts", "witness media scene_events slate_ranges shoot_dates", lambda *t: reconcile.reconcile(*t).groupBy("production_id", "finding", "severity").agg(F.count("*").alias("findings")))
-query("unify_take_marks", "witness", reconcile.unified_marks, "SELECT production_id, doc_id, slate, take_id, true AS marked, count(*) AS rows FROM witness GROUP BY ALL HAVING bool_or(coalesce(starred, false))")
-query("witness_authors", "witness", lambda w: w.groupBy(reconcile.witness_author(F.col("department"), F.col("camera_roll")).alias("author")).agg(F.count("*").alias("claims")), "SELECT CASE department WHEN 'camera' THEN 'Camera ' || substr(camera_roll, 1, 1) WHEN 'sound' THEN 'Sound Department' WHEN 'script' THEN 'Script Supervisor' ELSE 'DIT' END AS author, count(*) AS claims FROM witness GROUP BY ALL")
+ORACLES["reconcile_counts"] = "SELECT production_id, finding, severity, count(*) AS findings FROM (" + " UNION ALL ".join(f"SELECT production_id, finding, severity FROM ({ORACLES[d]})" for d in _DETECTORS) + ") GROUP BY ALL"
+query("unify_take_marks", "witness", lambda w: reconcile.unified_marks(w).select("production_id", "doc_id", "slate", "take_id", "seq", "starred"), """
+SELECT production_id, doc_id, slate, take_id, seq, CASE WHEN bool_or(coalesce(starred, false)) OVER (PARTITION BY production_id, doc_id, slate, take_id) THEN true ELSE starred END AS starred FROM witness""")
+query("witness_authors", "witness", lambda w: w.groupBy(reconcile.witness_author(F.col("department"), F.col("camera_roll")).alias("author")).agg(F.count("*").alias("claims")), "SELECT CASE department WHEN 'camera' THEN 'Camera ' || substr(camera_roll, 1, 1) WHEN 'sound' THEN 'Sound Department' WHEN 'script' THEN 'Script Supervisor' WHEN 'vfx' THEN 'Vfx' ELSE 'DIT' END AS author, count(*) AS claims FROM witness GROUP BY ALL")
 
 # ---- trails and windows
 
@@ -169,26 +254,67 @@ SELECT requirement_id, production_id, event_id, change, concat_ws(',', CASE WHEN
 
 # ---- ranking and sets
 
-_SCORES = f"""{_FINDINGS}, req AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY production_id, requirement_id ORDER BY created_at DESC, event_id DESC) AS rn, min(created_at) OVER (PARTITION BY production_id, requirement_id) AS raised_at FROM requirement_events) WHERE rn = 1), acked AS (SELECT DISTINCT target_id FROM user_activity WHERE action = 'acknowledged'), s AS (SELECT production_id, 'finding' AS source, shoot_day || ':' || finding || ':' || entity_id AS key, round(CASE severity WHEN 'CRITICAL' THEN 90.0 WHEN 'WARNING' THEN 60.0 ELSE 25.0 END::DOUBLE + 20 + least(14.0::DOUBLE, round_even(greatest(0, CAST(epoch_us(TIMESTAMP '{NOW}') - epoch_us(created_at) AS DOUBLE) / 3.6e9), 1) / 24), 2) AS score FROM cur WHERE NOT resolved UNION ALL SELECT production_id, 'requirement', requirement_id, round(CASE priority WHEN 'critical' THEN 90.0 WHEN 'high' THEN 60.0 ELSE 25.0 END::DOUBLE + 28 + least(14.0::DOUBLE, round_even(greatest(0, CAST(epoch_us(TIMESTAMP '{NOW}') - epoch_us(raised_at) AS DOUBLE) / 3.6e9), 1) / 24), 2) FROM req WHERE status IN ('open', 'in_progress', 'blocked') AND requirement_id NOT IN (SELECT target_id FROM acked)) """
-query("rank_blockers", "findings requirement_events user_activity", lambda f, e, x: status.rank_blockers(f, e, x, NOW), _SCORES + "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY production_id ORDER BY score DESC, source, key) AS INT) AS rank FROM s) WHERE rank <= 10")
-_CLEAN = f"""{_FINDINGS}, ev AS (SELECT production_id, scene, count(DISTINCT slate || ':' || take_id) AS takes, count(DISTINCT CASE WHEN starred THEN slate || ':' || take_id END) AS circled, count(DISTINCT doc_id) AS documents, max(CASE department WHEN 'script' THEN 1 ELSE 0 END) AS hs, max(CASE department WHEN 'camera' THEN 1 ELSE 0 END) AS hc, max(CASE department WHEN 'sound' THEN 1 ELSE 0 END) AS ho, max(CASE department WHEN 'dit' THEN 1 ELSE 0 END) AS hd FROM witness GROUP BY ALL), cand AS (SELECT production_id, scene, takes, circled, documents, takes * 4 + documents * 2 + circled * 18 + hs * 12 + hc * 12 + ho * 8 + hd * 20 AS score FROM ev WHERE hs + hc + ho + hd + CASE WHEN circled > 0 THEN 1 ELSE 0 END >= 3 AND hd = 1 AND (production_id, scene) NOT IN (SELECT (production_id, split_part(entity_id, '/', 1)) FROM cur WHERE NOT resolved)), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY production_id ORDER BY score DESC, circled DESC, takes DESC, scene) AS INT) AS rank FROM cand) """
-
-
-def _candidates(w: DataFrame, f: DataFrame) -> DataFrame:
-    return status.candidate_scenes(w, f, w.select("production_id", "scene").limit(0))
+_AGE = f"least(14.0::DOUBLE, round_even(greatest(0, CAST(epoch_us(TIMESTAMP '{NOW}') - epoch_us({{}}) AS DOUBLE) / 3.6e9), 1) / 24)"
+_SCORES = f"""{_FINDINGS}, {_REQUIREMENTS[len("WITH "):]}{_RAISED},
+s AS (SELECT {_DAYS}, 'finding' AS source, 'discrepancy:' || finding || ':' || entity_id AS key, 'Take ' || entity_id AS label,
+  CASE severity WHEN 'CRITICAL' THEN 'critical' WHEN 'WARNING' THEN 'high' ELSE 'medium' END AS priority,
+  round(CASE severity WHEN 'CRITICAL' THEN 90.0 WHEN 'WARNING' THEN 60.0 ELSE 25.0 END::DOUBLE + {_AGE.format("created_at")}, 2) AS score FROM cur WHERE NOT resolved
+UNION ALL SELECT production_id, shoot_day, 'requirement', 'requirement:' || requirement_id || ':unacknowledged', 'Requirement ' || requirement_id,
+  CASE WHEN priority IN ('low', 'medium', 'high', 'critical') THEN priority ELSE 'medium' END,
+  round(CASE priority WHEN 'critical' THEN 90.0 ELSE 60.0 END::DOUBLE + 28 + {_AGE.format("raised_at")}, 2)
+  FROM req JOIN raised USING (production_id, requirement_id) WHERE status IN ('open', 'in_progress', 'blocked') AND requirement_id NOT IN (SELECT target_id FROM acked)) """
+query("rank_blockers", "findings requirement_events user_activity", lambda f, e, x: status.rank_blockers(f, e, x, NOW), _SCORES + f"""
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {_DAYS} ORDER BY score DESC, priority, label, key) AS INT) AS rank FROM s) WHERE rank <= 10""")
+_CLEAN = f"""{_FINDINGS}, {_REQ_TARGETS}, {_TAGS[len("WITH cur"):].join(("tag", ""))},
+ev AS ({_EVIDENCE}),
+sc AS (SELECT *, CAST(has_script AS INT) AS hs, CAST(has_camera AS INT) AS hc, CAST(has_sound OR has_wild AS INT) AS ho, CAST(has_existence AS INT) AS he FROM ev),
+cand AS (SELECT production_id, scene, takes, circled, documents,
+  takes * 4 + documents * 2 + circled * 18 + hs * 12 + hc * 12 + CAST(has_sound AS INT) * 8 + he * 20 - CAST(has_vfx AS INT) * 6 AS score
+  FROM sc WHERE hs + hc + ho + he + CASE WHEN circled > 0 THEN 1 ELSE 0 END >= 3 AND he = 1
+  AND (production_id, scene) NOT IN (SELECT (production_id, split_part(entity_id, '/', 1)) FROM cur WHERE NOT resolved)
+  AND (production_id, scene) NOT IN (SELECT (production_id, target_id) FROM req WHERE status <> 'resolved')
+  AND (production_id, scene) NOT IN (SELECT (production_id, target_id) FROM tag WHERE target_type = 'scene' AND action <> 'cleared' AND status = 'review')),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY production_id ORDER BY score DESC, circled DESC, takes DESC, scene) AS INT) AS rank FROM cand) """
+
+
+def _candidates(w: DataFrame, f: DataFrame, e: DataFrame, t: DataFrame) -> DataFrame:
+    """Scenes under review stand for those that are queued already."""
+    now = ledger.latest(t, ["production_id", "target_type", "target_id"], ["created_at", "event_id"])
+    queued = now.filter("target_type = 'scene' and action <> 'cleared' and status = 'review'").select("production_id", F.col("target_id").alias("scene"))
+    return status.candidate_scenes(w, f, status.blocked_scenes(e), queued)
+
+
+query("candidate_scenes", "witness findings requirement_events tag_events", _candidates, _CLEAN + "SELECT production_id, scene, takes, circled, documents, score, rank FROM ranked WHERE rank <= 100")
+
+
+def _dealt(w: DataFrame, f: DataFrame, e: DataFrame, t: DataFrame) -> DataFrame:
+    load = w.select("production_id").distinct().select("production_id", F.explode(F.lit(["@ana", "@bo", "@cy"])).alias("handle")).withColumn("load", F.when(F.col("handle") == "@bo", 0).otherwise(2))
+    return status.assigned(_candidates(w, f, e, t), load, 6).select("production_id", "scene", "rank", "handle")
 
 
-query("candidate_scenes", "witness findings", _candidates, _CLEAN + "SELECT production_id, scene, takes, circled, documents, score, rank FROM ranked")
+query("assign_candidates", "witness findings requirement_events tag_events", _dealt, _CLEAN + ", slots AS (SELECT handle, CAST(row_number() OVER (ORDER BY load + i, handle) AS INT) AS rank FROM (VALUES ('@ana', 2), ('@bo', 0), ('@cy', 2)) l(handle, load), range(6) t(i)) SELECT production_id, scene, rank, handle FROM ranked JOIN slots USING (rank) WHERE rank <= 6")
+query("missing_paperwork", "witness", status.missing_paperwork, f"""
+WITH f AS (SELECT DISTINCT {_DAYS}, department FROM witness)
+SELECT d.production_id, d.shoot_day, e.department FROM (SELECT DISTINCT {_DAYS} FROM f) d JOIN (SELECT DISTINCT production_id, department FROM f) e USING (production_id)
+WHERE (d.production_id, d.shoot_day, e.department) NOT IN (SELECT (production_id, shoot_day, department) FROM f)""")
+_STATUSES = ["ready", "in_progress", "review", "done"]
+_STATES = ", ".join(f"('{x}')" for x in [*_STATUSES, "no_status", "tagged_but_unknown"])
 
 
-def _dealt(w: DataFrame, f: DataFrame) -> DataFrame:
-    load = w.select("production_id").distinct().select("production_id", F.explode(F.lit(["@ana", "@bo", "@cy"])).alias("handle")).withColumn("load", F.when(F.col("handle") == "@bo", 0).otherwise(2))
-    return status.assigned(_candidates(w, f), load, 6).select("production_id", "scene", "rank", "handle")
+def _progress(w: DataFrame, t: DataFrame) -> DataFrame:
+    known = w.select("production_id", F.explode(F.array(F.struct(F.lit("scene").alias("t"), F.col("scene").alias("i")), F.struct(F.lit("shot").alias("t"), n.slate(F.col("slate")).alias("i")))).alias("k"))
+    return status.editorial_progress(known.select("production_id", F.col("k.t").alias("target_type"), F.col("k.i").alias("target_id")), t, _STATUSES)
 
 
-query("assign_candidates", "witness findings", _dealt, _CLEAN + ", slots AS (SELECT handle, CAST(row_number() OVER (ORDER BY load + i, handle) AS INT) AS rank FROM (VALUES ('@ana', 2), ('@bo', 0), ('@cy', 2)) l(handle, load), range(6) t(i)) SELECT production_id, scene, rank, handle FROM ranked JOIN slots USING (rank) WHERE rank <= 6")
-query("missing_paperwork", "witness", lambda w: status.missing_paperwork(w.filter("shoot_day % 4 <> 0 or department <> 'sound'")), f"WITH f AS (SELECT DISTINCT {_DAYS}, department FROM witness WHERE CAST(shoot_day AS INT) % 4 <> 0 OR department <> 'sound') SELECT d.production_id, d.shoot_day, e.department FROM (SELECT DISTINCT {_DAYS} FROM f) d JOIN (SELECT DISTINCT production_id, department FROM f) e USING (production_id) WHERE (d.production_id, d.shoot_day, e.department) NOT IN (SELECT (production_id, shoot_day, department) FROM f)")
-query("editorial_progress", "witness tag_events", lambda w, t: status.editorial_progress(w.filter("scene % 3 <> 0"), t), _TAGS.replace("FROM tag_events", "FROM tag_events WHERE target_type = 'scene'") + ", k AS (SELECT DISTINCT production_id, scene AS target_id, 1 AS known FROM witness WHERE CAST(scene AS INT) % 3 <> 0), t AS (SELECT production_id, target_id, status FROM cur WHERE action <> 'cleared' AND status <> '') SELECT production_id, CASE WHEN known IS NULL THEN 'tagged_but_unknown' ELSE coalesce(status, 'no_status') END AS state, count(*) AS scenes FROM k FULL JOIN t USING (production_id, target_id) GROUP BY ALL")
+query("editorial_progress", "witness tag_events", _progress, f"""{_TAGS},
+k AS (SELECT DISTINCT production_id, 'scene' AS target_type, scene AS target_id, 1 AS known FROM witness
+  UNION ALL SELECT DISTINCT production_id, 'shot', replace(slate, '-', '/'), 1 FROM witness),
+live AS (SELECT * FROM cur WHERE action <> 'cleared'),
+j AS (SELECT production_id, target_type, CASE WHEN known IS NULL THEN 'tagged_but_unknown' ELSE coalesce(status, 'no_status') END AS value
+  FROM k FULL JOIN (SELECT production_id, target_type, target_id, status FROM live WHERE status <> '') USING (production_id, target_type, target_id)),
+g AS (SELECT DISTINCT production_id, target_type, v.value FROM j, (VALUES {_STATES}) v(value))
+SELECT production_id, target_type, 'state' AS kind, g.value, (SELECT count(*) FROM j WHERE j.production_id = g.production_id AND j.target_type = g.target_type AND j.value = g.value) AS targets FROM g
+UNION ALL SELECT production_id, target_type, 'need', need, count(*) FROM (SELECT production_id, target_type, unnest(string_split(needs, ',')) AS need FROM live WHERE status <> 'done') WHERE need <> '' GROUP BY ALL""")
 
 # ---- scalar functions
 
@@ -215,10 +341,34 @@ documents("vague_documents", lambda d: d.filter(n.is_vague(F.col("text"))).selec
 _CARDS = _set("camera_roll", "camera_roll <> ''")
 _ORDERED = "array_to_string(list_transform(list_sort(list(DISTINCT CAST(shoot_day AS INT))), lambda x: CAST(x AS VARCHAR)), ',')"
 query("sequence_shoot_days", "witness", rollups.sequence_shoot_days, f"SELECT production_id, scene, {_ORDERED} AS days FROM witness GROUP BY ALL")
-query("sequence_rollup", "witness", rollups.sequence_rollup, f"SELECT production_id, scene, count(DISTINCT replace(slate, '-', '/') || ':' || take_id) AS takes, {_CARDS} AS cards, count(DISTINCT CASE WHEN starred THEN replace(slate, '-', '/') || ':' || take_id END) AS circled, {_ORDERED} AS days FROM witness GROUP BY ALL")
-_NORMAL = f"WITH l AS (SELECT DISTINCT {_DAYS}, replace(slate, '-', '/') AS slate, take_id, camera_roll, CAST(substr(clip_name, 7) AS INT) AS clip FROM witness WHERE clip_name <> ''), m AS (SELECT {_DAYS}, file_name, camera_roll, CAST(substr(file_name, 8, 3) AS INT) AS clip FROM media), x AS (SELECT DISTINCT l.production_id, l.shoot_day, slate, take_id, file_name FROM l JOIN m ON m.production_id = l.production_id AND m.shoot_day = l.shoot_day AND m.camera_roll = l.camera_roll AND m.clip = l.clip) "
+_NOTES = "array_to_string(list_transform(list_sort(list({{'k': {k}, 'n': note}}) FILTER (WHERE {k} <= {most})), lambda x: x.n), '; ')"
+query("sequence_rollup", "witness", rollups.sequence_rollup, f"""
+WITH w AS (SELECT *, replace(slate, '-', '/') || ':' || take_id AS take FROM witness),
+n AS (SELECT *, row_number() OVER (PARTITION BY production_id, scene ORDER BY times DESC, note) AS common, row_number() OVER (PARTITION BY production_id, scene ORDER BY seq, note) AS early
+  FROM (SELECT production_id, scene, note, count(*) AS times, min(seq) AS seq FROM w WHERE department = 'script' AND note <> '' GROUP BY ALL)),
+d AS (SELECT production_id, scene, {_NOTES.format(k='common', most=2)} AS descriptions, {_NOTES.format(k='early', most=3)} AS comments FROM n GROUP BY ALL),
+r AS (SELECT production_id, scene, count(DISTINCT take) AS takes, count(DISTINCT CASE WHEN starred THEN take END) AS circled, {_set('take', 'starred')} AS circled_takes,
+  bool_or(contains(raw_take, 'VFX')) AS vfx, bool_or(contains(raw_take, 'PK')) AS pickup, {_CARDS} AS cards, {_ORDERED} AS days, {_set('doc_id')} AS documents FROM w GROUP BY ALL)
+SELECT r.*, coalesce(descriptions, '') AS descriptions, coalesce(comments, '') AS comments FROM r LEFT JOIN d USING (production_id, scene)""")
+_NORMAL = f"""WITH l AS (SELECT DISTINCT {_DAYS}, replace(slate, '-', '/') AS slate, take_id, camera_roll, clip_name, try_cast(substr(clip_name, 7) AS INT) AS clip FROM witness),
+m AS (SELECT *, try_cast(regexp_extract(file_name, 'C([0-9]+)_', 1) AS INT) AS clip, regexp_extract(file_name, '^[A-Z]_0*([0-9]+)C', 1) AS roll,
+  replace(regexp_extract(file_name, '^([0-9]+-[0-9]+)T', 1), '-', '/') AS wav_slate, try_cast(regexp_extract(file_name, 'T([0-9]+)[.]WAV$', 1) AS INT) AS wav_take FROM media),
+x AS (SELECT l.production_id, l.shoot_day, slate, l.take_id, file_name FROM l JOIN m ON m.production_id = l.production_id AND m.shoot_day = l.shoot_day AND clip_name <> ''
+    AND substr(file_name, 1, 1) = substr(clip_name, 1, 1) AND m.roll = CAST(CAST(substr(clip_name, 2, 3) AS INT) AS VARCHAR) AND m.clip = l.clip
+  UNION SELECT l.production_id, l.shoot_day, l.slate, l.take_id, file_name FROM l JOIN m ON m.production_id = l.production_id AND m.shoot_day = l.shoot_day
+    AND wav_slate = l.slate AND wav_take = CAST(l.take_id AS INT)
+  UNION SELECT l.production_id, l.shoot_day, l.slate, l.take_id, file_name FROM l JOIN m ON m.production_id = l.production_id AND m.shoot_day = l.shoot_day
+    AND m.scene || '/' || m.shot = l.slate AND m.shot <> m.scene AND CAST(m.take_id AS INT) = CAST(l.take_id AS INT)
+    AND (m.camera_roll = '' OR l.camera_roll = '' OR m.camera_roll = l.camera_roll)) """
 query("match_take_media", "witness media", lambda w, m: rollups.match_take_media(w.withColumn("slate", n.slate(F.col("slate"))), m), _NORMAL + f"SELECT {_DAYS}, slate, take_id, file_name FROM x")
-query("take_rollup", "witness media", rollups.take_rollup, _NORMAL + f", f AS (SELECT {_DAYS}, slate, take_id, count(*) AS files FROM x GROUP BY ALL), w AS (SELECT {_DAYS}, replace(slate, '-', '/') AS slate, take_id, count(*) AS claims, {_CARDS} AS cards, bool_or(coalesce(starred, false)) AS starred, count(DISTINCT doc_id) AS documents, count(DISTINCT department) AS departments FROM witness GROUP BY {_DAYS}, replace(slate, '-', '/'), take_id) SELECT w.*, coalesce(files, 0) AS files FROM w LEFT JOIN f USING ({_DAYS}, slate, take_id)")
+_SAID = "arg_max(concat_ws(' ', camera_roll, sound_roll, timecode_in), struct_pack(s := seq, t := concat_ws(' ', camera_roll, sound_roll, timecode_in))) FILTER (WHERE department = '{0}') AS {0}_said"
+query("take_rollup", "witness media", rollups.take_rollup, _NORMAL + f""",
+f AS (SELECT {_DAYS}, slate, take_id, count(DISTINCT file_name) FILTER (WHERE NOT ends_with(file_name, '.WAV')) AS video_files, count(DISTINCT file_name) FILTER (WHERE ends_with(file_name, '.WAV')) AS audio_files,
+  {_set('volume')} AS volumes FROM x JOIN (SELECT DISTINCT {_DAYS}, file_name, volume FROM media) USING ({_DAYS}, file_name) GROUP BY ALL),
+w AS (SELECT {_DAYS}, replace(slate, '-', '/') AS slate, take_id, count(*) AS claims, {_CARDS} AS cards, {_set('substr(camera_roll, 1, 1)', "camera_roll <> ''")} AS angles, bool_or(coalesce(starred, false)) AS starred,
+  bool_or(contains(raw_take, 'VFX')) AS vfx, bool_or(contains(raw_take, 'PK')) AS pickup, {_set('doc_id')} AS documents, count(DISTINCT department) AS departments,
+  {", ".join(_SAID.format(d) for d in ("camera", "sound", "script"))} FROM witness GROUP BY {_DAYS}, replace(slate, '-', '/'), take_id)
+SELECT w.*, coalesce(video_files, 0) AS video_files, coalesce(audio_files, 0) AS audio_files, coalesce(volumes, '') AS volumes FROM w LEFT JOIN f USING ({_DAYS}, slate, take_id)""")
 query("sequence_flags", "findings", rollups.sequence_flags, _FINDINGS + "SELECT production_id, split_part(entity_id, '/', 1) AS scene, count(*) AS open, bool_or(severity = 'CRITICAL') AS critical FROM cur WHERE NOT resolved GROUP BY ALL")
 query("shot_description", "witness", lambda w: rollups.shot_description(w.filter("department = 'script'").select("production_id", "slate", F.concat_ws(" ", "doc_id", "raw_take").alias("note"), "seq")), "WITH f AS (SELECT production_id, replace(slate, '-', '/') AS slate, doc_id || ' ' || raw_take AS note, min(seq) AS seq FROM witness WHERE department = 'script' GROUP BY production_id, replace(slate, '-', '/'), doc_id || ' ' || raw_take), r AS (SELECT *, row_number() OVER (PARTITION BY production_id, slate ORDER BY seq, note) AS n FROM f) SELECT production_id, slate, string_agg(note, '; ' ORDER BY n) AS description FROM r WHERE n <= 6 GROUP BY ALL")
 query("slates_covered", "slate_ranges witness", rollups.slates_covered, f"WITH r AS (SELECT {_DAYS}, scene, arg_max(first, seq) AS f, arg_max(last, seq) AS l FROM slate_ranges GROUP BY ALL), e AS (SELECT {_DAYS}, scene, CASE WHEN contains(f, '/') THEN CAST(split_part(f, '/', 2) AS BIGINT) ELSE CAST(f AS BIGINT) END AS a, CAST(l AS BIGINT) AS b FROM r), s AS (SELECT {_DAYS}, scene, unnest(range(least(a, b), greatest(a, b) + 1)) AS shot FROM e), g AS (SELECT DISTINCT {_DAYS}, scene, CAST(split_part(replace(slate, '-', '/'), '/', 2) AS BIGINT) AS shot, 1 AS seen FROM witness) SELECT {_DAYS}, scene, count(*) AS stated, count(seen) AS covered FROM s LEFT JOIN g USING ({_DAYS}, scene, shot) GROUP BY ALL")
@@ -229,12 +379,26 @@ query("validate_vocabulary", "user_activity", lambda x: rollups.validated(x.with
 query("open_oldest_first", "requirement_events", rollups.open_oldest_first, _REQ_ONLY + "SELECT production_id, requirement_id, status, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY production_id ORDER BY raised_at, requirement_id) AS INT) AS place FROM req WHERE status IN ('blocked', 'open')) WHERE place <= 50")
 query("open_findings", "findings", rollups.open_findings, _FINDINGS + "SELECT production_id, shoot_day, finding, severity, entity_id, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY production_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, created_at DESC, event_id) AS INT) AS place FROM cur WHERE NOT resolved) WHERE place <= 50")
 query("production_status", "findings requirement_events", rollups.production_status, _FINDINGS + _REQ_ONLY.replace("WITH req", ", req") + ", b AS (SELECT production_id, CASE status WHEN 'resolved' THEN 'done' WHEN 'in_progress' THEN 'running' WHEN 'blocked' THEN 'blocking' ELSE 'left' END AS bucket FROM req UNION ALL SELECT production_id, CASE WHEN resolved THEN 'done' WHEN severity = 'CRITICAL' THEN 'blocking' ELSE 'left' END FROM cur) SELECT production_id, bucket, count(*) AS items FROM b GROUP BY ALL")
-query("events_of_days", "witness", lambda w: w.filter("production_id = 'P1' and shoot_day in ('7', '8')").groupBy("shoot_day", "department").agg(F.count("*").alias("events")), "SELECT shoot_day, department, count(*) AS events FROM witness WHERE production_id = 'P1' AND shoot_day IN ('7', '8') GROUP BY ALL")
-query("take_witnesses", "witness", lambda w: w.withColumn("take", n.take(F.col("raw_take"))["take_id"]).filter("slate = '7/1' or slate = '7-1'").groupBy("take").agg(F.count("*").alias("claims")), "SELECT regexp_extract(raw_take, '^T?0*([0-9]+)', 1) || CASE WHEN contains(raw_take, 'PK') THEN 'PK' ELSE '' END AS take, count(*) AS claims FROM witness WHERE slate IN ('7/1', '7-1') GROUP BY ALL")
+query("events_of_days", "witness", lambda w: w.groupBy("production_id", "shoot_day", "doc_id").agg(F.count("*").alias("events")), f"SELECT {_DAYS}, doc_id, count(*) AS events FROM witness GROUP BY ALL")
+query("take_witnesses", "witness", lambda w: w.groupBy("production_id", n.slate(F.col("slate")).alias("slate"), n.take(F.col("raw_take"))["take_id"].alias("take")).agg(F.count("*").alias("claims")), """
+SELECT production_id, replace(slate, '-', '/') AS slate, regexp_extract(raw_take, '^T?0*([0-9]+)', 1) || CASE WHEN contains(raw_take, 'PK') THEN 'PK' ELSE '' END AS take, count(*) AS claims FROM witness GROUP BY ALL""")
 query("purge_documents", "witness", lambda w: ledger.purged(w, w.filter("doc_id in ('D1', 'D2')")).groupBy("doc_id").agg(F.count("*").alias("events")), "SELECT doc_id, count(*) AS events FROM witness WHERE doc_id NOT IN ('D1', 'D2') GROUP BY ALL")
 query("shot_segments", "lines", lambda x: script.shot_segments(x).select("script_id", "scene", "place", "segment"), "SELECT script_id, scene, place, CAST(sum(CASE WHEN regexp_matches(upper(trim(line)), '^(?:CUT TO|FADE (?:IN|OUT|TO)|DISSOLVE TO|SMASH CUT|MATCH CUT|JUMP CUT|WIPE TO)\\b') THEN 1 ELSE 0 END) OVER (PARTITION BY script_id, scene ORDER BY place) AS BIGINT) AS segment FROM lines")
 query("locate_passages", "lines", lambda x: script.located(x, x.select(F.concat_ws(":", "scene", "place").alias("query"), "script_id", F.explode(n.anchor_terms(F.col("line"))).alias("term"))))
 
+_STOP = ", ".join(f"'{w}'" for w in n.ANCHOR_STOP)
+#: Every window of one to three lines of every scene of the script, for every line's terms.
+ORACLES["locate_passages"] = cte("lines") + f""",
+t AS (SELECT DISTINCT script_id, scene, place, unnest(list_filter(regexp_extract_all(lower(coalesce(line, '')), '[a-z]{{3,}}'), lambda x: x NOT IN ({_STOP}))) AS term FROM lines),
+w AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY script_id, scene, term) AS weight FROM t),
+hit AS (SELECT scene_q || ':' || place_q AS query, w.script_id, w.scene, w.place, w.term, w.weight
+  FROM (SELECT script_id, scene AS scene_q, place AS place_q, term FROM t) q JOIN w USING (script_id, term)),
+win AS (SELECT DISTINCT query, script_id, scene, size, place - back AS start, term, weight
+  FROM hit, (VALUES (1, 0), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2)) v(size, back) WHERE place - back >= 0),
+sums AS (SELECT query, script_id, scene, size, start, round(sum(weight), 6) AS weight FROM win GROUP BY ALL HAVING round(sum(weight), 6) >= 1.0),
+best AS (SELECT *, row_number() OVER (PARTITION BY query, script_id ORDER BY weight DESC, size, scene, start) AS n FROM sums)
+SELECT query, script_id, scene, CAST(size AS INT) AS size, start, weight FROM best WHERE n = 1"""
+
 
 def _stream_rate(name: str, table: str, count: str, by: str, job: Callable[[DataFrame], DataFrame], interval: str) -> None:
     """A streaming count over the table's rows, its last state read back."""
