@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,21 +32,50 @@ def remainder(key: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+#: Folders written since a `temporary` scope began.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path below spark.checkpoint.dir, which the driver and all executors see.
 
     Where the setting is absent (tests, local mode) a folder under the warehouse is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """All folders that are written inside go at its end: what is kept has to be written before
+    the scope begins to be its own, by `settled_at` a path from outside."""
+    token = _WRITTEN.set([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.get() or []:
+            discard(spark, path)
+        _WRITTEN.reset(token)
+
+
+def settled_at(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return settled_at(df, shared_folder(df.sparkSession, name))
 
 
 #: Keys that stand out of the others are at most this many; they may be broadcast.

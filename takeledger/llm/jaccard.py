@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from takeledger.llm.common import as_texts, chunks, mixed, settled, shingle_hashes, with_value, word_hashes
+from takeledger.llm.common import as_texts, chunks, discard, mixed, settled, settled_at, shared_folder, shingle_hashes, with_value, word_hashes
 
 #: Words of a shingle, least similarity, and the chance to meet in a band at that similarity.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -85,18 +85,24 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     def measured(df: DataFrame) -> tuple:
         return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20)")).alias("s")).first()
 
-    now = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
+    spark = edges.sparkSession
+    path = shared_folder(spark, name)
+    now = settled_at(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), path)
     mark = measured(now)
     while mark["n"]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         larger = F.count_if(F.col("v") > F.col("u"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), larger.alias("n")).filter("n > 0")
         large = with_value(both.filter("v > u"), least, "u", mark["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = settled(large, name)
+        star = shared_folder(spark, name)
+        large = settled_at(large, star)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = with_value(large, low, "u", mark["n"])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = settled(small, name)
+        before, path = path, shared_folder(spark, name)
+        now = settled_at(small, path)
+        discard(spark, before)
+        discard(spark, star)
         got = measured(now)
         if got == mark:
             break
