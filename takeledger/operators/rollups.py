@@ -151,7 +151,7 @@ def seconds_since_created(activity: DataFrame, events: DataFrame) -> DataFrame:
 
 def backfilled_dates(docs: DataFrame, claims: DataFrame) -> DataFrame:
     """Date claims of documents that have none yet but state a date."""
-    from takeledger.sources.paperwork import date_claims
+    from takeledger.sources.ingest import date_claims
 
     return date_claims(docs.join(claims.select("doc_id").distinct(), "doc_id", "left_anti"))
 

@@ -88,6 +88,8 @@ def _delimited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, text in zip(b[KEYS].itertuples(index=False), b["content"]):
             text = text if isinstance(text, str) else ""
             upper = [x.strip().upper() for x in text.splitlines()]
+            facts = dict(x.replace('"', "").replace(",", "").split(":", 1) for x in text.splitlines()[:40] if ":" in x.split(",")[0])
+            facts = {f"#{k.strip().upper()}": v.strip() for k, v in facts.items() if k.strip() and v.strip()}
             if "COLUMN" in upper and "DATA" in upper:
                 rows = [x.split("\t") for x in text.splitlines()]
                 head = [c.strip().upper() for c in rows[upper.index("COLUMN") + 1]] if upper.index("COLUMN") + 1 < len(rows) else []
@@ -100,12 +102,13 @@ def _delimited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for place, row in enumerate(body):
                 cells = {h: c.strip() for h, c in zip(head, row) if h and c.strip()}
                 if cells:
-                    out.append((*key, place, cells))
+                    out.append((*key, place, facts | cells))
         yield pd.DataFrame(out, columns=[*KEYS, "place", "cells"])
 
 
 def delimited_rows(docs: DataFrame) -> DataFrame:
-    """Every data row of a delimited report as a map from header to cell."""
+    """Every data row of a delimited report as a map from header to cell; what the lines above
+    the table state of the whole report stands under `#` and its name."""
     return docs.select(*KEYS, "content").mapInPandas(_delimited, "production_id string, shoot_day string, doc_id string, filename string, place int, cells map<string,string>")
 
 
@@ -120,8 +123,14 @@ def parse_camera_csv(docs: DataFrame) -> DataFrame:
 
 
 def parse_sound_log(docs: DataFrame) -> DataFrame:
-    """Sound rows; slates and takes that are missing come from the file name."""
-    rows = delimited_rows(docs).select(*KEYS, "place", *[_field(v).alias(k) for k, v in SOUND_FIELDS.items()])
+    """Sound rows; slates and takes that are missing come from the file name.
+
+    Tracks in columns of their own (`TRK 1`, `TRACK 1`, `CH 1`) stand before a tracks column.
+    """
+    rows = delimited_rows(docs).select(*KEYS, "place", "cells", *[_field(v).alias(k) for k, v in SOUND_FIELDS.items()])
+    each = F.map_filter("cells", lambda k, v: k.rlike("^(?:TRK|TRACK|CH) "))
+    listed = F.array_sort(F.transform(F.map_entries(each), lambda e: F.concat(F.initcap(e["key"]), F.lit(": "), e["value"])))
+    tracks = F.coalesce(F.nullif(F.array_join(listed, ", "), F.lit("")), "tracks")
     plain, wild = r"(?i)^([A-Z0-9+]+)-([A-Z0-9]+?)T?(\d+)\.WAV$", r"(?i)^(.+?)WTT?(\d+)\.WAV$"
     name = F.coalesce("file_name", F.lit(""))
     named = F.when(name.rlike(wild), F.concat(F.regexp_extract(name, wild, 1), F.lit("/WT"))).when(name.rlike(plain), F.concat_ws("/", F.regexp_extract(name, plain, 1), F.regexp_extract(name, plain, 2)))
@@ -130,7 +139,7 @@ def parse_sound_log(docs: DataFrame) -> DataFrame:
     slate = F.coalesce(n.slate(n.clip_stem(F.col("slate"))), F.upper(named))
     slate = F.when(is_wild & ~slate.contains("/") & (slate != "WT"), F.concat(slate, F.lit("/WT"))).otherwise(slate)
     t = n.take(take)
-    return rows.withColumn("norm", slate).filter(n.is_take_label(F.col("norm"))).select(*KEYS, "place", F.col("norm").alias("slate"), t["take_id"].alias("take_id"), n.sound_roll(F.col("roll")).alias("sound_roll"), "file_name", "timecode_in", "timecode_out", "duration", "tracks", (is_wild | t["wild"]).alias("wild"), t["starred"].alias("starred"), F.coalesce("note", t["note"]).alias("note"))
+    return rows.withColumn("norm", slate).filter(n.is_take_label(F.col("norm"))).select(*KEYS, "place", F.col("norm").alias("slate"), t["take_id"].alias("take_id"), n.sound_roll(F.col("roll")).alias("sound_roll"), "file_name", "timecode_in", "timecode_out", "duration", tracks.alias("tracks"), _field(["#SAMPLE RATE"]).alias("sample_rate"), _field(["#BIT DEPTH"]).alias("bit_depth"), (is_wild | t["wild"]).alias("wild"), t["starred"].alias("starred"), F.coalesce("note", t["note"]).alias("note"))
 
 
 # ---- offloads
@@ -160,25 +169,6 @@ def parse_thumbnail_report(docs: DataFrame) -> DataFrame:
 
 # ---- script and office
 
-def parse_timecode_log(docs: DataFrame) -> DataFrame:
-    """One-line takes: slate, take, timecodes, roll and date, note; other lines join the note above.
-
-    Lines that are somebody's contact details are not attached.
-    """
-    from takeledger.functions.privacy import is_contact
-
-    head = r"^\s*(\d+[A-Z]?(?:\+\d+[A-Z]?)*[/-]\w+)\s+(\d+(?:\.\d+)?\*?(?:PK)?)\s+(\d{2}:\d{2}:\d{2}[:;]\d{2})\s*(.*)$"
-    card = r"\b([A-Z]\d{3,4})\s+(\d{6})\b"
-    w = Window.partitionBy(*KEYS).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines_of(docs).withColumn("is_take", F.col("line").rlike(head)).withColumn("block", F.sum(F.col("is_take").cast("int")).over(w)).filter("block > 0").filter(F.col("is_take") | ((F.trim("line") != "") & ~is_contact(F.col("line"))))
-    text = F.when(F.col("is_take"), F.regexp_replace(F.regexp_extract("line", head, 4), card, "")).otherwise(F.col("line"))
-    notes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.trim(text).alias("t")))), lambda x: x["t"]), " ")
-    first = F.min_by("line", "place")
-    blocks = rows.groupBy(*KEYS, "block").agg(first.alias("line"), F.trim(notes).alias("note"))
-    t = n.take(F.regexp_extract("line", head, 2))
-    return blocks.select(*KEYS, "block", n.slate(F.regexp_extract("line", head, 1)).alias("slate"), t["take_id"].alias("take_id"), t["starred"].alias("starred"), F.regexp_extract("line", head, 3).alias("timecode_in"), n.camera_roll(F.regexp_extract("line", card, 1)).alias("camera_roll"), F.regexp_extract("line", card, 2).alias("date_stamp"), "note")
-
-
 def _labelled(text: Column, label: str) -> Column:
     """What follows a label, up to the next label or the line's end; null where it is absent."""
     labels = [*SCENE_LABELS.values(), *TIME_LABELS.values(), *OTHER_LABELS]
@@ -231,38 +221,3 @@ def parse_screenplay(docs: DataFrame) -> DataFrame:
     kind = F.when(F.col("speaker").isNull(), "action").when(F.trim("line").rlike(r"^\(.*\)$"), "parenthetical").otherwise("dialogue")
     number = F.coalesce(F.nullif(F.regexp_extract("head", HEADING, 1), F.lit("")), F.col("scene_index").cast("string"))
     return rows.select(*KEYS, number.alias("scene"), F.regexp_extract("head", HEADING, 2).alias("setting"), F.trim(F.regexp_extract("head", HEADING, 3)).alias("location"), F.trim(F.regexp_extract("head", HEADING, 4)).alias("time_of_day"), "place", kind.alias("kind"), "speaker", F.trim("line").alias("line"))
-
-
-# ---- ingest
-
-PARSERS = {"camera_csv": parse_camera_csv, "sound_ale": parse_sound_log, "script_timecode": parse_timecode_log}
-
-
-def take_events(docs: DataFrame) -> DataFrame:
-    """Spine events of all documents that log takes; one statement a row, payload as JSON."""
-    out = None
-    kinds = classified(docs)
-    for kind, parse in PARSERS.items():
-        own = kinds.filter(F.col("doc_type") == kind)
-        rows = parse(own)
-        fields = [c for c in rows.columns if c not in KEYS]
-        events = rows.select(*KEYS, F.lit(kind).alias("doc_type"), F.lit("take").alias("entity_type"), F.to_json(F.struct(*fields)).alias("payload_json"))
-        out = events if out is None else out.unionByName(events)
-    return out.withColumn("department", F.split("doc_type", "_")[0]).withColumn("event_id", F.sha2(F.concat_ws("|", "doc_id", "payload_json"), 256))
-
-
-def date_claims(docs: DataFrame) -> DataFrame:
-    """What each document says of its day's date, also those that no parser reads."""
-    claim = n.shoot_date(F.col("content"), F.col("filename"))
-    return docs.select(*KEYS, claim.alias("c")).filter("c is not null").select(*KEYS, "c.date", "c.source", F.col("c.shoot_day").alias("stated_shoot_day"))
-
-
-def rejected(docs: DataFrame, events: DataFrame) -> DataFrame:
-    """Documents of a parsed kind that gave no event, with the reason."""
-    kinds = classified(docs).filter(F.col("doc_type").isin([*PARSERS]))
-    return kinds.join(events.select("doc_id").distinct(), "doc_id", "left_anti").select(*KEYS, "doc_type", F.lit("PARSER_FAILURE").alias("error_type"), F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "empty document").otherwise("no valid rows").alias("reason"))
-
-
-def write_spine(events: DataFrame, path: str) -> None:
-    """Appended, by production and day, so that a day is one folder."""
-    events.write.mode("append").partitionBy("production_id", "shoot_day").parquet(path)

@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from takeledger.operators import status
-from takeledger.sources import paperwork
+from takeledger.sources import ingest as sources
+
+#: Buckets of a table of current rows, and days that are broadcast at most.
+BUCKETS, BROADCAST_DAYS = 64, 100_000
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -56,35 +60,48 @@ def ingest(docs: DataFrame, spine: str, dead_letters: str, claims: str, checkpoi
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
-        events = paperwork.take_events(batch)
+        events = sources.parsed_events(batch)
         keep_batch(spine)(events, number)
-        keep_batch(dead_letters)(paperwork.rejected(batch, events), number)
-        keep_batch(claims)(paperwork.date_claims(batch), number)
+        keep_batch(dead_letters)(sources.rejected(batch, events), number)
+        keep_batch(claims)(sources.date_claims(batch), number)
         batch.unpersist()
 
     run_available(docs, each, checkpoint)
 
 
 def latest_state(rows: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str) -> None:
-    """Current rows of a trail kept up to date: every batch is merged into the table by key."""
-    from takeledger.operators.ledger import latest
+    """Current rows of a trail kept up to date, in BUCKETS by hash of the key.
 
-    spark = rows.sparkSession
+    A batch reads and writes only the buckets that its keys fall in, each as a new version; a
+    repeated batch writes the same version again. current_state reads the newest of each.
+    """
+    from takeledger.operators.ledger import latest
 
     def each(batch: DataFrame, number: int) -> None:
-        before = f"{path}/v={number - 1}"
-        known = spark.read.schema(batch.schema).parquet(before) if number else batch.limit(0)
-        latest(known.unionByName(batch), keys, order).write.mode("overwrite").parquet(f"{path}/v={number}")
+        marked = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        if number:
+            touched = F.broadcast(marked.select("bucket").distinct())  # at most BUCKETS rows
+            marked = current_state(batch.sparkSession, path, batch.schema, number).join(touched, "bucket", "left_semi").unionByName(marked)
+        latest(marked, [*keys, "bucket"], order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
 
     run_available(rows, each, checkpoint)
 
 
+def current_state(spark: SparkSession, path: str, schema: StructType, below: int | None = None) -> DataFrame:
+    """Rows (and their bucket) of the newest version of each bucket, of those before `below`."""
+    known = spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType()), StructField("v", IntegerType())])).option("basePath", path).parquet(path)
+    known = known.filter(F.col("v") < below) if below is not None else known
+    newest = known.groupBy("bucket").agg(F.max("v").alias("v"))
+    return known.join(F.broadcast(newest), ["bucket", "v"]).drop("v")  # at most BUCKETS rows
+
+
 def reconcile_touched(events: DataFrame, spine: Callable[[SparkSession], DataFrame], detect: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
     """After each batch, findings of just the days that it touched, written as a new snapshot."""
 
     def each(batch: DataFrame, number: int) -> None:
         days = batch.select("production_id", "shoot_day").distinct()
-        touched = spine(batch.sparkSession).join(F.broadcast(days), ["production_id", "shoot_day"], "left_semi")
+        days = F.broadcast(days) if days.limit(BROADCAST_DAYS + 1).count() <= BROADCAST_DAYS else days
+        touched = spine(batch.sparkSession).join(days, ["production_id", "shoot_day"], "left_semi")
         keep_batch(path)(detect(touched), number)
 
     run_available(events, each, checkpoint)
