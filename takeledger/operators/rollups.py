@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from takeledger.functions import normalize as n
 from takeledger.operators import analytics as a
+from takeledger.operators.status import missing_paperwork
 from takeledger.operators.reconcile import LOOSE_CLIP, LOOSE_FILE, camera_of, clip_number, file_numbers, sound_file, wav_names
 
 P = "production_id"
@@ -171,8 +172,10 @@ def unread_counts(notifications: DataFrame) -> DataFrame:
 def pre_editing_progress(events: DataFrame) -> DataFrame:
     """Queue requirements of each assistant: total, done, share, and the latest eight."""
     now = a.latest_requirements(events)
-    recent = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("updated_at", "requirement_id")))), 1, 8)
-    return now.groupBy(P, "assignee").agg(F.count("*").alias("total"), F.count_if(F.expr("status = 'resolved'")).alias("done"), F.array_join(F.transform(recent, lambda x: x["requirement_id"]), ",").alias("recent")).withColumn("share", F.round(100 * F.col("done") / F.col("total"), 1))
+    place = F.row_number().over(Window.partitionBy(P, "assignee").orderBy(F.desc("updated_at"), F.desc("requirement_id")))
+    newest = now.withColumn("place", place).filter("place <= 8").groupBy(P, "assignee").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "requirement_id"))), lambda x: x["requirement_id"]), ",").alias("recent"))
+    counts = now.groupBy(P, "assignee").agg(F.count("*").alias("total"), F.count_if(F.expr("status = 'resolved'")).alias("done"))
+    return counts.join(newest, [P, "assignee"]).withColumn("share", F.round(100 * F.col("done") / F.col("total"), 1))
 
 
 def character_lines(lines: DataFrame, most: int) -> DataFrame:
@@ -192,6 +195,21 @@ def script_context(targets: DataFrame, scenes: DataFrame) -> DataFrame:
     return found.withColumn("status", state).drop("sid", "numbers")
 
 
+def script_productions(links: DataFrame, script_ids: DataFrame) -> DataFrame:
+    """The productions that shoot each asked script. links: production_id, script_id."""
+    return links.join(script_ids.select("script_id").distinct(), "script_id", "left_semi").select("script_id", P).distinct()
+
+
+def scenes_by_number(scenes: DataFrame, asked: DataFrame) -> DataFrame:
+    """Every scene filed under each asked number of its script, in order; numbers may repeat.
+
+    scenes: script_id, scene, place; asked: script_id, scene.
+    """
+    same = F.upper(F.trim("scene")).alias("scene")
+    found = scenes.withColumn("scene", same).join(asked.select("script_id", same).distinct(), ["script_id", "scene"])
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("script_id", "scene").orderBy("place")))
+
+
 def numbered_scenes(headings: DataFrame) -> DataFrame:
     """A running number for headings that have none. headings: script_id, place, number."""
     w = Window.partitionBy("script_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
@@ -219,12 +237,45 @@ def open_findings(snapshots: DataFrame, top: int = 50) -> DataFrame:
     return a.current_findings(snapshots).filter("not resolved").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top).select(P, "shoot_day", "finding", "severity", "entity_id", "place")
 
 
-def production_status(snapshots: DataFrame, events: DataFrame) -> DataFrame:
-    """Work of each production in buckets: done, running, blocking, left."""
-    now = a.latest_requirements(events)
-    work = now.select(P, F.when(F.col("status") == "resolved", "done").when(F.col("status") == "in_progress", "running").when(F.col("status") == "blocked", "blocking").otherwise("left").alias("bucket"))
-    found = a.current_findings(snapshots).select(P, F.when(F.col("resolved"), "done").when(F.col("severity") == "CRITICAL", "blocking").otherwise("left").alias("bucket"))
-    return work.unionByName(found).groupBy(P, "bucket").agg(F.count("*").alias("items"))
+#: Buckets of work, and how urgent each severity is.
+BUCKETS = ["done", "running", "blocking", "left", "missing"]
+URGENCY = {"critical": 4, "high": 3, "medium": 2, "low": 1}
+
+
+def status_items(snapshots: DataFrame, events: DataFrame, witnesses: DataFrame, now: str) -> DataFrame:
+    """(P, bucket, kind, id, severity, since, age_hours): all that a production's status is made of.
+
+    Requirements by their status, findings (resolved are done, the rest block), and the departments
+    that filed on other days of the production but not on one, which are missing since its last
+    filing. Severities outside the known ones are medium, of findings high.
+    """
+    moment = F.lit(now).cast("timestamp")
+    known = lambda c, other: F.when(F.lower(c).isin(*URGENCY), F.lower(c)).otherwise(other).alias("severity")
+    status = F.col("status")
+    bucket = F.when(status == "resolved", "done").when(status == "in_progress", "running").when(status == "blocked", "blocking").otherwise("left")
+    since = F.when(status == "resolved", F.col("updated_at")).otherwise(F.col("raised_at"))
+    work = a.latest_requirements(events).select(P, bucket.alias("bucket"), F.lit("requirement").alias("kind"), F.col("requirement_id").alias("id"), known(F.col("priority"), "medium"), since.alias("since"))
+    found = a.current_findings(snapshots).select(P, F.when(F.col("resolved"), "done").otherwise("blocking").alias("bucket"), F.lit("discrepancy").alias("kind"), F.concat_ws(":", "shoot_day", "finding", "entity_id").alias("id"), known(F.col("severity"), "high"), F.col("created_at").alias("since"))
+    last = witnesses.groupBy(*DAY).agg(F.max("created_at").alias("since"))
+    gaps = missing_paperwork(witnesses).join(last, DAY).select(P, F.lit("missing").alias("bucket"), F.lit("paperwork").alias("kind"), F.concat_ws(":", "shoot_day", "department").alias("id"), F.lit("high").alias("severity"), "since")
+    items = work.unionByName(found).unionByName(gaps)
+    return items.withColumn("age_hours", n.hours_between(F.col("since"), moment))
+
+
+def production_status(items: DataFrame, most: int = 5) -> DataFrame:
+    """(P, counts of each bucket, urgent, headline): items as status_items gives them.
+
+    urgent: what blocks or is missing, by severity, then the oldest; the headline counts the
+    buckets and names the first.
+    """
+    rank = F.try_element_at(F.create_map(*[F.lit(x) for kv in URGENCY.items() for x in kv]), F.col("severity"))
+    counts = items.groupBy(P).agg(*[F.count_if(F.col("bucket") == b).alias(b) for b in BUCKETS])
+    place = F.row_number().over(Window.partitionBy(P).orderBy(F.desc(rank), F.desc_nulls_last("age_hours"), "kind", "id"))
+    first = items.filter("bucket in ('blocking', 'missing')").withColumn("place", place).filter(F.col("place") <= most)
+    top = F.max(F.when(F.col("place") == 1, F.concat(F.lit(" Most urgent: "), "id", F.lit(" ("), "severity", F.coalesce(F.concat(F.lit(" for "), F.round("age_hours").cast("long").cast("string"), F.lit("h")), F.lit("")), F.lit(")."))))
+    urgent = first.groupBy(P).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]), ",").alias("urgent"), top.alias("top"))
+    line = F.concat(F.concat_ws(", ", *[F.concat(F.col(b).cast("string"), F.lit(f" {b}")) for b in BUCKETS]), F.lit("."), F.coalesce("top", F.lit("")))
+    return counts.join(urgent, P, "left").withColumn("urgent", F.coalesce("urgent", F.lit(""))).withColumn("headline", line).drop("top")
 
 
 def rebuilt(trails: dict[str, DataFrame], path: str) -> DataFrame:

@@ -378,7 +378,23 @@ query("character_lines", "lines", lambda x: rollups.character_lines(x, 5).select
 query("validate_vocabulary", "user_activity", lambda x: rollups.validated(x.withColumn("action", F.when(F.col("event_id") % 50 == 0, "danced").otherwise(F.col("action"))), {"action": ["viewed", "acknowledged", "created", "resolved"]}, ["actor", "shoot_day"])[1].groupBy("reason").agg(F.count("*").alias("rows")), "SELECT CASE WHEN shoot_day = '' THEN 'missing shoot_day' ELSE 'unknown action' END AS reason, count(*) AS rows FROM user_activity WHERE shoot_day = '' OR event_id % 50 = 0 OR action NOT IN ('viewed', 'acknowledged', 'created', 'resolved') GROUP BY ALL")
 query("open_oldest_first", "requirement_events", rollups.open_oldest_first, _REQ_ONLY + "SELECT production_id, requirement_id, status, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY production_id ORDER BY raised_at, requirement_id) AS INT) AS place FROM req WHERE status IN ('blocked', 'open')) WHERE place <= 50")
 query("open_findings", "findings", rollups.open_findings, _FINDINGS + "SELECT production_id, shoot_day, finding, severity, entity_id, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY production_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, created_at DESC, event_id) AS INT) AS place FROM cur WHERE NOT resolved) WHERE place <= 50")
-query("production_status", "findings requirement_events", rollups.production_status, _FINDINGS + _REQ_ONLY.replace("WITH req", ", req") + ", b AS (SELECT production_id, CASE status WHEN 'resolved' THEN 'done' WHEN 'in_progress' THEN 'running' WHEN 'blocked' THEN 'blocking' ELSE 'left' END AS bucket FROM req UNION ALL SELECT production_id, CASE WHEN resolved THEN 'done' WHEN severity = 'CRITICAL' THEN 'blocking' ELSE 'left' END FROM cur) SELECT production_id, bucket, count(*) AS items FROM b GROUP BY ALL")
+_HOURS = f"round_even(greatest(0, CAST(epoch_us(TIMESTAMP '{NOW}') - epoch_us(since) AS DOUBLE) / 3.6e9), 1)"
+_URGENT = "array_to_string(list_transform(list_sort(list({{'k': place, 'i': id}}) FILTER (WHERE place <= 5)), lambda x: x.i), ',')".replace("{{", "{").replace("}}", "}")
+query("production_status", "findings requirement_events witness", lambda f, e, w: rollups.production_status(rollups.status_items(f, e, w, NOW)), _FINDINGS + _REQ_ONLY.replace("WITH req", ", req") + f""",
+filed AS (SELECT DISTINCT {_DAYS}, department FROM witness),
+gap AS (SELECT d.production_id, d.shoot_day, e.department FROM (SELECT DISTINCT {_DAYS} FROM filed) d JOIN (SELECT DISTINCT production_id, department FROM filed) e USING (production_id)
+  WHERE (d.production_id, d.shoot_day, e.department) NOT IN (SELECT (production_id, shoot_day, department) FROM filed)),
+lastly AS (SELECT {_DAYS}, max(created_at) AS since FROM witness GROUP BY ALL),
+item AS (SELECT production_id, CASE status WHEN 'resolved' THEN 'done' WHEN 'in_progress' THEN 'running' WHEN 'blocked' THEN 'blocking' ELSE 'left' END AS bucket, 'requirement' AS kind, requirement_id AS id,
+    CASE WHEN priority IN ('critical', 'high', 'medium', 'low') THEN priority ELSE 'medium' END AS severity, CASE WHEN status = 'resolved' THEN updated_at ELSE raised_at END AS since FROM req
+  UNION ALL SELECT production_id, CASE WHEN resolved THEN 'done' ELSE 'blocking' END, 'discrepancy', shoot_day || ':' || finding || ':' || entity_id,
+    CASE WHEN severity = 'CRITICAL' THEN 'critical' ELSE 'high' END, created_at FROM cur
+  UNION ALL SELECT production_id, 'missing', 'paperwork', shoot_day || ':' || department, 'high', since FROM gap JOIN lastly USING ({_DAYS})),
+c AS (SELECT production_id, {", ".join(f"count(*) FILTER (WHERE bucket = '{b}') AS \"{b}\"" for b in rollups.BUCKETS)} FROM item GROUP BY ALL),
+o AS (SELECT *, {_HOURS} AS age, row_number() OVER (PARTITION BY production_id ORDER BY CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, {_HOURS} DESC, kind, id) AS place
+  FROM item WHERE bucket IN ('blocking', 'missing')),
+u AS (SELECT production_id, {_URGENT} AS urgent, max(' Most urgent: ' || id || ' (' || severity || ' for ' || CAST(CAST(round(age) AS BIGINT) AS VARCHAR) || 'h).') FILTER (WHERE place = 1) AS top FROM o GROUP BY ALL)
+SELECT c.*, coalesce(urgent, '') AS urgent, {" || ', ' || ".join(f"CAST(\"{b}\" AS VARCHAR) || ' {b}'" for b in rollups.BUCKETS)} || '.' || coalesce(top, '') AS headline FROM c LEFT JOIN u USING (production_id)""")
 query("events_of_days", "witness", lambda w: w.groupBy("production_id", "shoot_day", "doc_id").agg(F.count("*").alias("events")), f"SELECT {_DAYS}, doc_id, count(*) AS events FROM witness GROUP BY ALL")
 query("take_witnesses", "witness", lambda w: w.groupBy("production_id", n.slate(F.col("slate")).alias("slate"), n.take(F.col("raw_take"))["take_id"].alias("take")).agg(F.count("*").alias("claims")), """
 SELECT production_id, replace(slate, '-', '/') AS slate, regexp_extract(raw_take, '^T?0*([0-9]+)', 1) || CASE WHEN contains(raw_take, 'PK') THEN 'PK' ELSE '' END AS take, count(*) AS claims FROM witness GROUP BY ALL""")
@@ -400,22 +416,25 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query, script_id ORDER BY wei
 SELECT query, script_id, scene, CAST(size AS INT) AS size, start, weight FROM best WHERE n = 1"""
 
 
-def _stream_rate(name: str, table: str, count: str, by: str, job: Callable[[DataFrame], DataFrame], interval: str) -> None:
-    """A streaming count over the table's rows, its last state read back."""
+def _stream_rate(name: str, table: str, count: str, by: str, job: Callable[[DataFrame], DataFrame], interval: str, late: str) -> None:
+    """A streaming count over the table's rows: the windows that the watermark has closed."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         source, condition, columns = adapters.TABLES[table]
         path = f"{sf_dir}/{source}.parquet"
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
         out = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        stream = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true").parquet(path + "*").filter(condition.format(div="div"))
+        stream = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true").parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern of just this name
+        stream = stream.filter(condition.format(div="div"))
         stream = stream.selectExpr(*[f"{e.format(div='div')} AS {c}" for c, e in columns.items()]).withColumn("created_at", F.col("created_at").cast("timestamp"))
-        streaming.run_available(job(stream), lambda df, _: df.write.mode("overwrite").parquet(f"{out}/table"), f"{out}/offsets", "complete")
-        return spark.read.parquet(f"{out}/table")
+        closed = job(stream)
+        streaming.run_available(closed, streaming.keep_batch(f"{out}/table"), f"{out}/offsets")
+        return spark.read.schema(closed.schema).option("recursiveFileLookup", "true").parquet(f"{out}/table")
 
     QUERIES[name] = run
-    ORACLES[name] = cte(table) + f"SELECT time_bucket(INTERVAL '{interval}', created_at) AS \"from\", {by}, count(*) AS {count} FROM {table} GROUP BY ALL"
+    counted = f"SELECT time_bucket(INTERVAL '{interval}', created_at) AS \"from\", {by}, count(*) AS {count} FROM {table} GROUP BY ALL"
+    ORACLES[name] = cte(table) + f"SELECT * FROM ({counted}) WHERE \"from\" + INTERVAL '{interval}' <= (SELECT max(created_at) FROM {table}) - INTERVAL '{late}'"
 
 
-_stream_rate("stream_filing_rate", "witness", "events", "department", streaming.filing_rate, "1 day")
-_stream_rate("stream_action_rate", "user_activity", "acts", "action", streaming.action_rate, "1 hour")
+_stream_rate("stream_filing_rate", "witness", "events", "department", streaming.filing_rate, "1 day", "7 days")
+_stream_rate("stream_action_rate", "user_activity", "acts", "action", streaming.action_rate, "1 hour", "2 hours")
