@@ -5,6 +5,9 @@ All are `Column -> Column` expressions inside the JVM; null and blank give null
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,44 +83,66 @@ def scene_compound(raw: Column) -> Column:
 TAKE = "struct<take_id:string,valid:boolean,starred:boolean,pickup:boolean,false_start:boolean,wild:boolean,vfx:boolean,mos:boolean,note:string>"
 
 
+def once(value: Column, body) -> Column:
+    """body(value), the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _holds(words: tuple[str, ...], c: Column) -> Column:
+    return reduce(or_, [F.contains(c, F.lit(w)) for w in words])
+
+
+def is_vfx(raw: Column) -> Column:
+    return F.contains(F.upper(F.coalesce(raw, F.lit(""))), F.lit("VFX"))
+
+
+def is_pickup(raw: Column) -> Column:
+    return _holds(("PK", "P/U", "PICKUP"), F.upper(F.coalesce(raw, F.lit(""))))
+
+
 def take(raw: Column) -> Column:
-    """A free-text take to its id, flags and note: `T03*` to 3 starred, `02PK` to 2PK, `1.02` to 1.2."""
-    t = _clean(raw)
+    """A free-text take to its id, flags and note: `T03*` to 3 starred, `02PK` to 2PK, `1.02` to 1.2.
+
+    The text, what is left of it without marks, and its first token are each computed once.
+    """
 
     def result(take_id: Column, valid=True, starred=False, pickup=False, false_start=False, wild=False, vfx=False, mos=False, note=None) -> Column:
         values = (take_id, valid, starred, pickup, false_start, wild, vfx, mos, note)
         return F.struct(*[v if isinstance(v, Column) else F.lit(v) for v in values]).cast(TAKE)
 
-    def holds(words: tuple[str, ...], c: Column) -> Column:
-        return F.exists(F.lit([*words]), lambda w: F.contains(c, w))
-
-    starred = holds(("*", "CIRCLED", "CHOSEN", "PRINT", "STAR"), t)
-    mos = holds(("MOS", "M.O.S", "MUTE", "SILENT"), t)
-    bare = t
-    for word in (r"\*", "CIRCLED", "CHOSEN", "PRINT", "STAR", "MOS", r"M\.O\.S", "MUTE", "SILENT"):
-        bare = F.regexp_replace(bare, word, " ")
-    bare = F.trim(F.regexp_replace(F.trim(bare), r"^(?:TAKE|TK)\s*", ""))
-    bare = F.trim(F.regexp_replace(bare, r"^T(?=0*\d)", ""))
-    vfx, pickup = F.contains(bare, F.lit("VFX")), holds(("PK", "P/U", "PICKUP"), bare)
-    tokens = F.filter(F.split(bare, r"\s+"), lambda x: x != "")
-    first = F.coalesce(F.get(tokens, F.lit(0)), F.lit(""))
-    note = F.when(F.size(tokens) > 1, F.array_join(F.slice(tokens, 2, 10_000), " "))
-    number = _int(F.regexp_extract(first, r"^(\d+)", 1))
-    take_id = (
-        F.when(first.rlike(r"^\d+\.\d+$"), F.concat(number, F.lit("."), _int(F.regexp_extract(first, r"\.(\d+)$", 1))))
-        .when(first.rlike(r"^\d+$"), number)
-        .when(first.rlike(r"^\d+(?:PK|P/U|PICKUP)$"), F.concat(number, F.when(pickup, "PK").otherwise("")))
-        .when(first.rlike(r"^\d+[A-Z]+$"), F.concat(number, F.regexp_extract(first, r"([A-Z]+)$", 1)))
-        .otherwise(first)
-    )
-    wild = F.coalesce(_int(F.regexp_extract(t, r"(?:WT|WILD)\s*T?0*(\d+)", 1)), F.lit("1"))
-    return (
-        F.when(t.isNull(), result(F.lit(None), valid=False))
-        .when((t == "FC") | t.contains("FALSE"), result(F.lit("FALSE"), valid=False, false_start=True))
-        .when(t.startswith("WT") | t.startswith("WILD"), result(wild, wild=True))
-        .when(first == "", result(F.lit(None), valid=False))
-        .otherwise(result(take_id, starred=starred, pickup=pickup, vfx=vfx, mos=mos, note=note))
-    )
+    def of_text(t: Column) -> Column:
+        bare = t
+        for word in (r"\*", "CIRCLED", "CHOSEN", "PRINT", "STAR", "MOS", r"M\.O\.S", "MUTE", "SILENT"):
+            bare = F.regexp_replace(bare, word, " ")
+        bare = F.trim(F.regexp_replace(F.trim(bare), r"^(?:TAKE|TK)\s*", ""))
+        bare = F.trim(F.regexp_replace(bare, r"^T(?=0*\d)", ""))
+        return once(bare, lambda b: once(F.filter(F.split(b, r"\s+"), lambda x: x != ""), lambda tokens: once(F.coalesce(F.get(tokens, F.lit(0)), F.lit("")), lambda first: of_tokens(t, b, tokens, first))))
+
+    def of_tokens(t: Column, bare: Column, tokens: Column, first: Column) -> Column:
+        starred = _holds(("*", "CIRCLED", "CHOSEN", "PRINT", "STAR"), t)
+        mos = _holds(("MOS", "M.O.S", "MUTE", "SILENT"), t)
+        vfx, pickup = is_vfx(bare), is_pickup(bare)
+        note = F.when(F.size(tokens) > 1, F.array_join(F.slice(tokens, 2, 10_000), " "))
+        number = _int(F.regexp_extract(first, r"^(\d+)", 1))
+        take_id = (
+            F.when(first.rlike(r"^\d+\.\d+$"), F.concat(number, F.lit("."), _int(F.regexp_extract(first, r"\.(\d+)$", 1))))
+            .when(first.rlike(r"^\d+$"), number)
+            .when(first.rlike(r"^\d+(?:PK|P/U|PICKUP)$"), F.concat(number, F.when(pickup, "PK").otherwise("")))
+            .when(first.rlike(r"^\d+[A-Z]+$"), F.concat(number, F.regexp_extract(first, r"([A-Z]+)$", 1)))
+            .otherwise(first)
+        )
+        return F.when(first == "", result(F.lit(None), valid=False)).otherwise(result(take_id, starred=starred, pickup=pickup, vfx=vfx, mos=mos, note=note))
+
+    def of_clean(t: Column) -> Column:
+        wild = F.coalesce(_int(F.regexp_extract(t, r"(?:WT|WILD)\s*T?0*(\d+)", 1)), F.lit("1"))
+        return (
+            F.when(t.isNull(), result(F.lit(None), valid=False))
+            .when((t == "FC") | t.contains("FALSE"), result(F.lit("FALSE"), valid=False, false_start=True))
+            .when(t.startswith("WT") | t.startswith("WILD"), result(wild, wild=True))
+            .otherwise(of_text(t))
+        )
+
+    return once(_clean(raw), of_clean)
 
 
 def shoot_day(raw: Column) -> Column:

@@ -31,10 +31,12 @@ def department_arrivals(events: DataFrame) -> DataFrame:
 
 def roll_disagreements(events: DataFrame) -> DataFrame:
     """One camera of a take on several rolls, said by several departments. The payload is parsed once."""
-    takes = events.filter(F.col("entity_type") == "take").select(*DAY, "department", F.from_json("payload_json", "slate string, take_id string, camera_roll string").alias("p"))
-    takes = takes.select(*DAY, "department", "p.slate", "p.take_id", "p.camera_roll").filter("camera_roll <> ''")
-    by = takes.groupBy(*DAY, "slate", "take_id", F.substring("camera_roll", 1, 1).alias("camera"))
-    found = by.agg(F.collect_set("camera_roll").alias("r"), F.collect_set("department").alias("d"))
+    takes = events.filter(F.col("entity_type") == "take").select(*DAY, "department", F.json_tuple("payload_json", "slate", "take_id", "camera_roll").alias("slate", "take_id", "camera_roll"))
+    key = [*DAY, "slate", "take_id", "camera"]
+    said = takes.filter("camera_roll <> ''").withColumn("camera", F.substring("camera_roll", 1, 1)).select(*key, "camera_roll", "department").distinct()
+    # sets are made of the takes with several claims only
+    several = said.groupBy(*key).agg(F.count("*").alias("claims")).filter("claims > 1").drop("claims")
+    found = said.join(several, key).groupBy(*key).agg(F.collect_set("camera_roll").alias("r"), F.collect_set("department").alias("d"))
     found = found.filter((F.size("r") > 1) & (F.size("d") > 1))
     return found.select(*DAY, "slate", "take_id", "camera", F.array_join(F.sort_array("r"), ",").alias("rolls"), F.array_join(F.sort_array("d"), ",").alias("witnesses"))
 
@@ -208,8 +210,8 @@ def last_filing(events: DataFrame, now: str) -> DataFrame:
 
 def takes_per_day(events: DataFrame) -> DataFrame:
     """Takes, slates, marks and rows without a roll of each day, counted over the takes."""
-    mark = n.take(F.col("raw_take"))
-    each = events.select(*DAY, "slate", "take_id", F.coalesce("starred", F.lit(False)).alias("starred"), mark["pickup"].alias("pickup"), mark["vfx"].alias("vfx"), (F.col("camera_roll") == "").alias("bare"))
+    raw = F.col("raw_take")
+    each = events.select(*DAY, "slate", "take_id", F.coalesce("starred", F.lit(False)).alias("starred"), n.is_pickup(raw).alias("pickup"), n.is_vfx(raw).alias("vfx"), (F.col("camera_roll") == "").alias("bare"))
     each = each.groupBy(*DAY, "slate", "take_id").agg(*[F.count_if(F.col(c)).alias(c) for c in ("starred", "pickup", "vfx", "bare")])
     slates = each.groupBy(*DAY, "slate").agg(F.count("*").alias("takes"), *[F.sum(c).alias(c) for c in ("starred", "pickup", "vfx", "bare")])
     return slates.groupBy(*DAY).agg(F.sum("takes").alias("takes"), F.count("*").alias("slates"), F.sum("starred").alias("starred"), F.sum("pickup").alias("pickups"), F.sum("vfx").alias("vfx"), F.sum("bare").alias("without_roll"))
@@ -269,8 +271,10 @@ def scene_evidence(events: DataFrame) -> DataFrame:
 
     Combined by take first, so that nothing is expanded to be counted.
     """
-    has = {"script": F.col("department") == "script", "camera": F.col("department") == "camera", "sound": F.col("department") == "sound", "existence": F.col("axis") == "existence", "vfx": n.take(F.col("raw_take"))["vfx"], "wild": F.upper("slate").rlike("(^|[/_ -])WT$")}
-    each = events.groupBy(P, "scene", "slate", "take_id").agg(F.collect_set("shoot_day").alias("days"), F.bool_or(F.coalesce("starred", F.lit(False))).alias("starred"), F.collect_set("doc_id").alias("docs"), *[F.bool_or(F.coalesce(c, F.lit(False))).alias(f"has_{k}") for k, c in has.items()])
+    has = {"script": F.col("department") == "script", "camera": F.col("department") == "camera", "sound": F.col("department") == "sound", "existence": F.col("axis") == "existence", "vfx": n.is_vfx(F.col("raw_take")), "wild": F.upper("slate").rlike("(^|[/_ -])WT$")}
+    flags = [F.bool_or(F.coalesce(c, F.lit(False))).alias(f"has_{k}") for k, c in has.items()]
+    each = events.groupBy(P, "scene", "slate", "take_id", "shoot_day", "doc_id").agg(F.bool_or(F.coalesce("starred", F.lit(False))).alias("starred"), *flags)
+    each = each.groupBy(P, "scene", "slate", "take_id").agg(F.collect_set("shoot_day").alias("days"), F.collect_set("doc_id").alias("docs"), *[F.bool_or(c).alias(c) for c in ("starred", *[f"has_{k}" for k in has])])
     count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
     return each.groupBy(P, "scene").agg(count("days").alias("days"), F.count("*").alias("takes"), F.count_if(F.col("starred")).alias("circled"), count("docs").alias("documents"), *[F.bool_or(f"has_{k}").alias(f"has_{k}") for k in has])
 

@@ -31,49 +31,41 @@ def camera_of(roll: Column) -> Column:
     return F.when(roll.rlike("^[A-Za-z]"), F.upper(F.substring(roll, 1, 1))).otherwise("A")
 
 
-def take_findings(witnesses: DataFrame, kinds: tuple[str, ...] = ("marks", "cameras", "sounds")) -> DataFrame:
-    """What the witnesses of one take disagree on, in one pass: marks, camera rolls, sound rolls.
+def circled_mismatches(witnesses: DataFrame) -> DataFrame:
+    """Script documents that disagree on a take's mark; the last claim of a document counts."""
+    said = witnesses.filter("department = 'script' and starred is not null").groupBy(*TAKE, "doc_id").agg(F.max_by("starred", "seq").alias("starred"))
+    both = said.groupBy(*TAKE).agg(F.bool_or("starred").alias("yes"), F.bool_and("starred").alias("all"), F.count("*").alias("documents")).filter("yes and not all")
+    return finding(both, take_entity(), "CIRCLED_TAKE_MISMATCH", "CRITICAL", F.col("documents"))
 
-    Claims are combined by document before the first shuffle and by take after it. Script
-    documents that disagree on the take's mark (the last claim of a document counts); one camera
-    on several rolls; sound cards on several rolls, unless a roll and a recorder's folder name the
-    same card.
-    """
-    mark = F.max(F.when(F.expr("department = 'script' and starred is not null"), F.struct("seq", "starred")))["starred"]
-    camera = F.collect_set(F.when(F.col("camera_roll") != "", F.struct(camera_of(F.col("camera_roll")).alias("camera"), F.col("camera_roll").alias("roll"))))
-    sound = F.collect_set(F.when(F.col("sound_roll") != "", F.col("sound_roll")))
-    known = {"marks": mark, "cameras": camera, "sounds": sound}
-    said = witnesses.groupBy(*TAKE, "doc_id").agg(*[known[k].alias(k) for k in kinds])
-    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-    marks = (F.bool_or("marks").alias("yes"), F.bool_and("marks").alias("all"), F.count("marks").alias("documents"))
-    takes = said.groupBy(*TAKE).agg(*[x for k in kinds for x in (marks if k == "marks" else (union(k),))])
-    row = lambda kind, severity, detail: F.struct(F.lit(kind).alias("finding"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
-    none = F.array().cast("array<struct<finding:string,severity:string,detail:string>>")
-    found = []
-    if "marks" in kinds:
-        found.append(F.when(F.expr("yes and not all"), F.array(row("CIRCLED_TAKE_MISMATCH", "CRITICAL", F.col("documents")))).otherwise(none))
-    if "cameras" in kinds:
-        of = lambda c: F.transform(F.filter("cameras", lambda r: r["camera"] == c), lambda r: r["roll"])
-        several = F.filter(F.array_distinct(F.transform("cameras", lambda r: r["camera"])), lambda c: F.size(of(c)) > 1)
-        found.append(F.transform(several, lambda c: row("ROLL_MISMATCH", "CRITICAL", F.concat(c, F.lit(":"), F.array_join(F.array_sort(of(c)), ",")))))
-    if "sounds" in kinds:
-        plain = F.exists("sounds", lambda r: r.startswith("SR") | r.rlike(r"^\d+$"))
-        folder = F.exists("sounds", lambda r: r.contains("Y") & r.contains("M"))
-        apart = (F.size("sounds") > 1) & ~(plain & folder)
-        found.append(F.when(apart, F.array(row("ROLL_MISMATCH", "WARNING", F.array_join(F.array_sort("sounds"), ",")))).otherwise(none))
-    return takes.select(*DAY, take_entity().alias("entity_id"), F.inline(F.concat(*found)))
 
+def roll_mismatches(witnesses: DataFrame, camera: bool = True, sound: bool = True) -> DataFrame:
+    """One camera of a take on several rolls, and sound on several cards, in one pass.
 
-def circled_mismatches(witnesses: DataFrame) -> DataFrame:
-    return take_findings(witnesses, ("marks",))
+    Different claims are counted by hash; sets are made of the few takes that have several. A
+    sound roll and a recorder's folder may name the same card, which is no finding.
+    """
+    roll = F.col("camera_roll")
+    of_camera = F.when(roll != "", F.struct(camera_of(roll).alias("of"), roll.alias("roll")))
+    of_sound = F.when(F.col("sound_roll") != "", F.struct(F.lit("sound").alias("of"), F.col("sound_roll").alias("roll")))
+    key = [*TAKE, "of"]
+    claims = [c for c, wanted in ((of_camera, camera), (of_sound, sound)) if wanted]
+    said = witnesses.select(*TAKE, F.inline(F.array_compact(F.array(*claims)))).distinct()
+    several = said.groupBy(*key).agg(F.count("*").alias("claims")).filter("claims > 1").drop("claims")
+    found = said.join(several, key).groupBy(*key).agg(F.sort_array(F.collect_set("roll")).alias("rolls"))
+    plain = F.exists("rolls", lambda r: r.startswith("SR") | r.rlike(r"^\d+$"))
+    folder = F.exists("rolls", lambda r: r.contains("Y") & r.contains("M"))
+    listed = F.array_join("rolls", ",")
+    cameras = finding(found.filter("of <> 'sound'"), take_entity(), "ROLL_MISMATCH", "CRITICAL", F.concat("of", F.lit(":"), listed))
+    sounds = finding(found.filter("of = 'sound'").filter(~(plain & folder)), take_entity(), "ROLL_MISMATCH", "WARNING", listed)
+    return cameras.unionByName(sounds) if camera and sound else cameras if camera else sounds
 
 
 def camera_roll_mismatches(witnesses: DataFrame) -> DataFrame:
-    return take_findings(witnesses, ("cameras",))
+    return roll_mismatches(witnesses, sound=False)
 
 
 def sound_roll_mismatches(witnesses: DataFrame) -> DataFrame:
-    return take_findings(witnesses, ("sounds",))
+    return roll_mismatches(witnesses, camera=False)
 
 
 def timecode_drifts(witnesses: DataFrame, fps: float = 24.0) -> DataFrame:
@@ -101,10 +93,9 @@ def file_numbers(name: Column, pattern: str) -> Column:
 
 
 def _logged_keys(takes: DataFrame) -> DataFrame:
-    """Keys by which a logged take can meet a file: its clip's stem, the clip's camera, roll and
-    number, and what a sound file of the take would be called up to its number."""
-    stem = F.when(F.col("clip_name") != "", F.concat(F.lit("stem:"), F.upper(n.clip_stem(F.col("clip_name")))))
-    return takes.withColumn("key", F.explode(F.array_distinct(F.concat(F.array_compact(F.array(stem, clip_number(F.col("clip_name"), CLIP))), wav_names(F.col("slate"), F.col("take_id"))))))
+    """Keys by which a logged clip can meet a file: its stem, and camera, roll and number."""
+    stem = F.concat(F.lit("stem:"), F.upper(n.clip_stem(F.col("clip_name"))))
+    return takes.withColumn("key", F.explode(F.array_compact(F.array(stem, clip_number(F.col("clip_name"), CLIP)))))
 
 
 def wav_names(slate: Column, take: Column) -> Column:
@@ -140,21 +131,24 @@ def existence_findings(witnesses: DataFrame, media: DataFrame) -> DataFrame:
     Clips count on days that have an offload. Every key's rows learn whether the other side has
     the key too; a clip or file that none of its keys brings together is a finding.
     """
-    logged = witnesses.filter("axis = 'belief'").select(*TAKE, F.coalesce("clip_name", F.lit("")).alias("clip_name")).distinct()
+    said = witnesses.filter("axis = 'belief'")
+    logged = said.filter("clip_name <> ''").select(*TAKE, "clip_name").distinct()
+    takes = said.select(*TAKE).distinct()
     files = media.filter("file_name <> ''").select(*DAY, "file_name").distinct()
+    nobody = [F.lit(None).cast("string").alias(c) for c in ("slate", "take_id", "clip_name", "file_name")]
     sides = [
-        _logged_keys(logged).select(*DAY, "key", F.lit(False).alias("is_file"), F.struct("slate", "take_id", "clip_name").alias("who"), F.lit(None).cast("string").alias("file_name")),
-        _file_keys(files).select(*DAY, "key", F.lit(True).alias("is_file"), F.lit(None).cast("struct<slate:string,take_id:string,clip_name:string>").alias("who"), "file_name"),
+        _logged_keys(logged).select(*DAY, "key", F.lit(False).alias("is_file"), "slate", "take_id", "clip_name", nobody[3]),
+        # a take's sound file is no trace of its clip: these keys only show that a file is known
+        takes.select(*DAY, F.explode(F.array_distinct(wav_names(F.col("slate"), F.col("take_id")))).alias("key")).select(*DAY, "key", F.lit(False).alias("is_file"), *nobody),
+        _file_keys(files).select(*DAY, "key", F.lit(True).alias("is_file"), *nobody[:3], "file_name"),
     ]
     by_key = Window.partitionBy(*DAY, "key")
-    # a take's sound file is no trace of its clip
-    clips = ~F.col("key").startswith("wav:")
-    rows = sides[0].unionByName(sides[1]).withColumn("met", (F.min("is_file").over(by_key) != F.max("is_file").over(by_key)) & (F.col("is_file") | clips))
-    alone = rows.groupBy(*DAY, "is_file", "who", "file_name").agg(F.bool_or("met").alias("met")).filter("not met")
-    lost = alone.filter("not is_file and who.clip_name <> ''").join(files.select(*DAY).distinct(), DAY, "left_semi")
-    clip = F.concat("who.slate", F.lit(" Take "), "who.take_id", F.lit(" ("), "who.clip_name", F.lit(")"))
+    rows = sides[0].unionByName(sides[1]).unionByName(sides[2]).withColumn("met", F.min("is_file").over(by_key) != F.max("is_file").over(by_key)).filter("is_file or clip_name is not null")
+    alone = rows.groupBy(*DAY, "is_file", "slate", "take_id", "clip_name", "file_name").agg(F.bool_or("met").alias("met")).filter("not met")
+    lost = alone.filter("not is_file").join(files.select(*DAY).distinct(), DAY, "left_semi")
+    clip = F.concat("slate", F.lit(" Take "), "take_id", F.lit(" ("), "clip_name", F.lit(")"))
     orphans = alone.filter("is_file and not startswith(file_name, '.')")
-    return finding(lost, clip, "PAPERWORK_WITHOUT_MEDIA", "CRITICAL", F.col("who.clip_name")).unionByName(finding(orphans, F.col("file_name"), "MEDIA_WITHOUT_PAPERWORK", "WARNING", F.lit("")))
+    return finding(lost, clip, "PAPERWORK_WITHOUT_MEDIA", "CRITICAL", F.col("clip_name")).unionByName(finding(orphans, F.col("file_name"), "MEDIA_WITHOUT_PAPERWORK", "WARNING", F.lit("")))
 
 
 def paperwork_without_media(witnesses: DataFrame, media: DataFrame) -> DataFrame:
@@ -206,7 +200,7 @@ def date_disagreements(dates: DataFrame) -> DataFrame:
 def reconcile(witnesses: DataFrame, media: DataFrame, scenes: DataFrame, ranges: DataFrame, dates: DataFrame) -> DataFrame:
     """All findings of all productions and days."""
     parts = [
-        take_findings(witnesses), timecode_drifts(witnesses), existence_findings(witnesses, media), awaiting_offload(witnesses, media),
+        circled_mismatches(witnesses), roll_mismatches(witnesses), timecode_drifts(witnesses), existence_findings(witnesses, media), awaiting_offload(witnesses, media),
         scene_findings(scenes, witnesses), slates_outside_range(witnesses, ranges), date_disagreements(dates),
     ]
     out = parts[0]

@@ -75,13 +75,13 @@ def take_rollup(witnesses: DataFrame, media: DataFrame) -> DataFrame:
     Cards, angles (cameras), documents, marks that any row has, what each department said last,
     and the picture and sound files with their volumes.
     """
-    said = witnesses.withColumn("slate", n.slate(F.col("slate"))).withColumn("mark", n.take(F.col("raw_take")))
+    said = witnesses.withColumn("slate", n.slate(F.col("slate")))
     card = F.when(F.col("camera_roll") != "", F.col("camera_roll"))
     any_ = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
     last = lambda d: F.max(F.when(F.col("department") == d, F.struct("seq", F.concat_ws(" ", "camera_roll", "sound_roll", "timecode_in").alias("said"))))["said"].alias(f"{d}_said")
     rows = said.groupBy(*TAKE).agg(
         F.count("*").alias("claims"), a.joined_set(card).alias("cards"), a.joined_set(camera_of(card), when=card.isNotNull()).alias("angles"),
-        any_(F.col("starred")).alias("starred"), any_(F.col("mark.vfx")).alias("vfx"), any_(F.col("mark.pickup")).alias("pickup"),
+        any_(F.col("starred")).alias("starred"), any_(n.is_vfx(F.col("raw_take"))).alias("vfx"), any_(n.is_pickup(F.col("raw_take"))).alias("pickup"),
         a.joined_set("doc_id").alias("documents"), F.size(F.collect_set("department")).alias("departments"), *map(last, ("camera", "sound", "script")),
     )
     volumes = media.select(*DAY, "file_name", "volume").distinct()
@@ -98,11 +98,11 @@ def sequence_rollup(witnesses: DataFrame) -> DataFrame:
     script department and its first three different ones, by arrival. Takes are combined before
     they are counted.
     """
-    said = witnesses.withColumn("slate", n.slate(F.col("slate"))).withColumn("mark", n.take(F.col("raw_take")))
+    said = witnesses.withColumn("slate", n.slate(F.col("slate")))
     take = F.concat("slate", F.lit(":"), "take_id")
     card = F.when(F.col("camera_roll") != "", F.col("camera_roll"))
     each = said.groupBy(P, "scene", take.alias("take")).agg(
-        F.bool_or(F.coalesce("starred", F.lit(False))).alias("starred"), F.bool_or(F.coalesce("mark.vfx", F.lit(False))).alias("vfx"), F.bool_or(F.coalesce("mark.pickup", F.lit(False))).alias("pickup"),
+        F.bool_or(F.coalesce("starred", F.lit(False))).alias("starred"), F.bool_or(n.is_vfx(F.col("raw_take"))).alias("vfx"), F.bool_or(n.is_pickup(F.col("raw_take"))).alias("pickup"),
         F.collect_set(card).alias("cards"), F.collect_set("shoot_day").alias("days"), F.collect_set("doc_id").alias("docs"),
     )
     union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
