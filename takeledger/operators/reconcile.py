@@ -39,25 +39,30 @@ def circled_mismatches(witnesses: DataFrame) -> DataFrame:
 
 
 def roll_mismatches(witnesses: DataFrame, camera: bool = True, sound: bool = True) -> DataFrame:
-    """One camera of a take on several rolls, and sound on several cards, in one pass.
+    """One camera of a take on several rolls, and sound on several cards, in one pass by take.
 
-    Different claims are counted by hash; sets are made of the few takes that have several. A
-    sound roll and a recorder's folder may name the same card, which is no finding.
+    A sound roll and a recorder's folder may name the same card, which is no finding.
     """
     roll = F.col("camera_roll")
-    of_camera = F.when(roll != "", F.struct(camera_of(roll).alias("of"), roll.alias("roll")))
-    of_sound = F.when(F.col("sound_roll") != "", F.struct(F.lit("sound").alias("of"), F.col("sound_roll").alias("roll")))
-    key = [*TAKE, "of"]
-    claims = [c for c, wanted in ((of_camera, camera), (of_sound, sound)) if wanted]
-    said = witnesses.select(*TAKE, F.inline(F.array_compact(F.array(*claims)))).distinct()
-    several = said.groupBy(*key).agg(F.count("*").alias("claims")).filter("claims > 1").drop("claims")
-    found = said.join(several, key).groupBy(*key).agg(F.sort_array(F.collect_set("roll")).alias("rolls"))
-    plain = F.exists("rolls", lambda r: r.startswith("SR") | r.rlike(r"^\d+$"))
-    folder = F.exists("rolls", lambda r: r.contains("Y") & r.contains("M"))
-    listed = F.array_join("rolls", ",")
-    cameras = finding(found.filter("of <> 'sound'"), take_entity(), "ROLL_MISMATCH", "CRITICAL", F.concat("of", F.lit(":"), listed))
-    sounds = finding(found.filter("of = 'sound'").filter(~(plain & folder)), take_entity(), "ROLL_MISMATCH", "WARNING", listed)
-    return cameras.unionByName(sounds) if camera and sound else cameras if camera else sounds
+    sets = {
+        "cameras": F.collect_set(F.when(roll != "", F.struct(camera_of(roll).alias("camera"), roll.alias("roll")))),
+        "sounds": F.collect_set(F.when(F.col("sound_roll") != "", F.col("sound_roll"))),
+    }
+    wanted = [k for k, asked in (("cameras", camera), ("sounds", sound)) if asked]
+    takes = witnesses.groupBy(*TAKE).agg(*[sets[k].alias(k) for k in wanted]).filter(" or ".join(f"size({k}) > 1" for k in wanted))
+    row = lambda severity, detail: F.struct(F.lit("ROLL_MISMATCH").alias("finding"), F.lit(severity).alias("severity"), detail.alias("detail"))
+    found = []
+    if camera:
+        of = lambda c: F.transform(F.filter("cameras", lambda r: r["camera"] == c), lambda r: r["roll"])
+        several = F.filter(F.array_distinct(F.transform("cameras", lambda r: r["camera"])), lambda c: F.size(of(c)) > 1)
+        found.append(F.transform(several, lambda c: row("CRITICAL", F.concat(c, F.lit(":"), F.array_join(F.array_sort(of(c)), ",")))))
+    if sound:
+        plain = F.exists("sounds", lambda r: r.startswith("SR") | r.rlike(r"^\d+$"))
+        folder = F.exists("sounds", lambda r: r.contains("Y") & r.contains("M"))
+        apart = (F.size("sounds") > 1) & ~(plain & folder)
+        none = F.array().cast("array<struct<finding:string,severity:string,detail:string>>")
+        found.append(F.when(apart, F.array(row("WARNING", F.array_join(F.array_sort("sounds"), ",")))).otherwise(none))
+    return takes.select(*DAY, take_entity().alias("entity_id"), F.inline(F.concat(*found)))
 
 
 def camera_roll_mismatches(witnesses: DataFrame) -> DataFrame:

@@ -100,6 +100,7 @@ def parse_camera_log(docs: DataFrame) -> DataFrame:
     marks these as effects shots, one that names none marks all takes below it.
     """
     line = F.col("line")
+    # fixed values: the shapes of a roll header, a setup, a take line, and a take at a setup's end
     roll, slate = r"ROLL\s*([A-Z]\d{3})", r"^(\d+[A-Z]?/\d+)"
     take, inline = r"^(\d+[A-Z*]?|FC|FALSE)\s+(\d{3,4})$", r"(?:EI|ISO\d+)(\d+[A-Z*]?|FC|FALSE)\s+(\d{3,4})$"
     kind = F.when(line.rlike(roll), "roll").when(line.rlike(slate), "setup").when(F.contains(line, F.lit("Notes")), "note").when(line.rlike(take), "take").otherwise("other")
@@ -153,6 +154,7 @@ def parse_timecode_log(docs: DataFrame) -> DataFrame:
     contact details to none.
     """
     line = F.col("line")
+    # fixed values: the shapes of a take on one line, and of the head of one over several
     one = rf"^({SLATE})\s+(\d+[A-Z*]?|FALSE)\s+({TIMECODE})\s*(?:\d{{2}}:\d{{2}}:\d{{2}}(?!:))?\s*({TIMECODE})?(.*)"
     head = rf"^(\d+[A-Z]?/\d+|\d+WT)\s+(\d+[A-Z*]?|FALSE)(?:(?=\d{{2}}:\d{{2}}:\d{{2}})|\s+)({TIMECODE})?"
     rest = F.regexp_extract(line, one, 5)
@@ -189,6 +191,7 @@ def parse_editor_log(docs: DataFrame) -> DataFrame:
     Scene headings end a page; a row of an unknown setup ends the setup above it.
     """
     line = F.col("line")
+    # fixed values: the shapes of a setup, a take below it, a wild track, a scene heading, a day
     setup, sub = rf"^({SLATE})\s+({TAKE})\s*(.*)", rf"^({TAKE})\s+(.*)"
     wild = r"(?i)(\d+WT)\s+(\d+[A-Z*]?)\s+.*?(?:Wild Track:)?\s*.*?(?:n/a)?\s*(\d{6})?\s*(\d+:\d+)?\s*(.*)"
     heading = r"(?i)^(?:\d+[A-Z]{0,2}\.?\s+(?:\d+[A-Z]{0,2})?\s*)?(?:INT|EXT)[./]"
@@ -241,6 +244,7 @@ def parse_script_log(docs: DataFrame) -> DataFrame:
 
 def named_sound(base: Column) -> Column:
     """struct(slate, take_id, pickup, wild) of a sound file's name without its ending."""
+    # fixed values: scene, shot and take; scene and wild take; scene and take
     forms = [r"(?i)^(.+?)-([A-Za-z0-9_]+)T([A-Za-z0-9_*]+)$", r"(?i)^(.+?)WTT([A-Za-z0-9_*]+)$", r"(?i)^(.+?)T([A-Za-z0-9_*]+)$"]
     part = lambda f, i: F.regexp_extract(base, forms[f], i)
     shot = F.regexp_replace(part(0, 2), "(?i)pk", "")
@@ -263,6 +267,7 @@ def _offload(rows: DataFrame, **values: Column) -> DataFrame:
 def parse_volume_report(docs: DataFrame) -> DataFrame:
     """Files of a volume: its name, then its checksum, then its size; sound folders stand above."""
     line = F.col("line")
+    # fixed values: the shapes of a file's name, a checksum, a size
     name, hashed, sized = r"(?i)^([+A-Za-z0-9_\-.]+\.(?:WAV|MOV|BRAW|ARI|ARX|MXF|MP4))$", r"(?i)(XXH64|MD5|SHA1):([a-f0-9]+)", r"(?i)([\d.]+)\s*(MB|GB|KB|Bytes)"
     volume = _group(F.col("content"), r"Volume Report[^\n]*\n[^\n]*\n([^\n]+)")
     rows = _lines(docs, r"^\b$", volume=volume).withColumn("is_name", line.rlike(name)).withColumn("block", F.sum(F.col("is_name").cast("int")).over(_in()))
@@ -278,6 +283,7 @@ def parse_volume_report(docs: DataFrame) -> DataFrame:
 
 def parse_day_report(docs: DataFrame) -> DataFrame:
     """Reels of a shooting day: each stands for as many clips as it counts, of even size."""
+    # fixed value: reel, camera, clips, duration, files, size
     reel = r"([A-C]_0*\d{3,4}_[A-Za-z0-9]+)\s+([A-C_]+)\s+(\d+)\s*([\d:]+\s*(?:min|h|sec))\s+(\d+)?\s*([\d.]+)\s*(GB|TB|MB)"
     line = F.col("line")
     rows = _lines(docs, r"^\b$").filter(line.rlike(reel))
@@ -292,6 +298,7 @@ def parse_day_report(docs: DataFrame) -> DataFrame:
 def parse_clips_report(docs: DataFrame) -> DataFrame:
     """Sound and camera clips, a line each, with what the line says of lens and exposure."""
     line = F.col("line")
+    # fixed values: the shapes of a sound clip and of a camera clip
     sound = r"^([+A-Za-z0-9_\-]+)\s+(Sound Dev:.+?)\s+(\d+:\d+\s*(?:min|sec)|\d+\s*sec)$"
     video = r"^([A-C]_0*\d{3,4}C\d{3,4}\S*)\s+([A-C])_\s+(.+?)\s+(\d+:\d+\s*(?:min|sec)|\d+(?:\.\d+)?\s*sec)\s+(\d+x\d+)\s+([\d.]+°\s*@\s*\d+fps)\s+([\d.]+\s*mm)\s+(\S+(?:\s+\d+/\d+)?)\s+(\d+)\s+(\d+\s*K)"
     rows = _lines(docs, CLIP_SKIPS).withColumn("is_sound", line.rlike(sound)).filter(F.col("is_sound") | line.rlike(video))
