@@ -59,6 +59,15 @@ def ngram_codes(folded: np.ndarray, order: int) -> np.ndarray:
     return code.astype(np.int32)
 
 
+def own_ngrams(folded: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
+    """ngram_codes of texts that follow each other; what reaches into the next text is blank."""
+    codes = ngram_codes(folded, order)
+    for k in range(1, order):
+        at = starts[1:] - k
+        codes[at[at < len(codes)]] = 0
+    return codes
+
+
 def codewords(count: int) -> np.ndarray:
     """A row of -1/+1 bits for each language, far apart in Hamming distance."""
     if count <= 1:
@@ -90,7 +99,7 @@ class Model:
         folded = FOLD[data]
         out = np.zeros((len(texts), self.code.shape[1]), dtype=np.float64)
         for w, order in zip(self.weights, ORDERS):
-            codes = ngram_codes(folded, order)
+            codes = own_ngrams(folded, starts, order)
             at = np.minimum(starts[:-1], len(codes) - 1)
             for b in range(out.shape[1]):
                 out[:, b] += np.add.reduceat(w[b][codes], at)
@@ -127,9 +136,10 @@ def _profiles(languages: list[str]):
             for lang, group in b.groupby("lang"):
                 texts = as_texts(group["t"])
                 for part in chunks(texts):
-                    folded = FOLD[joined_bytes(texts[part], gap=max(ORDERS))[0]]
+                    data, starts = joined_bytes(texts[part], gap=max(ORDERS))
+                    folded = FOLD[data]
                     for k, order in enumerate(ORDERS):
-                        seen[index[lang], k] += np.bincount(ngram_codes(folded, order), minlength=BUCKETS)
+                        seen[index[lang], k] += np.bincount(own_ngrams(folded, starts, order), minlength=BUCKETS)
         seen[:, :, 0] = 0
         for lang, i in index.items():
             if seen[i].any():

@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from takeledger.llm import langid
@@ -36,3 +39,40 @@ def test_nothing_to_learn_and_empty(spark):
     assert langid.fit(docs) is None
     assert {r.lang_pred for r in langid.identify(docs, None, ["doc_id"]).collect()} == {"und"}
     assert langid.identify(docs.limit(0), None, ["doc_id"]).count() == 0
+
+
+def test_scores_equal_brute_force_whatever_stands_beside():
+    """Bit by bit and n-gram by n-gram, a text alone; and the same in any company."""
+    rng = np.random.default_rng(3)
+    code = langid.codewords(4)
+    weights = [rng.standard_normal((code.shape[1], langid.BUCKETS)).astype(np.float32) for _ in langid.ORDERS]
+    for w in weights:
+        w[:, 0] = 0
+    model = langid.Model(["a", "b", "c", "d"], code, weights, rng.uniform(0.1, 1, code.shape[1]))
+    texts = ["the cat", "", None, "Ünïcode 12 x", "z", "Aa" * 400, "eaux, et mots", "!!"]
+
+    def bucket(gram):
+        value = 0
+        for byte in gram:
+            value = value * 256 + byte
+        return 0 if set(gram) == {32} else ((value * 2654435761) % 2**32) >> 17
+
+    def fold(byte):
+        return byte | 32 if chr(byte).isascii() and chr(byte).isalpha() else byte if byte > 127 else 32
+
+    for i, t in enumerate(texts):
+        raw = [fold(b) for b in (t or "").encode()] + [32] * max(langid.ORDERS)
+        bits = []
+        for b in range(code.shape[1]):
+            total = sum(float(w[b, bucket(raw[p : p + order])]) for w, order in zip(weights, langid.ORDERS) for p in range(len(raw) - order + 1))
+            bits.append(total * langid.TEMPER * min(1.0, langid.EFFECTIVE / len(raw)))
+        losses = [sum(r * math.log1p(math.exp(-s * c)) for s, c, r in zip(bits, word, model.reliability)) for word in code.tolist()]
+        want = min(range(4), key=losses.__getitem__)
+        score = 1 / sum(math.exp(min(losses) - x) for x in losses)
+        for company in ([t], texts, texts[::-1]):
+            langs, scores, _ = model.decide(company)
+            at = company.index(t)
+            if langid.has_letter(t):
+                assert langs[at] == "abcd"[want] and abs(scores[at] - score) < 1e-6, t
+            else:
+                assert langs[at] == "und" and scores[at] == 0
