@@ -28,8 +28,8 @@ PIECE = 1 << 20
 CROWD = 2048
 #: Fingerprints of a block, on either side.
 BLOCK = 8192
-#: Rows of sorted keys that a task holds at once, beside the group it is in.
-HELD = 200_000
+#: Rows of sorted keys that a task holds at once, beside the group it is in, and that it gets about.
+HELD, ROWS = 100_000, 500_000
 
 _SPACE = re.compile(rb"[ \t-\r]")
 
@@ -263,7 +263,7 @@ def near_links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     if crowds:
         plain = plain.join(F.broadcast(hot.select("s")) if few else hot.select("s"), "s", "left_anti")
     keyed = plain.select(F.explode(_variants(segments)).alias("k"), "f").select("k.key", "k.side", "f")
-    parts = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), fingerprints.count() * (BITS + len(segments)) // ROWS)
     found = keyed.repartition(parts, "key").sortWithinPartitions("key", "side").mapInArrow(_linked(distance), "a long, b long")
     return found.unionByName(_crowded(values, hot, few, segments, distance)) if crowds else found
 
