@@ -239,7 +239,9 @@ def target_id(kind: Column, raw: Column) -> Column:
 
 
 def production_id(raw: Column) -> Column:
-    return F.regexp_replace(F.upper(F.trim(raw)), r"[^A-Z0-9]+", "_")
+    """Upper case, with underscores for white space; null for a blank."""
+    t = F.upper(F.regexp_replace(raw, r"^\s+|\s+$", ""))
+    return F.when(t != "", F.regexp_replace(t, r"\s+", "_"))
 
 
 def wrap_moment(date: Column, time: Column) -> Column:
@@ -283,14 +285,19 @@ def size_bytes(text: Column) -> Column:
 
 
 def split_slate_take(raw: Column) -> Column:
-    """`21/1:4` to struct(21/1, 4)."""
-    t = F.trim(raw)
-    return F.struct(F.substring_index(t, ":", 1).alias("slate"), F.when(t.contains(":"), F.substring_index(t, ":", -1)).alias("take"))
+    """`21/1:4` to struct(21/1, 4), by the last colon; without a slate or a take all is the take."""
+    t = F.trim(F.coalesce(raw, F.lit("")))
+    halves = r"(?s)^(.*):(.*)$"
+    slate_, take_ = (F.trim(F.regexp_extract(t, halves, i)) for i in (1, 2))
+    whole = t.rlike(halves) & (slate_ != "") & (take_ != "")
+    return F.struct(F.when(whole, slate_).alias("slate"), F.when(whole, take_).otherwise(t).alias("take"))
 
 
 def clean_roll_token(raw: Column) -> Column:
-    """`#B004 +1` to `B004`."""
-    return F.regexp_extract(F.upper(raw), r"([A-Z]\d{2,4})", 1)
+    """`#B004 +1` and `B 004` to `B004`; a cell without a roll stays as it is."""
+    token = r"(?i)([A-Z])\s*_?\s*(\d{2,4})"
+    cell = F.coalesce(raw, F.lit(""))
+    return F.when(cell.rlike(token), F.concat(F.upper(F.regexp_extract(cell, token, 1)), F.regexp_extract(cell, token, 2))).otherwise(F.trim(cell))
 
 
 def is_take_label(raw: Column) -> Column:
@@ -309,8 +316,11 @@ def json_text(payload: Column, key: str) -> Column:
     return F.coalesce(F.get_json_object(payload, f"$.{key}"), F.lit(""))
 
 
-#: Cues of a transition between shots, and voice marks after a character's name.
-TRANSITIONS = r"^(?:CUT TO|FADE (?:IN|OUT|TO)|DISSOLVE TO|SMASH CUT|MATCH CUT|JUMP CUT|WIPE TO)\b"
+#: Fixed value: a cue of a transition between shots, as a whole line.
+TRANSITION = (
+    r"(?i)^(?:(?:SMASH|MATCH|DISSOLVE|JUMP|QUICK|HARD|TIME|FLASH|CROSS)?\s*CUT\s+TO(?:\s+BLACK|\s+WHITE)?"
+    r"|FADE\s+(?:IN|OUT|TO\s+BLACK|TO\s+WHITE)|DISSOLVE\s+TO|INTERCUT)[:.]?$"
+)
 
 
 def character_name(raw: Column) -> Column:
@@ -335,25 +345,68 @@ def is_no_character(name: Column) -> Column:
 
 
 def is_transition(raw: Column) -> Column:
-    return F.upper(F.trim(raw)).rlike(TRANSITIONS)
+    """A line that is a cue and nothing else, whatever marks stand around it: a known one, or
+    capitals that end in `TO:` or in a fade to black or white."""
+    t = F.regexp_replace(F.coalesce(raw, F.lit("")), r"^[#*_\s>]+|[#*_\s<]+$", "")
+    capitals = (t == F.upper(t)) & (t != F.lower(t))
+    return t.rlike(TRANSITION) | (capitals & t.rlike(r"TO:$|TO BLACK\.$|TO WHITE\.$"))
+
+
+#: Sizes, angles and movements of a shot, the phrases that name each, and short forms.
+SHOT_SIZES = [
+    ("ECU", ["extreme close-up", "extreme close up", "macro"], "ecu"), ("CU", ["close-up", "close up", "tight on"], "cu"),
+    ("MCU", ["medium close-up", "medium close up"], "mcu"), ("OTS", ["over-the-shoulder", "over the shoulder"], "ots"),
+    ("EWS", ["extreme wide", "panoramic"], "ews"), ("WS", ["wide shot", "wide angle", "master shot", "establishing"], "ws"),
+    ("MWS", ["medium wide", "cowboy"], "mws"), ("POV", ["point of view"], "pov"), ("INSERT", ["insert", "cutaway", "detail"], ""),
+]
+SHOT_ANGLES = [
+    ("LOW_ANGLE", ["low angle", "looking up", "worm's eye"], ""), ("HIGH_ANGLE", ["high angle", "looking down", "overhead", "bird's eye", "bird view"], ""),
+    ("DUTCH_ANGLE", ["dutch", "tilted", "canted"], ""),
+]
+SHOT_MOVEMENTS = [
+    ("HANDHELD", ["handheld", "shaky"], ""), ("DOLLY_IN", ["dolly in", "push in", "tracking"], ""), ("DOLLY_OUT", ["dolly out", "pull back", "pull out"], ""),
+    ("SLIDER", ["slider", "glide"], ""), ("STEADICAM", ["steadicam"], ""), ("CRANE", ["crane", "jib"], ""), ("PAN_TILT", ["pan", "tilt"], ""),
+]
+
+
+def _first_named(text: Column, names: list[tuple[str, list[str], str]], otherwise: Column) -> Column:
+    out = otherwise
+    for label, phrases, short in reversed(names):
+        named = _holds(tuple(phrases), text)
+        out = F.when(named | text.rlike(rf"\b{short}\b") if short else named, label).otherwise(out)
+    return out
 
 
-def shot_size(text: Column) -> Column:
-    """Size, angle and movement that a shot's description names; defaults where it names none."""
+def shot_size(text: Column, has_dialogue: Column | None = None, first: Column | None = None) -> Column:
+    """struct(size, angle, movement) that a shot's description names, by the first rule that fits.
+
+    A shot that names no size is wide if it opens a scene without dialogue, and medium otherwise.
+    """
     t = F.lower(F.coalesce(text, F.lit("")))
-    size = F.when(t.rlike(r"extreme close|\becu\b"), "ECU").when(t.rlike(r"close[- ]?up|\bcu\b"), "CU").when(t.rlike(r"\bwide\b|establishing"), "WS").when(t.rlike(r"\bmedium\b|\bms\b"), "MS").otherwise("MS")
-    angle = F.when(t.rlike(r"low[- ]angle"), "low").when(t.rlike(r"high[- ]angle|overhead"), "high").when(t.rlike(r"over[- ]the[- ]shoulder|\bots\b"), "over shoulder").otherwise("eye level")
-    move = F.when(t.rlike(r"\bdolly"), "dolly").when(t.rlike(r"\bpan(s|ning)?\b"), "pan").when(t.rlike(r"\btilt"), "tilt").when(t.rlike(r"handheld"), "handheld").when(t.rlike(r"\btrack"), "tracking").otherwise("static")
-    return F.struct(size.alias("size"), angle.alias("angle"), move.alias("movement"))
+    opens = (first if first is not None else F.lit(False)) & ~(has_dialogue if has_dialogue is not None else F.lit(False))
+    size = _first_named(t, SHOT_SIZES, F.when(opens, "WS").otherwise("MS"))
+    return F.struct(size.alias("size"), _first_named(t, SHOT_ANGLES, F.lit("EYE_LEVEL")).alias("angle"), _first_named(t, SHOT_MOVEMENTS, F.lit("STATIC")).alias("movement"))
 
 
-#: Words that anchor no passage.
-ANCHOR_STOP = "the and with for from that this into onto over under his her their are was were has have cam camera wide close dolly pan tilt shot take card".split()
+#: Words too common to anchor a passage, and shorthand of how a shot was taken.
+COMMON_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "had", "has", "have", "he", "her", "hers", "him", "his", "how", "in",
+    "into", "is", "it", "its", "of", "on", "onto", "or", "our", "out", "over", "she", "so", "that", "the", "their", "them", "then", "there", "these",
+    "they", "this", "to", "up", "was", "we", "were", "what", "when", "where", "which", "who", "will", "with", "you", "your",
+]
+LOG_SHORTHAND = [
+    "abandoned", "again", "alt", "angle", "camera", "cam", "circled", "close", "complete", "cont", "contd", "continued", "cover", "coverage", "cu",
+    "cut", "day", "ecu", "end", "ext", "false", "good", "insert", "int", "lens", "mcu", "mos", "ms", "mws", "night", "note", "ots", "pickup",
+    "pov", "printed", "reset", "roll", "scene", "scenes", "series", "setup", "shot", "shots", "slate", "sound", "start", "tail", "take", "takes",
+    "top", "vfx", "wide", "wild", "wt", "ws",
+]
 
 
 def anchor_terms(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z]{3,}"), F.lit(0))
-    return F.array_except(words, F.lit(ANCHOR_STOP))
+    """Words of three letters or more that could anchor a passage, in order, repeats included."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z][A-Za-z'’-]{2,}"), F.lit(0))
+    plain = F.transform(words, lambda w: F.regexp_replace(F.translate(F.lower(w), "’", "'"), r"^['-]+|['-]+$", ""))
+    return F.filter(plain, lambda w: (F.length(w) >= 3) & ~w.isin(*COMMON_WORDS, *LOG_SHORTHAND))
 
 
 def clean_note(raw: Column) -> Column:
@@ -363,7 +416,31 @@ def clean_note(raw: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"^[\s>→-]+", ""), r"\s+", " "))
 
 
-def is_vague(text: Column, least_words: int = 4) -> Column:
-    """Too few words, a filler, or a placeholder."""
-    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    return (F.size(F.split(t, r"\s+")) < least_words) | t.rlike(r"\b(?:various|something|stuff|generic|typical)\b|to be (?:defined|decided)|\btbd\b|\bn/a\b")
+#: Words that fill a description, placeholders, what a camera could resolve, and the
+#: words that a field needs.
+VAGUE_TERMS = [
+    "cinematic", "expressive", "distinctive", "distinguishing", "striking", "mysterious", "intense", "rugged", "appropriate", "suitable", "typical",
+    "generic", "various", "certain", "undefined", "unspecified", "presence", "characterful", "compelling", "memorable", "interesting", "unique",
+    "somewhat", "perhaps", "possibly", "likely", "maybe", "tbd",
+]
+PLACEHOLDERS = r"(?i)to be (?:defined|determined|decided)|not (?:described|specified|stated)|refine to lock|consistent across|set a reference|tbd|unknown|n/a|placeholder|lorem ipsum"
+CONCRETE = (
+    r"(?i)\b\d+s?\b|'\d|\b(?:black|white|grey|gray|brown|blue|green|red|amber|navy|olive|tan|blonde|charcoal|cream|rust|ochre|auburn|ginger|silver|gold|"
+    r"wool|cotton|linen|leather|denim|silk|canvas|tweed|velvet|corduroy|nylon|suede|rubber|brass|steel|plastic|fur|"
+    r"scar|freckle|stubble|mole|tattoo|beard|braid|ponytail|moustache|hair|eyes|eye|cheekbone|cheekbones|jaw|jawline|brow|chin|nose|lips|mouth|"
+    r"skin|complexion|shoulders|build|frame|hands|posture|collar|cuff|cuffs|button|buttons|zip|lapel|hem|seam|pocket|"
+    r"boot|boots|glove|gloves|coat|jacket|shirt|dress|trousers|skirt|vest|scarf|belt|hat|cap|apron|uniform|tie|watch|ring|chain|"
+    r"frayed|torn|patched|stained|faded|worn|creased|cracked|scuffed|bleached)\b"
+)
+LEAST_WORDS = {"actor_reference": 10, "look_and_costume": 12, "facial_features": 10}
+
+
+def is_vague(text: Column, field: str = "") -> Column:
+    """Blank, with a filler or a placeholder; and of a described field, too short or nothing concrete."""
+    t = F.coalesce(text, F.lit(""))
+    filler = F.lower(t).rlike(rf"(?<![a-z])(?:{'|'.join(VAGUE_TERMS)})(?![a-z])")
+    vague = ~t.rlike(r"\S") | filler | t.rlike(PLACEHOLDERS)
+    if field in LEAST_WORDS:
+        words = F.size(F.split(F.regexp_replace(t, r"^\s+|\s+$", ""), r"\s+"))
+        vague = vague | (words < LEAST_WORDS[field]) | ~t.rlike(CONCRETE)
+    return vague

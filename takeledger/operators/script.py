@@ -34,28 +34,55 @@ def relationships(lines: DataFrame) -> DataFrame:
     return pairs.join(turns, ["script_id", "a", "b"], "left").withColumn("turns", F.coalesce("turns", F.lit(0))).withColumn("strength", strength)
 
 
-def located(lines: DataFrame, terms: DataFrame) -> DataFrame:
-    """Best window of one to three lines for each query's terms in a scene.
+#: Fixed value: what a passage has to weigh. Weights are compared to six places.
+LEAST_WEIGHT, PLACES = 1.0, 6
 
-    A term weighs 1 over the lines of the scene that hold it; a window needs 1.0; shorter and
-    earlier windows win ties. terms: query, script_id, term. One row a query and script: of its
-    scenes' best windows the one that weighs most.
-    """
-    words = lines.select("script_id", "scene", "place", F.explode(n.anchor_terms(F.col("line"))).alias("term"))
-    spread = words.groupBy("script_id", "scene", "term").agg(F.collect_set("place").alias("places"))
-    hits = spread.join(terms.select("query", "script_id", "term").distinct(), ["script_id", "term"]).select("query", "script_id", "scene", F.struct("places", (1 / F.size("places")).alias("w")).alias("hit"))
-    held = hits.groupBy("query", "script_id", "scene").agg(F.collect_list("hit").alias("hits"), F.round(F.sum("hit.w"), 6).alias("most")).filter("most >= 1.0")
+
+def _best_windows(pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query, script_id, best): the best window of each asked scene that weighs enough."""
+    hits = pairs.join(asked.select("query", "script_id", "term"), ["query", "script_id"]).join(postings.select("script_id", "scene", "term", "places", "w"), ["script_id", "scene", "term"])
+    held = hits.groupBy("query", "script_id", "scene").agg(F.collect_list(F.struct("places", "w")).alias("hits"), F.round(F.sum("w"), PLACES).alias("most")).filter(F.col("most") >= LEAST_WEIGHT)
 
     def within(start: Column, size: int) -> Column:
         inside = lambda h: F.exists(h["places"], lambda p: p.between(start, start + size - 1))
-        return F.round(F.aggregate(F.filter("hits", inside), F.lit(0.0), lambda a, h: a + h["w"]), 6)
+        return F.round(F.aggregate(F.filter("hits", inside), F.lit(0.0), lambda a, h: a + h["w"]), PLACES)
 
     places = F.array_distinct(F.flatten(F.transform("hits", lambda h: h["places"])))
     window = lambda size: lambda start: F.struct((-within(start, size)).alias("loss"), F.lit(size).alias("size"), F.col("scene").alias("scene"), start.alias("start"))
     starts = lambda size: F.filter(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p - size + 1, p)))), lambda x: x >= 0)
     each = F.concat(*[F.transform(starts(size), window(size)) for size in (1, 2, 3)])
-    best = held.withColumn("places", places).select("query", "script_id", F.array_min(each).alias("best")).filter("best.loss <= -1.0")
-    best = best.groupBy("query", "script_id").agg(F.min("best").alias("best"))
+    return held.withColumn("places", places).select("query", "script_id", F.array_min(each).alias("best")).filter(F.col("best.loss") <= -LEAST_WEIGHT)
+
+
+def located(lines: DataFrame, terms: DataFrame) -> DataFrame:
+    """Best window of one to three lines for each query's terms in a scene.
+
+    A term weighs 1 over the lines of the scene that hold it; a window needs 1.0; shorter and
+    earlier windows win ties. terms: query, script_id, term. One row a query and script: of its
+    scenes' best windows the one that weighs most.
+
+    A scene weighs no more than its terms together, and a term no more than in the scene where it
+    weighs most. So a first scene, that of the query's rarest term, sets a weight to reach; the
+    commonest terms that can't reach it together bring no scene of their own; and of the scenes
+    that the rarer ones bring, those stay whose bound reaches it. Only these are read whole.
+    """
+    words = lines.select("script_id", "scene", "place", F.explode(F.array_distinct(n.anchor_terms(F.col("line")))).alias("term"))
+    postings = words.groupBy("script_id", "scene", "term").agg(F.collect_set("place").alias("places")).withColumn("w", 1 / F.size("places"))
+    # of equal weights the first scene: max_by takes what is largest
+    heads = postings.groupBy("script_id", "term").agg(F.max("w").alias("most"), F.count("*").alias("scenes"), F.min_by("scene", F.struct((-F.col("w")).alias("loss"), "scene")).alias("best_scene"))
+    asked = terms.select("query", "script_id", "term").distinct().join(heads, ["script_id", "term"])
+    first = asked.groupBy("query", "script_id").agg(F.min_by("best_scene", F.struct("scenes", "term")).alias("scene"))
+    seeds = _best_windows(first, asked, postings)
+    reach = first.select("query", "script_id").join(seeds, ["query", "script_id"], "left").select("query", "script_id", F.greatest(F.coalesce(-F.col("best.loss"), F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT)).alias("reach"))
+    # half a unit of the last place for each of the sums that were rounded, and for their order
+    slack = 10.0**-PLACES
+    commoner = Window.partitionBy("query", "script_id").orderBy(F.desc("scenes"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    ruled = asked.join(reach, ["query", "script_id"]).withColumn("essential", F.sum("most").over(commoner) >= F.col("reach") - slack)
+    rest = F.sum(F.when(~F.col("essential"), F.col("most")).otherwise(0.0)).over(Window.partitionBy("query", "script_id"))
+    rare = ruled.withColumn("rest", rest).filter("essential").select("query", "script_id", "term", "reach", "rest")
+    met = rare.join(postings.select("script_id", "scene", "term", "w"), ["script_id", "term"]).groupBy("query", "script_id", "scene").agg(F.sum("w").alias("w"), F.first("rest").alias("rest"), F.first("reach").alias("reach"))
+    scenes = met.filter(F.col("w") + F.col("rest") >= F.col("reach") - slack).select("query", "script_id", "scene").join(first, ["query", "script_id", "scene"], "left_anti")
+    best = seeds.unionByName(_best_windows(scenes, asked, postings)).groupBy("query", "script_id").agg(F.min("best").alias("best"))
     return best.select("query", "script_id", "best.scene", "best.size", "best.start", (-F.col("best.loss")).alias("weight"))
 
 

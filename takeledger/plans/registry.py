@@ -12,6 +12,7 @@ from takeledger.functions import normalize as n
 from takeledger.functions import privacy
 from takeledger.operators import analytics as a
 from takeledger.operators import ledger, reconcile, rollups, script, status
+from takeledger.plans import report_queries
 from takeledger.sources import adapters
 from takeledger.sources.adapters import cte, frame
 from takeledger.streaming import jobs as streaming
@@ -334,7 +335,19 @@ _LABELLED = r"(?i)\b(tel|tlf|phone|mobile|m[oó]vil|movil|cel|celular|whatsapp)\
 documents("contact_documents", lambda d: d.filter(privacy.is_contact(F.col("text"))).select("doc_id"), f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{_EMAIL}') OR regexp_matches(text, '{_LABELLED}') OR regexp_matches(text, '{_INTERNATIONAL}')")
 documents("redact_contacts", lambda d: d.select("doc_id", F.sha2(privacy.redacted(F.col("text")), 256).alias("redacted_sha256")), f"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '{_EMAIL}', '[email removed]', 'g'), '{_LABELLED}', '\\1: [phone removed]', 'g'), '{_INTERNATIONAL}', '[phone removed]', 'g')) AS redacted_sha256 FROM documents")
 documents("dedupe_documents", lambda d: ledger.deduplicated(d.select("doc_id", "source", F.sha2("text", 256).alias("checksum")), ["source", "checksum"], ["doc_id"]), "SELECT doc_id, source, sha256(text) AS checksum, CAST(row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS INT) AS copy FROM documents")
-documents("vague_documents", lambda d: d.filter(n.is_vague(F.col("text"))).select("doc_id"), r"SELECT doc_id FROM documents WHERE len(regexp_split_to_array(lower(trim(text)), '\s+')) < 4 OR regexp_matches(lower(text), '\b(various|something|stuff|generic|typical)\b|to be (defined|decided)|\btbd\b|\bn/a\b')")
+_WORD = r"(^|[^\p{L}\p{N}_])(%s)($|[^\p{L}\p{N}_])"
+_FILLERS = """cinematic expressive distinctive distinguishing striking mysterious intense rugged appropriate suitable typical generic various certain undefined unspecified presence characterful
+compelling memorable interesting unique somewhat perhaps possibly likely maybe tbd"""
+_THINGS = """black white grey gray brown blue green red amber navy olive tan blonde charcoal cream rust ochre auburn ginger silver gold wool cotton linen leather denim silk canvas tweed velvet
+corduroy nylon suede rubber brass steel plastic fur scar freckle stubble mole tattoo beard braid ponytail moustache hair eyes eye cheekbone cheekbones jaw jawline brow chin nose lips mouth
+skin complexion shoulders build frame hands posture collar cuff cuffs button buttons zip lapel hem seam pocket boot boots glove gloves coat jacket shirt dress trousers skirt vest
+scarf belt hat cap apron uniform tie watch ring chain frayed torn patched stained faded worn creased cracked scuffed bleached"""
+documents("vague_documents", lambda d: d.select("doc_id", *[n.is_vague(F.col("text"), f).alias(f) for f in ("notes", *n.LEAST_WORDS)]), f"""
+WITH x AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+y AS (SELECT doc_id, NOT regexp_matches(t, '[^ \\t\\n\\x0B\\f\\r]') OR regexp_matches(t, '(^|[^a-z])({"|".join(_FILLERS.split())})([^a-z]|$)')
+    OR regexp_matches(t, 'to be (defined|determined|decided)|not (described|specified|stated)|refine to lock|consistent across|set a reference|tbd|unknown|n/a|placeholder|lorem ipsum') AS notes,
+  len(regexp_extract_all(t, '[^ \\t\\n\\x0B\\f\\r]+')) AS words, regexp_matches(t, '{_WORD % "[0-9]+s?"}') OR regexp_matches(t, '{_WORD % "|".join(_THINGS.split())}') OR regexp_matches(t, '''[0-9]') AS concrete FROM x)
+SELECT doc_id, notes, notes OR words < 10 OR NOT concrete AS actor_reference, notes OR words < 12 OR NOT concrete AS look_and_costume, notes OR words < 10 OR NOT concrete AS facial_features FROM y""")
 
 # ---- rollups
 
@@ -399,13 +412,23 @@ query("events_of_days", "witness", lambda w: w.groupBy("production_id", "shoot_d
 query("take_witnesses", "witness", lambda w: w.groupBy("production_id", n.slate(F.col("slate")).alias("slate"), n.take(F.col("raw_take"))["take_id"].alias("take")).agg(F.count("*").alias("claims")), """
 SELECT production_id, replace(slate, '-', '/') AS slate, regexp_extract(raw_take, '^T?0*([0-9]+)', 1) || CASE WHEN contains(raw_take, 'PK') THEN 'PK' ELSE '' END AS take, count(*) AS claims FROM witness GROUP BY ALL""")
 query("purge_documents", "witness", lambda w: ledger.purged(w, w.filter("doc_id in ('D1', 'D2')")).groupBy("doc_id").agg(F.count("*").alias("events")), "SELECT doc_id, count(*) AS events FROM witness WHERE doc_id NOT IN ('D1', 'D2') GROUP BY ALL")
-query("shot_segments", "lines", lambda x: script.shot_segments(x).select("script_id", "scene", "place", "segment"), "SELECT script_id, scene, place, CAST(sum(CASE WHEN regexp_matches(upper(trim(line)), '^(?:CUT TO|FADE (?:IN|OUT|TO)|DISSOLVE TO|SMASH CUT|MATCH CUT|JUMP CUT|WIPE TO)\\b') THEN 1 ELSE 0 END) OVER (PARTITION BY script_id, scene ORDER BY place) AS BIGINT) AS segment FROM lines")
 query("locate_passages", "lines", lambda x: script.located(x, x.select(F.concat_ws(":", "scene", "place").alias("query"), "script_id", F.explode(n.anchor_terms(F.col("line"))).alias("term"))))
 
-_STOP = ", ".join(f"'{w}'" for w in n.ANCHOR_STOP)
+_STOP = """
+a an and are as at be but by for from had has have he her hers him his how in into is it its of on onto or our out over she so that the their them then there these they this to up
+was we were what when where which who will with you your
+abandoned again alt angle camera cam circled close complete cont contd continued cover coverage cu cut day ecu end ext false good insert int lens mcu mos ms mws night note ots pickup
+pov printed reset roll scene scenes series setup shot shots slate sound start tail take takes top vfx wide wild wt ws"""
+#: Words of a line that anchor a passage.
+_ANCHORS = (
+    "list_filter(list_transform(regexp_extract_all(coalesce(line, ''), '[A-Za-z][A-Za-z''’-]{2,}'), lambda w: trim(replace(lower(w), '’', ''''), '''-')), lambda w: length(w) >= 3 AND w NOT IN ("
+    + ", ".join(f"'{w}'" for w in _STOP.split()) + "))"
+)
+query("anchor_terms", "lines", lambda x: x.select("script_id", F.explode(n.anchor_terms(F.col("line"))).alias("term")).groupBy("script_id", "term").agg(F.count("*").alias("times")),
+      f"SELECT script_id, term, count(*) AS times FROM (SELECT script_id, unnest({_ANCHORS}) AS term FROM lines) GROUP BY ALL")
 #: Every window of one to three lines of every scene of the script, for every line's terms.
 ORACLES["locate_passages"] = cte("lines") + f""",
-t AS (SELECT DISTINCT script_id, scene, place, unnest(list_filter(regexp_extract_all(lower(coalesce(line, '')), '[a-z]{{3,}}'), lambda x: x NOT IN ({_STOP}))) AS term FROM lines),
+t AS (SELECT DISTINCT script_id, scene, place, unnest({_ANCHORS}) AS term FROM lines),
 w AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY script_id, scene, term) AS weight FROM t),
 hit AS (SELECT scene_q || ':' || place_q AS query, w.script_id, w.scene, w.place, w.term, w.weight
   FROM (SELECT script_id, scene AS scene_q, place AS place_q, term FROM t) q JOIN w USING (script_id, term)),
@@ -438,3 +461,6 @@ def _stream_rate(name: str, table: str, count: str, by: str, job: Callable[[Data
 
 _stream_rate("stream_filing_rate", "witness", "events", "department", streaming.filing_rate, "1 day", "7 days")
 _stream_rate("stream_action_rate", "user_activity", "acts", "action", streaming.action_rate, "1 hour", "2 hours")
+
+QUERIES |= report_queries.QUERIES
+ORACLES |= report_queries.ORACLES

@@ -21,8 +21,13 @@ PARSERS = {
 }
 
 
-def parsed_events(docs: DataFrame) -> DataFrame:
-    """Events of all documents that a parser reads; one statement a row, payload as JSON.
+#: What a statement speaks of where its document could not be read.
+FAILED = "error"
+
+
+def parsed(docs: DataFrame) -> DataFrame:
+    """What parsers make of all documents: events, and for a document that one failed on a row whose
+    entity_type is FAILED and whose payload is the error.
 
     A statement that names another day than its document's is filed under its own day. Events of
     one document share nothing but it, so ids are of its content and place.
@@ -32,9 +37,12 @@ def parsed_events(docs: DataFrame) -> DataFrame:
         own = kinds.filter(F.col("doc_type") == kind)
         for parse in parsers:
             rows = parse(own)
-            fields = [c for c in rows.columns if c not in KEYS]
+            fields = [c for c in rows.columns if c not in (*KEYS, "error")]
             day = F.coalesce("stated_day", "shoot_day") if "stated_day" in fields else F.col("shoot_day")
-            events = rows.select(*[day.alias(k) if k == "shoot_day" else k for k in KEYS], F.lit(kind).alias("doc_type"), F.lit(entity).alias("entity_type"), F.to_json(F.struct(*fields)).alias("payload_json"))
+            said, what = F.to_json(F.struct(*fields)), F.lit(entity)
+            if "error" in rows.columns:
+                said, what = F.coalesce("error", said), F.when(F.col("error").isNotNull(), FAILED).otherwise(what)
+            events = rows.select(*[day.alias(k) if k == "shoot_day" else k for k in KEYS], F.lit(kind).alias("doc_type"), what.alias("entity_type"), said.alias("payload_json"))
             out = events if out is None else out.unionByName(events)
             if parse is not parsers[-1]:
                 own = own.join(rows.select("doc_id").distinct(), "doc_id", "left_anti").select(*kinds.columns)
@@ -42,6 +50,11 @@ def parsed_events(docs: DataFrame) -> DataFrame:
     return out.join(said, "doc_id").withColumn("event_id", F.sha2(F.concat_ws("|", "doc_id", "payload_json"), 256))
 
 
+def parsed_events(docs: DataFrame) -> DataFrame:
+    """Events of all documents that a parser reads; one statement a row, payload as JSON."""
+    return parsed(docs).filter(F.col("entity_type") != FAILED)
+
+
 def take_events(docs: DataFrame) -> DataFrame:
     """The events of documents that log takes."""
     return parsed_events(docs).filter("entity_type = 'take'").drop("axis")
@@ -59,17 +72,21 @@ def date_claims(docs: DataFrame) -> DataFrame:
     return docs.select(*KEYS, claim.alias("c")).filter("c is not null").select(*KEYS, "c.date", "c.source", F.col("c.shoot_day").alias("stated_shoot_day"))
 
 
-def rejected(docs: DataFrame, events: DataFrame) -> DataFrame:
+def rejected(docs: DataFrame, statements: DataFrame) -> DataFrame:
     """Documents that gave no event, with the kind of error and the reason.
 
-    A kind that no parser reads is UNSUPPORTED; a document without a production or a day is
-    INVALID, whatever it holds; the rest are PARSER_FAILURE.
+    statements: what parsed() gives (of parsed_events no failure is known). A document without a
+    production or a day is INVALID, whatever it holds; one that its parser failed on is a
+    SYSTEM_ERROR with what was raised, even if other rows of it were read; the rest, which parsers
+    read and found nothing in, are PARSER_FAILURE.
     """
-    kinds = classified(docs).join(events.select("doc_id").distinct(), "doc_id", "left_anti")
+    of = statements.groupBy("doc_id").agg(F.min(F.when(F.col("entity_type") == FAILED, F.col("payload_json"))).alias("raised"))
+    kinds = classified(docs).join(of.withColumn("parsed", F.lit(True)), "doc_id", "left").filter("parsed is null or raised is not null")
     bare = F.coalesce(F.trim("production_id"), F.lit("")) == ""
     bare = bare | (F.coalesce(F.trim("shoot_day"), F.lit("")) == "")
-    error = F.when(bare, "INVALID").when(F.col("doc_type").isin(*PARSERS), "PARSER_FAILURE").otherwise("UNSUPPORTED")
-    reason = F.when(bare, "no production or day").when(F.trim(F.coalesce("content", F.lit(""))) == "", "empty document").when(error == "UNSUPPORTED", "no parser").otherwise("no valid rows")
+    error = F.when(bare, "INVALID").when(F.col("raised").isNotNull(), "SYSTEM_ERROR").otherwise("PARSER_FAILURE")
+    empty = F.trim(F.coalesce("content", F.lit(""))) == ""
+    reason = F.when(bare, "no production or day").when(F.col("raised").isNotNull(), F.col("raised")).when(empty, "empty document").otherwise("no valid rows")
     return kinds.select(*KEYS, "doc_type", error.alias("error_type"), reason.alias("reason"))
 
 

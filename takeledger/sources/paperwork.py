@@ -2,7 +2,8 @@
 
 Documents are rows (production_id, shoot_day, doc_id, filename, content). Parsers explode
 documents into lines and work on expressions; only quoted delimited text needs a reader of its
-own, a small Arrow-batched helper. A document that yields no row goes to `rejected`.
+own, a small Arrow-batched helper. A document that yields no row goes to `rejected`, and so does
+one that a parser fails on, which is a row with its `error`.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from takeledger.functions import normalize as n
+from takeledger.sources.documents import KEYS, Lines, folded, kept, lines_of, message
 
-KEYS = ["production_id", "shoot_day", "doc_id", "filename"]
 #: Columns that a field goes by in camera and sound reports.
 CAMERA_FIELDS = {"slate": ["SLATE", "SCENE/SHOT", "SCENE"], "take": ["TAKE"], "roll": ["ROLL", "CAMERA ROLL", "CAMERAROLL", "REEL"], "clip_name": ["CLIP NAME", "CLIPNAME", "CLIP", "FILE NAME", "FILENAME"], "timecode_in": ["START TC", "START", "TC IN", "TIMECODE IN"], "timecode_out": ["END TC", "END", "TC OUT", "TIMECODE OUT"], "lens": ["LENS", "FOCAL LENGTH"], "fps": ["FPS", "FRAME RATE"], "iso": ["ISO", "EI/ISO", "EI"], "shutter": ["SHUTTER", "ANGLE"]}
 SOUND_FIELDS = {"slate": ["SCENE", "SLATE", "NAME"], "take": ["TAKE"], "file_name": ["FILE NAME", "FILENAME", "CLIP NAME"], "roll": ["SOUND ROLL", "TAPE", "ROLL", "SOUND_ROLL"], "timecode_in": ["START", "START TC", "TC IN", "TIMECODE IN"], "timecode_out": ["END", "END TC", "TC OUT", "TIMECODE OUT"], "duration": ["LENGTH", "DURATION"], "note": ["NOTES", "NOTE", "COMMENTS"], "tracks": ["TRACKS", "CHANNELS"]}
@@ -35,23 +36,35 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- classifying and routing
 
+#: Fixed value: the production of demonstration paperwork.
+DEMO = "DEMO_PRODUCTION"
+
+
 def classified(docs: DataFrame) -> DataFrame:
-    """doc_type, department and axis by the first rule that the name or first text meets."""
+    """doc_type, department, axis, display_name and is_multimodal by the first rule that the name or
+    first text meets; inferred_production where the paperwork names it."""
     name, text = F.upper(F.coalesce("filename", F.lit(""))), F.upper(F.substring(F.coalesce("content", F.lit("")), 1, 2000))
     has = lambda c, *words: F.exists(F.lit([*words]), lambda w: F.contains(c, w))
     rules = [
-        (has(name, "FACING", "LINED"), "script_lined", "script", "belief"),
-        (has(name, "EDITOR", "TCLOG", "DETAILED") | has(text, "DAILY EDITOR'S LOG", "TIMECODE LOG", "DETAILED EDITOR'S LOG"), "script_timecode", "script", "belief"),
-        (has(name, "CAM_", "CAMERA") | has(text, "ZOELOG") | (has(text, "ROLL") & has(text, "SCENE TAKE CLIP")), "camera_csv", "camera", "belief"),
-        (name.endswith(".ALE") | has(name, "SOUND", "REPORT.CSV") | has(text, "SOUND REPORT", "B-WAV", "FIELD_DELIM"), "sound_ale", "sound", "belief"),
-        (has(name, "VOLUME", "CLIPS", "SILVERSTACK", "THUMBNAIL", "SHOOTING DAY", "SHOOTING_DAY", "OFFLOAD") | has(text, "POMFORT", "SILVERSTACK", "VOLUME REPORT", "SHOOTING DAY REPORT"), "offload", "dit", "existence"),
-        (has(name, "PARTEPROD", "PARTE_PROD", "DPR") | has(text, "PARTE DE PRODUCCION"), "dpr", "office", "intent"),
+        (has(name, "FACING", "LINED"), "script_lined", "script", "belief", "Script Lined / Facing Pages (Handwritten Multimodal)"),
+        (has(name, "EDITOR", "TCLOG", "DETAILED") | has(text, "DAILY EDITOR'S LOG", "TIMECODE LOG", "DETAILED EDITOR'S LOG"), "script_timecode", "script", "belief", "Script Supervisor Editor's / Timecode Log"),
+        (has(name, "CAM_", "CAMERA") | has(text, "ZOELOG") | (has(text, "ROLL") & has(text, "SCENE TAKE CLIP")), "camera_csv", "camera", "belief", "Camera Report"),
+        (name.endswith(".ALE") | has(name, "SOUND", "REPORT.CSV") | has(text, "SOUND REPORT", "B-WAV", "FIELD_DELIM"), "sound_ale", "sound", "belief", "Sound Report"),
+        (has(name, "VOLUME", "CLIPS", "SILVERSTACK", "THUMBNAIL", "SHOOTING DAY", "SHOOTING_DAY", "OFFLOAD") | has(text, "POMFORT", "SILVERSTACK", "VOLUME REPORT", "SHOOTING DAY REPORT"), "offload", "dit", "existence", "Silverstack DIT Offload Manifest"),
+        (has(name, "PARTEPROD", "PARTE_PROD", "DPR") | has(text, "PARTE DE PRODUCCION"), "dpr", "office", "intent", "Daily Production Report (Office DPR)"),
     ]
-    kind = F.lit("camera_csv|camera|belief")
+    kind = F.lit("camera_csv|camera|belief|Generic Paperwork Drop")
     for condition, *values in reversed(rules):
         kind = F.when(condition, "|".join(values)).otherwise(kind)
     parts = F.split(kind, r"\|")
-    return docs.withColumn("doc_type", parts[0]).withColumn("department", parts[1]).withColumn("axis", parts[2])
+    out = docs.withColumn("doc_type", parts[0]).withColumn("department", parts[1]).withColumn("axis", parts[2]).withColumn("display_name", parts[3])
+    by_hand = (F.col("display_name") == "Camera Report") & is_handwritten(text)
+    demo = has(name, "DEMO") | has(F.upper(F.substring(F.coalesce("content", F.lit("")), 1, 3000)), "DEMO PRODUCTION")
+    return (
+        out.withColumn("is_multimodal", (F.col("doc_type") == "script_lined") | by_hand)
+        .withColumn("display_name", F.when(by_hand, "Camera Report (handwritten)").otherwise(F.col("display_name")))
+        .withColumn("inferred_production", F.when(demo, DEMO))
+    )
 
 
 def inferred_day(filename: Column, content: Column, calendar: dict[str, str] | None = None) -> Column:
@@ -63,53 +76,65 @@ def inferred_day(filename: Column, content: Column, calendar: dict[str, str] | N
     return F.coalesce(*found, *dated(name), stated, *dated(text))
 
 
+#: Fixed value: slates (and commas) from which a camera report has been typed.
+TYPED_ROWS = 2
+
+
 def is_handwritten(content: Column) -> Column:
-    """A camera report whose text has under two slates, no tabs and hardly a comma."""
-    text = F.regexp_replace(F.substring(F.coalesce(content, F.lit("")), 1, 2000), r"\b\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}\b", " ")
-    slates = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b\d+[A-Z]?[/-]\d+\b"), F.lit(0))))
-    return (slates < 2) & ~text.contains("\t") & (F.regexp_count(text, F.lit(",")) < 2)
+    """A camera report that is ink: it says camera report or roll, has no tab, under two commas,
+    and under two different slates beside its dates."""
+    text = F.upper(F.coalesce(content, F.lit("")))
+    undated = F.regexp_replace(text, r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", " ")
+    slates = F.size(F.array_distinct(F.regexp_extract_all(undated, F.lit(r"\b\d{1,3}[A-Z]?/\d{1,3}[A-Z]?\b"), F.lit(0))))
+    report = F.contains(text, F.lit("CAMERA REPORT")) | F.contains(text, F.lit("ROLL"))
+    return report & ~F.contains(text, F.lit("\t")) & (F.regexp_count(text, F.lit(",")) < TYPED_ROWS) & (slates < TYPED_ROWS)
 
 
 def routed(docs: DataFrame) -> DataFrame:
     return classified(docs).withColumn("topic", F.concat(F.lit("production.raw."), "department"))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    return docs.select(*KEYS, F.posexplode(F.split("content", r"\r?\n")).alias("place", "line"))
+# ---- delimited reports
 
+#: A column by one of these names makes a row a header.
+HEADER_MARKS = {"SCENE", "SLATE", "FILE NAME", "FILENAME", "TAKE", "START TC"}
+
+
+def _cells(text: str) -> Iterator[dict[str, str]]:
+    """Data rows of Avid column/data blocks, or of CSV below the first row that looks like a header."""
+    lines = text.splitlines()
+    upper = [x.strip().upper() for x in lines]
+    facts = dict(x.replace('"', "").replace(",", "").split(":", 1) for x in lines[:40] if ":" in x.split(",")[0])
+    facts = {f"#{k.strip().upper()}": v.strip() for k, v in facts.items() if k.strip() and v.strip()}
+    if "COLUMN" in upper and "DATA" in upper:
+        rows, names, first = [x.split("\t") for x in lines], upper.index("COLUMN") + 1, upper.index("DATA") + 1
+        head, body = rows[names] if names < len(rows) else [], rows[first:]
+    else:
+        rows = list(csv.reader(io.StringIO(text.strip())))
+        first = next((i for i, r in enumerate(rows) if HEADER_MARKS & {c.strip().upper() for c in r}), len(rows))
+        head, body = (rows[first] if first < len(rows) else []), rows[first + 1 :]
+    names = [c.strip().upper() for c in head]
+    for row in body:
+        cells = {h: c.strip() for h, c in zip(names, row) if h and c.strip()}
+        yield facts | cells if cells else {}
 
-# ---- delimited reports
 
 def _delimited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of Avid column/data blocks or of CSV below the first row that looks like a header."""
-    marks = {"SCENE", "SLATE", "FILE NAME", "FILENAME", "TAKE", "START TC"}
     for b in batches:
         out = []
         for key, text in zip(b[KEYS].itertuples(index=False), b["content"]):
-            text = text if isinstance(text, str) else ""
-            upper = [x.strip().upper() for x in text.splitlines()]
-            facts = dict(x.replace('"', "").replace(",", "").split(":", 1) for x in text.splitlines()[:40] if ":" in x.split(",")[0])
-            facts = {f"#{k.strip().upper()}": v.strip() for k, v in facts.items() if k.strip() and v.strip()}
-            if "COLUMN" in upper and "DATA" in upper:
-                rows = [x.split("\t") for x in text.splitlines()]
-                head = [c.strip().upper() for c in rows[upper.index("COLUMN") + 1]] if upper.index("COLUMN") + 1 < len(rows) else []
-                body = rows[upper.index("DATA") + 1 :]
-            else:
-                rows = list(csv.reader(io.StringIO(text.strip())))
-                first = next((i for i, r in enumerate(rows) if marks & {c.strip().upper() for c in r}), None)
-                head = [c.strip().upper() for c in rows[first]] if first is not None else []
-                body = rows[first + 1 :] if first is not None else []
-            for place, row in enumerate(body):
-                cells = {h: c.strip() for h, c in zip(head, row) if h and c.strip()}
-                if cells:
-                    out.append((*key, place, facts | cells))
-        yield pd.DataFrame(out, columns=[*KEYS, "place", "cells"])
+            try:
+                out += [(*key, place, cells, None) for place, cells in enumerate(_cells(text if isinstance(text, str) else "")) if cells]
+            except Exception as error:  # of this document; the others are read
+                out.append((*key, None, None, message(error)))
+        yield pd.DataFrame(out, columns=[*KEYS, "place", "cells", "error"])
 
 
 def delimited_rows(docs: DataFrame) -> DataFrame:
     """Every data row of a delimited report as a map from header to cell; what the lines above
-    the table state of the whole report stands under `#` and its name."""
-    return docs.select(*KEYS, "content").mapInPandas(_delimited, "production_id string, shoot_day string, doc_id string, filename string, place int, cells map<string,string>")
+    the table state of the whole report stands under `#` and its name. A report that can't be
+    read is one row with its error."""
+    return docs.select(*KEYS, "content").mapInPandas(_delimited, "production_id string, shoot_day string, doc_id string, filename string, place int, cells map<string,string>, error string")
 
 
 def _field(names: list[str]) -> Column:
@@ -117,9 +142,10 @@ def _field(names: list[str]) -> Column:
 
 
 def parse_camera_csv(docs: DataFrame) -> DataFrame:
-    rows = delimited_rows(docs).select(*KEYS, "place", *[_field(v).alias(k) for k, v in CAMERA_FIELDS.items()]).filter(n.is_take_label(F.col("slate")))
-    t = n.take(F.col("take"))
-    return rows.select(*KEYS, "place", n.slate(F.col("slate")).alias("slate"), t["take_id"].alias("take_id"), n.camera_roll(F.col("roll")).alias("camera_roll"), "clip_name", "timecode_in", "timecode_out", F.coalesce(F.col("fps").try_cast("double"), F.lit(24.0)).alias("fps"), "lens", F.col("iso").try_cast("int").alias("iso"), "shutter", t["starred"].alias("starred"), t["pickup"].alias("pickup"), t["vfx"].alias("vfx"), t["note"].alias("note"))
+    rows = delimited_rows(docs).select(*KEYS, "place", "error", *[_field(v).alias(k) for k, v in CAMERA_FIELDS.items()]).filter(kept(n.is_take_label(F.col("slate"))))
+    rows = rows.withColumn("t", n.take(F.col("take")))
+    t = F.col("t")
+    return rows.select(*KEYS, "place", n.slate(F.col("slate")).alias("slate"), t["take_id"].alias("take_id"), n.camera_roll(F.col("roll")).alias("camera_roll"), "clip_name", "timecode_in", "timecode_out", F.coalesce(F.col("fps").try_cast("double"), F.lit(24.0)).alias("fps"), "lens", F.col("iso").try_cast("int").alias("iso"), "shutter", t["starred"].alias("starred"), t["pickup"].alias("pickup"), t["vfx"].alias("vfx"), t["note"].alias("note"), "error")
 
 
 def parse_sound_log(docs: DataFrame) -> DataFrame:
@@ -127,7 +153,7 @@ def parse_sound_log(docs: DataFrame) -> DataFrame:
 
     Tracks in columns of their own (`TRK 1`, `TRACK 1`, `CH 1`) stand before a tracks column.
     """
-    rows = delimited_rows(docs).select(*KEYS, "place", "cells", *[_field(v).alias(k) for k, v in SOUND_FIELDS.items()])
+    rows = delimited_rows(docs).select(*KEYS, "place", "cells", "error", *[_field(v).alias(k) for k, v in SOUND_FIELDS.items()])
     each = F.map_filter("cells", lambda k, v: k.rlike("^(?:TRK|TRACK|CH) "))
     listed = F.array_sort(F.transform(F.map_entries(each), lambda e: F.concat(F.initcap(e["key"]), F.lit(": "), e["value"])))
     tracks = F.coalesce(F.nullif(F.array_join(listed, ", "), F.lit("")), "tracks")
@@ -136,10 +162,11 @@ def parse_sound_log(docs: DataFrame) -> DataFrame:
     named = F.when(name.rlike(wild), F.concat(F.regexp_extract(name, wild, 1), F.lit("/WT"))).when(name.rlike(plain), F.concat_ws("/", F.regexp_extract(name, plain, 1), F.regexp_extract(name, plain, 2)))
     take = F.coalesce("take", F.when(name.rlike(wild), F.regexp_extract(name, wild, 2)).when(name.rlike(plain), F.regexp_extract(name, plain, 3)))
     is_wild = F.upper(F.concat_ws(" ", "slate", "file_name")).rlike("WT|WILD")
-    slate = F.coalesce(n.slate(n.clip_stem(F.col("slate"))), F.upper(named))
-    slate = F.when(is_wild & ~slate.contains("/") & (slate != "WT"), F.concat(slate, F.lit("/WT"))).otherwise(slate)
-    t = n.take(take)
-    return rows.withColumn("norm", slate).filter(n.is_take_label(F.col("norm"))).select(*KEYS, "place", F.col("norm").alias("slate"), t["take_id"].alias("take_id"), n.sound_roll(F.col("roll")).alias("sound_roll"), "file_name", "timecode_in", "timecode_out", "duration", tracks.alias("tracks"), _field(["#SAMPLE RATE"]).alias("sample_rate"), _field(["#BIT DEPTH"]).alias("bit_depth"), (is_wild | t["wild"]).alias("wild"), t["starred"].alias("starred"), F.coalesce("note", t["note"]).alias("note"))
+    rows = rows.select("*", F.coalesce(n.slate(n.clip_stem(F.col("slate"))), F.upper(named)).alias("normal"), is_wild.alias("is_wild"))
+    normal, is_wild = F.col("normal"), F.col("is_wild")
+    slate = F.when(is_wild & ~normal.contains("/") & (normal != "WT"), F.concat(normal, F.lit("/WT"))).otherwise(normal)
+    t = F.col("t")
+    return rows.withColumn("t", n.take(take)).withColumn("norm", slate).filter(kept(n.is_take_label(F.col("norm")))).select(*KEYS, "place", F.col("norm").alias("slate"), t["take_id"].alias("take_id"), n.sound_roll(F.col("roll")).alias("sound_roll"), "file_name", "timecode_in", "timecode_out", "duration", tracks.alias("tracks"), _field(["#SAMPLE RATE"]).alias("sample_rate"), _field(["#BIT DEPTH"]).alias("bit_depth"), (is_wild | t["wild"]).alias("wild"), t["starred"].alias("starred"), F.coalesce("note", t["note"]).alias("note"), "error")
 
 
 # ---- offloads
@@ -156,13 +183,16 @@ def parse_media_xml(docs: DataFrame) -> DataFrame:
     return clips.select(*KEYS, "volume", F.trim("c.FileName").alias("file_name"), n.camera_roll(F.col("c.Reel")).alias("camera_roll"), F.coalesce(F.trim("c.Bytes").try_cast("bigint"), F.lit(0)).alias("size_bytes"), F.trim("c.Hash._VALUE").alias("checksum"), F.when(F.col("c.Hash").isNotNull(), F.coalesce("c.Hash._type", F.lit("MD5"))).alias("checksum_type"), F.col("c.DurationFrames").try_cast("bigint").alias("duration_frames"))
 
 
+def thumbnail_blocks() -> Column:
+    """A document's content cut before every line that begins with `Name`; the first cut has none."""
+    return F.split(F.concat(F.lit("\n"), F.regexp_replace(F.coalesce("content", F.lit("")), r"\r\n", "\n")), r"\n(?=Name\s+\S)")
+
+
 def parse_thumbnail_report(docs: DataFrame) -> DataFrame:
     """Blocks that begin with `Name`, a labelled value on each line."""
     labels = {"file_name": "Name", "reel": "Reel/Tape", "scene": "Scene", "shot": "Shot", "take": "Take", "fps": "Sensor FPS", "duration": "Duration"}
-    w = Window.partitionBy(*KEYS).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines_of(docs).withColumn("block", F.sum(F.col("line").rlike(r"^Name\s+\S").cast("int")).over(w)).filter("block > 0")
-    picked = [F.max(F.when(F.col("line").rlike(rf"^{p}\s+"), F.trim(F.regexp_replace("line", rf"^{p}\s+", "")))).alias(k) for k, p in labels.items()]
-    blocks = rows.groupBy(*KEYS, "block").agg(*picked).filter(n.is_clip_name(F.col("file_name")))
+    blocks = docs.select(*KEYS, F.posexplode(thumbnail_blocks()).alias("block", "text")).filter("block > 0")
+    blocks = blocks.select(*KEYS, "block", *[F.nullif(F.trim(F.regexp_extract("text", rf"(?m)^{p}[ \t]+(.*)$", 1)), F.lit("")).alias(k) for k, p in labels.items()]).filter(n.is_clip_name(F.col("file_name")))
     kind = F.when(F.lower("file_name").endswith(".wav"), "sound").otherwise("camera")
     return blocks.select(*KEYS, "block", "file_name", n.camera_roll(F.col("reel")).alias("camera_roll"), n.slate(F.concat_ws("/", "scene", "shot")).alias("slate"), n.take(F.col("take"))["take_id"].alias("take_id"), kind.alias("card_type"), F.col("fps").try_cast("double").alias("fps"), "duration")
 
@@ -203,21 +233,17 @@ def parse_screenplay(docs: DataFrame) -> DataFrame:
     A cue is a line in capitals between a blank line and a spoken one; scenes without a number
     are numbered in order; what stands before the first heading is the title block.
     """
-    w = Window.partitionBy(*KEYS).orderBy("place")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines_of(docs).withColumn("heading", F.col("line").rlike(HEADING))
-    rows = rows.withColumn("scene_index", F.sum(F.col("heading").cast("int")).over(run)).filter("scene_index > 0")
     text = F.trim("line")
-    blank_before = F.coalesce(F.trim(F.lag("line").over(w)) == "", F.lit(True))
-    spoken_after = F.coalesce(F.trim(F.lead("line").over(w)) != "", F.lit(False))
-    cue = ~F.col("heading") & (text == F.upper(text)) & text.rlike(r"^[A-Z][A-Z .'\-]+(?:\s*\([^)]*\))?$") & blank_before & spoken_after & ~n.is_transition(F.col("line"))
-    rows = rows.withColumn("cue", cue).withColumn("part", F.when(F.col("heading") | (text == "") | cue, 1).otherwise(0))
-    rows = rows.withColumn("block", F.sum("part").over(run))
-    inner = Window.partitionBy(*KEYS, "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    speaker = F.last(F.when(F.col("cue"), n.character_name(F.col("line"))), ignorenulls=True).over(inner)
-    whole = Window.partitionBy(*KEYS, "scene_index")
-    head = F.max(F.when(F.col("heading"), F.col("line"))).over(whole)
-    rows = rows.withColumn("speaker", speaker).withColumn("head", head).filter((F.trim("line") != "") & ~F.col("cue") & ~F.col("heading"))
+    rows = lines_of(docs, near=1).withColumn("heading", F.col("line").rlike(HEADING))
+    blank_before = F.coalesce(F.trim("above") == "", F.lit(True))
+    cue = ~F.col("heading") & (text == F.upper(text)) & text.rlike(r"^[A-Z][A-Z .'\-]+(?:\s*\([^)]*\))?$") & blank_before & (F.col("ahead") != "") & ~n.is_transition(F.col("line"))
+    rows = rows.withColumn("cue", cue).select("*", (F.col("heading") | (text == "") | F.col("cue")).alias("part"), F.when(F.col("cue"), n.character_name(F.col("line"))).alias("speaker"), F.when(F.col("heading"), F.col("line")).alias("head"))
+
+    def fold(t: Lines) -> None:
+        t["scene_index"], t["block"] = t.count(t["heading"]), t.count(t["part"])
+        t["speaker"], t["head"] = t.last(t["speaker"], "block"), t.last(t["head"])
+
+    rows = folded(rows, "scene_index int, block int", fold).filter(kept((F.col("scene_index") > 0) & (F.trim("line") != "") & ~F.col("cue") & ~F.col("heading")))
     kind = F.when(F.col("speaker").isNull(), "action").when(F.trim("line").rlike(r"^\(.*\)$"), "parenthetical").otherwise("dialogue")
     number = F.coalesce(F.nullif(F.regexp_extract("head", HEADING, 1), F.lit("")), F.col("scene_index").cast("string"))
-    return rows.select(*KEYS, number.alias("scene"), F.regexp_extract("head", HEADING, 2).alias("setting"), F.trim(F.regexp_extract("head", HEADING, 3)).alias("location"), F.trim(F.regexp_extract("head", HEADING, 4)).alias("time_of_day"), "place", kind.alias("kind"), "speaker", F.trim("line").alias("line"))
+    return rows.select(*KEYS, "scene_index", number.alias("scene"), F.regexp_extract("head", HEADING, 2).alias("setting"), F.trim(F.regexp_extract("head", HEADING, 3)).alias("location"), F.trim(F.regexp_extract("head", HEADING, 4)).alias("time_of_day"), "place", kind.alias("kind"), "speaker", F.trim("line").alias("line"), "error")

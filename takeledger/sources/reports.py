@@ -1,18 +1,19 @@
 """Printed reports as they come out of a text layer: camera, script and offload layouts.
 
 Each layout is read line by line: every line gets a kind by its shape, and what a line inherits
-from the lines above it (roll, slate, date) is the last value stated so far, by window. Nothing
-runs per document in Python, and a document of any length is one sorted partition of its lines.
+from the lines above it (roll, slate, date) is the last value stated so far, folded where the
+document is. No parser shuffles; a document that can't be read is one row with its `error`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from takeledger.functions import normalize as n
 from takeledger.functions.privacy import is_contact
-from takeledger.sources.paperwork import KEYS, parse_thumbnail_report
+from takeledger.sources.documents import KEYS, Lines, folded, kept, lines_of
+from takeledger.sources.paperwork import parse_thumbnail_report, thumbnail_blocks
 
 #: A slate of a script log (compound scenes, wild tracks), a take label, timecodes.
 SLATE = r"(?:\d+[A-Z]{0,2}(?:[+-]\d+[A-Z]{0,2})*/(?:\d+[A-Z]?|WT)|\d+WT)"
@@ -27,33 +28,13 @@ CLIP_SKIPS = r"^(?:Clips Report|Pomfort|Offloads|Preview Name)"
 UNITS = {"TB": 1 << 40, "GB": 1 << 30, "MB": 1 << 20, "KB": 1 << 10, "BYTES": 1}
 
 
-def _order():
-    """One document's lines in order."""
-    return Window.partitionBy(*KEYS).orderBy("place")
-
-
-def _in(*parts: str):
-    """The lines so far of a document, or of a part of it."""
-    return Window.partitionBy(*KEYS, *parts).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-
-
 def _group(text: Column, pattern: str, i: int = 1) -> Column:
     """A group of the first match; null where there is none."""
     return F.nullif(F.trim(F.regexp_extract(text, pattern, i)), F.lit(""))
 
 
-def _last(value: Column, over=None) -> Column:
-    return F.last(value, ignorenulls=True).over(over or _in())
-
-
-def _all_lines(docs: DataFrame, **of_document: Column) -> DataFrame:
-    """Lines by place, with what the whole document says."""
-    told = [c.alias(k) for k, c in of_document.items()]
-    return docs.select(*KEYS, *told, F.posexplode(F.split("content", r"\r?\n")).alias("place", "line"))
-
-
-def _lines(docs: DataFrame, skips: str, **of_document: Column) -> DataFrame:
-    rows = _all_lines(docs, **of_document).withColumn("line", F.trim("line"))
+def _lines(docs: DataFrame, skips: str, near: int = 0, **of_document: Column) -> DataFrame:
+    rows = lines_of(docs, near, **of_document).withColumn("line", F.trim("line"))
     return rows.filter((F.col("line") != "") & ~F.col("line").rlike(skips))
 
 
@@ -83,11 +64,14 @@ def report_date() -> Column:
 
 def unified(rows: DataFrame, marks: tuple[str, ...]) -> DataFrame:
     """Marks belong to the take: what one row of a document has, all rows of the take have."""
-    take = Window.partitionBy(*KEYS, "slate", "take_id")
-    whole = F.col("slate").isNotNull() & F.col("take_id").isNotNull()
-    for m in marks:
-        rows = rows.withColumn(m, F.coalesce(F.when(whole, F.bool_or(m).over(take)).otherwise(F.col(m)), F.lit(False)))
-    return rows
+
+    def fold(t: Lines) -> None:
+        whole = t["slate"].notna() & t["take_id"].notna()
+        for m in marks:
+            own = t[m].fillna(False).astype(bool)
+            t[m] = t.any(own, "slate", "take_id").where(whole, own)
+
+    return folded(rows, "", fold)
 
 
 # ---- camera
@@ -114,12 +98,20 @@ def parse_camera_log(docs: DataFrame) -> DataFrame:
         "fps": at("setup", _group(line, r"(?i)FPS\s*(\d+(?:\.\d+)?)fps").try_cast("double")), "iso": at("setup", _group(line, r"(?i)ISO\s*(\d+)").try_cast("int")),
         "shutter": at("setup", _group(line, r"Shutter([0-9.]+)")),
     }
-    rows = rows.select("*", *[_last(v).alias(k) for k, v in stated.items()], F.sum((F.col("kind") == "setup").cast("int")).over(_in()).alias("setup"))
-    rows = rows.withColumn("setup_note", _last(at("note", F.trim(F.expr("substring(line, instr(line, 'Notes') + 5)"))), _in("setup")))
     raw = F.coalesce(at("take", _group(line, take)), at("setup", _group(line, inline)))
     clip = F.coalesce(at("take", _group(line, take, 2)), at("setup", _group(line, inline, 2)))
-    rows = rows.withColumn("raw", raw).withColumn("number", clip).filter("raw is not null and slate is not null and camera_roll is not null")
-    t, note = n.take(F.col("raw")), F.upper(F.coalesce("setup_note", F.lit("")))
+    carried = list(stated)
+    rows = rows.select("*", *[v.alias(k) for k, v in stated.items()], at("note", F.trim(F.expr("substring(line, instr(line, 'Notes') + 5)"))).alias("setup_note"), raw.alias("raw"), clip.alias("number"))
+
+    def fold(t: Lines) -> None:
+        for k in carried:
+            t[k] = t.last(t[k])
+        t["setup"] = t.count(t["kind"] == "setup")
+        t["setup_note"] = t.last(t["setup_note"], "setup")
+
+    rows = folded(rows, "setup int", fold).filter(kept(F.expr("raw is not null and slate is not null and camera_roll is not null")))
+    rows = rows.withColumn("t", n.take(F.col("raw")))
+    t, note = F.col("t"), F.upper(F.coalesce("setup_note", F.lit("")))
     named = r"TOMAS?\s*([\d\s,YEAND]+)"
     listed = F.array_contains(F.regexp_extract_all(F.regexp_extract(note, named, 1), F.lit(r"\d+"), F.lit(0)), t["take_id"])
     vfx = F.when(F.col("kind") == "setup", F.contains(F.upper(line), F.lit("VFX"))).when(~F.contains(note, F.lit("VFX")), t["vfx"]).when(note.rlike(named), listed).otherwise(True)
@@ -127,7 +119,7 @@ def parse_camera_log(docs: DataFrame) -> DataFrame:
         *KEYS, "place", "slate", t["take_id"].alias("take_id"), "camera_roll", F.concat("camera_roll", F.lit("_C"), F.lpad(F.col("number").cast("int").cast("string"), 3, "0")).alias("clip_name"),
         F.coalesce("fps", F.lit(24.0)).alias("fps"), "lens", "stop", "iso", "shutter", "magazine", "camera", t["starred"].alias("starred"), t["pickup"].alias("pickup"),
         (t["false_start"] | F.col("raw").isin("FC", "FALSE")).alias("false_start"), F.coalesce(vfx, F.lit(False)).alias("vfx"),
-        ((F.col("kind") == "take") & (t["mos"] | note.rlike(r"MOS|M\.O\.S"))).alias("mos"), F.coalesce("setup_note", t["note"]).alias("note"),
+        ((F.col("kind") == "take") & (t["mos"] | note.rlike(r"MOS|M\.O\.S"))).alias("mos"), F.coalesce("setup_note", t["note"]).alias("note"), "error",
     )
 
 
@@ -138,11 +130,32 @@ MARKS = ("starred", "pickup", "false_start", "wild", "vfx", "mos")
 
 def _script_rows(rows: DataFrame, slate: Column, raw_take: Column, text: Column, note: Column) -> DataFrame:
     """What both script layouts return of a row that names a card; text is searched for marks."""
-    t, upper = n.take(raw_take), F.upper(text)
-    normal = n.slate(slate)
+    rows = rows.select("*", n.take(raw_take).alias("t"), n.slate(slate).alias("normal"), slate.alias("slate_said"), F.upper(text).alias("text_said"))
+    t, upper, normal, slate = F.col("t"), F.col("text_said"), F.col("normal"), F.col("slate_said")
     marks = {"starred": t["starred"], "pickup": t["pickup"], "false_start": t["false_start"], "wild": F.contains(F.upper(slate), F.lit("WT")) | t["wild"], "vfx": F.contains(upper, F.lit("VFX")) | t["vfx"], "mos": F.contains(upper, F.lit("MOS")) | F.contains(F.upper(slate), F.lit("MOS")) | t["mos"]}
     made = [F.substring_index(normal, "/", 1).alias("scene"), normal.alias("slate"), t["take_id"].alias("take_id"), *[F.coalesce(c, F.lit(False)).alias(k) for k, c in marks.items()], F.coalesce(F.nullif(F.trim(note), F.lit("")), t["note"]).alias("note")]
-    return unified(rows.select(*KEYS, "place", *made, "camera_roll", "timecode_in", "timecode_out", "recording_date", "stated_day", "inherited"), MARKS)
+    return unified(rows.select(*KEYS, "document", "place", *made, "camera_roll", "timecode_in", "timecode_out", "recording_date", "stated_day", "inherited", "error"), MARKS).drop("document")
+
+
+# fixed values: the shapes of a take on one line, and of the head of one over several
+ONE_LINE = rf"^({SLATE})\s+(\d+[A-Z*]?|FALSE)\s+({TIMECODE})\s*(?:\d{{2}}:\d{{2}}:\d{{2}}(?!:))?\s*({TIMECODE})?(.*)"
+HEAD = rf"^(\d+[A-Z]?/\d+|\d+WT)\s+(\d+[A-Z*]?|FALSE)(?:(?=\d{{2}}:\d{{2}}:\d{{2}})|\s+)({TIMECODE})?"
+TIMECODE_SKIPS = r"DAILY TIMECODE LOG|Date:|Page "
+
+
+def _timecode_kind(line: Column) -> Column:
+    """What a line of a timecode log is: a take on one line, a head, a time, a card, text."""
+    single = line.rlike(ONE_LINE) & card(F.regexp_extract(line, ONE_LINE, 5)).isNotNull()
+    return F.when(single, "one").when(line.rlike(HEAD), "head").when(line.rlike(rf"^{TIMECODE}$"), "time").when(card(line).isNotNull(), "card").otherwise("text")
+
+
+def has_timecode_rows() -> Column:
+    """Whether a document's content gives a row of a timecode log: a take on one line, or a card
+    below a head."""
+    lines = F.transform(F.split(F.coalesce("content", F.lit("")), r"\r?\n"), lambda x: F.trim(x))
+    kinds = F.transform(F.filter(lines, lambda x: (x != "") & ~x.rlike(TIMECODE_SKIPS)), _timecode_kind)
+    below = lambda k: F.aggregate(k, F.lit(0), lambda a, x: F.when((a == 2) | ((a == 1) & (x == "card")), 2).when((x == "head") | (a == 1), 1).otherwise(0)) == 2
+    return n.once(kinds, lambda k: F.array_contains(k, "one") | below(k))
 
 
 def parse_timecode_log(docs: DataFrame) -> DataFrame:
@@ -154,31 +167,33 @@ def parse_timecode_log(docs: DataFrame) -> DataFrame:
     contact details to none.
     """
     line = F.col("line")
-    # fixed values: the shapes of a take on one line, and of the head of one over several
-    one = rf"^({SLATE})\s+(\d+[A-Z*]?|FALSE)\s+({TIMECODE})\s*(?:\d{{2}}:\d{{2}}:\d{{2}}(?!:))?\s*({TIMECODE})?(.*)"
-    head = rf"^(\d+[A-Z]?/\d+|\d+WT)\s+(\d+[A-Z*]?|FALSE)(?:(?=\d{{2}}:\d{{2}}:\d{{2}})|\s+)({TIMECODE})?"
-    rest = F.regexp_extract(line, one, 5)
-    is_one = line.rlike(one) & card(rest).isNotNull()
-    rows = _lines(docs, r"DAILY TIMECODE LOG|Date:|Page ", report_date=report_date())
-    rows = rows.withColumn("kind", F.when(is_one, "one").when(line.rlike(head), "head").when(line.rlike(rf"^{TIMECODE}$"), "time").when(card(line).isNotNull(), "card").otherwise("text"))
-    rows = rows.withColumn("block", F.sum((F.col("kind") == "head").cast("int")).over(_in()))
+    rest = F.regexp_extract(line, ONE_LINE, 5)
+    rows = _lines(docs, TIMECODE_SKIPS, report_date=report_date()).withColumn("kind", _timecode_kind(line))
     at = lambda k, v: F.when(F.col("kind") == k, v)
-    within = _in("block")
-    started = _last(at("head", F.coalesce(_group(line, head, 3), F.lit(""))), within)
-    nth = F.sum((F.col("kind") == "time").cast("int")).over(within)
-    rows = rows.select("*", _last(at("head", _group(line, head))).alias("head_slate"), _last(at("head", _group(line, head, 2))).alias("head_take"), started.alias("started"), ((F.col("kind") == "time") & (nth == 1) & (started != "")).alias("ends"))
-    rows = rows.withColumn("ended", _last(F.when(F.col("ends"), line), within)).withColumn("row", (F.col("kind") == "one") | ((F.col("kind") == "card") & (F.col("block") > 0)))
-    rows = rows.withColumn("nth", F.sum(F.col("row").cast("int")).over(_in()))
-    free = ~F.col("row") & (F.col("kind") != "head") & ~F.col("ends") & ~line.rlike(r"^(?:Lens:|Script /)") & ~is_contact(line)
-    own = F.array_join(F.collect_list(F.when(free & (F.col("nth") == 0) & (F.col("block") > 0), line)).over(within), " ")
-    after = F.array_join(F.collect_list(F.when(free, line)).over(Window.partitionBy(*KEYS, "nth").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), " ")
+    plain = (F.col("kind") != "head") & ~line.rlike(r"^(?:Lens:|Script /)") & ~is_contact(line)
+    rows = rows.select("*", at("head", _group(line, HEAD)).alias("head_slate"), at("head", _group(line, HEAD, 2)).alias("head_take"), at("head", F.coalesce(_group(line, HEAD, 3), F.lit(""))).alias("started"), plain.alias("plain"))
+
+    def fold(t: Lines) -> None:
+        t["block"] = t.count(t["kind"] == "head")
+        t["started"] = t.last(t["started"], "block")
+        t["head_slate"], t["head_take"] = t.last(t["head_slate"]), t.last(t["head_take"])
+        # the first time of a block ends its take, if the head has a first timecode
+        ends = (t["kind"] == "time") & (t.count(t["kind"] == "time", "block") == 1) & (t["started"] != "")
+        t["ended"] = t.last(t["line"].where(ends & t["started"].notna()), "block")
+        t["row"] = (t["kind"] == "one") | ((t["kind"] == "card") & (t["block"] > 0))
+        t["nth"] = t.count(t["row"])
+        free = t["line"].where(t["plain"].astype(bool) & ~t["row"] & ~ends)
+        t["own"] = t.said(free.where((t["nth"] == 0) & (t["block"] > 0)), t["row"], "block")
+        t["after"] = t.joined(free, "nth").where(t["nth"] > 0, "")
+
+    found = folded(rows, "block int, ended string, row boolean, nth int, own string, after string", fold).filter(kept(F.col("row")))
     single = F.col("kind") == "one"
-    found = rows.withColumn("own", own).withColumn("after", F.when(F.col("nth") > 0, after).otherwise("")).filter("row").select(
+    found = found.select(
         "*", F.when(single, card(rest)).otherwise(card(line)).alias("camera_roll"), F.coalesce(stamp(F.when(single, rest).otherwise(line)), "report_date").alias("recording_date"),
-        F.when(single, F.regexp_extract(line, one, 3)).otherwise(F.nullif("started", F.lit(""))).alias("timecode_in"), F.when(single, _group(line, one, 4)).otherwise(F.col("ended")).alias("timecode_out"),
+        F.when(single, F.regexp_extract(line, ONE_LINE, 3)).otherwise(F.nullif("started", F.lit(""))).alias("timecode_in"), F.when(single, _group(line, ONE_LINE, 4)).otherwise(F.col("ended")).alias("timecode_out"),
         F.lit(None).cast("string").alias("stated_day"), F.lit(False).alias("inherited"),
     )
-    slate, take = F.when(single, F.regexp_extract(line, one, 1)).otherwise(F.col("head_slate")), F.when(single, F.regexp_extract(line, one, 2)).otherwise(F.col("head_take"))
+    slate, take = F.when(single, F.regexp_extract(line, ONE_LINE, 1)).otherwise(F.col("head_slate")), F.when(single, F.regexp_extract(line, ONE_LINE, 2)).otherwise(F.col("head_take"))
     note = F.concat_ws(" ", F.nullif(F.when(single, F.trim(rest)).otherwise(F.col("own")), F.lit("")), F.nullif("after", F.lit("")))
     return _script_rows(found, slate, take, F.when(single, line).otherwise(F.col("own")), note)
 
@@ -196,33 +211,51 @@ def parse_editor_log(docs: DataFrame) -> DataFrame:
     wild = r"(?i)(\d+WT)\s+(\d+[A-Z*]?)\s+.*?(?:Wild Track:)?\s*.*?(?:n/a)?\s*(\d{6})?\s*(\d+:\d+)?\s*(.*)"
     heading = r"(?i)^(?:\d+[A-Z]{0,2}\.?\s+(?:\d+[A-Z]{0,2})?\s*)?(?:INT|EXT)[./]"
     day = r"Shot on Day:\s*Day\s*([0-9A-Za-z]+)"
-    ahead = F.coalesce(*[F.nullif(F.trim(F.lead("line", k).over(_order())), F.lit("")) for k in (1, 2, 3)])
-    rows = _all_lines(docs, report_date=report_date()).withColumn("ahead", ahead).withColumn("line", F.trim("line")).filter((F.col("line") != "") & ~F.col("line").rlike(SCRIPT_SKIPS))
+    rows = _lines(docs, SCRIPT_SKIPS, near=3, report_date=report_date())
     shape = (
         F.when(line.rlike(heading), "heading").when(line.rlike(day), "day").when(line.rlike(wild), "wild").when(line.rlike(setup), "setup")
         .when(line.rlike(rf"^{SLATE}$") & F.col("ahead").rlike(rf"^{TAKE}\s+Scene\(s\):"), "split").when(line.rlike(sub), "sub").when(F.contains(line, F.lit("Scene(s):")), "unknown").otherwise("text")
     )
-    rows = rows.withColumn("shape", shape)
-    is_ = lambda *k: F.col("shape").isin(*k)
-    # a line that begins like a take of no setup is none, unless it belongs to an unknown one
-    current = _last(F.when(is_("setup"), F.regexp_extract(line, setup, 1)).when(is_("split"), line).when(is_("heading", "unknown"), ""))
-    rows = rows.withColumn("slate_now", F.coalesce(current, F.lit(""))).withColumn("shape", F.when(is_("sub") & (F.col("slate_now") == ""), F.when(F.contains(line, F.lit("Scene(s):")), "unknown").otherwise("text")).otherwise(F.col("shape")))
-    opens = is_("heading", "setup", "split", "unknown")
-    rows = rows.withColumn("setup_id", F.sum(opens.cast("int")).over(_in())).withColumn("block", F.sum((opens | (is_("wild") & line.rlike(r"^\d+WT\s"))).cast("int")).over(_in()))
     squeezed = lambda p, i: F.regexp_replace(F.regexp_extract(line, p, i), " ", "")
-    rows = rows.withColumn("take_now", _last(F.when(is_("setup"), squeezed(setup, 2)).when(is_("sub"), squeezed(sub, 1)).when(is_("heading", "split", "unknown"), "")))
-    rest = F.when(is_("setup"), F.regexp_extract(line, setup, 3)).when(is_("sub"), F.regexp_extract(line, sub, 2)).when(is_("text"), line)
-    rows = rows.withColumn("rest", rest).withColumn("named", F.when(is_("setup", "sub") | (is_("text") & (F.col("slate_now") != "") & (F.coalesce("take_now", F.lit("")) != "")), card(rest)))
-    earlier = Window.partitionBy(*KEYS, "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    held = is_("sub") & F.col("named").isNull() & F.col("rest").rlike(r"^\d+:\d{2}\b")
-    whole = Window.partitionBy(*KEYS, "block").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("above", F.last("named", ignorenulls=True).over(earlier)).withColumn("inherited", held & F.col("above").isNotNull())
-    dated = F.first(F.when(F.col("named").isNotNull(), stamp(F.col("rest"))), ignorenulls=True).over(_in("block"))
-    free = is_("text") & F.col("named").isNull() & (F.col("slate_now") != "") & ~is_contact(line)
-    said = F.array_join(F.collect_list(F.when(is_("setup"), F.nullif("rest", F.lit(""))).when(free, line)).over(_in("setup_id")), " ")
-    rows = rows.select("*", F.coalesce(F.when(F.col("named").isNotNull(), stamp(F.col("rest"))), dated, "report_date").alias("recording_date"), n.shoot_day(F.last(_group(line, day), ignorenulls=True).over(whole)).alias("stated_day"), said.alias("said"))
-    found = rows.filter(is_("wild") | F.col("named").isNotNull() | F.col("inherited")).select(
-        "*", F.when(is_("wild"), F.lit(None)).otherwise(F.coalesce("named", "above")).alias("camera_roll"), *[F.lit(None).cast("string").alias(c) for c in ("timecode_in", "timecode_out")]
+    rests = {"setup": F.regexp_extract(line, setup, 3), "sub": F.regexp_extract(line, sub, 2), "text": line}
+    told = {
+        "shape": shape, "setup_slate": F.regexp_extract(line, setup, 1), "setup_take": squeezed(setup, 2), "sub_take": squeezed(sub, 1), "scenes": F.contains(line, F.lit("Scene(s):")),
+        "alone": line.rlike(r"^\d+WT\s"), "day_said": _group(line, day), "contact": F.coalesce(is_contact(line), F.lit(False)),
+        **{f"{k}_rest": v for k, v in rests.items()}, **{f"{k}_card": card(v) for k, v in rests.items()}, **{f"{k}_stamp": stamp(v) for k, v in rests.items()},
+    }
+    rows = rows.select("*", *[v.alias(k) for k, v in told.items()])
+
+    def fold(t: Lines) -> None:
+        is_ = lambda *k: t["shape"].isin(k)
+        of = lambda what: t[f"setup_{what}"].where(is_("setup"), t[f"sub_{what}"].where(is_("sub"), t[f"text_{what}"].where(is_("text"))))
+        current = t["setup_slate"].where(is_("setup"), t["line"].where(is_("split"), "")).where(is_("setup", "split", "heading", "unknown"))
+        t["slate_now"] = t.last(current).fillna("")
+        # a line that begins like a take of no setup is none, unless it belongs to an unknown one
+        lone = is_("sub") & (t["slate_now"] == "")
+        t["shape"] = t["shape"].mask(lone & t["scenes"], "unknown").mask(lone & ~t["scenes"], "text")
+        opens = is_("heading", "setup", "split", "unknown")
+        t["setup_id"], t["block"] = t.count(opens), t.count(opens | (is_("wild") & t["alone"]))
+        t["take_now"] = t.last(t["setup_take"].where(is_("setup"), t["sub_take"].where(is_("sub"), "")).where(is_("setup", "sub", "heading", "split", "unknown")))
+        t["rest"] = of("rest")
+        inside = is_("setup", "sub") | (is_("text") & (t["slate_now"] != "") & (t["take_now"].fillna("") != ""))
+        t["named"] = of("card").where(inside)
+        stamped = of("stamp").where(t["named"].notna())
+        held = is_("sub") & t["named"].isna() & t["rest"].str.match(r"\d+:\d{2}\b").eq(True)
+        # a row without a card has none of its own, so the last card so far stands above it
+        t["card_above"] = t.last(t["named"], "block").where(t["named"].isna())
+        t["inherited"] = held & t["card_above"].notna()
+        t["recording_date"] = stamped.where(stamped.notna(), t.first(stamped, "block")).where(lambda d: d.notna(), t["report_date"])
+        free = is_("text") & t["named"].isna() & (t["slate_now"] != "") & ~t["contact"]
+        said = t["rest"].where(is_("setup") & (t["rest"] != ""), t["line"].where(free))
+        t["row"] = is_("wild") | t["named"].notna() | t["inherited"]
+        t["said"] = t.said(said, t["row"], "setup_id")
+        t["day_stated"] = t.final(t["day_said"], "block")
+
+    adds = "slate_now string, setup_id int, block int, take_now string, rest string, named string, card_above string, inherited boolean, recording_date string, row boolean, said string, day_stated string"
+    found = folded(rows, adds, fold).filter(kept(F.col("row")))
+    is_ = lambda *k: F.col("shape").isin(*k)
+    found = found.select(
+        "*", F.when(is_("wild"), F.lit(None)).otherwise(F.coalesce("named", "card_above")).alias("camera_roll"), n.shoot_day(F.col("day_stated")).alias("stated_day"), *[F.lit(None).cast("string").alias(c) for c in ("timecode_in", "timecode_out")]
     ).withColumn("recording_date", F.when(is_("wild"), F.col("report_date")).otherwise(F.col("recording_date")))
     slate = F.when(is_("wild"), F.regexp_extract(line, wild, 1)).otherwise(F.col("slate_now"))
     take = F.when(is_("wild"), F.regexp_extract(line, wild, 2)).otherwise(F.col("take_now"))
@@ -234,10 +267,9 @@ def parse_editor_log(docs: DataFrame) -> DataFrame:
 def parse_script_log(docs: DataFrame) -> DataFrame:
     """Editor's logs that say so; of the rest timecode logs, and what gives no row of that layout
     as an editor's log."""
-    says = F.contains(F.upper(F.coalesce("content", F.lit(""))), F.lit("EDITOR'S LOG"))
-    rows = parse_timecode_log(docs.filter(~says))
-    others = docs.join(rows.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    return rows.unionByName(parse_editor_log(others))
+    as_editor = F.contains(F.upper(F.coalesce("content", F.lit(""))), F.lit("EDITOR'S LOG")) | ~has_timecode_rows()
+    routed = docs.withColumn("as_editor", as_editor)
+    return parse_timecode_log(routed.filter("not as_editor")).unionByName(parse_editor_log(routed.filter("as_editor")))
 
 
 # ---- offloads
@@ -250,18 +282,28 @@ def named_sound(base: Column) -> Column:
     shot = F.regexp_replace(part(0, 2), "(?i)pk", "")
     slate = F.when(base.rlike(forms[0]), F.concat_ws("/", part(0, 1), shot)).when(base.rlike(forms[1]), F.concat(part(1, 1), F.lit("/WT"))).when(base.rlike(forms[2]), part(2, 1))
     raw = F.when(base.rlike(forms[0]), part(0, 3)).when(base.rlike(forms[1]), part(1, 2)).when(base.rlike(forms[2]), part(2, 2))
-    t = n.take(raw)
+    return n.once(n.take(raw), lambda t: _named_sound(base, forms, part, slate, raw, t))
+
+
+def _named_sound(base: Column, forms: list[str], part, slate: Column, raw: Column, t: Column) -> Column:
     pickup = base.rlike(forms[0]) & (F.contains(F.upper(part(0, 2)), F.lit("PK")) | t["pickup"])
     wild = F.contains(F.upper(slate), F.lit("WT")) | t["wild"]
     return F.struct(n.slate(slate).alias("slate"), F.coalesce(t["take_id"], raw).alias("take_id"), F.coalesce(pickup, F.lit(False)).alias("pickup"), F.coalesce(wild, F.lit(False)).alias("wild"))
 
 
+#: The shapes of a day's reel (reel, camera, clips, duration, files, size), of a sound
+#: clip and of a camera clip.
+REEL = r"([A-C]_0*\d{3,4}_[A-Za-z0-9]+)\s+([A-C_]+)\s+(\d+)\s*([\d:]+\s*(?:min|h|sec))\s+(\d+)?\s*([\d.]+)\s*(GB|TB|MB)"
+SOUND_CLIP = r"^([+A-Za-z0-9_\-]+)\s+(Sound Dev:.+?)\s+(\d+:\d+\s*(?:min|sec)|\d+\s*sec)$"
+VIDEO_CLIP = r"^([A-C]_0*\d{3,4}C\d{3,4}\S*)\s+([A-C])_\s+(.+?)\s+(\d+:\d+\s*(?:min|sec)|\d+(?:\.\d+)?\s*sec)\s+(\d+x\d+)\s+([\d.]+°\s*@\s*\d+fps)\s+([\d.]+\s*mm)\s+(\S+(?:\s+\d+/\d+)?)\s+(\d+)\s+(\d+\s*K)"
+
 OFFLOAD = ["file_name", "camera_roll", "slate", "take_id", "size_bytes", "checksum", "checksum_type", "volume", "reel_tape", "card_type", "pickup", "wild", "details"]
 
 
 def _offload(rows: DataFrame, **values: Column) -> DataFrame:
     none = {"size_bytes": "bigint", "pickup": "boolean", "wild": "boolean", "details": "map<string,string>"}
-    return rows.select(*KEYS, "place", *[values.get(c, F.lit(None)).cast(none.get(c, "string")).alias(c) for c in OFFLOAD])
+    error = F.col("error") if "error" in rows.columns else F.lit(None).cast("string").alias("error")
+    return rows.select(*KEYS, "place", *[values.get(c, F.lit(None)).cast(none.get(c, "string")).alias(c) for c in OFFLOAD], error)
 
 
 def parse_volume_report(docs: DataFrame) -> DataFrame:
@@ -270,27 +312,34 @@ def parse_volume_report(docs: DataFrame) -> DataFrame:
     # fixed values: the shapes of a file's name, a checksum, a size
     name, hashed, sized = r"(?i)^([+A-Za-z0-9_\-.]+\.(?:WAV|MOV|BRAW|ARI|ARX|MXF|MP4))$", r"(?i)(XXH64|MD5|SHA1):([a-f0-9]+)", r"(?i)([\d.]+)\s*(MB|GB|KB|Bytes)"
     volume = _group(F.col("content"), r"Volume Report[^\n]*\n[^\n]*\n([^\n]+)")
-    rows = _lines(docs, r"^\b$", volume=volume).withColumn("is_name", line.rlike(name)).withColumn("block", F.sum(F.col("is_name").cast("int")).over(_in()))
-    within = _in("block")
-    rows = rows.select("*", _last(_group(line, r"\b(\d{2}Y\d{2}M\d{2})\b")).alias("folder"), _last(_group(line, name), within).alias("file_name"), _last(F.when(~F.col("is_name"), _group(line, hashed, 2)), within).alias("checksum"), _last(F.when(~F.col("is_name"), F.upper(_group(line, hashed))), within).alias("hash_type"))
-    ready = ~F.col("is_name") & line.rlike(sized) & F.col("checksum").isNotNull() & (F.col("block") > 0)
-    rows = rows.withColumn("ready", ready).withColumn("nth", F.sum(F.col("ready").cast("int")).over(within)).filter("ready and nth = 1")
+    rows = _lines(docs, r"^\b$", volume=volume).withColumn("is_name", line.rlike(name))
+    below = lambda c: F.when(~F.col("is_name"), c)
+    rows = rows.select("*", _group(line, r"\b(\d{2}Y\d{2}M\d{2})\b").alias("folder"), _group(line, name).alias("file_name"), below(_group(line, hashed, 2)).alias("checksum"), below(F.upper(_group(line, hashed))).alias("hash_type"), below(line.rlike(sized)).alias("sized"))
+
+    def fold(t: Lines) -> None:
+        t["block"] = t.count(t["is_name"])
+        t["folder"] = t.last(t["folder"])
+        for c in ("file_name", "checksum", "hash_type"):
+            t[c] = t.last(t[c], "block")
+        ready = t["sized"].eq(True) & t["checksum"].notna() & (t["block"] > 0)
+        t["ready"] = ready & (t.count(ready, "block") == 1)
+
+    rows = folded(rows, "block int, ready boolean", fold).filter(kept(F.col("ready")))
     is_wav = F.lower("file_name").endswith(".wav")
-    s = F.when(is_wav, named_sound(F.regexp_replace("file_name", r"\.[^.]*$", "")))
+    rows = rows.withColumn("s", F.when(is_wav, named_sound(F.regexp_replace("file_name", r"\.[^.]*$", ""))))
+    s = F.col("s")
     roll = F.when(~is_wav, n.camera_roll(_group(F.col("file_name"), r"^([A-Z]\d{3})")))
     return _offload(rows, file_name=F.col("file_name"), camera_roll=roll, slate=s["slate"], take_id=s["take_id"], size_bytes=_bytes(line, sized), checksum=F.col("checksum"), checksum_type=F.col("hash_type"), volume=F.col("volume"), reel_tape=F.col("folder"), card_type=F.when(is_wav, "sound").otherwise("camera"), pickup=F.coalesce(s["pickup"], F.lit(False)), wild=F.coalesce(s["wild"], F.lit(False)))
 
 
 def parse_day_report(docs: DataFrame) -> DataFrame:
     """Reels of a shooting day: each stands for as many clips as it counts, of even size."""
-    # fixed value: reel, camera, clips, duration, files, size
-    reel = r"([A-C]_0*\d{3,4}_[A-Za-z0-9]+)\s+([A-C_]+)\s+(\d+)\s*([\d:]+\s*(?:min|h|sec))\s+(\d+)?\s*([\d.]+)\s*(GB|TB|MB)"
     line = F.col("line")
-    rows = _lines(docs, r"^\b$").filter(line.rlike(reel))
+    rows = _lines(docs, r"^\b$").filter(line.rlike(REEL))
     unit = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
-    name = F.regexp_extract(line, reel, 1)
+    name = F.regexp_extract(line, REEL, 1)
     roll = n.camera_roll(F.concat(F.substring_index(name, "_", 1), F.regexp_extract(name, r"_0*?(\d{3})_", 1)))
-    rows = rows.select(*KEYS, "place", name.alias("reel"), roll.alias("roll"), F.regexp_extract(line, reel, 3).cast("int").alias("clips"), (F.regexp_extract(line, reel, 6).try_cast("double") * F.element_at(unit, F.regexp_extract(line, reel, 7))).cast("bigint").alias("bytes"))
+    rows = rows.select(*KEYS, "place", name.alias("reel"), roll.alias("roll"), F.regexp_extract(line, REEL, 3).cast("int").alias("clips"), (F.regexp_extract(line, REEL, 6).try_cast("double") * F.element_at(unit, F.regexp_extract(line, REEL, 7))).cast("bigint").alias("bytes"))
     rows = rows.filter("clips > 0").withColumn("clip", F.explode(F.sequence(F.lit(1), F.col("clips"))))
     return _offload(rows, file_name=F.concat("roll", F.lit("_C"), F.lpad(F.col("clip").cast("string"), 3, "0"), F.lit(".mxf")), camera_roll=F.col("roll"), size_bytes=F.floor(F.col("bytes") / F.col("clips")), checksum=F.lit("VERIFIED-BACKUP-3+"), checksum_type=F.lit("XXH64"), volume=F.col("reel"), card_type=F.lit("camera"), pickup=F.lit(False), wild=F.lit(False))
 
@@ -298,17 +347,15 @@ def parse_day_report(docs: DataFrame) -> DataFrame:
 def parse_clips_report(docs: DataFrame) -> DataFrame:
     """Sound and camera clips, a line each, with what the line says of lens and exposure."""
     line = F.col("line")
-    # fixed values: the shapes of a sound clip and of a camera clip
-    sound = r"^([+A-Za-z0-9_\-]+)\s+(Sound Dev:.+?)\s+(\d+:\d+\s*(?:min|sec)|\d+\s*sec)$"
-    video = r"^([A-C]_0*\d{3,4}C\d{3,4}\S*)\s+([A-C])_\s+(.+?)\s+(\d+:\d+\s*(?:min|sec)|\d+(?:\.\d+)?\s*sec)\s+(\d+x\d+)\s+([\d.]+°\s*@\s*\d+fps)\s+([\d.]+\s*mm)\s+(\S+(?:\s+\d+/\d+)?)\s+(\d+)\s+(\d+\s*K)"
-    rows = _lines(docs, CLIP_SKIPS).withColumn("is_sound", line.rlike(sound)).filter(F.col("is_sound") | line.rlike(video))
-    s = F.when(F.col("is_sound"), named_sound(F.regexp_extract(line, sound, 1)))
-    clip = F.regexp_extract(line, video, 1)
+    rows = _lines(docs, CLIP_SKIPS).withColumn("is_sound", line.rlike(SOUND_CLIP)).filter(F.col("is_sound") | line.rlike(VIDEO_CLIP))
+    rows = rows.withColumn("s", F.when(F.col("is_sound"), named_sound(F.regexp_extract(line, SOUND_CLIP, 1))))
+    s = F.col("s")
+    clip = F.regexp_extract(line, VIDEO_CLIP, 1)
     roll = n.camera_roll(F.concat(F.substring(clip, 1, 1), F.regexp_extract(clip, r"_0*?(\d{3})C", 1)))
     fields = {"camera": 2, "model": 3, "duration": 4, "resolution": 5, "shutter": 6, "focal_length": 7, "tstop": 8, "iso": 9, "white_balance": 10}
-    told = F.create_map(*[x for k, i in fields.items() for x in (F.lit(k), F.regexp_extract(line, video, i))])
-    heard = F.create_map(F.lit("recorder"), F.regexp_extract(line, sound, 2), F.lit("duration"), F.regexp_extract(line, sound, 3))
-    name = F.when(F.col("is_sound"), F.concat(F.regexp_extract(line, sound, 1), F.lit(".WAV"))).when(F.contains(clip, F.lit(".")), clip).otherwise(F.concat(clip, F.lit(".mxf")))
+    told = F.create_map(*[x for k, i in fields.items() for x in (F.lit(k), F.regexp_extract(line, VIDEO_CLIP, i))])
+    heard = F.create_map(F.lit("recorder"), F.regexp_extract(line, SOUND_CLIP, 2), F.lit("duration"), F.regexp_extract(line, SOUND_CLIP, 3))
+    name = F.when(F.col("is_sound"), F.concat(F.regexp_extract(line, SOUND_CLIP, 1), F.lit(".WAV"))).when(F.contains(clip, F.lit(".")), clip).otherwise(F.concat(clip, F.lit(".mxf")))
     video_only = lambda c: F.when(~F.col("is_sound"), c)
     return _offload(rows, file_name=name, camera_roll=video_only(roll), slate=s["slate"], take_id=s["take_id"], checksum=F.lit("VERIFIED"), checksum_type=F.lit("XXH64"), volume=video_only(F.concat(F.lit("Camera Card "), roll)), card_type=F.when(F.col("is_sound"), "sound").otherwise("camera"), pickup=F.coalesce(s["pickup"], F.lit(False)), wild=F.coalesce(s["wild"], F.lit(False)), details=F.when(F.col("is_sound"), heard).otherwise(told))
 
@@ -323,14 +370,16 @@ def parse_offload_text(docs: DataFrame) -> DataFrame:
     the next: thumbnails to clips, clips and shooting days to volumes."""
     text = F.coalesce("content", F.lit(""))
     has = lambda *words: F.exists(F.lit([*words]), lambda w: F.contains(text, w))
-    routed = docs.withColumn("layout", F.when(has("Thumbnail Report"), "thumbnails").when(has("Volume Report", "XXH64:", "MD5:"), "volume").when(has("Shooting Day Report"), "day").when(has("Clips Report"), "clips").otherwise("volume"))
-    out, left = None, routed.limit(0)
-    for layout, parse in (("thumbnails", parse_thumbnails), ("clips", parse_clips_report), ("day", parse_day_report), ("volume", parse_volume_report)):
-        mine = routed.filter(F.col("layout") == layout)
-        mine = mine if layout in ("thumbnails", "day") else mine.unionByName(left)
-        rows = parse(mine)
-        missed = mine.join(rows.select("doc_id").distinct(), "doc_id", "left_anti").select(*routed.columns)
-        left = missed if layout in ("thumbnails", "clips") else left.unionByName(missed)
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x))
+    clips = F.exists(lines, lambda x: (x != "") & ~x.rlike(CLIP_SKIPS) & (x.rlike(SOUND_CLIP) | x.rlike(VIDEO_CLIP)))
+    thumbs = F.exists(thumbnail_blocks(), lambda b: n.is_clip_name(F.regexp_extract(b, r"(?m)^Name[ \t]+(.*)$", 1)))
+    layout = (
+        F.when(has("Thumbnail Report"), F.when(thumbs, "thumbnails").when(clips, "clips").otherwise("volume")).when(has("Volume Report", "XXH64:", "MD5:"), "volume")
+        .when(has("Shooting Day Report"), F.when(F.exists(lines, lambda x: x.rlike(REEL)), "day").otherwise("volume")).when(has("Clips Report"), F.when(clips, "clips").otherwise("volume")).otherwise("volume")
+    )
+    routed, out = docs.withColumn("layout", layout), None
+    for name, parse in (("thumbnails", parse_thumbnails), ("clips", parse_clips_report), ("day", parse_day_report), ("volume", parse_volume_report)):
+        rows = parse(routed.filter(F.col("layout") == name))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -342,6 +391,10 @@ TIMINGS = r"(?i)individual\s+scene\s+timings"
 def scene_timings(docs: DataFrame) -> DataFrame:
     """(KEYS, scene, read, shoot, difference) of the table of scene timings of a daily report."""
     row = r"^(\d+[A-Za-z]*)\s+(\S+)\s+(\S+)\s+(\S+)"
-    rows = _all_lines(docs).withColumn("line", F.trim("line")).withColumn("begun", F.max(F.col("line").rlike(TIMINGS).cast("int")).over(_in()))
-    rows = rows.filter((F.col("begun") == 1) & F.col("line").rlike(row))
-    return rows.select(*KEYS, "place", *[F.regexp_extract("line", row, i).alias(c) for i, c in enumerate(("scene", "read", "shoot", "difference"), 1)])
+    rows = lines_of(docs).withColumn("line", F.trim("line")).withColumn("head", F.col("line").rlike(TIMINGS))
+
+    def fold(t: Lines) -> None:
+        t["begun"] = t.count(t["head"]) > 0
+
+    rows = folded(rows, "begun boolean", fold).filter(kept(F.col("begun") & F.col("line").rlike(row)))
+    return rows.select(*KEYS, "place", *[F.regexp_extract("line", row, i).alias(c) for i, c in enumerate(("scene", "read", "shoot", "difference"), 1)], "error")

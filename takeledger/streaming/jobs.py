@@ -60,9 +60,10 @@ def ingest(docs: DataFrame, spine: str, dead_letters: str, claims: str, checkpoi
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
-        events = sources.parsed_events(batch)
-        keep_batch(spine)(events, number)
-        keep_batch(dead_letters)(sources.rejected(batch, events), number)
+        said = sources.parsed(batch).persist()
+        keep_batch(spine)(said.filter(F.col("entity_type") != sources.FAILED), number)
+        keep_batch(dead_letters)(sources.rejected(batch, said), number)
+        said.unpersist()
         keep_batch(claims)(sources.date_claims(batch), number)
         batch.unpersist()
 

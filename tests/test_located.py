@@ -10,7 +10,8 @@ from takeledger.sources.adapters import frame
 
 
 def terms_of(line):
-    return {w for w in re.findall(r"[a-z]{3,}", (line or "").lower()) if w not in n.ANCHOR_STOP}
+    words = [w.lower().replace("’", "'").strip("'-") for w in re.findall(r"[A-Za-z][A-Za-z'’-]{2,}", line or "")]
+    return {w for w in words if len(w) >= 3 and w not in {*n.COMMON_WORDS, *n.LOG_SHORTHAND}}
 
 
 def brute(lines, wanted):

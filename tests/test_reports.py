@@ -143,3 +143,48 @@ def test_events_of_all_kinds_and_late_takes(spark):
 def test_scene_timings(spark):
     text = "WRAP: 18:55\nIndividual Scene Timings\nScene Read Shoot Diff\n27 1:10 1:20 +0:10\n49A 0:30 0:20 -0:10\n"
     assert rows(reports.scene_timings(docs(spark, text, "27 1 2 3")), "scene", "read", "shoot", "difference") == [("27", "1:10", "1:20", "+0:10"), ("49A", "0:30", "0:20", "-0:10")]
+
+
+def test_no_parser_shuffles(spark):
+    from takeledger.sources import paperwork
+
+    src = docs(spark, CAMERA_LOG, TIMECODE_LOG, EDITOR_LOG, VOLUME)
+    parsers = [
+        paperwork.parse_camera_csv, paperwork.parse_sound_log, paperwork.parse_media_xml, paperwork.parse_thumbnail_report, paperwork.parse_daily_report, paperwork.parse_screenplay,
+        reports.parse_camera_log, reports.parse_timecode_log, reports.parse_editor_log, reports.parse_script_log, reports.parse_volume_report, reports.parse_day_report,
+        reports.parse_clips_report, reports.parse_offload_text, reports.scene_timings,
+    ]
+    for parse in parsers:
+        assert "Exchange" not in parse(src)._jdf.queryExecution().executedPlan().toString(), parse.__name__
+
+
+def test_a_document_that_fails_is_one_row_and_the_others_are_read(spark):
+    from takeledger.sources.documents import folded, lines_of
+
+    def fold(t):
+        if (t["line"] == "bad").any():
+            raise ValueError("no such line")
+        t["above"] = t.count(t["line"] != "")
+
+    src = docs(spark, "a\nb", "ok\nbad\nx", "", None, "c", "a\nb").coalesce(1)
+    got = folded(lines_of(src), "above int", fold).orderBy("doc_id", "place").collect()
+    assert [(r.doc_id, r.place, r.above, r.error) for r in got] == [
+        ("d0", 0, 1, None), ("d0", 1, 2, None), ("d1", None, None, "ValueError: no such line"), ("d2", 0, 0, None), ("d3", 0, 0, None), ("d4", 0, 1, None), ("d5", 0, 1, None), ("d5", 1, 2, None),
+    ]
+    # a cell beyond what the reader of delimited text takes
+    wide = "SCENE,TAKE\n27/7,1\n27/7,\"" + "x" * 140000 + '"\n'
+    named = spark.createDataFrame([("P", "1", f"d{i}", "CAM_A.csv", t) for i, t in enumerate((wide, "SCENE,TAKE\n27/7,1\n", "nothing"))] + [("", "1", "d3", "CAM_A.csv", wide)], src.schema)
+    said = ingest.parsed(named)
+    assert [r.doc_id for r in ingest.parsed_events(named).collect()] == ["d1"]
+    refused = sorted((r.doc_id, r.error_type, r.reason[:25]) for r in ingest.rejected(named, said).collect())
+    assert refused == [("d0", "SYSTEM_ERROR", "Error: field larger than "), ("d2", "PARSER_FAILURE", "no valid rows"), ("d3", "INVALID", "no production or day")]
+
+
+def test_documents_across_batches(spark):
+    long = "ROLLA120\n27/7 Lens(50mm)\n" + "\n".join(f"{i} {i:03d}" for i in range(1, 400))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = reports.parse_camera_log(docs(spark, long, "1 001", long, CAMERA_LOG).coalesce(1)).groupBy("doc_id", "lens").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.doc_id, r["count"]) for r in got if r.lens == "50mm") == [("d0", 399), ("d2", 399)] and sum(r["count"] for r in got) == 399 * 2 + 7

@@ -26,9 +26,27 @@ def test_scalars(spark):
         n.clean_note(lit("Day 3  > 10:00:00 Scene(s): 4  he   waits")).alias("e"), n.target_id(lit("shot"), lit(" 27-7 ")).alias("f"), n.target_id(lit("scene"), lit("27/7")).alias("g"), n.production_id(lit(" the big one! ")).alias("h"),
         paperwork.is_handwritten(lit("some words only")).alias("i"), paperwork.is_handwritten(lit("27/7,1,x\n49/1,2,y")).alias("j"), paperwork.screenplay_id(lit("abc  ")).alias("k"), paperwork.screenplay_id(lit("abc")).alias("l"),
     ).first()
-    assert (got.a.slate, got.a.take, got.b, tuple(got.c), tuple(got.d)) == ("21/1", "4", "B004", ("WS", "low", "dolly"), ("MS", "eye level", "static"))
-    assert (got.e, got.f, got.g, got.h) == ("he waits", "27/7", "27", "THE_BIG_ONE_")
-    assert got.i and not got.j and got.k == got.l and len(got.k) == 16
+    assert (got.a.slate, got.a.take, got.b, tuple(got.c), tuple(got.d)) == ("21/1", "4", "B004", ("MS", "LOW_ANGLE", "DOLLY_IN"), ("MS", "EYE_LEVEL", "STATIC"))
+    assert (got.e, got.f, got.g, got.h) == ("he waits", "27/7", "27", "THE_BIG_ONE!")
+    assert not got.i and not got.j and got.k == got.l and len(got.k) == 16
+
+
+def each(spark, function, cases):
+    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, a string").select("i", function(F.col("a")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in rows] == [w for _, w in cases]
+
+
+def test_words_and_cues_by_hand(spark):
+    each(spark, n.anchor_terms, [("The SLATE: Maya's lamp’s 'well-lit' x-ray, who knew? roll", ["maya's", "lamp's", "well-lit", "x-ray", "knew"]), (None, []), ("lamp lamp ab", ["lamp", "lamp"]), ("'''it--", [])])
+    cues = ["CUT TO:", "> SMASH CUT TO:", "quick cut to", "HARD CUT TO BLACK.", "INTERCUT", "FADE IN:", "FADE TO BLACK", "WIPE TO:", "ZOOM TO WHITE.", "## CUT TO <", "TO:"]
+    others = ["CUT TO the chase", "Match cut", "Wipe to:", "ALICE", "", None, "FADE TO"]
+    each(spark, n.is_transition, [(c, True) for c in cues] + [(c, False) for c in others])
+    each(spark, paperwork.is_handwritten, [("hello world", False), ("", False), (None, False), ("Camera report 7/9/2026 27/7", True), ("roll A1 27/7 27/8", False), ("roll, a, b", False), ("roll\tA", False), ("x" * 3000 + " roll", True)])
+    each(spark, n.is_vague, [("", True), (" ", True), ("a typical man", True), ("typically", False), ("to be decided", True), ("n/a", True), ("a red coat", False)])
+    costume = "he wears a long grey coat over a blue shirt and brown boots"
+    each(spark, lambda c: n.is_vague(c, "look_and_costume"), [(costume, False), ("a red coat", True), ("he is a person who walks to the place and then comes back here", True)])
+    each(spark, lambda c: n.shot_size(c, F.lit(True), F.lit(True))["size"], [("", "MS"), ("security detail", "INSERT"), ("ms", "MS")])
+    each(spark, lambda c: n.shot_size(c, first=F.lit(True))["size"], [("", "WS"), ("Medium close up", "CU"), ("point of view", "POV")])
 
 
 def test_documents(spark, tmp_path):
