@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from takeledger.functions import normalize as n
 from takeledger.operators import analytics as a
-from takeledger.operators.status import missing_paperwork
 from takeledger.operators.reconcile import LOOSE_CLIP, LOOSE_FILE, camera_of, clip_number, file_numbers, sound_file, wav_names
+from takeledger.operators.status import missing_paperwork
+from takeledger.sources import versions
 
 P = "production_id"
 DAY = [P, "shoot_day"]
@@ -279,11 +282,28 @@ def production_status(items: DataFrame, most: int = 5) -> DataFrame:
 
 
 def rebuilt(trails: dict[str, DataFrame], path: str) -> DataFrame:
-    """Every table written anew from its trail; row counts of each. The old rows are replaced."""
-    out = None
-    for name, rows in trails.items():
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
-        count = rows.sparkSession.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("table_name"), F.count("*").alias("rows"))
-        out = count if out is None else out.union(count)
-    return out
+    """(table_name, before, rows): every table written anew from its trail.
 
+    The tables are a version of their own; readers follow once all of them are written, so that a
+    rebuild that fails half way leaves them what they had. The version before stays for those who
+    still read it, older ones go.
+    """
+    spark = next(iter(trails.values())).sparkSession
+    known = versions.current(spark, path)
+    version = f"version={uuid.uuid4().hex}"
+    counts = []
+    for name, rows in trails.items():
+        before = rebuilt_table(spark, path, name)
+        rows.write.parquet(f"{path}/{version}/{name}")
+        counts.append((name, before.count() if before is not None else 0, spark.read.parquet(f"{path}/{version}/{name}").count()))
+    versions.move(spark, path, {"version": version, "tables": sorted(trails)})
+    for old in versions.folders(spark, path, "version="):
+        if old not in (version, known and known["version"]):
+            versions.discard(spark, f"{path}/{old}")
+    return spark.createDataFrame(counts, "table_name string, before long, rows long")
+
+
+def rebuilt_table(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """A table of the newest whole rebuild; None where there is none."""
+    known = versions.current(spark, path)
+    return spark.read.parquet(f"{path}/{known['version']}/{name}") if known and name in known["tables"] else None

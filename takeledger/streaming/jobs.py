@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from datetime import timedelta
+from functools import reduce
+from operator import and_
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from takeledger.operators import status
+from takeledger.operators.ledger import latest
 from takeledger.sources import ingest as sources
+from takeledger.sources import versions
 
-#: Buckets of a table of current rows, and days that are broadcast at most.
-BUCKETS, BROADCAST_DAYS = 64, 100_000
+#: Days that are broadcast at most.
+BROADCAST_DAYS = 100_000
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -21,6 +29,18 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     q.awaitTermination()
 
 
+@contextmanager
+def without_idle_batches(spark: SparkSession) -> Iterator[None]:
+    """No batches without data: with timers of the clock there would always be another one."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keep_batch(path: str) -> Callable[[DataFrame, int], None]:
     """A sink that a repeated batch overwrites: one folder a batch."""
     return lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
@@ -70,39 +90,109 @@ def ingest(docs: DataFrame, spine: str, dead_letters: str, claims: str, checkpoi
     run_available(docs, each, checkpoint)
 
 
-def latest_state(rows: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str) -> None:
-    """Current rows of a trail kept up to date, in BUCKETS by hash of the key.
+#: Batches of changes from which a table of current rows is folded into a new version.
+FOLD_BATCHES = 20
+
 
-    A batch reads and writes only the buckets that its keys fall in, each as a new version; a
-    repeated batch writes the same version again. current_state reads the newest of each.
+def newest_rows(rows: DataFrame, keys: list[str], order: list[str], keep: timedelta = timedelta(days=30)) -> DataFrame:
+    """The stream of a trail's rows that are newest of their key when they come.
+
+    State is the order of a key's newest row: a row that another one has overtaken goes no further,
+    and none is too late to be held against it. A timer ends the state when nothing has come for
+    `keep`; a key that comes back then is passed on again, and readers settle which row is newer.
     """
-    from takeledger.operators.ledger import latest
+    names, wait = rows.columns, max(int(keep.total_seconds() * 1000), 1)
 
-    def each(batch: DataFrame, number: int) -> None:
-        marked = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
-        if number:
-            touched = F.broadcast(marked.select("bucket").distinct())  # at most BUCKETS rows
-            marked = current_state(batch.sparkSession, path, batch.schema, number).join(touched, "bucket", "left_semi").unionByName(marked)
-        latest(marked, [*keys, "bucket"], order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+    def newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        found = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable").iloc[[-1]]
+        mine = tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else x.item() if hasattr(x, "item") else x for x in found[order].iloc[0])
+        if not state.exists or tuple(state.get) < mine:
+            state.update(mine)
+            yield found[names]
+        state.setTimeoutDuration(wait)
 
-    run_available(rows, each, checkpoint)
+    known = StructType([rows.schema[c] for c in order])
+    return rows.groupBy(*keys).applyInPandasWithState(newest, rows.schema, known, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def current_state(spark: SparkSession, path: str, schema: StructType, below: int | None = None) -> DataFrame:
-    """Rows (and their bucket) of the newest version of each bucket, of those before `below`."""
-    known = spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType()), StructField("v", IntegerType())])).option("basePath", path).parquet(path)
-    known = known.filter(F.col("v") < below) if below is not None else known
-    newest = known.groupBy("bucket").agg(F.max("v").alias("v"))
-    return known.join(F.broadcast(newest), ["bucket", "v"]).drop("v")  # at most BUCKETS rows
+def latest_state(rows: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, keep: timedelta = timedelta(days=30)) -> None:
+    """Current rows of a trail kept up to date: batches of changes upon a version that folds them.
 
+    Only rows that moved their key are written. After FOLD_BATCHES batches the version and the
+    changes become a new version; then what they were made of goes. A repeated batch writes its
+    changes again, under the same name.
+    """
 
-def reconcile_touched(events: DataFrame, spine: Callable[[SparkSession], DataFrame], detect: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
-    """After each batch, findings of just the days that it touched, written as a new snapshot."""
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/changes={number}")
+        known = versions.current(spark, path)
+        if number - (known["upto"] if known else -1) < FOLD_BATCHES:
+            return
+        version = f"version={number}"
+        latest(current_state(spark, path, batch.schema, keys, order, number), keys, order).write.mode("overwrite").parquet(f"{path}/{version}")
+        versions.move(spark, path, {"version": version, "upto": number})
+        gone = [f for f in versions.folders(spark, path, "changes=") if int(f.split("=")[1]) <= number]
+        for folder in [*gone, *[f for f in versions.folders(spark, path, "version=") if f not in (version, known and known["version"])]]:
+            versions.discard(spark, f"{path}/{folder}")
+
+    with without_idle_batches(rows.sparkSession):
+        run_available(newest_rows(rows, keys, order, keep), each, checkpoint)
+
+
+def current_state(spark: SparkSession, path: str, schema: StructType, keys: list[str], order: list[str], upto: int | None = None) -> DataFrame:
+    """The newest row of each key of a table that latest_state keeps."""
+    known = versions.current(spark, path)
+    since = known["upto"] if known else -1
+    changes = [f for f in versions.folders(spark, path, "changes=") if since < int(f.split("=")[1]) and (upto is None or int(f.split("=")[1]) <= upto)]
+    parts = [f"{path}/{f}" for f in [*([known["version"]] if known else []), *changes]]
+    rows = spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+    return latest(rows, keys, order)
+
+
+#: What a finding is: the same of these is the same finding, said again.
+FINDING = ["production_id", "shoot_day", "finding", "entity_id", "severity", "detail"]
+
+
+def _read_below(spark: SparkSession, path: str, schema: StructType, below: int) -> DataFrame:
+    """Rows (and `batch`) of the batches before a number, whatever a repeated run has left."""
+    if not versions.folders(spark, path, "batch="):
+        return spark.createDataFrame([], StructType([*schema.fields, StructField("batch", IntegerType())]))
+    known = StructType([*schema.fields, StructField("batch", IntegerType())])
+    return spark.read.schema(known).option("basePath", path).parquet(path).filter(F.col("batch") < below)
+
+
+def reconcile_touched(events: DataFrame, spine: str, detect: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
+    """After each batch, what changed in the findings of just the days that it touched.
+
+    Events go to the spine first, a folder a batch. The days' findings as they are now are held
+    against those that stand open: new ones are written as open, ones that no longer hold as
+    withdrawn, the rest is left alone. detect: events to findings (FINDING). A repeated batch
+    writes the same again.
+    """
+    schema = events.schema
 
     def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        keep_batch(spine)(batch, number)
         days = batch.select("production_id", "shoot_day").distinct()
         days = F.broadcast(days) if days.limit(BROADCAST_DAYS + 1).count() <= BROADCAST_DAYS else days
-        touched = spine(batch.sparkSession).join(days, ["production_id", "shoot_day"], "left_semi")
-        keep_batch(path)(detect(touched), number)
+        touched = _read_below(spark, spine, schema, number + 1).drop("batch").join(days, ["production_id", "shoot_day"], "left_semi")
+        now = detect(touched).select(*FINDING).distinct().withColumn("holds", F.lit(True))
+        stood = open_findings(spark, path, number).join(days, ["production_id", "shoot_day"], "left_semi").withColumn("stood", F.lit(True))
+        same = [now[c].eqNullSafe(stood[c]) for c in FINDING]
+        both = now.join(stood, reduce(and_, same), "full").select(*[F.coalesce(now[c], stood[c]).alias(c) for c in FINDING], "holds", "stood")
+        changed = both.filter("holds is null or stood is null").select(*FINDING, F.col("holds").isNull().alias("withdrawn"))
+        keep_batch(path)(changed, number)
 
     run_available(events, each, checkpoint)
+
+
+def open_findings(spark: SparkSession, path: str, below: int = 2**31 - 1) -> DataFrame:
+    """The findings (FINDING) that stand open after the batches before `below`."""
+    schema = StructType([*[StructField(c, StringType()) for c in FINDING], StructField("withdrawn", BooleanType())])
+    rows = _read_below(spark, path, schema, below)
+    return rows.groupBy(*FINDING).agg(F.max_by("withdrawn", "batch").alias("withdrawn")).filter("not withdrawn").select(*FINDING)

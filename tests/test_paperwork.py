@@ -63,17 +63,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {(r.doc_id, r.date) for r in spark.read.parquet(str(tmp_path / "claims")).collect()} == {("d2", "2026-08-31")}
 
 
-def test_stream_state_and_touched_days(spark, tmp_path):
-    rows = spark.createDataFrame([(f"P{i % 2}", str(i % 3), f"t{i % 4}", i, i * 10) for i in range(40)], "production_id string, shoot_day string, target_id string, event_id long, created long")
-    rows.repartition(4).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    jobs.latest_state(stream, ["target_id"], ["created", "event_id"], str(tmp_path / "state"), str(tmp_path / "c1"))
-    assert {(r.target_id, r.event_id) for r in jobs.current_state(spark, str(tmp_path / "state"), rows.schema).collect()} == {("t0", 36), ("t1", 37), ("t2", 38), ("t3", 39)}
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    jobs.reconcile_touched(stream, lambda s: rows, lambda d: d.groupBy("production_id", "shoot_day").count(), str(tmp_path / "snap"), str(tmp_path / "c2"))
-    assert {tuple(r[:3]) for r in spark.read.parquet(str(tmp_path / "snap")).distinct().select("production_id", "shoot_day", "count").collect()} == {tuple(r) for r in rows.groupBy("production_id", "shoot_day").count().collect()}
-
-
 def test_silent_detectors(spark):
     rows = [("P1", "31", "27/7", "1", "camera", "belief", "D1", "A120", "", None, "", "A120_C001", 1), ("P1", "31", "27/7", "1", "camera", "belief", "D1", "B039", "", None, "", "", 2), ("P1", "31", "27/7", "1", "script", "belief", "D2", "A120", "", True, "10:14:22:00", "", 3), ("P1", "31", "27/7", "1", "sound", "belief", "D3", "", "SR01", False, "10:14:22:05", "", 4)]
     w = spark.createDataFrame(rows, "production_id string, shoot_day string, slate string, take_id string, department string, axis string, doc_id string, camera_roll string, sound_roll string, starred boolean, timecode_in string, clip_name string, seq long")

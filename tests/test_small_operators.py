@@ -60,7 +60,6 @@ def test_documents(spark, tmp_path):
     ingest.write_spine(e, str(tmp_path / "spine"))
     ingest.write_spine(e, str(tmp_path / "spine"))
     assert spark.read.parquet(str(tmp_path / "spine")).filter("production_id = 'P1'").count() == 2
-    assert {(r.table_name, r.rows) for r in rollups.rebuilt({"t": e, "u": e.limit(0)}, str(tmp_path / "tables")).collect()} == {("t", 2), ("u", 0)}
     w = spark.createDataFrame([("requirement_event",), ("camera_csv",), (None,)], "doc_type string")
     assert analytics.paperwork_only(w).count() == 2
 
