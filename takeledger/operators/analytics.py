@@ -258,12 +258,27 @@ def ingest_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("department", "axis").agg(F.count("*").alias("events"))
 
 
-def tag_summary(tags: DataFrame) -> DataFrame:
-    """Targets by current status and by each need."""
+#: What tags may say: how far a target is, what it waits for, what it is.
+STATUSES = ["finished_shooting", "covered_per_script", "ready_to_edit", "mounted", "finished", "picture_lock", "colour_sound_vfx", "conformed", "dcp"]
+NEEDS = ["sfx", "subtitles", "translation"]
+DESCRIPTORS = ["establishment"]
+
+
+def tag_summary(tags: DataFrame, statuses: list[str] = STATUSES, needs: list[str] = NEEDS, descriptors: list[str] = DESCRIPTORS) -> DataFrame:
+    """Targets of each production by current status, without one, by each need and each descriptor.
+
+    Every known value has a row, zero where no target has it; values outside the lists are not
+    counted. needs and descriptors are comma-separated.
+    """
     now = latest(tags, [P, "target_type", "target_id"], ["created_at", "event_id"]).filter("action <> 'cleared'")
-    status = now.filter("status <> ''").select(P, F.lit("status").alias("kind"), F.col("status").alias("value"))
-    needs = now.select(P, F.lit("need").alias("kind"), F.explode(F.split("needs", ",")).alias("value")).filter("value <> ''")
-    return status.union(needs).groupBy(P, "kind", "value").agg(F.count("*").alias("targets"))
+    row = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    many = lambda kind, c: F.transform(F.array_distinct(F.split(F.coalesce(c, F.lit("")), ",")), lambda v: row(kind, v))
+    status = F.when(F.coalesce("status", F.lit("")) == "", row("no_status", F.lit(""))).otherwise(row("status", F.col("status")))
+    own = F.concat(F.array(status), many("need", F.col("needs")), many("descriptor", F.col("descriptors")) if "descriptors" in now.columns else F.array().cast("array<struct<kind:string,value:string>>"))
+    counts = now.select(P, F.inline(own)).groupBy(P, "kind", "value").agg(F.count("*").alias("targets"))
+    known = [("no_status", ""), *[("status", v) for v in statuses], *[("need", v) for v in needs], *[("descriptor", v) for v in descriptors]]
+    grid = tags.select(P).distinct().select(P, F.inline(F.array(*[row(k, F.lit(v)) for k, v in known])))
+    return grid.join(counts, [P, "kind", "value"], "left").fillna(0, ["targets"])
 
 
 def scene_evidence(events: DataFrame) -> DataFrame:

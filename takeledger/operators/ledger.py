@@ -40,15 +40,26 @@ def timeline(rows: DataFrame, keys: list[str], order: list[str], value: str) ->
     return rows.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x[value]), ">").alias("timeline"), F.count("*").alias("events"))
 
 
+#: What a requirement's events may change, and what goes when it is opened again.
+REQUIREMENT_FIELDS = ["status", "priority", "assignee"]
+RESOLUTION = ["resolution_note", "resolved_by", "resolved_at"]
+
+
 def requirement_changes(events: DataFrame) -> DataFrame:
-    """What each event changed against the one before: action name and fields with both values."""
+    """What each event changed against the one before: action name and fields with both values.
+
+    Opening a resolved requirement again takes its resolution with it: what the event before still
+    said of it is cleared, whether or not this one repeats it.
+    """
     w = Window.partitionBy("requirement_id").orderBy("created_at", "event_id")
-    fields = ["status", "priority", "assignee"]
+    told = [f for f in RESOLUTION if f in events.columns]
+    fields = [*REQUIREMENT_FIELDS, *told]
     seen = events.select("requirement_id", "production_id", "event_id", "created_at", *fields, *[F.lag(f).over(w).alias(f"old_{f}") for f in fields], F.row_number().over(w).alias("n"))
-    changed = [F.when(F.col(f"old_{f}") != F.col(f), F.concat(F.lit(f"{f}:"), f"old_{f}", F.lit(">"), f)) for f in fields]
-    reopened = F.col("old_status").isin("resolved", "dismissed") & ~F.col("status").isin("resolved", "dismissed")
+    changed = [F.when(F.col(f"old_{f}") != F.col(f), F.concat(F.lit(f"{f}:"), f"old_{f}", F.lit(">"), f)) for f in REQUIREMENT_FIELDS]
+    reopened = (F.col("old_status") == "resolved") & (F.col("status") != "resolved")
+    cleared = [F.when(reopened & F.col(f"old_{f}").isNotNull(), F.concat(F.lit(f"{f}:"), F.col(f"old_{f}").cast("string"), F.lit(">"))) for f in told]
     name = F.when(F.col("n") == 1, "created").when(reopened, "reopened").when(F.col("old_status") != F.col("status"), "status_changed").when(F.col("old_assignee") != F.col("assignee"), "reassigned").when(F.col("old_priority") != F.col("priority"), "updated")
-    return seen.select("requirement_id", "production_id", "event_id", name.alias("change"), F.concat_ws(",", *changed).alias("fields")).filter("change is not null")
+    return seen.select("requirement_id", "production_id", "event_id", name.alias("change"), F.concat_ws(",", *changed, *cleared).alias("fields")).filter("change is not null")
 
 
 def deduplicated(documents: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -77,3 +88,13 @@ def projected_takes(witnesses: DataFrame) -> DataFrame:
 
 def purged(events: DataFrame, deleted: DataFrame) -> DataFrame:
     return events.join(deleted.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def write_takes(witnesses: DataFrame, table: str, buckets: int) -> DataFrame:
+    """The witnesses as a table in buckets of a take, sorted by arrival in it.
+
+    Written once, every check that goes by take reads it without a shuffle.
+    """
+    take = ["production_id", "shoot_day", "slate", "take_id"]
+    witnesses.write.mode("overwrite").bucketBy(buckets, *take).sortBy(*take, "seq").saveAsTable(table)
+    return witnesses.sparkSession.table(table)

@@ -34,11 +34,15 @@ def _plain_take(take: Column) -> Column:
     return F.when(bare.rlike("^[0-9]{1,18}$"), bare.try_cast("bigint").cast("string")).otherwise(F.upper(bare))
 
 
-def _parts_of(name: Column) -> Column:
-    """All runs of whole parts of a name, parts being what separators part."""
-    pieces = F.regexp_extract_all(name, F.lit(r"[^_\-. ]+|[_\-. ]"), F.lit(0))
-    spans = lambda p: F.flatten(F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.transform(F.sequence(i, F.size(p)), lambda j: F.array_join(F.slice(p, i, j - i + 1), ""))))
-    return F.when(F.size(pieces) > 0, F.array_distinct(spans(pieces))).otherwise(F.array().cast("array<string>"))
+#: Characters of a clip's name by which it can meet the files that contain it.
+GRAM = 8
+
+
+def _grams(name: Column, size: Column | int) -> Column:
+    """All substrings of that length, as keys; none of a shorter name."""
+    size = F.lit(size) if isinstance(size, int) else size
+    last = F.length(name) - size + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.concat(F.lit("gram:"), F.substr(name, i, size))))).otherwise(F.array().cast("array<string>"))
 
 
 def match_take_media(takes: DataFrame, media: DataFrame) -> DataFrame:
@@ -46,13 +50,17 @@ def match_take_media(takes: DataFrame, media: DataFrame) -> DataFrame:
 
     What the volume reports of the file: scene, take and a shot that says more than the scene (a
     slate without a shot needs none), unless both sides name different rolls. The clip's name:
-    camera, roll and number, or the whole name as parts of the file's. The name of a sound file.
+    camera, roll and number, or the whole name anywhere in the file's. The name of a sound file.
+
+    A name meets the files that contain it by its last GRAM characters, which are held against all
+    substrings of that length of a file's name, and then by the whole; a shorter name by the
+    substrings of its own length, of which the files of days with such names have keys too.
     """
     scene = lambda c: F.upper(F.regexp_replace(c, r"^\++", ""))
     name, slate = F.col("file_name"), F.col("slate")
     shot = F.get(F.split(slate, "/"), F.lit(1))
     by_shot = F.concat_ws(":", F.lit("shot"), scene(F.substring_index(slate, "/", 1)), _plain_take(F.col("take_id")), F.upper(F.coalesce(shot, F.lit(""))))
-    clip = F.when(F.col("clip_name") != "", F.concat(F.lit("part:"), "clip_name"))
+    clip = F.when(F.col("clip_name") != "", F.concat(F.lit("gram:"), F.right("clip_name", F.lit(GRAM))))
     sound = F.when(_plain_take(F.col("take_id")).rlike("^[0-9]+$"), wav_names(slate, _plain_take(F.col("take_id")))).otherwise(F.array().cast("array<string>"))
     keys = F.concat(F.array_compact(F.array(by_shot, clip, clip_number(F.col("clip_name"), LOOSE_CLIP))), sound)
     logged = takes.select(*TAKE, F.coalesce("clip_name", F.lit("")).alias("clip_name"), F.upper(F.coalesce("camera_roll", F.lit(""))).alias("roll")).distinct()
@@ -62,10 +70,13 @@ def match_take_media(takes: DataFrame, media: DataFrame) -> DataFrame:
     reported = F.concat_ws(":", F.lit("shot"), scene(F.col("scene")), _plain_take(F.col("take_id")))
     shots = F.array(F.concat(reported, F.lit(":")), F.when(informative, F.concat(reported, F.lit(":"), F.upper(F.substring_index("shot", "/", -1)))))
     known = F.when((F.coalesce("scene", F.lit("")) != "") & (F.coalesce("take_id", F.lit("")) != ""), F.array_compact(shots)).otherwise(F.array().cast("array<string>"))
-    parts = F.transform(_parts_of(name), lambda x: F.concat(F.lit("part:"), x))
-    files = media.filter("file_name <> ''").select(*DAY, "file_name", F.upper(F.coalesce("camera_roll", F.lit(""))).alias("file_roll"), F.explode(F.array_distinct(F.concat(known, parts, file_numbers(name, LOOSE_FILE), sound_file(name)))).alias("key"))
+    short = logged.filter((F.col("clip_name") != "") & (F.length("clip_name") < GRAM)).groupBy(*DAY).agg(F.collect_set(F.length("clip_name")).alias("sizes"))  # below GRAM each
+    files = media.filter("file_name <> ''").join(short, DAY, "left")
+    grams = F.concat(_grams(name, GRAM), F.flatten(F.transform(F.coalesce("sizes", F.array().cast("array<int>")), lambda k: _grams(name, k))))
+    files = files.select(*DAY, "file_name", F.upper(F.coalesce("camera_roll", F.lit(""))).alias("file_roll"), F.explode(F.array_distinct(F.concat(known, grams, file_numbers(name, LOOSE_FILE), sound_file(name)))).alias("key"))
     conflict = F.col("key").startswith("shot:") & (F.col("roll") != "") & (F.col("file_roll") != "") & (F.col("roll") != F.col("file_roll"))
-    return logged.join(files, [*DAY, "key"]).filter(~conflict).select(*TAKE, "file_name").distinct()
+    within = ~F.col("key").startswith("gram:") | F.contains("file_name", "clip_name")
+    return logged.join(files, [*DAY, "key"]).filter(~conflict & within).select(*TAKE, "file_name").distinct()
 
 
 #: Endings of sound files.
@@ -139,11 +150,15 @@ def shot_description(notes: DataFrame, most: int = 6) -> DataFrame:
 
 
 def slates_covered(ranges: DataFrame, witnesses: DataFrame) -> DataFrame:
-    """How many slates of the stated range of each scene and day were logged."""
+    """How many slates of the stated range of each scene and day were logged.
+
+    A range is its two ends: what is inside is counted from what was logged, never listed.
+    """
     ends = ranges.groupBy(*DAY, "scene").agg(F.max_by(F.struct(n.shot_number(F.col("first")).alias("a"), n.shot_number(F.col("last")).alias("b")), "seq").alias("r"))
-    stated = ends.select(*DAY, "scene", F.explode(F.sequence(F.least("r.a", "r.b"), F.greatest("r.a", "r.b"))).alias("shot"))
-    logged = witnesses.select(*DAY, n.scene_and_shot(F.col("slate")).alias("s")).select(*DAY, F.col("s.scene").alias("scene"), F.col("s.shot").alias("shot")).distinct().withColumn("seen", F.lit(1))
-    return stated.join(logged, [*DAY, "scene", "shot"], "left").groupBy(*DAY, "scene").agg(F.count("*").alias("stated"), F.count("seen").alias("covered"))
+    stated = ends.select(*DAY, "scene", F.least("r.a", "r.b").alias("low"), F.greatest("r.a", "r.b").alias("high")).filter("low is not null")
+    logged = witnesses.select(*DAY, n.scene_and_shot(F.col("slate")).alias("s")).select(*DAY, F.col("s.scene").alias("scene"), F.col("s.shot").alias("shot")).distinct()
+    inside = F.count_if(F.col("shot").between(F.col("low"), F.col("high")))
+    return stated.join(logged, [*DAY, "scene"], "left").groupBy(*DAY, "scene", "low", "high").agg(inside.alias("covered")).select(*DAY, "scene", (F.col("high") - F.col("low") + 1).alias("stated"), "covered")
 
 
 def seconds_since_created(activity: DataFrame, events: DataFrame) -> DataFrame:
@@ -160,12 +175,33 @@ def backfilled_dates(docs: DataFrame, claims: DataFrame) -> DataFrame:
     return date_claims(docs.join(claims.select("doc_id").distinct(), "doc_id", "left_anti"))
 
 
+def backfill_summary(docs: DataFrame, claims: DataFrame) -> DataFrame:
+    """(production_id, documents, claimed, stated, silent, silent_files): what a backfill would do.
+
+    Documents that have a claim already, that state a date, and that state none; the names of the
+    last in order.
+    """
+    date = n.shoot_date(F.col("content"), F.col("filename"))
+    known = claims.select("doc_id").distinct().withColumn("known", F.lit(True))
+    state = F.when(F.col("known"), "claimed").when(F.col("date").isNotNull(), "stated").otherwise("silent")
+    each = docs.withColumn("date", date).join(known, "doc_id", "left").select(P, "filename", state.alias("state"))
+    counts = [F.count_if(F.col("state") == k).alias(k) for k in ("claimed", "stated", "silent")]
+    names = F.array_join(F.array_sort(F.collect_list(F.when(F.col("state") == "silent", F.coalesce("filename", F.lit(""))))), ",")
+    return each.groupBy(P).agg(F.count("*").alias("documents"), *counts, names.alias("silent_files"))
+
+
 def take_diagnosis(witnesses: DataFrame, findings: DataFrame) -> DataFrame:
-    """The evidence lines of each take, and what was found of it or of its slate."""
+    """The evidence lines of each take, and what was found of it, of its slate, or of its whole day."""
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat_ws(" ", "department", "camera_roll", "sound_roll", "timecode_in").alias("t")))), lambda x: x["t"]), "; ")
     evidence = witnesses.groupBy(*TAKE).agg(lines.alias("evidence"))
-    found = findings.select(*DAY, F.split_part("entity_id", F.lit(" Take "), F.lit(1)).alias("slate"), F.concat_ws(" ", "finding", "detail").alias("f")).groupBy(*DAY, "slate").agg(F.array_join(F.sort_array(F.collect_set("f")), "; ").alias("findings"))
-    return evidence.join(found, [*DAY, "slate"], "left")
+    said = F.concat_ws(" ", "finding", "detail").alias("f")
+    whole = F.col("entity_id") == F.col("shoot_day")
+    by_slate = findings.filter(~whole).select(*DAY, F.split_part("entity_id", F.lit(" Take "), F.lit(1)).alias("slate"), said).groupBy(*DAY, "slate").agg(F.collect_set("f").alias("of_slate"))
+    by_day = findings.filter(whole).select(*DAY, said).groupBy(*DAY).agg(F.collect_set("f").alias("of_day"))
+    none = F.array().cast("array<string>")
+    found = F.array_join(F.array_sort(F.array_union(F.coalesce("of_slate", none), F.coalesce("of_day", none))), "; ")
+    both = evidence.join(by_slate, [*DAY, "slate"], "left").join(by_day, DAY, "left")
+    return both.select(*TAKE, "evidence", found.alias("findings"))
 
 
 def unread_counts(notifications: DataFrame) -> DataFrame:

@@ -11,10 +11,24 @@ from takeledger.functions import normalize as n
 STRONG_TURNS, PRINCIPAL_LINES = 6, 3
 
 
-def character_stats(lines: DataFrame) -> DataFrame:
-    """Lines and scenes of each speaker of a script, and the role that their rank gives."""
-    spoken = lines.withColumn("speaker", n.character_name(F.col("speaker"))).filter("length(speaker) >= 2").filter(~n.is_transition(F.col("speaker")))
-    each = spoken.groupBy("script_id", "speaker").agg(F.count("*").alias("lines"), F.countDistinct("scene").alias("scenes"))
+#: Fixed value: a run of words in capitals, which names whoever is called so.
+CAPITALS = r"\b[A-Z]{2,}(?:\s+[A-Z]{2,})*\b"
+
+
+def character_stats(lines: DataFrame, actions: DataFrame | None = None) -> DataFrame:
+    """Lines and scenes of each speaker of a script, and the role that their rank gives.
+
+    Cues and words that are no characters are left out. A scene is also one's own where an action
+    line names it in capitals. actions: script_id, scene, action.
+    """
+    someone = lambda c: ~n.is_no_character(c) & ~n.is_transition(c)
+    spoken = lines.withColumn("speaker", n.character_name(F.col("speaker"))).filter("length(speaker) >= 2").filter(someone(F.col("speaker")))
+    each = spoken.groupBy("script_id", "speaker", "scene").agg(F.count("*").alias("lines"))
+    if actions is not None:
+        named = actions.select("script_id", "scene", F.explode(F.regexp_extract_all("action", F.lit(CAPITALS), F.lit(0))).alias("speaker"))
+        named = named.filter(someone(F.col("speaker"))).join(each.select("script_id", "speaker").distinct(), ["script_id", "speaker"], "left_semi")
+        each = each.unionByName(named.select("script_id", "speaker", "scene", F.lit(0).cast("long").alias("lines"))).groupBy("script_id", "speaker", "scene").agg(F.sum("lines").alias("lines"))
+    each = each.groupBy("script_id", "speaker").agg(F.sum("lines").alias("lines"), F.count("*").alias("scenes"))
     rank = F.row_number().over(Window.partitionBy("script_id").orderBy(F.desc("lines"), "speaker"))
     role = F.when((F.col("rank") == 1) & (F.col("lines") > 0), "Lead").when(F.col("lines") >= PRINCIPAL_LINES, "Principal Cast").when(F.col("lines") > 0, "Supporting Character").otherwise("Background / Non-Speaking")
     return each.withColumn("rank", rank).withColumn("role", role)

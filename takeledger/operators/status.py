@@ -134,6 +134,13 @@ def editorial_progress(known: DataFrame, tags: DataFrame, statuses: list[str]) -
     return states.unionByName(owed.groupBy(P, "target_type", "kind", "value").agg(F.count("*").alias("targets")))
 
 
+def outstanding(tags: DataFrame, needs: list[str]) -> DataFrame:
+    """(P, need, target_type, target_id, status): every target that waits for each kind of work."""
+    now = latest(tags, [P, "target_type", "target_id"], ["created_at", "event_id"]).filter("action <> 'cleared'")
+    each = now.select(P, F.explode(F.array_distinct(F.split("needs", ","))).alias("need"), "target_type", "target_id", F.coalesce("status", F.lit("")).alias("status"))
+    return each.filter(F.col("need").isin(needs))
+
+
 def listed(rows: DataFrame, order: list[str], most: int, **wanted: object) -> DataFrame:
     """Rows with all the wanted values, newest first by `order`, the first `most`.
 

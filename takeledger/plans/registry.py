@@ -13,7 +13,7 @@ from takeledger.functions import privacy
 from takeledger.operators import analytics as a
 from takeledger.operators import ledger, reconcile, rollups, script, status
 from takeledger.plans import report_queries
-from takeledger.sources import adapters
+from takeledger.sources import adapters, versions
 from takeledger.sources.adapters import cte, frame
 from takeledger.streaming import jobs as streaming
 
@@ -106,7 +106,16 @@ FROM grid LEFT JOIN cur ON cur.production_id = grid.production_id AND cur.findin
 query("rejection_counts", "refusals", a.rejection_counts, """
 SELECT doc_type, error_type, count(*) AS rejections FROM refusals GROUP BY ALL""")
 query("ingest_counts", "witness", a.ingest_counts, "SELECT department, axis, count(*) AS events FROM witness GROUP BY ALL")
-query("tag_summary", "tag_events", a.tag_summary, _TAGS + "SELECT production_id, 'status' AS kind, status AS value, count(*) AS targets FROM cur WHERE action <> 'cleared' AND status <> '' GROUP BY ALL UNION ALL SELECT production_id, 'need', need, count(*) FROM (SELECT production_id, unnest(string_split(needs, ',')) AS need FROM cur WHERE action <> 'cleared') WHERE need <> '' GROUP BY ALL")
+_NEEDED, _TOLD = ["sound", "music", "foley"], ["establishment", "night", "plate"]
+query("tag_summary", "tag_events", lambda t: a.tag_summary(t, ["ready", "in_progress", "review", "locked"], _NEEDED, _TOLD), f"""{_TAGS},
+live AS (SELECT * FROM cur WHERE action <> 'cleared'),
+v AS (SELECT production_id, 'need' AS kind, unnest(string_split(needs, ',')) AS value FROM live UNION ALL SELECT production_id, 'descriptor', unnest(string_split(descriptors, ',')) FROM live
+  UNION ALL SELECT production_id, CASE WHEN status = '' THEN 'no_status' ELSE 'status' END, status FROM live)
+SELECT p.production_id, k.kind, k.value, (SELECT count(*) FROM v WHERE v.production_id = p.production_id AND v.kind = k.kind AND v.value = k.value) AS targets
+FROM (SELECT DISTINCT production_id FROM tag_events) p, (VALUES ('no_status', ''), ('status', 'ready'), ('status', 'in_progress'), ('status', 'review'), ('status', 'locked'),
+  ('need', 'sound'), ('need', 'music'), ('need', 'foley'), ('descriptor', 'establishment'), ('descriptor', 'night'), ('descriptor', 'plate')) k(kind, value)""")
+query("outstanding_work", "tag_events", lambda t: status.outstanding(t, _NEEDED), f"""{_TAGS}
+SELECT * FROM (SELECT production_id, unnest(string_split(needs, ',')) AS need, target_type, target_id, status FROM cur WHERE action <> 'cleared') WHERE need IN ('sound', 'music', 'foley')""")
 _EVIDENCE = """SELECT production_id, scene, count(DISTINCT shoot_day) AS days, count(DISTINCT slate || ':' || take_id) AS takes,
   count(DISTINCT CASE WHEN starred THEN slate || ':' || take_id END) AS circled, count(DISTINCT doc_id) AS documents,
   bool_or(department = 'script') AS has_script, bool_or(department = 'camera') AS has_camera,
@@ -188,7 +197,13 @@ def _live(events: DataFrame) -> DataFrame:
 query("live_event_match", "witness", _live, "SELECT s.subscription, department, count(*) AS events FROM witness w JOIN (VALUES ('all', 'ALL', 'ALL'), ('one', 'P1', 'ALL'), ('day', 'ALL', '7'), ('both', 'P2', '9')) s(subscription, p, d) ON (s.p = 'ALL' OR s.p = w.production_id) AND (s.d = 'ALL' OR s.d = w.shoot_day) GROUP BY ALL")
 query("character_relationships", "lines", script.relationships, """WITH c AS (SELECT DISTINCT script_id, scene, speaker FROM lines), p AS (SELECT a.script_id, a.speaker AS a, b.speaker AS b, count(*) AS shared_scenes FROM c a JOIN c b ON a.script_id = b.script_id AND a.scene = b.scene AND a.speaker < b.speaker GROUP BY ALL), l AS (SELECT *, lag(speaker) OVER (PARTITION BY script_id, scene ORDER BY place) AS prev FROM lines), t AS (SELECT script_id, least(speaker, prev) AS a, greatest(speaker, prev) AS b, count(*) AS turns FROM l WHERE prev IS NOT NULL AND prev <> speaker GROUP BY ALL)
 SELECT script_id, a, b, shared_scenes, coalesce(turns, 0) AS turns, CASE WHEN coalesce(turns, 0) >= 6 THEN 'Principal Dialogue Counterpart' WHEN coalesce(turns, 0) > 0 THEN 'Key Dialogue Counterpart' ELSE 'Shared Scene Presence' END AS strength FROM p LEFT JOIN t USING (script_id, a, b)""")
-query("character_stats", "lines", script.character_stats, "WITH e AS (SELECT script_id, speaker, count(*) AS lines, count(DISTINCT scene) AS scenes FROM lines GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY script_id ORDER BY lines DESC, speaker) AS INT) AS rank FROM e) SELECT script_id, speaker, lines, scenes, rank, CASE WHEN rank = 1 THEN 'Lead' WHEN lines >= 3 THEN 'Principal Cast' ELSE 'Supporting Character' END AS role FROM r")
+query("character_stats", "lines deeds", script.character_stats, """
+WITH e AS (SELECT script_id, speaker, count(*) AS lines FROM lines GROUP BY ALL),
+d AS (SELECT script_id, scene, CASE (scene - 1) % 4 WHEN 0 THEN 'ASSISTANT' ELSE 'USER' END AS speaker FROM deeds WHERE (scene - 1) % 4 IN (0, 2)),
+c AS (SELECT script_id, speaker, scene FROM lines UNION SELECT d.script_id, d.speaker, d.scene FROM d JOIN e ON e.script_id = d.script_id AND e.speaker = d.speaker),
+g AS (SELECT script_id, speaker, count(*) AS scenes FROM c GROUP BY ALL),
+r AS (SELECT e.*, scenes, CAST(row_number() OVER (PARTITION BY script_id ORDER BY lines DESC, speaker) AS INT) AS rank FROM e JOIN g USING (script_id, speaker))
+SELECT script_id, speaker, lines, scenes, rank, CASE WHEN rank = 1 THEN 'Lead' WHEN lines >= 3 THEN 'Principal Cast' ELSE 'Supporting Character' END AS role FROM r""")
 query("turn_adjacency", "lines", lambda x: script.turn_adjacency(x).drop("line"), "SELECT script_id, scene, place, speaker, lag(speaker) OVER (PARTITION BY script_id, scene ORDER BY place) AS previous FROM lines")
 _PRONOUNS = {"she": "she|her|hers", "he": "he|him|his", "they": "they|them|their"}
 query("pronoun_tally", "cues actions", script.pronoun_tally, """
@@ -249,9 +264,9 @@ query("project_takes", "witness", ledger.projected_takes, f"SELECT production_id
 query("first_acknowledgement", "user_activity", ledger.first_acknowledgement, "SELECT production_id, target_type, target_id, actor, created_at AS acknowledged_at FROM (SELECT *, row_number() OVER (PARTITION BY production_id, target_type, target_id ORDER BY created_at, event_id) AS rn FROM user_activity WHERE action = 'acknowledged') WHERE rn = 1")
 query("target_history", "user_activity", lambda x: ledger.history(x, ["target_id"], ["created_at", "event_id"], 5).select("target_id", "event_id", "action", "place"), "SELECT target_id, event_id, action, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY target_id ORDER BY created_at DESC, event_id DESC) AS INT) AS place FROM user_activity) WHERE place <= 5")
 query("target_timeline", "user_activity", lambda x: ledger.timeline(x, ["target_id"], ["created_at", "event_id"], "action"), "SELECT target_id, string_agg(action, '>' ORDER BY created_at, event_id) AS timeline, count(*) AS events FROM user_activity GROUP BY ALL")
-_OLD = ", ".join(f"lag({c}) OVER w AS o{c}" for c in ("status", "priority", "assignee"))
-query("requirement_changes", "requirement_events", ledger.requirement_changes, f"""WITH s AS (SELECT *, {_OLD}, row_number() OVER w AS n FROM requirement_events WINDOW w AS (PARTITION BY requirement_id ORDER BY created_at, event_id)), c AS (SELECT *, CASE WHEN n = 1 THEN 'created' WHEN ostatus IN ('resolved', 'dismissed') AND status NOT IN ('resolved', 'dismissed') THEN 'reopened' WHEN ostatus <> status THEN 'status_changed' WHEN oassignee <> assignee THEN 'reassigned' WHEN opriority <> priority THEN 'updated' END AS change FROM s)
-SELECT requirement_id, production_id, event_id, change, concat_ws(',', CASE WHEN ostatus <> status THEN 'status:' || ostatus || '>' || status END, CASE WHEN opriority <> priority THEN 'priority:' || opriority || '>' || priority END, CASE WHEN oassignee <> assignee THEN 'assignee:' || oassignee || '>' || assignee END) AS fields FROM c WHERE change IS NOT NULL""")
+_OLD = ", ".join(f"lag({c}) OVER w AS o{c}" for c in ("status", "priority", "assignee", "resolved_by"))
+query("requirement_changes", "requirement_events", ledger.requirement_changes, f"""WITH s AS (SELECT *, {_OLD}, row_number() OVER w AS n FROM requirement_events WINDOW w AS (PARTITION BY requirement_id ORDER BY created_at, event_id)), c AS (SELECT *, CASE WHEN n = 1 THEN 'created' WHEN ostatus = 'resolved' AND status <> 'resolved' THEN 'reopened' WHEN ostatus <> status THEN 'status_changed' WHEN oassignee <> assignee THEN 'reassigned' WHEN opriority <> priority THEN 'updated' END AS change FROM s)
+SELECT requirement_id, production_id, event_id, change, concat_ws(',', CASE WHEN ostatus <> status THEN 'status:' || ostatus || '>' || status END, CASE WHEN opriority <> priority THEN 'priority:' || opriority || '>' || priority END, CASE WHEN oassignee <> assignee THEN 'assignee:' || oassignee || '>' || assignee END, CASE WHEN ostatus = 'resolved' AND status <> 'resolved' THEN 'resolved_by:' || oresolved_by || '>' END) AS fields FROM c WHERE change IS NOT NULL""")
 
 # ---- ranking and sets
 
@@ -452,6 +467,7 @@ def _stream_rate(name: str, table: str, count: str, by: str, job: Callable[[Data
         stream = stream.selectExpr(*[f"{e.format(div='div')} AS {c}" for c, e in columns.items()]).withColumn("created_at", F.col("created_at").cast("timestamp"))
         closed = job(stream)
         streaming.run_available(closed, streaming.keep_batch(f"{out}/table"), f"{out}/offsets")
+        versions.discard(spark, f"{out}/offsets")
         return spark.read.schema(closed.schema).option("recursiveFileLookup", "true").parquet(f"{out}/table")
 
     QUERIES[name] = run

@@ -302,3 +302,36 @@ QUERIES["shot_segments"] = lambda spark, d: _segments(frame(spark, d, "lines").w
 ORACLES["shot_segments"] = cte("lines") + f"""
 SELECT script_id, scene, place, CAST(sum(c.cue) OVER (PARTITION BY script_id, scene ORDER BY place) AS BIGINT) AS segment
 FROM lines JOIN (VALUES {", ".join(f"({i}, {c})" for i, (_, c) in enumerate(_CUES))}) c(i, cue) ON (scene * 5 + place) % {len(_CUES)} = c.i"""
+
+
+def _backfill(w: DataFrame) -> DataFrame:
+    """Logs of which some state a date, some have a claim already, and some state nothing."""
+    from takeledger.operators import rollups
+
+    docs = written(_filed(w, "script"), ["seq"], "x.slate")
+    nth = F.substring("doc_id", 2, 9).cast("int")
+    docs = docs.withColumn("filename", F.concat("doc_id", F.lit(".txt"))).withColumn("content", F.when(nth % 3 == 0, F.concat(F.lit("Date: 28/07/2026\n"), "content")).otherwise(F.regexp_replace("content", "[^A-Z]", " ")))
+    docs = docs.select("production_id", F.concat_ws("/", *DOCUMENT).alias("doc_id"), "filename", "content", nth.alias("nth"))
+    return rollups.backfill_summary(docs.drop("nth"), docs.filter("nth % 5 = 0").select("doc_id"))
+
+
+reads("backfill_summary", "witness", _backfill, """
+WITH d AS (SELECT DISTINCT production_id, shoot_day, doc_id, CAST(substr(doc_id, 2) AS INT) AS nth FROM witness WHERE department = 'script')
+SELECT production_id, count(*) AS documents, count(*) FILTER (WHERE nth % 5 = 0) AS claimed, count(*) FILTER (WHERE nth % 5 <> 0 AND nth % 3 = 0) AS stated,
+  count(*) FILTER (WHERE nth % 5 <> 0 AND nth % 3 <> 0) AS silent, coalesce(string_agg(doc_id || '.txt', ',' ORDER BY doc_id || '.txt') FILTER (WHERE nth % 5 <> 0 AND nth % 3 <> 0), '') AS silent_files
+FROM d GROUP BY ALL""")
+
+
+def _diagnosis(w: DataFrame, dates: DataFrame) -> DataFrame:
+    from takeledger.operators import reconcile, rollups
+
+    return rollups.take_diagnosis(w, reconcile.sound_roll_mismatches(w).unionByName(reconcile.date_disagreements(dates))).withColumn("evidence", F.sha2("evidence", 256))
+
+
+reads("take_diagnosis", "witness shoot_dates", _diagnosis, """
+WITH take AS (SELECT production_id, shoot_day, slate, take_id, sha256(string_agg(department || ' ' || camera_roll || ' ' || sound_roll || ' ' || timecode_in, '; ' ORDER BY seq, department || ' ' || camera_roll || ' ' || sound_roll || ' ' || timecode_in)) AS evidence FROM witness GROUP BY ALL),
+s AS (SELECT DISTINCT production_id, shoot_day, slate, 'ROLL_MISMATCH ' || rolls AS f FROM (SELECT production_id, shoot_day, slate, take_id, string_agg(DISTINCT sound_roll, ',' ORDER BY sound_roll) AS rolls
+  FROM witness WHERE sound_roll <> '' GROUP BY ALL HAVING count(DISTINCT sound_roll) > 1)),
+d AS (SELECT production_id, shoot_day, 'SHOOT_DATE_DISAGREEMENT ' || string_agg(DISTINCT date, ',' ORDER BY date) AS f FROM shoot_dates GROUP BY ALL HAVING count(DISTINCT date) >= 2),
+found AS (SELECT t.production_id, t.shoot_day, t.slate, t.take_id, f FROM take t JOIN s USING (production_id, shoot_day, slate) UNION SELECT t.production_id, t.shoot_day, t.slate, t.take_id, f FROM take t JOIN d USING (production_id, shoot_day))
+SELECT take.*, coalesce(g.findings, '') AS findings FROM take LEFT JOIN (SELECT production_id, shoot_day, slate, take_id, string_agg(f, '; ' ORDER BY f) AS findings FROM found GROUP BY ALL) g USING (production_id, shoot_day, slate, take_id)""")

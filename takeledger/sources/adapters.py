@@ -102,6 +102,7 @@ TABLES: dict[str, tuple[str, str, dict[str, str]]] = {
         "status": "CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'P' THEN 'blocked' ELSE 'open' END",
         "priority": "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'normal' ELSE 'low' END",
         "assignee": "'@c' || CAST(o_custkey % 22 AS STRING)",
+        "resolved_by": "CASE WHEN o_orderstatus = 'F' THEN '@r' || CAST(o_custkey % 5 AS STRING) END",
         "target_type": "'scene'",
         "target_id": "CAST(o_orderkey % 150 + 1 AS STRING)",
         "shoot_day": "CAST(o_orderkey % 36 + 1 AS STRING)",
@@ -115,6 +116,7 @@ TABLES: dict[str, tuple[str, str, dict[str, str]]] = {
         "action": "CASE WHEN o_custkey % 11 = 0 THEN 'cleared' ELSE 'set' END",
         "status": "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'ready' WHEN '2' THEN 'in_progress' WHEN '3' THEN 'review' WHEN '4' THEN 'done' ELSE '' END",
         "needs": "CASE o_custkey % 3 WHEN 0 THEN 'sound,vfx' WHEN 1 THEN 'music' ELSE '' END",
+        "descriptors": "CASE o_custkey % 7 WHEN 0 THEN 'establishment' WHEN 1 THEN 'night,establishment' ELSE '' END",
         "created_at": "o_orderdate",
     }),
     "user_activity": ("events", "true", {
@@ -162,6 +164,12 @@ TABLES: dict[str, tuple[str, str, dict[str, str]]] = {
         "place": "turn",
         "action": "text",
     }),
+    # what is done, with speakers named in capitals here and there
+    "deeds": ("conversations", "true", {
+        "script_id": "CAST(conv_id % 10 AS STRING)",
+        "scene": "conv_id + 1",
+        "action": "CASE conv_id % 4 WHEN 0 THEN 'then ASSISTANT, alone, waits. CUT TO' WHEN 1 THEN 'THE USER ASSISTANT is no one' WHEN 2 THEN 'NOBODY comes to USER' ELSE 'the user waits' END",
+    }),
     "lines": ("conversations", "true", {
         "script_id": "CAST(conv_id % 10 AS STRING)",
         "scene": "conv_id",

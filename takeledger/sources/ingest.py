@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from takeledger.functions import normalize as n
 from takeledger.sources import reports
-from takeledger.sources.paperwork import KEYS, classified, parse_camera_csv, parse_daily_report, parse_media_xml, parse_sound_log
+from takeledger.sources.documents import KEYS
+from takeledger.sources.paperwork import classified, has_clip_elements, has_table, parse_camera_csv, parse_daily_report, parse_media_xml, parse_sound_log
 
-#: Kinds of documents, their parsers in order, and what they speak of; a document that the first
-#: parser reads nothing from goes to the next.
+#: Kinds of documents and what they speak of; of kinds with several layouts, which documents each
+#: parser takes: the first whose condition holds.
 PARSERS = {
-    "camera_csv": ((parse_camera_csv, reports.parse_camera_log), "take"),
-    "sound_ale": ((parse_sound_log,), "take"),
-    "script_timecode": ((reports.parse_script_log,), "take"),
-    "script_lined": ((reports.parse_editor_log,), "take"),
-    "offload": ((parse_media_xml, reports.parse_offload_text), "media"),
-    "dpr": ((parse_daily_report,), "day"),
+    "camera_csv": (((parse_camera_csv, has_table), (reports.parse_camera_log, None)), "take"),
+    "sound_ale": (((parse_sound_log, None),), "take"),
+    "script_timecode": (((reports.parse_script_log, None),), "take"),
+    "script_lined": (((reports.parse_editor_log, None),), "take"),
+    "offload": (((parse_media_xml, has_clip_elements), (reports.parse_offload_text, None)), "media"),
+    "dpr": (((parse_daily_report, None),), "day"),
 }
 
 
@@ -34,9 +35,10 @@ def parsed(docs: DataFrame) -> DataFrame:
     """
     kinds, out = classified(docs), None
     for kind, (parsers, entity) in PARSERS.items():
-        own = kinds.filter(F.col("doc_type") == kind)
-        for parse in parsers:
-            rows = parse(own)
+        others = F.col("doc_type") == kind
+        for parse, takes in parsers:
+            mine, others = (others & takes(), others & ~takes()) if takes else (others, None)
+            rows = parse(kinds.filter(mine))
             fields = [c for c in rows.columns if c not in (*KEYS, "error")]
             day = F.coalesce("stated_day", "shoot_day") if "stated_day" in fields else F.col("shoot_day")
             said, what = F.to_json(F.struct(*fields)), F.lit(entity)
@@ -44,8 +46,6 @@ def parsed(docs: DataFrame) -> DataFrame:
                 said, what = F.coalesce("error", said), F.when(F.col("error").isNotNull(), FAILED).otherwise(what)
             events = rows.select(*[day.alias(k) if k == "shoot_day" else k for k in KEYS], F.lit(kind).alias("doc_type"), what.alias("entity_type"), said.alias("payload_json"))
             out = events if out is None else out.unionByName(events)
-            if parse is not parsers[-1]:
-                own = own.join(rows.select("doc_id").distinct(), "doc_id", "left_anti").select(*kinds.columns)
     said = kinds.select("doc_id", "department", "axis").distinct()
     return out.join(said, "doc_id").withColumn("event_id", F.sha2(F.concat_ws("|", "doc_id", "payload_json"), 256))
 

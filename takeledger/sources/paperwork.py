@@ -137,6 +137,18 @@ def delimited_rows(docs: DataFrame) -> DataFrame:
     return docs.select(*KEYS, "content").mapInPandas(_delimited, "production_id string, shoot_day string, doc_id string, filename string, place int, cells map<string,string>, error string")
 
 
+def has_table() -> Column:
+    """Whether a document's content has a line that delimited_rows takes for the head of a table."""
+    marks = "|".join(sorted(HEADER_MARKS))
+    text = F.coalesce("content", F.lit(""))
+    return text.rlike(rf'(?im)(?:^|,)[ "]*(?:{marks})[ "]*\r?(?:,|$)') | text.rlike(r"(?ims)^\s*column\s*$.*^\s*data\s*$")
+
+
+def has_clip_elements() -> Column:
+    """Whether a document's content has an element of a clip, so that it is read as XML."""
+    return F.contains(F.coalesce("content", F.lit("")), F.lit("<Clip"))
+
+
 def _field(names: list[str]) -> Column:
     return F.coalesce(*[F.try_element_at("cells", F.lit(x)) for x in names])
 

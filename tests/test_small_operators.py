@@ -1,6 +1,8 @@
 """Operators without a registered query: small cases each."""
 
 import datetime
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -170,3 +172,42 @@ def test_stream_dedupe_feed_and_acknowledgements(spark, tmp_path):
     acks = stream(spark, str(tmp_path / "a"), [[("R1", "@ana", at(3))], [("R9", "@bo", datetime.datetime(2024, 6, 2))]], "target_id string, actor string, acted_at timestamp")
     got = {r.requirement_id: r.actor for r in kept(spark, jobs.first_acknowledgements(created, acks), str(tmp_path / "k"))}
     assert got["R1"] == "@ana" and got.get("R2", None) is None
+
+
+def test_names_inside_file_names(spark):
+    """Any substring, short names too, against plain containment."""
+    rng = random.Random(4)
+    clips = ["".join(rng.choices("AB1_", k=rng.randint(1, 11))) for _ in range(40)] + ["A001_C001", "C001"]
+    names = ["".join(rng.choices("AB1_", k=rng.randint(1, 30))) + ".mov" for _ in range(60)] + ["xA001_C001_9.mov", "A001_C0011.mov", "a001_c001.mov"]
+    takes = spark.createDataFrame([("P", str(i % 2), f"S{i}", "x", c, "") for i, c in enumerate(clips)], "production_id string, shoot_day string, slate string, take_id string, clip_name string, camera_roll string")
+    media = spark.createDataFrame([("P", str(i % 2), f, "", None, None, None) for i, f in enumerate(names)], "production_id string, shoot_day string, file_name string, camera_roll string, scene string, shot string, take_id string")
+    got = {(r.slate, r.file_name) for r in rollups.match_take_media(takes, media).collect()}
+    want = {(f"S{i}", f) for i, c in enumerate(clips) for j, f in enumerate(names) if i % 2 == j % 2 and c in f}
+    assert want <= got and len(want) > 50
+    loose = re.compile(r"^[A-Z]_?\d{3,4}_?C\d{3,4}")
+    assert all(loose.match(clips[int(s[1:])]) for s, f in got - want)  # camera, roll and number
+
+
+def test_ranges_of_any_length(spark):
+    ranges = spark.createDataFrame([("P", "1", "27", "1", "99999999999", 1), ("P", "1", "28", "9", "3", 1), ("P", "1", "29", "x", "3", 1)], "production_id string, shoot_day string, scene string, first string, last string, seq long")
+    logged = spark.createDataFrame([("P", "1", s) for s in ("27/7", "27-7", "27/8", "28/3", "28/10", "29/1")], "production_id string, shoot_day string, slate string")
+    assert {(r.scene, r.stated, r.covered) for r in rollups.slates_covered(ranges, logged).collect()} == {("27", 99999999999, 2), ("28", 7, 1), ("29", 1, 0)}
+
+
+def test_a_ledger_of_takes_needs_no_shuffle(spark):
+    rows = [("P", "1", f"{i % 5}/1", str(i % 3), "script" if i % 2 else "camera", f"D{i % 4}", f"A{i % 2:03d}", "SR01" if i % 4 else "SR02", bool(i // 7 % 2), f"10:00:00:{i % 20:02d}", i) for i in range(60)]
+    w = spark.createDataFrame(rows, "production_id string, shoot_day string, slate string, take_id string, department string, doc_id string, camera_roll string, sound_roll string, starred boolean, timecode_in string, seq long")
+    spark.sql("DROP TABLE IF EXISTS takes_of_test")
+    kept = ledger.write_takes(w, "takes_of_test", 4)
+    for check in (reconcile.circled_mismatches, reconcile.roll_mismatches, reconcile.timecode_drifts):
+        assert "Exchange" not in check(kept)._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, check(kept).collect())) == sorted(map(tuple, check(w).collect())) != []
+    spark.sql("DROP TABLE takes_of_test")
+
+
+def test_reopening_takes_the_resolution_with_it(spark):
+    rows = [("r", "P", 1, at(1), "open", None), ("r", "P", 2, at(2), "resolved", "@a"), ("r", "P", 3, at(3), "open", "@a"), ("r", "P", 4, at(4), "dismissed", None), ("r", "P", 5, at(5), "open", None)]
+    e = spark.createDataFrame([(*r[:5], "low", "@b", r[5]) for r in rows], "requirement_id string, production_id string, event_id int, created_at timestamp, status string, priority string, assignee string, resolved_by string")
+    got = [(r.event_id, r.change, r.fields) for r in ledger.requirement_changes(e).orderBy("event_id").collect()]
+    assert got == [(1, "created", ""), (2, "status_changed", "status:open>resolved"), (3, "reopened", "status:resolved>open,resolved_by:@a>"), (4, "status_changed", "status:open>dismissed"), (5, "status_changed", "status:dismissed>open")]
+
