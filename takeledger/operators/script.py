@@ -50,6 +50,8 @@ def relationships(lines: DataFrame) -> DataFrame:
 
 #: Fixed value: what a passage has to weigh. Weights are compared to six places.
 LEAST_WEIGHT, PLACES = 1.0, 6
+#: Terms that a scene is asked for, beside those that brought it, before it is read whole.
+PROBES = 12
 
 
 def _best_windows(pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
@@ -77,8 +79,9 @@ def located(lines: DataFrame, terms: DataFrame) -> DataFrame:
 
     A scene weighs no more than its terms together, and a term no more than in the scene where it
     weighs most. So a first scene, that of the query's rarest term, sets a weight to reach; the
-    commonest terms that can't reach it together bring no scene of their own; and of the scenes
-    that the rarer ones bring, those stay whose bound reaches it. Only these are read whole.
+    commonest terms that can't reach it together bring no scene of their own; and the scenes that
+    the rarer ones bring are asked for PROBES more terms: those stay whose bound still reaches it,
+    and only these are read whole.
     """
     words = lines.select("script_id", "scene", "place", F.explode(F.array_distinct(n.anchor_terms(F.col("line")))).alias("term"))
     postings = words.groupBy("script_id", "scene", "term").agg(F.collect_set("place").alias("places")).withColumn("w", 1 / F.size("places"))
@@ -93,9 +96,17 @@ def located(lines: DataFrame, terms: DataFrame) -> DataFrame:
     commoner = Window.partitionBy("query", "script_id").orderBy(F.desc("scenes"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
     ruled = asked.join(reach, ["query", "script_id"]).withColumn("essential", F.sum("most").over(commoner) >= F.col("reach") - slack)
     rest = F.sum(F.when(~F.col("essential"), F.col("most")).otherwise(0.0)).over(Window.partitionBy("query", "script_id"))
-    rare = ruled.withColumn("rest", rest).filter("essential").select("query", "script_id", "term", "reach", "rest")
+    rarity = Window.partitionBy("query", "script_id").orderBy("essential", F.desc("scenes"), F.desc("term")).rowsBetween(0, Window.unboundedFollowing)
+    # among the others, from the rarest: how many are as rare or rarer
+    ruled = ruled.withColumn("rest", rest).withColumn("nth", F.sum(F.when(~F.col("essential"), 1).otherwise(0)).over(rarity))
+    rare = ruled.filter("essential").select("query", "script_id", "term", "reach", "rest")
+    probes = ruled.filter(~F.col("essential") & (F.col("nth") <= PROBES)).select("query", "script_id", "term", "most")
     met = rare.join(postings.select("script_id", "scene", "term", "w"), ["script_id", "term"]).groupBy("query", "script_id", "scene").agg(F.sum("w").alias("w"), F.first("rest").alias("rest"), F.first("reach").alias("reach"))
-    scenes = met.filter(F.col("w") + F.col("rest") >= F.col("reach") - slack).select("query", "script_id", "scene").join(first, ["query", "script_id", "scene"], "left_anti")
+    met = met.filter(F.col("w") + F.col("rest") >= F.col("reach") - slack).join(first, ["query", "script_id", "scene"], "left_anti")
+    tried = met.join(probes, ["query", "script_id"]).join(postings.select("script_id", "scene", "term", F.col("w").alias("hit")), ["script_id", "scene", "term"], "left")
+    lost = tried.groupBy("query", "script_id", "scene").agg(F.sum(F.col("most") - F.coalesce("hit", F.lit(0.0))).alias("lost"))
+    kept = met.join(lost, ["query", "script_id", "scene"], "left").filter(F.col("w") + F.col("rest") - F.coalesce("lost", F.lit(0.0)) >= F.col("reach") - slack)
+    scenes = kept.select("query", "script_id", "scene")
     best = seeds.unionByName(_best_windows(scenes, asked, postings)).groupBy("query", "script_id").agg(F.min("best").alias("best"))
     return best.select("query", "script_id", "best.scene", "best.size", "best.start", (-F.col("best.loss")).alias("weight"))
 
