@@ -335,3 +335,18 @@ s AS (SELECT DISTINCT production_id, shoot_day, slate, 'ROLL_MISMATCH ' || rolls
 d AS (SELECT production_id, shoot_day, 'SHOOT_DATE_DISAGREEMENT ' || string_agg(DISTINCT date, ',' ORDER BY date) AS f FROM shoot_dates GROUP BY ALL HAVING count(DISTINCT date) >= 2),
 found AS (SELECT t.production_id, t.shoot_day, t.slate, t.take_id, f FROM take t JOIN s USING (production_id, shoot_day, slate) UNION SELECT t.production_id, t.shoot_day, t.slate, t.take_id, f FROM take t JOIN d USING (production_id, shoot_day))
 SELECT take.*, coalesce(g.findings, '') AS findings FROM take LEFT JOIN (SELECT production_id, shoot_day, slate, take_id, string_agg(f, '; ' ORDER BY f) AS findings FROM found GROUP BY ALL) g USING (production_id, shoot_day, slate, take_id)""")
+
+_HEADS = [("Title: The Play\\nAuthor: Ann\\n", "The Play", "Ann", 0), ("# **NIGHT**\\nDraft: 3\\nby Bo Li\\n", "NIGHT", "Bo Li", 0), ("", "file.txt", None, 0), ("Written by: Cy\\nStory by Di\\nLate title\\nTITLE: Last\\n", "Last", "Cy", 0), ("Date: now\\n", "file.txt", None, 1)]
+
+
+def _heads(lines: DataFrame) -> DataFrame:
+    said = lines.select(F.lit("P").alias("production_id"), F.lit("1").alias("shoot_day"), F.col("script_id").alias("doc_id"), "scene", "place", "speaker")
+    docs = written(said, ["scene", "place"], "concat(CASE WHEN before IS NULL OR before.scene <> x.scene THEN concat('INT. ROOM - DAY', chr(10), chr(10)) ELSE '' END, CASE WHEN x.scene % 2 = 0 THEN x.speaker ELSE 'he' END, chr(10), 'speaks', chr(10))", name="file.txt")
+    head = F.element_at(F.lit([h[0].replace("\\n", "\n") for h in _HEADS]), (F.col("doc_id").cast("int") % len(_HEADS) + 1).cast("int"))
+    read = paperwork.screenplay_heads(docs.withColumn("content", F.concat(head, "content")))
+    return read.select("doc_id", "title", "author", "headings", F.size(F.filter("warnings", lambda x: x.contains("title"))).alias("untitled"), F.size(F.filter("warnings", lambda x: x.contains("cues"))).alias("without_cues"))
+
+
+reads("screenplay_heads", "lines", _heads, f"""
+SELECT script_id AS doc_id, h.title, h.author, CAST(count(DISTINCT scene) AS INT) AS headings, max(h.untitled) AS untitled, CASE WHEN bool_or(scene % 2 = 0) THEN 0 ELSE 1 END AS without_cues
+FROM lines JOIN (VALUES {", ".join(f"({i}, '{t}', {f"'{a}'" if a else 'CAST(NULL AS VARCHAR)'}, {u})" for i, (_, t, a, u) in enumerate(_HEADS))}) h(i, title, author, untitled) ON CAST(script_id AS INT) % {len(_HEADS)} = h.i GROUP BY ALL""")

@@ -239,6 +239,51 @@ def screenplay_id(text: Column) -> Column:
 HEADING = r"^\s*(?:(\d+[A-Z]?)[.\s]+)?(INT\./EXT\.|INT/EXT|I/E|INT|EXT)[.\s]+(.+?)(?:\s+-\s+([^-]+?))?\s*$"
 
 
+def _is_cue(line: Column, above: Column, ahead: Column) -> Column:
+    """A line in capitals that names a speaker: below a blank line, above one that isn't."""
+    text = F.trim(line)
+    capitals = (text == F.upper(text)) & text.rlike(r"^[A-Z][A-Z .'\-]+(?:\s*\([^)]*\))?$")
+    return ~line.rlike(HEADING) & capitals & F.coalesce(F.trim(above) == "", F.lit(True)) & (F.trim(ahead) != "") & ~n.is_transition(line)
+
+
+#: What a title block may say besides its title, and what a reader is warned of.
+TITLED, AUTHORED = r"(?i)^title:\s*(.*)$", r"(?i)^(?:authors?|written by|credit):\s*(.*)$"
+CREDITED, OTHER_KEYS = r"(?i)^(?:written by|screenplay by|story by|by )\s*(.*)$", r"(?i)^(?:draft|date|contact|copyright|source|notes|revision):"
+WARNINGS = {
+    "headings": "No INT./EXT. scene headings found; the whole file was treated as a single scene.",
+    "title": "Could not identify a title in the text; used the file name instead.",
+    "cues": "No character cues were detected. Character names should sit on their own line in capitals, above their dialogue.",
+    "scenes": "No scenes could be extracted from this file.",
+}
+
+
+def screenplay_heads(docs: DataFrame) -> DataFrame:
+    """(KEYS, script_id, title, author, headings, warnings): what each screenplay says of itself.
+
+    The title block is what stands before the first heading, or the first paragraph where there is
+    none. A labelled title or author counts before a plain one: the first line that says nothing
+    else, a credit. Without a title the file's name stands for it.
+    """
+    lines = F.split(F.regexp_replace(F.coalesce("content", F.lit("")), r"^\s+|\s+$", ""), r"\r?\n")
+    first = lambda x, test: F.array_position(F.transform(x, test), True)
+    rows = docs.select(*KEYS, "content", lines.alias("lines")).select("*", first("lines", lambda x: x.rlike(HEADING)).alias("head"), first("lines", lambda x: F.trim(x) == "").alias("blank"))
+    block = F.slice("lines", F.lit(1), F.greatest(F.when(F.col("head") > 0, F.col("head")).otherwise(F.col("blank")) - 1, F.lit(0)).cast("int"))
+    said = F.filter(F.transform(block, lambda x: F.regexp_replace(x, r"^[#*_>\s]+|[*_\s]+$", "")), lambda x: x != "")
+    rows = rows.withColumn("said", said)
+    credit = F.get(F.filter(F.transform(F.filter("said", lambda x: x.rlike(CREDITED) & ~x.rlike(AUTHORED)), lambda x: F.trim(F.regexp_extract(x, CREDITED, 1))), lambda x: x != ""), F.lit(0))
+    plain = F.get(F.filter("said", lambda x: ~x.rlike(TITLED) & ~x.rlike(AUTHORED) & ~x.rlike(CREDITED) & ~x.rlike(OTHER_KEYS)), F.lit(0))
+    labelled = lambda p: F.try_element_at(F.filter(F.transform(F.filter("said", lambda x: x.rlike(p)), lambda x: F.trim(F.regexp_extract(x, p, 1))), lambda x: x != ""), F.lit(-1))
+    title, author = F.coalesce(labelled(TITLED), plain), F.coalesce(labelled(AUTHORED), credit)
+    after = F.transform("lines", lambda x, i: (i >= F.size(block)) & _is_cue(x, F.get("lines", i - 1), F.coalesce(F.get("lines", i + 1), F.lit(""))))
+    body = F.exists("lines", lambda x: F.trim(x) != "")
+    warned = [
+        F.when(F.col("head") == 0, WARNINGS["headings"]), F.when(F.col("title").isNull() & (F.size(block) > 0), WARNINGS["title"]),
+        F.when(~F.exists(after, lambda x: x), WARNINGS["cues"]), F.when(~body, WARNINGS["scenes"]),
+    ]
+    rows = rows.select("*", title.alias("title"), author.alias("author"))
+    return rows.select(*KEYS, screenplay_id(F.coalesce("content", F.lit(""))).alias("script_id"), F.coalesce("title", "filename").alias("title"), "author", F.size(F.filter("lines", lambda x: x.rlike(HEADING))).alias("headings"), F.array_compact(F.array(*warned)).alias("warnings"))
+
+
 def parse_screenplay(docs: DataFrame) -> DataFrame:
     """Lines of dialogue and action with their scene: number, place, time of day, speaker.
 
@@ -247,9 +292,7 @@ def parse_screenplay(docs: DataFrame) -> DataFrame:
     """
     text = F.trim("line")
     rows = lines_of(docs, near=1).withColumn("heading", F.col("line").rlike(HEADING))
-    blank_before = F.coalesce(F.trim("above") == "", F.lit(True))
-    cue = ~F.col("heading") & (text == F.upper(text)) & text.rlike(r"^[A-Z][A-Z .'\-]+(?:\s*\([^)]*\))?$") & blank_before & (F.col("ahead") != "") & ~n.is_transition(F.col("line"))
-    rows = rows.withColumn("cue", cue).select("*", (F.col("heading") | (text == "") | F.col("cue")).alias("part"), F.when(F.col("cue"), n.character_name(F.col("line"))).alias("speaker"), F.when(F.col("heading"), F.col("line")).alias("head"))
+    rows = rows.withColumn("cue", _is_cue(F.col("line"), F.col("above"), F.col("ahead"))).select("*", (F.col("heading") | (text == "") | F.col("cue")).alias("part"), F.when(F.col("cue"), n.character_name(F.col("line"))).alias("speaker"), F.when(F.col("heading"), F.col("line")).alias("head"))
 
     def fold(t: Lines) -> None:
         t["scene_index"], t["block"] = t.count(t["heading"]), t.count(t["part"])

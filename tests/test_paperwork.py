@@ -46,6 +46,15 @@ def test_daily_report_and_screenplay(spark):
     assert (got[0].location, got[0].time_of_day, got[-1].setting) == ("SERVER ROOM", "NIGHT", "EXT")
 
 
+def test_screenplay_heads(spark):
+    got = p.screenplay_heads(docs(spark, SCRIPT, "A PLAIN TITLE\nby Ann\n\nno scene here\n", "", None, "title:\nPlain\nAuthor: A\nAuthor: B\n\nINT. X - DAY\n\nBO\nHi.\n", "INT. X - DAY\nhe waits\n")).orderBy("doc_id").collect()
+    w = p.WARNINGS
+    assert [(r.title, r.author, r.headings, r.warnings) for r in got] == [
+        ("X", None, 2, []), ("A PLAIN TITLE", "Ann", 0, [w["headings"], w["cues"]]), ("f2", None, 0, [w["headings"], w["cues"], w["scenes"]]),
+        ("f3", None, 0, [w["headings"], w["cues"], w["scenes"]]), ("Plain", "B", 1, []), ("f5", None, 1, [w["cues"]]),
+    ]
+
+
 def test_classify_route_infer(spark):
     df = spark.createDataFrame([("x_SD031_CAM_A.csv", ""), ("mix.ALE", ""), ("a.txt", "Timecode log"), ("v_D07_offload.xml", ""), ("DPR#12.pdf", ""), ("q.bin", "day : day 9")], "filename string, content string")
     got = [(r.department, r.topic, r.day) for r in p.routed(df).withColumn("day", p.inferred_day(F.col("filename"), F.col("content"))).collect()]
