@@ -190,6 +190,10 @@ def context_terms(near: DataFrame) -> DataFrame:
     return terms.filter(whole).select("entity", F.lower("w.value").alias("term"), "context")
 
 
+#: Terms of an entity up to which its texts are asked for each of them.
+WIDE = 64
+
+
 def _few(df: DataFrame) -> DataFrame:
     """df, broadcast if it has at most BROADCAST_TERMS rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
@@ -216,7 +220,13 @@ def disclosing_terms(spanned: DataFrame) -> DataFrame:
     entities = near.select("row", "entity").join(_few(met.select("entity").distinct()), "entity", "left_semi").distinct()
     df_e = entities.groupBy("entity").agg(F.count("*").alias("df_e"))
     held = holding.select("row", F.explode("words").alias("term")).join(wanted, "term", "left_semi")
-    both = entities.join(_few(met), "entity").join(held, ["row", "term"]).groupBy("entity", "term").agg(F.count("*").alias("both"))
+    # an entity with few terms asks each of its texts for these; one with many, which may be in a
+    # third of all texts, is met with the terms that each text has, and pairs are counted first
+    wide = settled(met.groupBy("entity").agg(F.count("*").alias("terms")).filter(F.col("terms") > WIDE).select("entity"), "wide")
+    few_wide = _few(wide)
+    narrow = entities.join(_few(met.join(few_wide, "entity", "left_anti")), "entity").join(held, ["row", "term"]).groupBy("entity", "term").agg(F.count("*").alias("both"))
+    broad = entities.join(few_wide, "entity", "left_semi").join(held, "row").groupBy("entity", "term").agg(F.count("*").alias("both"))
+    both = narrow.unionByName(broad.join(met.join(few_wide, "entity", "left_semi"), ["entity", "term"], "left_semi"))
     scored = both.join(df_t, "term").join(df_e, "entity")
     information = F.log(F.lit(float(max(n, 2))) / F.col("df_e"))
     mutual = F.log(F.lit(float(max(n, 2))) * F.col("both") / (F.col("df_e") * F.col("df_t")))

@@ -87,7 +87,7 @@ def test_disclosing_terms_are_masked_wherever_they_stand(spark, monkeypatch):
     assert not any(re.search(r"(?i)\bzanzibar\b", r.text) for r in pii.sanitised(df).collect())
 
 
-def test_terms_equal_brute_force(spark):
+def test_terms_equal_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     words = [f"w{k}" for k in range(60)] + ["élan", "İx", "名前字"]
     people = [f"p{k}@mail.example.org" for k in range(6)] + ["10.0.0.7", "+1 (456) 555-2186"]
@@ -128,8 +128,24 @@ def test_terms_equal_brute_force(spark):
                 want[w] = max(share, want.get(w, 0))
     assert len(want) >= 6
     spanned = df.select("text").withColumn("spans", pii.base_spans(F.col("text")))
-    got = {r.term: r.disclosure for r in pii.disclosing_terms(spanned).collect()}
-    assert got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+    for wide in (pii.WIDE, 0, 8):  # entities by the terms they have, by the terms of their texts, both
+        monkeypatch.setattr(pii, "WIDE", wide)
+        got = {r.term: r.disclosure for r in pii.disclosing_terms(spanned).collect()}
+        assert got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+
+
+def test_one_address_in_all_texts(spark):
+    """Costs about what an address of each two texts costs: no text is asked for all its terms."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(4000)]
+    texts = [" ".join(rng.choices(words, k=20)) for _ in range(6000)]
+    took = []
+    for who in (lambda i: i // 2, lambda i: 0, lambda i: i // 2, lambda i: 0):
+        df = spark.createDataFrame([(f"{t} mail u{who(i)}@x.example.org",) for i, t in enumerate(texts)], "text string").repartition(4)
+        began = time.monotonic()
+        pii.disclosing_terms(df.withColumn("spans", pii.base_spans(F.col("text")))).count()
+        took.append(time.monotonic() - began)
+    assert took[3] < 3 * took[2] + 5
 
 
 def test_many_spans_in_one_text(spark):
