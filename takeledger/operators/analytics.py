@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from takeledger.functions import normalize as n
 from takeledger.operators.ledger import first_value, latest, latest_value
+from takeledger.operators.quantiles import with_quantiles
 
 P = "production_id"
 DAY = [P, "shoot_day"]
@@ -21,6 +22,17 @@ def joined_set(c, when=None):
     return F.array_join(F.sort_array(F.collect_set(value if when is None else F.when(when, value))), ",")
 
 
+def spread(rows: DataFrame, *arrays: str) -> DataFrame:
+    """One row for each place of a row's arrays, side by side; `once` holds on one of them.
+
+    Sets over them combine before a shuffle and are as wide as what they hold, however many arrays.
+    """
+    others = [c for c in rows.columns if c not in arrays]
+    whole = rows.withColumns({c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in arrays})
+    laid = whole.select(*others, F.posexplode_outer(F.arrays_zip(*arrays)).alias("place", "x"))
+    return laid.select(*others, *[F.col(f"x.{c}").alias(c) for c in arrays], (F.coalesce("place", F.lit(0)) == 0).alias("once"))
+
+
 def production_shape(events: DataFrame) -> DataFrame:
     return events.groupBy(P, "axis", "department").agg(F.count("*").alias("events"), F.countDistinct("shoot_day").alias("days"))
 
@@ -45,8 +57,7 @@ def scene_coverage(events: DataFrame) -> DataFrame:
     """Days, slates, takes and departments of each scene, counted over what differs already."""
     takes = events.filter("slate <> ''").withColumn("scene", n.scene_of_slate(F.col("slate"))).filter(F.col("scene").rlike("^[0-9]"))
     each = takes.groupBy(P, "scene", "slate").agg(F.collect_set("shoot_day").alias("days"), F.collect_set("department").alias("departments"), F.count("*").alias("takes"))
-    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    found = each.groupBy(P, "scene").agg(union("days").alias("d"), F.count("*").alias("slates"), F.sum("takes").alias("takes"), union("departments").alias("by"))
+    found = spread(each, "days", "departments").groupBy(P, "scene").agg(F.collect_set("days").alias("d"), F.count_if("once").alias("slates"), F.sum(F.when(F.col("once"), F.col("takes"))).alias("takes"), F.collect_set("departments").alias("by"))
     return found.select(P, "scene", F.size("d").cast("long").alias("days"), F.array_join(F.sort_array("d"), ",").alias("shoot_days"), "slates", "takes", F.array_join(F.sort_array("by"), ",").alias("departments"))
 
 
@@ -94,7 +105,8 @@ def sync_matrix(events: DataFrame, dates: DataFrame, wraps: DataFrame, hours: fl
 def time_to_acknowledge(activity: DataFrame, by: list[str], positive: bool = False) -> DataFrame:
     acts = activity.filter("action = 'acknowledged' and lag is not null" + (" and lag > 0" if positive else ""))
     minutes = F.col("lag") / 60
-    return acts.groupBy(P, *by).agg(F.count("*").alias("acknowledged"), F.round(F.avg(minutes), 3).alias("avg_minutes"), F.round(F.percentile(minutes, F.lit(0.5)), 3).alias("median_minutes"), F.round(F.max(minutes), 3).alias("max_minutes"))
+    totals = acts.groupBy(P, *by).agg(F.count("*").alias("acknowledged"), F.round(F.avg(minutes), 3).alias("avg_minutes"), F.round(F.max(minutes), 3).alias("max_minutes"))
+    return with_quantiles(totals, acts, [P, *by], minutes, {"median_minutes": 0.5}).withColumn("median_minutes", F.round("median_minutes", 3))
 
 
 def latest_requirements(events: DataFrame) -> DataFrame:
@@ -149,7 +161,9 @@ def first_touch_lag(events: DataFrame, activity: DataFrame) -> DataFrame:
 
 def first_touch_percentiles(events: DataFrame, activity: DataFrame) -> DataFrame:
     lag = first_touch_lag(events, activity)
-    return lag.groupBy(P, "actor").agg(F.count("*").alias("requirements"), F.count("touched").alias("touched"), F.round(F.percentile("minutes", F.lit(0.5)), 2).alias("median_minutes"), F.round(F.percentile("minutes", F.lit(0.9)), 2).alias("p90_minutes"))
+    shares = {"median_minutes": 0.5, "p90_minutes": 0.9}
+    totals = lag.groupBy(P, "actor").agg(F.count("*").alias("requirements"), F.count("touched").alias("touched"))
+    return with_quantiles(totals, lag, [P, "actor"], F.col("minutes"), shares).withColumns({c: F.round(c, 2) for c in shares})
 
 
 def requirements_by_day_and_role(events: DataFrame, crew: DataFrame) -> DataFrame:
@@ -284,14 +298,13 @@ def tag_summary(tags: DataFrame, statuses: list[str] = STATUSES, needs: list[str
 def scene_evidence(events: DataFrame) -> DataFrame:
     """What there is of each scene: days, takes, circled takes, documents, and who filed what.
 
-    Combined by take first, so that nothing is expanded to be counted.
+    Different values are counted as such, spread over the tasks: no row holds a scene's takes.
     """
     has = {"script": F.col("department") == "script", "camera": F.col("department") == "camera", "sound": F.col("department") == "sound", "existence": F.col("axis") == "existence", "vfx": n.is_vfx(F.col("raw_take")), "wild": F.upper("slate").rlike("(^|[/_ -])WT$")}
     flags = [F.bool_or(F.coalesce(c, F.lit(False))).alias(f"has_{k}") for k, c in has.items()]
     each = events.groupBy(P, "scene", "slate", "take_id", "shoot_day", "doc_id").agg(F.bool_or(F.coalesce("starred", F.lit(False))).alias("starred"), *flags)
-    each = each.groupBy(P, "scene", "slate", "take_id").agg(F.collect_set("shoot_day").alias("days"), F.collect_set("doc_id").alias("docs"), *[F.bool_or(c).alias(c) for c in ("starred", *[f"has_{k}" for k in has])])
-    count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
-    return each.groupBy(P, "scene").agg(count("days").alias("days"), F.count("*").alias("takes"), F.count_if(F.col("starred")).alias("circled"), count("docs").alias("documents"), *[F.bool_or(f"has_{k}").alias(f"has_{k}") for k in has])
+    take = F.struct("slate", "take_id")
+    return each.groupBy(P, "scene").agg(F.count_distinct("shoot_day").alias("days"), F.count_distinct(take).alias("takes"), F.count_distinct(F.when(F.col("starred"), take)).alias("circled"), F.count_distinct("doc_id").alias("documents"), *[F.bool_or(f"has_{k}").alias(f"has_{k}") for k in has])
 
 
 def media_offloaded(media: DataFrame) -> DataFrame:

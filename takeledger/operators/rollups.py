@@ -119,11 +119,11 @@ def sequence_rollup(witnesses: DataFrame) -> DataFrame:
         F.bool_or(F.coalesce("starred", F.lit(False))).alias("starred"), F.bool_or(n.is_vfx(F.col("raw_take"))).alias("vfx"), F.bool_or(n.is_pickup(F.col("raw_take"))).alias("pickup"),
         F.collect_set(card).alias("cards"), F.collect_set("shoot_day").alias("days"), F.collect_set("doc_id").alias("docs"),
     )
-    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    rows = each.groupBy(P, "scene").agg(
-        F.count("*").alias("takes"), F.count_if(F.col("starred")).alias("circled"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("starred"), F.col("take")))), ",").alias("circled_takes"),
-        F.bool_or("vfx").alias("vfx"), F.bool_or("pickup").alias("pickup"), F.array_join(F.array_sort(union("cards")), ",").alias("cards"),
-        F.array_join(in_shooting_order(union("days")), ",").alias("days"), F.array_join(F.array_sort(union("docs")), ",").alias("documents"),
+    starred = F.col("once") & F.col("starred")
+    rows = a.spread(each, "cards", "days", "docs").groupBy(P, "scene").agg(
+        F.count_if("once").alias("takes"), F.count_if(starred).alias("circled"), F.array_join(F.array_sort(F.collect_list(F.when(starred, F.col("take")))), ",").alias("circled_takes"),
+        F.bool_or("vfx").alias("vfx"), F.bool_or("pickup").alias("pickup"), F.array_join(F.array_sort(F.collect_set("cards")), ",").alias("cards"),
+        F.array_join(in_shooting_order(F.collect_set("days")), ",").alias("days"), F.array_join(F.array_sort(F.collect_set("docs")), ",").alias("documents"),
     )
     notes = said.filter("department = 'script' and note <> ''").groupBy(P, "scene", "note").agg(F.count("*").alias("times"), F.min("seq").alias("seq"))
     place = lambda *by: F.row_number().over(Window.partitionBy(P, "scene").orderBy(*by))

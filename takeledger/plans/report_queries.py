@@ -183,6 +183,20 @@ WITH s AS (SELECT DISTINCT production_id, shoot_day, coalesce(state, office_stat
 SELECT production_id, shoot_day, {", ".join(_LISTED.format(k) for k in _OFFICE)}, CAST(count(*) AS INT) AS set_ups, '18:55' AS wrap, 8 AS last_shot FROM s GROUP BY ALL""")
 
 
+def _timed_report(scenes: DataFrame) -> DataFrame:
+    """One row a timed scene of daily reports that also state pages and slates with and without an end."""
+    rows = scenes.select("production_id", "shoot_day", "scene").distinct()
+    head = "Total Paginas: 3 2/8\nSlates: 27/7, 49/1 - 9, none\nIndividual Scene Timings\nScene Read Shoot Diff\n"
+    read = paperwork.parse_daily_report(written(rows, ["scene"], "concat(x.scene, ' 1:10 1:', x.scene, ' +0:10')", head, "DPR.txt", ["production_id", "shoot_day"]))
+    slates = F.array_join(F.transform("slate_ranges", lambda r: F.concat(r["scene"], F.lit("/"), r["first"].cast("string"), F.lit("-"), r["last"].cast("string"))), ",")
+    return read.select("production_id", "shoot_day", "pages", slates.alias("slates"), F.inline("scene_timings"))
+
+
+reads("daily_report_timings", "scene_events", _timed_report, """
+WITH s AS (SELECT DISTINCT production_id, shoot_day, scene FROM scene_events)
+SELECT production_id, shoot_day, '3 2/8' AS pages, '27/7-7,49/1-9' AS slates, scene, '1:10' AS read, '1:' || scene AS shoot, '+0:10' AS difference FROM s""")
+
+
 def _screenplay(lines: DataFrame) -> DataFrame:
     """A conversation as a scene of its script: cues, some with a parenthetical, and one line each."""
     said = lines.select(F.lit("P").alias("production_id"), F.lit("1").alias("shoot_day"), F.col("script_id").alias("doc_id"), "scene", "place", "speaker", F.concat(F.lit("says "), F.trim(F.regexp_replace(F.coalesce("line", F.lit("")), r"\s+", " "))).alias("line"))

@@ -212,24 +212,50 @@ def parse_thumbnail_report(docs: DataFrame) -> DataFrame:
 # ---- script and office
 
 def _labelled(text: Column, label: str) -> Column:
-    """What follows a label, up to the next label or the line's end; null where it is absent."""
+    """What follows a label, up to the next label or the line's end; null where it is absent.
+
+    Labels may hold letters with accents, which count as letters here.
+    """
     labels = [*SCENE_LABELS.values(), *TIME_LABELS.values(), *OTHER_LABELS]
     stop = "|".join(labels)
-    pattern = rf"(?i){label}\s*:(.*?)(?=(?:{stop})\s*:|\n|$)"
-    return F.when(text.rlike(rf"(?i){label}\s*:"), F.trim(F.regexp_extract(text, pattern, 1)))
+    pattern = rf"(?iU){label}\s*:(.*?)(?=(?:{stop})\s*:|\n|$)"
+    return F.when(text.rlike(rf"(?iU){label}\s*:"), F.trim(F.regexp_extract(text, pattern, 1)))
+
+
+#: The head of the table of scene timings, its rows, and a scene's range of slates.
+TIMINGS, TIMED = r"(?i)individual\s+scene\s+timings", r"^(\d+[A-Za-z]*)\s+(\S+)\s+(\S+)\s+(\S+)"
+RANGE = r"^(\d+[A-Za-z]*)\s*/\s*(\w+)\s*(?:[-–—\x{FFFD}]\s*(\w+))?$"
+
+
+def scene_timing_rows() -> Column:
+    """A document's table of scene timings: array of (scene, read, shoot, difference), in its order."""
+    lines = F.transform(F.split(F.coalesce("content", F.lit("")), r"\r?\n"), lambda x: F.trim(x))
+    head = F.array_position(F.transform(lines, lambda x: x.rlike(TIMINGS)), True)
+    below = F.filter(lines, lambda x, i: (head > 0) & (i >= head) & x.rlike(TIMED))
+    return F.transform(below, lambda x: F.struct(*[F.regexp_extract(x, TIMED, i).alias(c) for i, c in enumerate(("scene", "read", "shoot", "difference"), 1)]))
 
 
 def parse_daily_report(docs: DataFrame) -> DataFrame:
-    """A day as the office states it: scene lists, times, set-ups, cards, slate ranges."""
+    """A day as the office states it: scene lists, times, set-ups, pages, cards, slate ranges, timings.
+
+    A range without an end is one slate. A document without a scene list, a time or a range is no
+    daily report and gives no row.
+    """
     text = F.col("content")
+    parts = lambda label: F.transform(F.split(_labelled(text, label), "[,;]"), lambda x: F.trim(x))
     scene = lambda raw: F.struct(F.regexp_extract(raw, r"^(\d+)", 1).alias("scene"), raw.alias("raw"))
-    lists = {k: F.transform(F.filter(F.transform(F.split(_labelled(text, v), "[,;]"), lambda x: F.trim(x)), lambda x: x.rlike(r"^\d+[A-Za-z]*$")), scene) for k, v in SCENE_LABELS.items()}
+    lists = {k: F.transform(F.filter(parts(v), lambda x: x.rlike(r"^\d+[A-Za-z]*$")), scene) for k, v in SCENE_LABELS.items()}
     times = F.map_filter(F.create_map(*[x for k, p in TIME_LABELS.items() for x in (F.lit(k), F.nullif(F.regexp_extract(F.coalesce(_labelled(text, p), F.lit("")), r"(\d{1,2}:\d{2})", 1), F.lit("")))]), lambda k, v: v.isNotNull())
-    span = r"(\d+[A-Z]?)/(\d+)\s*[-–—]\s*(\d+)"
-    ranges = F.transform(F.regexp_extract_all(F.coalesce(_labelled(text, "Slates"), F.lit("")), F.lit(span), F.lit(0)), lambda r: F.struct(F.regexp_extract(r, span, 1).alias("scene"), F.regexp_extract(r, span, 2).try_cast("int").alias("first"), F.regexp_extract(r, span, 3).try_cast("int").alias("last")))
+    end = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, RANGE, 3), F.lit("")), F.regexp_extract(x, RANGE, 2)).try_cast("int")
+    span = lambda x: F.struct(F.regexp_extract(x, RANGE, 1).alias("scene"), F.regexp_extract(x, RANGE, 2).try_cast("int").alias("first"), end(x).alias("last"))
+    ranges = F.transform(F.filter(F.coalesce(parts("Slates"), F.array().cast("array<string>")), lambda x: x.rlike(RANGE)), span)
     stated = F.filter(F.array(*[F.when(_labelled(text, v).isNotNull(), F.lit(k)) for k, v in SCENE_LABELS.items()]), lambda x: x.isNotNull())
-    out = docs.select(*KEYS, *[c.alias(k) for k, c in lists.items()], times.alias("times"), F.regexp_extract(F.coalesce(_labelled(text, r"Set-?Ups"), F.lit("")), r"(\d+)", 1).try_cast("int").alias("set_ups"), _labelled(text, r"Camera\s+Cards").alias("camera_cards"), _labelled(text, r"Sound\s+Cards").alias("sound_cards"), ranges.alias("slate_ranges"), stated.alias("fields_present"))
-    return out.filter((F.size("fields_present") > 0) | (F.size("times") > 0))
+    out = docs.select(
+        *KEYS, *[c.alias(k) for k, c in lists.items()], times.alias("times"), F.regexp_extract(F.coalesce(_labelled(text, r"Set-?Ups"), F.lit("")), r"(\d+)", 1).try_cast("int").alias("set_ups"),
+        F.nullif(_labelled(text, r"Total\s+P\w*ginas"), F.lit("")).alias("pages"), _labelled(text, r"Camera\s+Cards").alias("camera_cards"), _labelled(text, r"Sound\s+Cards").alias("sound_cards"),
+        ranges.alias("slate_ranges"), scene_timing_rows().alias("scene_timings"), stated.alias("fields_present"),
+    )
+    return out.filter((F.size("fields_present") > 0) | (F.size("times") > 0) | (F.size("slate_ranges") > 0))
 
 
 def screenplay_id(text: Column) -> Column:

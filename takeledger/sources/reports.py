@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from takeledger.functions import normalize as n
 from takeledger.functions.privacy import is_contact
 from takeledger.sources.documents import KEYS, Lines, folded, kept, lines_of
-from takeledger.sources.paperwork import parse_thumbnail_report, thumbnail_blocks
+from takeledger.sources.paperwork import parse_thumbnail_report, scene_timing_rows, thumbnail_blocks
 
 #: A slate of a script log (compound scenes, wild tracks), a take label, timecodes.
 SLATE = r"(?:\d+[A-Z]{0,2}(?:[+-]\d+[A-Z]{0,2})*/(?:\d+[A-Z]?|WT)|\d+WT)"
@@ -384,17 +384,6 @@ def parse_offload_text(docs: DataFrame) -> DataFrame:
     return out
 
 
-#: Fixed value: the head of the table of read against shot times.
-TIMINGS = r"(?i)individual\s+scene\s+timings"
-
-
 def scene_timings(docs: DataFrame) -> DataFrame:
-    """(KEYS, scene, read, shoot, difference) of the table of scene timings of a daily report."""
-    row = r"^(\d+[A-Za-z]*)\s+(\S+)\s+(\S+)\s+(\S+)"
-    rows = lines_of(docs).withColumn("line", F.trim("line")).withColumn("head", F.col("line").rlike(TIMINGS))
-
-    def fold(t: Lines) -> None:
-        t["begun"] = t.count(t["head"]) > 0
-
-    rows = folded(rows, "begun boolean", fold).filter(kept(F.col("begun") & F.col("line").rlike(row)))
-    return rows.select(*KEYS, "place", *[F.regexp_extract("line", row, i).alias(c) for i, c in enumerate(("scene", "read", "shoot", "difference"), 1)], "error")
+    """(KEYS, place, scene, read, shoot, difference) of the table of scene timings of a daily report."""
+    return docs.select(*KEYS, F.posexplode(scene_timing_rows()).alias("place", "t")).select(*KEYS, "place", "t.*")

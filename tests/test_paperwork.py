@@ -46,6 +46,16 @@ def test_daily_report_and_screenplay(spark):
     assert (got[0].location, got[0].time_of_day, got[-1].setting) == ("SERVER ROOM", "NIGHT", "EXT")
 
 
+def test_daily_report_pages_single_slates_and_timings(spark):
+    text = "Total Páginas: 3 2/8  Camera Cards: A1\nSlates: 27/7, 49A/1\ufffd9; x, 5\nNo table yet\n12 a b c\nINDIVIDUAL SCENE TIMINGS\nScene Read Shoot Diff\n27 1:10 1:20 +0:10\n\nnote\n49A 1 2 3 4\n"
+    got = p.parse_daily_report(docs(spark, text, None, "", "Slates: none\n")).collect()
+    assert len(got) == 1 and got[0].pages == "3 2/8" and got[0].camera_cards == "A1" and got[0].times == {}
+    assert [tuple(x) for x in got[0].slate_ranges] == [("27", 7, 7), ("49A", 1, 9)]
+    accents = p.parse_daily_report(docs(spark, "Citación General: 07:00  Primer motor mañana: 8:15\n")).collect()
+    assert accents[0].times == {"general_call": "07:00", "first_shot_morning": "8:15"}
+    assert [tuple(x) for x in got[0].scene_timings] == [("27", "1:10", "1:20", "+0:10"), ("49A", "1", "2", "3")]
+
+
 def test_screenplay_heads(spark):
     got = p.screenplay_heads(docs(spark, SCRIPT, "A PLAIN TITLE\nby Ann\n\nno scene here\n", "", None, "title:\nPlain\nAuthor: A\nAuthor: B\n\nINT. X - DAY\n\nBO\nHi.\n", "INT. X - DAY\nhe waits\n")).orderBy("doc_id").collect()
     w = p.WARNINGS
