@@ -41,28 +41,27 @@ def circled_mismatches(witnesses: DataFrame) -> DataFrame:
 def roll_mismatches(witnesses: DataFrame, camera: bool = True, sound: bool = True) -> DataFrame:
     """One camera of a take on several rolls, and sound on several cards, in one pass by take.
 
-    A sound roll and a recorder's folder may name the same card, which is no finding.
+    A sound roll and a recorder's folder may name the same card, which is no finding. Claims are made
+    distinct before rolls are gathered, so that a take's sets hold rolls and not witnesses; sound is
+    the claim without a camera.
     """
-    roll = F.col("camera_roll")
-    sets = {
-        "cameras": F.collect_set(F.when(roll != "", F.struct(camera_of(roll).alias("camera"), roll.alias("roll")))),
-        "sounds": F.collect_set(F.when(F.col("sound_roll") != "", F.col("sound_roll"))),
-    }
-    wanted = [k for k, asked in (("cameras", camera), ("sounds", sound)) if asked]
-    takes = witnesses.groupBy(*TAKE).agg(*[sets[k].alias(k) for k in wanted]).filter(" or ".join(f"size({k}) > 1" for k in wanted))
-    row = lambda severity, detail: F.struct(F.lit("ROLL_MISMATCH").alias("finding"), F.lit(severity).alias("severity"), detail.alias("detail"))
-    found = []
+    roll, card = F.col("camera_roll"), F.col("sound_roll")
+    claims = []
     if camera:
-        of = lambda c: F.transform(F.filter("cameras", lambda r: r["camera"] == c), lambda r: r["roll"])
-        several = F.filter(F.array_distinct(F.transform("cameras", lambda r: r["camera"])), lambda c: F.size(of(c)) > 1)
-        found.append(F.transform(several, lambda c: row("CRITICAL", F.concat(c, F.lit(":"), F.array_join(F.array_sort(of(c)), ",")))))
+        claims.append(F.struct(camera_of(roll).alias("camera"), roll.alias("roll")))
     if sound:
-        plain = F.exists("sounds", lambda r: r.startswith("SR") | r.rlike(r"^\d+$"))
-        folder = F.exists("sounds", lambda r: r.contains("Y") & r.contains("M"))
-        apart = (F.size("sounds") > 1) & ~(plain & folder)
-        none = F.array().cast("array<struct<finding:string,severity:string,detail:string>>")
-        found.append(F.when(apart, F.array(row("WARNING", F.array_join(F.array_sort("sounds"), ",")))).otherwise(none))
-    return takes.select(*DAY, take_entity().alias("entity_id"), F.inline(F.concat(*found)))
+        claims.append(F.struct(F.lit("").alias("camera"), card.alias("roll")))
+    said = witnesses.select(*TAKE, F.inline(F.array(*claims))).filter("roll <> ''").distinct()
+    several = said.groupBy(*TAKE, "camera").agg(F.sort_array(F.collect_set("roll")).alias("rolls")).filter("size(rolls) > 1")
+    is_sound = F.col("camera") == ""
+    plain = F.exists("rolls", lambda r: r.startswith("SR") | r.rlike(r"^\d+$"))
+    folder = F.exists("rolls", lambda r: r.contains("Y") & r.contains("M"))
+    listed = F.array_join("rolls", ",")
+    return several.filter(~(is_sound & plain & folder)).select(
+        *DAY, take_entity().alias("entity_id"), F.lit("ROLL_MISMATCH").alias("finding"),
+        F.when(is_sound, "WARNING").otherwise("CRITICAL").alias("severity"),
+        F.when(is_sound, listed).otherwise(F.concat("camera", F.lit(":"), listed)).alias("detail"),
+    )
 
 
 def camera_roll_mismatches(witnesses: DataFrame) -> DataFrame:
@@ -173,7 +172,9 @@ def awaiting_offload(witnesses: DataFrame, media: DataFrame) -> DataFrame:
 
 def scene_findings(scenes: DataFrame, witnesses: DataFrame) -> DataFrame:
     """Office's plan and belief against what the other departments filed on the day."""
-    material = witnesses.select(*DAY, n.scene_of_slate(F.regexp_replace("slate", "-", "/"), F.col("scene")).alias("scene")).distinct()
+    # a day's slates are few beside its witnesses: scenes are read from what is distinct already
+    filed = witnesses.select(*DAY, "slate", "scene").distinct()
+    material = filed.select(*DAY, n.scene_of_slate(F.regexp_replace("slate", "-", "/"), F.col("scene")).alias("scene")).distinct()
     claims = scenes.filter("office_state is not null").select(*DAY, "scene", "office_state").distinct()
     done = claims.filter("office_state in ('complete', 'part_complete')").select(*DAY, "scene").distinct()
     done = done.join(material.select(*DAY).distinct(), DAY, "left_semi").join(material, [*DAY, "scene"], "left_anti")
@@ -192,7 +193,8 @@ def slates_outside_range(witnesses: DataFrame, ranges: DataFrame) -> DataFrame:
     """Slates whose shot lies outside what the report states for the scene; the last range counts."""
     ends = ranges.groupBy(*DAY, "scene").agg(F.max_by(F.struct(n.shot_number(F.col("first")).alias("a"), n.shot_number(F.col("last")).alias("b")), "seq").alias("r"))
     ends = ends.select(*DAY, "scene", F.least("r.a", "r.b").alias("low"), F.greatest("r.a", "r.b").alias("high")).filter("low is not null and high is not null")
-    slates = witnesses.select(*DAY, "slate", n.scene_and_shot(F.col("slate")).alias("s")).distinct().select(*DAY, "slate", F.col("s.scene").alias("scene"), F.col("s.shot").alias("shot")).filter("shot is not null")
+    slates = witnesses.select(*DAY, "slate").distinct().withColumn("s", n.scene_and_shot(F.col("slate")))
+    slates = slates.select(*DAY, "slate", F.col("s.scene").alias("scene"), F.col("s.shot").alias("shot")).filter("shot is not null")
     out = slates.join(ends, [*DAY, "scene"]).filter("shot < low or shot > high")
     return finding(out, F.col("slate"), "SLATE_OUTSIDE_STATED_RANGE", "WARNING", F.concat_ws("-", "low", "high"))
 

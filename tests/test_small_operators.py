@@ -211,3 +211,19 @@ def test_reopening_takes_the_resolution_with_it(spark):
     got = [(r.event_id, r.change, r.fields) for r in ledger.requirement_changes(e).orderBy("event_id").collect()]
     assert got == [(1, "created", ""), (2, "status_changed", "status:open>resolved"), (3, "reopened", "status:resolved>open,resolved_by:@a>"), (4, "status_changed", "status:open>dismissed"), (5, "status_changed", "status:dismissed>open")]
 
+
+
+def test_rolls_of_a_take_are_compared_by_camera_and_sound_apart(spark):
+    rows = [
+        ("P", "1", "5/1", "1", "A001", "SR01"), ("P", "1", "5/1", "1", "A002", "25Y07M12"), ("P", "1", "5/1", "1", "B001", None),
+        ("P", "1", "5/1", "1", "A001", "SR01"), ("P", "1", "5/1", "2", "a003", "SR01"), ("P", "1", "5/1", "2", "A004", "SR02"),
+        ("P", "1", "5/1", "3", "7", ""), ("P", "1", "5/1", "3", "8", None), ("P", "1", "5/1", "4", None, None), ("P", "1", "5/1", "4", "", ""),
+    ]
+    w = spark.createDataFrame(rows, "production_id string, shoot_day string, slate string, take_id string, camera_roll string, sound_roll string")
+    said = lambda df: sorted((r.entity_id, r.severity, r.detail) for r in df.collect())
+    camera = [("5/1 Take 1", "CRITICAL", "A:A001,A002"), ("5/1 Take 2", "CRITICAL", "A:A004,a003"), ("5/1 Take 3", "CRITICAL", "A:7,8")]
+    sound = [("5/1 Take 2", "WARNING", "SR01,SR02")]
+    assert said(reconcile.camera_roll_mismatches(w)) == camera
+    assert said(reconcile.sound_roll_mismatches(w)) == sound
+    assert said(reconcile.roll_mismatches(w)) == sorted(camera + sound)
+    assert said(reconcile.roll_mismatches(w.limit(0))) == []
