@@ -46,8 +46,9 @@ def roll_disagreements(events: DataFrame) -> DataFrame:
     takes = events.filter(F.col("entity_type") == "take").select(*DAY, "department", F.json_tuple("payload_json", "slate", "take_id", "camera_roll").alias("slate", "take_id", "camera_roll"))
     key = [*DAY, "slate", "take_id", "camera"]
     said = takes.filter("camera_roll <> ''").withColumn("camera", F.substring("camera_roll", 1, 1)).select(*key, "camera_roll", "department").distinct()
-    # distinct claims combine before their shuffle; a take's sets hold rolls and departments, not rows
-    found = said.groupBy(*key).agg(F.collect_set("camera_roll").alias("r"), F.collect_set("department").alias("d"))
+    # distinct claims combine by hash before they are gathered (as lists: under sets Catalyst drops the distinct)
+    whole = lambda c: F.array_distinct(F.collect_list(c))
+    found = said.groupBy(*key).agg(whole("camera_roll").alias("r"), whole("department").alias("d"))
     found = found.filter((F.size("r") > 1) & (F.size("d") > 1))
     return found.select(*DAY, "slate", "take_id", "camera", F.array_join(F.sort_array("r"), ",").alias("rolls"), F.array_join(F.sort_array("d"), ",").alias("witnesses"))
 

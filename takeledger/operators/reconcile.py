@@ -42,8 +42,8 @@ def roll_mismatches(witnesses: DataFrame, camera: bool = True, sound: bool = Tru
     """One camera of a take on several rolls, and sound on several cards, in one pass by take.
 
     A sound roll and a recorder's folder may name the same card, which is no finding. Claims are made
-    distinct before rolls are gathered, so that a take's sets hold rolls and not witnesses; sound is
-    the claim without a camera.
+    distinct by hash before rolls are gathered (as lists: under sets Catalyst drops the distinct), so
+    that a take's lists hold rolls and not witnesses; sound is the claim without a camera.
     """
     roll, card = F.col("camera_roll"), F.col("sound_roll")
     claims = []
@@ -52,7 +52,7 @@ def roll_mismatches(witnesses: DataFrame, camera: bool = True, sound: bool = Tru
     if sound:
         claims.append(F.struct(F.lit("").alias("camera"), card.alias("roll")))
     said = witnesses.select(*TAKE, F.inline(F.array(*claims))).filter("roll <> ''").distinct()
-    several = said.groupBy(*TAKE, "camera").agg(F.sort_array(F.collect_set("roll")).alias("rolls")).filter("size(rolls) > 1")
+    several = said.groupBy(*TAKE, "camera").agg(F.sort_array(F.collect_list("roll")).alias("rolls")).filter("size(rolls) > 1")
     is_sound = F.col("camera") == ""
     plain = F.exists("rolls", lambda r: r.startswith("SR") | r.rlike(r"^\d+$"))
     folder = F.exists("rolls", lambda r: r.contains("Y") & r.contains("M"))
