@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from takeledger.functions import normalize as n
 from takeledger.sources import versions
@@ -51,24 +56,106 @@ def relationships(lines: DataFrame) -> DataFrame:
 
 #: Fixed value: what a passage has to weigh. Weights are compared to six places.
 LEAST_WEIGHT, PLACES = 1.0, 6
-#: Terms that a scene is asked for, beside those that brought it, before it is read whole.
-PROBES = 12
+#: Words of scenes, and terms of queries, that a task holds at a time.
+BLOCK_WORDS, BLOCK_TERMS = 1 << 20, 1 << 19
+#: Blocks of queries that a script has if they hold LEAST_TERMS, so that small scripts spread too.
+LEAST_BLOCKS, LEAST_TERMS = 8, 1 << 14
+#: Scenes of a query that are read first, by what they can weigh at most.
+READ_FIRST = 8
 
 
-def _best_windows(pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query, script_id, best): the best window of each asked scene that weighs enough."""
-    hits = pairs.join(asked.select("query", "script_id", "term"), ["query", "script_id"]).join(postings.select("script_id", "scene", "term", "places", "w"), ["script_id", "scene", "term"])
-    held = hits.groupBy("query", "script_id", "scene").agg(F.collect_list(F.struct("places", "w")).alias("hits"), F.round(F.sum("w"), PLACES).alias("most")).filter(F.col("most") >= LEAST_WEIGHT)
+class _Scenes:
+    """The words of whole scenes by term, and the windows of one to three lines of each scene.
 
-    def within(start: Column, size: int) -> Column:
-        inside = lambda h: F.exists(h["places"], lambda p: p.between(start, start + size - 1))
-        return F.round(F.aggregate(F.filter("hits", inside), F.lit(0.0), lambda a, h: a + h["w"]), PLACES)
+    words: scene, place, terms (a line's). codes: a number for each of the terms, in order.
+    """
 
-    places = F.array_distinct(F.flatten(F.transform("hits", lambda h: h["places"])))
-    window = lambda size: lambda start: F.struct((-within(start, size)).alias("loss"), F.lit(size).alias("size"), F.col("scene").alias("scene"), start.alias("start"))
-    starts = lambda size: F.filter(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p - size + 1, p)))), lambda x: x >= 0)
-    each = F.concat(*[F.transform(starts(size), window(size)) for size in (1, 2, 3)])
-    return held.withColumn("places", places).select("query", "script_id", F.array_min(each).alias("best")).filter(F.col("best.loss") <= -LEAST_WEIGHT)
+    def __init__(self, words: pa.Table, codes: np.ndarray, terms: int):
+        scene = words["scene"].combine_chunks().dictionary_encode()
+        order = pc.array_sort_indices(scene.dictionary).to_numpy()
+        self.names = scene.dictionary.take(pa.array(order))
+        of_line, place = np.argsort(order)[scene.indices.to_numpy()], words["place"].to_numpy().astype(np.int64)
+        # windows begin up to two lines above a line; by scene and start they have a number
+        s, p = np.tile(of_line, 3), np.concatenate([place - back for back in range(3)])
+        by = np.lexsort((p, s))
+        new = np.append(True, (np.diff(s[by]) != 0) | (np.diff(p[by]) != 0))
+        windows = np.empty(len(s), np.int64)
+        windows[by] = np.cumsum(new) - 1
+        self.starts, of_start = p[by][new], s[by][new]
+        self.bounds = np.searchsorted(of_start, np.arange(len(order) + 1))
+        # a term at a place counts once, whoever said it
+        line = np.repeat(np.arange(len(place)), pc.list_value_length(words["terms"]).to_numpy())
+        s, p = of_line[line], place[line]
+        by = np.lexsort((p, s, codes))
+        t, s, p = codes[by], s[by], p[by]
+        changes = np.append(True, (np.diff(t) != 0) | (np.diff(s) != 0))
+        once = changes | np.append(True, np.diff(p) != 0)
+        t, s, p, changes, line = t[once], s[once], p[once], changes[once], line[by][once]
+        lines = np.diff(np.append(np.nonzero(changes)[0], len(t)))
+        self.scene, self.weight = s, np.repeat(1.0 / lines, lines)
+        self.once = np.where(changes, self.weight, 0.0)
+        # how far below the term is said again in the scene: a window counts its last place only
+        self.gap = np.append(np.where(changes[1:], 3, np.minimum(np.diff(p), 3)), 3)
+        self.windows = windows.reshape(3, -1)[:, line]
+        self.spans = np.searchsorted(t, np.arange(terms + 1))
+
+    def _read(self, at: np.ndarray, chosen: np.ndarray) -> tuple[float, int, int] | None:
+        """(loss, size, window): the best window of the chosen scenes, shorter and earlier ones first."""
+        at, found = at[chosen[self.scene[at]]], None
+        scenes = np.nonzero(chosen)[0]
+        low, sizes = self.bounds[scenes], np.diff(self.bounds)[scenes]
+        shift = np.zeros(len(chosen), np.int64)
+        shift[scenes] = low - (np.cumsum(sizes) - sizes)
+        windows, weight, gap = self.windows[:, at] - shift[self.scene[at]], self.weight[at], self.gap[at]
+        number = np.repeat(shift[scenes], sizes) + np.arange(sizes.sum())
+        for size in (1, 2, 3):
+            said = sum(np.bincount(windows[back], np.where(gap > size - 1 - back, weight, 0.0), len(number)) for back in range(size))
+            said = np.where(self.starts[number] >= 0, np.floor(said * 10**PLACES + 0.5) / 10**PLACES, 0.0)
+            best = int(np.argmax(said))
+            if said[best] >= LEAST_WEIGHT and (found is None or -said[best] < found[0]):
+                found = (-float(said[best]), size, int(number[best]))
+        return found
+
+    def best(self, terms: np.ndarray) -> tuple[float, int, int] | None:
+        """The best window for the terms: a scene weighs no more than its terms together, so those
+        are read that can weigh most, and then all that still reach what these do."""
+        low = self.spans[terms]
+        lengths = self.spans[terms + 1] - low
+        at = np.repeat(low - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        most = np.bincount(self.scene[at], self.once[at], len(self.names))
+        # half a unit of the last place for each of the sums that were rounded, and for their order
+        slack = 10.0**-PLACES
+        first = most >= LEAST_WEIGHT - slack
+        if not first.any():
+            return None
+        if first.sum() > READ_FIRST:
+            first &= most >= np.partition(most, -READ_FIRST)[-READ_FIRST]
+        found = self._read(at, first)
+        reach = LEAST_WEIGHT if found is None else -found[0]
+        rest = (most >= reach - slack) & ~first
+        if rest.any() and (other := self._read(at, rest)) is not None:
+            found = other if found is None else min(found, other)
+        return found
+
+
+def _met(words: pa.Table, asked: pa.Table, schema: pa.Schema) -> pa.Table:
+    """Each asked query of a block with its best window among a block's scenes."""
+    if not len(words) or not len(asked):
+        return schema.empty_table()
+    flat = [pc.list_flatten(t["terms"]).combine_chunks() for t in (words, asked)]
+    coded = pa.concat_arrays(flat).dictionary_encode()
+    codes = coded.indices.to_numpy().astype(np.int64)
+    scenes = _Scenes(words, codes[: len(flat[0])], len(coded.dictionary))
+    ends = np.cumsum(pc.list_value_length(asked["terms"]).to_numpy())
+    wanted = np.split(codes[len(flat[0]) :], ends[:-1])
+    found = [(i, b) for i, terms in enumerate(wanted) if (b := scenes.best(terms)) is not None]
+    if not found:
+        return schema.empty_table()
+    rows, (loss, size, window) = [i for i, _ in found], zip(*[b for _, b in found])
+    window = np.array(window)
+    scene = scenes.names.take(pa.array(np.searchsorted(scenes.bounds, window, "right") - 1))
+    kept = asked.select(["query", "script_id"]).take(pa.array(rows))
+    return pa.Table.from_arrays([*kept.columns, pa.array(loss), pa.array(size, pa.int32()), scene, pa.array(scenes.starts[window])], names=["query", "script_id", "loss", "size", "scene", "start"]).cast(schema)
 
 
 def located(lines: DataFrame, terms: DataFrame) -> DataFrame:
@@ -78,38 +165,28 @@ def located(lines: DataFrame, terms: DataFrame) -> DataFrame:
     earlier windows win ties. terms: query, script_id, term. One row a query and script: of its
     scenes' best windows the one that weighs most.
 
-    A scene weighs no more than its terms together, and a term no more than in the scene where it
-    weighs most. So a first scene, that of the query's rarest term, sets a weight to reach; the
-    commonest terms that can't reach it together bring no scene of their own; and the scenes that
-    the rarer ones bring are asked for PROBES more terms: those stay whose bound still reaches it,
-    and only these are read whole.
+    Scenes and queries of a script are dealt in blocks, and each block of queries meets each block
+    of scenes in a task of its own: there a query's terms are looked up in the scenes' words, and
+    of the scenes only those are read whole whose terms together weigh enough.
     """
-    words = lines.select("script_id", "scene", "place", F.explode(F.array_distinct(n.anchor_terms(F.col("line")))).alias("term"))
-    postings = words.groupBy("script_id", "scene", "term").agg(F.collect_set("place").alias("places")).withColumn("w", 1 / F.size("places"))
-    postings = versions.stored(postings, "postings")
-    # of equal weights the first scene: max_by takes what is largest
-    heads = postings.groupBy("script_id", "term").agg(F.max("w").alias("most"), F.count("*").alias("scenes"), F.min_by("scene", F.struct((-F.col("w")).alias("loss"), "scene")).alias("best_scene"))
-    asked = versions.stored(terms.select("query", "script_id", "term").distinct().join(heads, ["script_id", "term"]), "asked")
-    first = asked.groupBy("query", "script_id").agg(F.min_by("best_scene", F.struct("scenes", "term")).alias("scene"))
-    seeds = versions.stored(_best_windows(first, asked, postings), "seeds")
-    reach = first.select("query", "script_id").join(seeds, ["query", "script_id"], "left").select("query", "script_id", F.greatest(F.coalesce(-F.col("best.loss"), F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT)).alias("reach"))
-    # half a unit of the last place for each of the sums that were rounded, and for their order
-    slack = 10.0**-PLACES
-    commoner = Window.partitionBy("query", "script_id").orderBy(F.desc("scenes"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    ruled = asked.join(reach, ["query", "script_id"]).withColumn("essential", F.sum("most").over(commoner) >= F.col("reach") - slack)
-    rest = F.sum(F.when(~F.col("essential"), F.col("most")).otherwise(0.0)).over(Window.partitionBy("query", "script_id"))
-    rarity = Window.partitionBy("query", "script_id").orderBy("essential", F.desc("scenes"), F.desc("term")).rowsBetween(0, Window.unboundedFollowing)
-    # among the others, from the rarest: how many are as rare or rarer
-    ruled = ruled.withColumn("rest", rest).withColumn("nth", F.sum(F.when(~F.col("essential"), 1).otherwise(0)).over(rarity))
-    rare = ruled.filter("essential").select("query", "script_id", "term", "reach", "rest")
-    probes = ruled.filter(~F.col("essential") & (F.col("nth") <= PROBES)).select("query", "script_id", "term", "most")
-    met = rare.join(postings.select("script_id", "scene", "term", "w"), ["script_id", "term"]).groupBy("query", "script_id", "scene").agg(F.sum("w").alias("w"), F.first("rest").alias("rest"), F.first("reach").alias("reach"))
-    met = met.filter(F.col("w") + F.col("rest") >= F.col("reach") - slack).join(first, ["query", "script_id", "scene"], "left_anti")
-    tried = met.join(probes, ["query", "script_id"]).join(postings.select("script_id", "scene", "term", F.col("w").alias("hit")), ["script_id", "scene", "term"], "left")
-    lost = tried.groupBy("query", "script_id", "scene").agg(F.sum(F.col("most") - F.coalesce("hit", F.lit(0.0))).alias("lost"))
-    kept = met.join(lost, ["query", "script_id", "scene"], "left").filter(F.col("w") + F.col("rest") - F.coalesce("lost", F.lit(0.0)) >= F.col("reach") - slack)
-    scenes = kept.select("query", "script_id", "scene")
-    best = seeds.unionByName(_best_windows(scenes, asked, postings)).groupBy("query", "script_id").agg(F.min("best").alias("best"))
+    said = lines.select("script_id", "scene", "place", F.array_distinct(n.anchor_terms(F.col("line"))).alias("terms"))
+    said = versions.stored(said.filter("size(terms) > 0").dropna(subset=["script_id", "scene", "place"]), "said")
+    asked = versions.stored(terms.dropna(subset=["query", "script_id", "term"]).groupBy("query", "script_id").agg(F.collect_set("term").alias("terms")), "asked")
+    held = F.sum(F.size("terms"))
+    words = said.groupBy("script_id").agg(F.ceil(held / BLOCK_WORDS).alias("scene_blocks"))
+    wanted = asked.groupBy("script_id").agg(F.greatest(F.ceil(held / BLOCK_TERMS), F.least(F.lit(LEAST_BLOCKS), F.ceil(held / LEAST_TERMS))).alias("query_blocks"))
+    # stored, so that its size is known: small counts are broadcast, many are shuffled
+    blocks = versions.stored(words.join(wanted, "script_id"), "blocks")
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    block = ["script_id", "scene_block", "query_block"]
+    scenes = said.join(blocks, "script_id").select("script_id", F.pmod(F.xxhash64("scene"), "scene_blocks").alias("scene_block"), each("query_blocks").alias("query_block"), "scene", "place", "terms")
+    queries = asked.join(blocks, "script_id").select("script_id", each("scene_blocks").alias("scene_block"), F.pmod(F.xxhash64("query"), "query_blocks").alias("query_block"), "query", "terms")
+    kinds = {"query": asked, "script_id": asked, "scene": said, "start": said}
+    kind = lambda c: kinds[c].schema["place" if c == "start" else c].dataType
+    schema = StructType([StructField("query", kind("query")), StructField("script_id", kind("script_id")), StructField("loss", DoubleType()), StructField("size", IntegerType()), StructField("scene", kind("scene")), StructField("start", kind("start"))])
+    arrow = to_arrow_schema(schema)
+    met = scenes.groupBy(*block).cogroup(queries.groupBy(*block)).applyInArrow(lambda w, q: _met(w, q, arrow), schema)
+    best = met.groupBy("query", "script_id").agg(F.min(F.struct("loss", "size", "scene", "start")).alias("best"))
     return best.select("query", "script_id", "best.scene", "best.size", "best.start", (-F.col("best.loss")).alias("weight"))
 
 

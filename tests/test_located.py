@@ -64,3 +64,19 @@ def test_query_asks_for_every_line_with_all_terms(spark):
     for s, c, p, t in lines:
         wanted.setdefault((f"{c}:{p}", s), set()).update(terms_of(t))
     assert rows(registry.QUERIES["locate_passages"](spark, d)) == brute(lines, wanted)
+
+
+def test_located_in_blocks_of_scenes_and_queries(spark, monkeypatch):
+    """However scripts are dealt: long scenes, lines said twice, and terms that many scenes hold."""
+    rng = random.Random(11)
+    vocabulary = [a + b for a in ("lamp", "door", "river") for b in ("ab", "cd", "ef", "gh")]
+    lines = [(s, c, p, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 6)))) for s in ("A", "B") for c in range(1, 12) for p in range(40 if c == 3 else rng.randint(1, 6))]
+    lines += lines[:30]
+    wanted = {(f"q{i}", s): set(rng.sample(vocabulary, rng.randint(1, 9))) for i in range(30) for s in ("A", "B", "C")}
+    df = spark.createDataFrame(lines, "script_id string, scene int, place int, line string")
+    terms = spark.createDataFrame([(q, s, t) for (q, s), ts in wanted.items() for t in ts], "query string, script_id string, term string")
+    want = brute(lines, wanted)
+    monkeypatch.setattr(script, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(script, "BLOCK_TERMS", 40)
+    monkeypatch.setattr(script, "READ_FIRST", 1)
+    assert len(want) > 40 and rows(script.located(df, terms)) == want
