@@ -190,6 +190,38 @@ def test_documents_across_batches(spark):
     assert sorted((r.doc_id, r["count"]) for r in got if r.lens == "50mm") == [("d0", 399), ("d2", 399)] and sum(r["count"] for r in got) == 399 * 2 + 7
 
 
+def test_lines_of_long_documents_leave_with_their_batch(spark):
+    from takeledger.sources import paperwork
+    from takeledger.sources.documents import Lines, Passing, folded, lines_of
+
+    scene = "INT. ROOM - DAY\n\nit rains\n\nANN\n" + "\n".join(f"word {i}" for i in range(25)) + "\n\nBO\n(low)\nyes\n\nit stops\n\n"
+    src = docs(spark, scene * 4, "", "it rains", scene, None, scene * 2).coalesce(1)
+    log = docs(spark, CAMERA_LOG * 3, "1 001", CAMERA_LOG).coalesce(1)
+    volumes = docs(spark, VOLUME * 3, VOLUME, "none").coalesce(1)
+    read = lambda: [sorted(map(str, p(d).collect())) for p, d in ((paperwork.parse_screenplay, src), (reports.parse_camera_log, log), (reports.parse_volume_report, volumes))]
+    whole = read()
+    assert all(whole)
+
+    def fold(t):
+        if not isinstance(t, Passing):
+            raise ValueError("a whole document")
+        t["most"], t["nth"] = len(t.frame), t.count(t["line"] != "")
+        t["begun"], t["newest"] = t.first(t["line"].where(t["line"].str.startswith("word"))), t.last(t["line"].where(t["line"] == "BO"))
+
+    try:
+        for size in ("1", "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert read() == whole
+        lines = folded(lines_of(src), "most int, nth int, begun string, newest string", fold, passing=True).orderBy("doc_id", "place").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert max(r.most for r in lines) == 7 and all(r.error is None for r in lines)
+    of = [r for r in lines if r.doc_id == "d0"]
+    assert [r.nth for r in of] == [sum(x.line != "" for x in of[: i + 1]) for i in range(len(of))]
+    assert {r.begun for r in of[5:]} == {"word 0"} and {r.newest for r in of[35:]} == {"BO"} and [r.newest for r in lines if r.doc_id == "d3"][0] is None
+    assert issubclass(Passing, Lines)
+
+
 def test_delimited_rows_leave_in_bounded_batches_and_not_from_a_document_that_fails(spark):
     import pyarrow as pa
 
