@@ -227,3 +227,11 @@ def test_rolls_of_a_take_are_compared_by_camera_and_sound_apart(spark):
     assert said(reconcile.sound_roll_mismatches(w)) == sound
     assert said(reconcile.roll_mismatches(w)) == sorted(camera + sound)
     assert said(reconcile.roll_mismatches(w.limit(0))) == []
+
+
+def test_take_rollup_normalises_slates_after_they_are_distinct(spark):
+    from takeledger.plans import registry
+
+    plan = registry.QUERIES["take_rollup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    said = [line.lstrip(" :+-").split(" ")[0] for line in plan if "WILD" in line]
+    assert said and set(said) <= {"Aggregate", "Generate"}
