@@ -235,3 +235,61 @@ def test_take_rollup_normalises_slates_after_they_are_distinct(spark):
     plan = registry.QUERIES["take_rollup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
     said = [line.lstrip(" :+-").split(" ")[0] for line in plan if "WILD" in line]
     assert said and set(said) <= {"Aggregate", "Generate"}
+
+
+def reconciled(spark, rows, media, scenes, ranges, dates):
+    """All findings by the checks that read the witnesses themselves, and by the one job."""
+    day = "production_id string, shoot_day string, "
+    w = spark.createDataFrame(rows, day + "slate string, take_id string, department string, axis string, doc_id string, scene string, camera_roll string, sound_roll string, starred boolean, timecode_in string, clip_name string, seq long")
+    m, s = spark.createDataFrame(media, day + "file_name string"), spark.createDataFrame(scenes, day + "scene string, axis string, state string, office_state string")
+    r, d = spark.createDataFrame(ranges, day + "scene string, first string, last string, seq long"), spark.createDataFrame(dates, day + "date string")
+    alone = [
+        *[check(w) for check in (reconcile.circled_mismatches, reconcile.camera_roll_mismatches, reconcile.sound_roll_mismatches, reconcile.timecode_drifts)],
+        *[check(w, m) for check in (reconcile.paperwork_without_media, reconcile.media_without_paperwork, reconcile.awaiting_offload)],
+        reconcile.scene_findings(s, w), reconcile.slates_outside_range(w, r), reconcile.date_disagreements(d),
+    ]
+    said = lambda df: sorted(map(str, df.collect()))
+    return sum(map(said, alone), []), said(reconcile.reconcile(w, m, s, r, d))
+
+
+def test_all_checks_find_together_what_each_finds_alone(spark, monkeypatch):
+    rng = random.Random(12)
+    day = lambda: (rng.choice(["P0", "P1", None]), rng.choice(["1", "2", "3", None]))
+    pick = rng.choice
+    rows = [
+        (*day(), pick(["1/1", "1-2", "2/7", None]), pick(["1", "2", None]), pick(["script", "camera"]), pick(["belief", "existence", None]), pick(["d1", "d2", None]), pick(["1", "9", "", None]),
+         pick(["A001", "A002", "b1", "", None]), pick(["SR01", "SR02", "25Y07M12", "", None]), pick([True, False, None]), pick(["10:00:00:00", "10:00:00:05", "10:00:01:00", "x", "", None]), pick(["A001_C001", "A002_C002", "", None]), pick([*range(9), None]))
+        for _ in range(900)
+    ]
+    # one claim of a take that many rows make, and the same place twice
+    rows += [("P2", "1", "5/1", "1", "camera", "belief", "d", "5", "A001", "", None, f"10:00:00:{t:02d}", "A001_C009", seq) for seq, t in ((7, 20), (3, 4), (3, 9), (5, 1), (9, 2))]
+    media = [(*day(), pick(["A_0001C001.mov", "1-1T01.WAV", "1-2T02.wav", ".x", "z.mov", "", None])) for _ in range(12)]
+    scenes = [(*day(), pick(["1", "2", "9", None]), pick(["intent", "belief"]), pick(["scheduled", None]), pick(["complete", "part_complete", "not_shot", "scheduled_not_shot", "shot_not_scheduled", None])) for _ in range(60)]
+    # each place once: which of two last ranges counts is open
+    ranges = [(*day(), pick(["1", "2", None]), pick(["1/3", "2", "x", None]), pick(["4", "3", None]), seq) for seq in range(40)]
+    dates = [(*day(), pick(["1995-01-01", "1995-01-02", None])) for _ in range(30)]
+    alone, together = reconciled(spark, rows, media, scenes, ranges, dates)
+    kinds = {k for k in ("CIRCLED", "ROLL_MISMATCH", "TIMECODE_DRIFT", "PAPERWORK_WITHOUT", "MEDIA_WITHOUT", "AWAITING", "COMPLETE_WITHOUT", "NOT_SHOT", "NOT_SCHEDULED", "OUTSIDE", "DATE_DIS") if not any(k in f for f in alone)}
+    assert not kinds and together == sorted(alone)
+    assert any("5/1 Take 1" in f and "TIMECODE_DRIFT" in f and "detail='5'" in f for f in together)
+    monkeypatch.setattr(reconcile, "BROADCAST_TAKES", 0)
+    assert reconciled(spark, rows, media, scenes, ranges, dates)[1] == together
+
+
+def test_takes_of_one_hash_keep_their_first_witnesses(spark, monkeypatch):
+    rows = [("P", "1", "1/1", t, "b", "", r, "", "", f"10:00:00:{seq:02d}", seq) for t, r, seq in (("1", "A1", 1), ("1", "A2", 2), ("1", "A1", 9), ("2", "A1", 3), ("2", "A2", 6), ("2", "A2", 8))]
+    w = spark.createDataFrame(rows, "production_id string, shoot_day string, slate string, take_id string, axis string, scene string, camera_roll string, sound_roll string, clip_name string, timecode_in string, seq long")
+    kept = lambda df: sorted((r.take_id, r.seq) for r in reconcile.earliest(df, reconcile.claims(df)).collect())
+    assert kept(w) == [("1", 1), ("1", 2), ("2", 3), ("2", 6)]
+    monkeypatch.setattr(reconcile.F, "xxhash64", lambda *_: F.length("slate").cast("long"))
+    assert kept(w) == [("1", 1), ("1", 2), ("2", 3), ("2", 6)]
+    lone = w.filter("take_id = '1' or camera_roll = 'A2'")  # take 2 has one claim, and so no bound
+    assert kept(lone) == [("1", 1), ("1", 2), ("1", 9), ("2", 6), ("2", 8)]
+
+
+def test_reconcile_reads_each_table_for_few_checks(spark):
+    from takeledger.plans import registry
+
+    plan = registry.QUERIES["reconcile_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # marks, timecodes, ranges and dates; claims, files and scenes were read once before
+    assert plan.count("l_orderkey") and sum("Relation" in line and "l_orderkey" in line for line in plan.split("\n")) == 4
