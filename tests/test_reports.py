@@ -256,3 +256,26 @@ def test_events_carry_department_and_axis_of_their_kind(spark):
     src = spark.createDataFrame([("P", "1", k, v, "") for k, v in names.items()], "production_id string, shoot_day string, doc_id string, filename string, content string")
     assert {r.doc_type: (r.department, r.axis) for r in paperwork.classified(src).collect()} == {k: v[2:] for k, v in ingest.PARSERS.items()}
     assert "Join" not in ingest.parsed(src)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_a_script_line_runs_through_is_small_enough_for_the_jvm_to_compile(spark, capsys):
+    import re
+
+    # methods of more than 8,000 bytes are interpreted for ever, line by line
+    for parse in (reports.parse_editor_log, reports.parse_script_log):
+        parse(docs(spark, EDITOR_LOG)).explain("codegen")
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) < 8000, (parse.__name__, sizes)
+
+
+def test_editor_log_of_odd_lines(spark):
+    text = "\n".join((
+        "4 lone A001", "5 lone Scene(s): B002", "27/7 1 moß C003", "vfx at dusk", "for D004 ſ", "2 VfX 010126", "02* 0:12 n", "27/7 1 E005", "INT. HALL", "3 F006", "x Scene(s): G007", "1 H008",
+        "49/2", "", "1 Scene(s): 49", "MÖS I009 \u2028 J010", "x 12WT 2 Wild Track: 12WT n/a 280726 0:29 mos", "Shot on Day: Day SD012",
+    ))
+    got = reports.parse_editor_log(docs(spark, text, text))
+    want = [
+        ("27/7", "1", "C003", "moß C003", True, True, False, False), ("27/7", "1", "D004", "moß C003 vfx at dusk", True, True, False, False), ("27/7", "2", "D004", "0:12 n", False, False, True, True),
+        ("27/7", "1", "E005", "E005", True, True, False, False), ("49/2", "1", "I009", "MÖS I009 \u2028 J010", False, False, False, False), ("12/WT", "2", None, "12WT n/a 280726 0:29 mos", False, False, False, False),
+    ]
+    assert rows(got, "doc_id", "slate", "take_id", "camera_roll", "note", "vfx", "mos", "starred", "inherited") == [(d, *w) for d in ("d0", "d1") for w in want]
